@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are kept in the checkpoint folder after each round.  Nulls, loops and
     repeated edges have no effect; no edges give no rows.
     """
-    pairs = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    both = durable(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    way = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = durable(edges.where("a is not null and b is not null and a <> b").select(way).select("way.a", "way.b").distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
