@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from timbral.llm.shared import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timbral.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timbral.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from timbral.llm.suffix_dedup import remove_repeats
 
@@ -25,5 +37,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Rates, distribution functions and uniform numbers of timbral.llm.mixing, for equal weights.
+MIXING_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, CAST(SUM(COALESCE(strlen(text), 0)) AS BIGINT) AS size FROM documents GROUP BY source
+), total AS (
+  SELECT CAST(SUM(size) AS BIGINT) AS all_size, CAST(COUNT(*) FILTER (WHERE size > 0) AS DOUBLE) AS all_weight FROM sizes
+), rates AS (
+  SELECT source, CAST(all_size AS DOUBLE) / (all_weight * size) AS rate FROM sizes, total WHERE size > 0
+), means AS (
+  SELECT source, CAST(CEIL(rate / 16.0) AS INTEGER) AS parts, rate / CEIL(rate / 16.0) AS mean FROM rates
+), terms(source, mean, k, p, cdf) AS (
+  SELECT source, mean, 0, EXP(-mean), EXP(-mean) FROM means
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM terms
+  WHERE k < CAST(CEIL(mean + 12 * SQRT(mean) + 40) AS INTEGER)
+), functions AS (
+  SELECT source, LIST(cdf ORDER BY k) AS cdf FROM terms GROUP BY source
+), draws AS (
+  SELECT d.*, f.cdf, UNNEST(RANGE(1, m.parts + 1)) AS part
+  FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source
+  JOIN functions f ON d.source IS NOT DISTINCT FROM f.source
+), drawn AS (
+  SELECT *, CAST('0x' || substr(md5('mix|' || COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || part), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM draws
+), counts AS (
+  SELECT doc_id, text, lang, source, n_chars, CAST(SUM(len(list_filter(cdf, lambda p: p <= u))) AS INTEGER) AS n
+  FROM drawn GROUP BY doc_id, text, lang, source, n_chars
+), copies AS (
+  SELECT doc_id, text, lang, source, n_chars, UNNEST(RANGE(1, n + 1)) AS copy FROM counts WHERE n > 0
+)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+       substr(md5('mix-order|' || COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || copy), 1, 16) AS shuffle_key
+FROM copies
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing_to_target_weights": MIXING_SQL}
