@@ -318,8 +318,8 @@ def remove_repeats(docs: DataFrame, home_bytes: int = 3 << 20) -> DataFrame:
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    homes = spread(text_size(docs), home_bytes, 4 * width)
-    buckets = spread(homes * home_bytes, 16 << 20, 4 * width)
+    size = text_size(docs)
+    homes, buckets = spread(size, home_bytes, width), spread(size, 16 << 20, width)
 
     def home_of(ids: np.ndarray) -> np.ndarray:
         return (mix(ids.astype(np.int64).view(U64)) % U64(homes)).astype(np.int32)
