@@ -11,6 +11,7 @@ encoded by the tokenizer once for each worker and kept in a bounded cache.
 
 from __future__ import annotations
 
+import os
 import re
 
 import pyarrow as pa
@@ -93,6 +94,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     table = spark.sparkContext.broadcast(frequent_lengths(path))
 
     def count(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         counter = Counter(path, table.value)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
