@@ -43,6 +43,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timbral.llm.telephony import media_round_trip
+
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from timbral.llm.suffix_dedup import remove_repeats
 

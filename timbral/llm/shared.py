@@ -7,9 +7,11 @@ words.  Hashes are 64-bit; equal inputs give equal hashes in every process.
 
 from __future__ import annotations
 
+import atexit
 import functools
 import math
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,15 +174,46 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir, from which any executor can read it again."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="timbral-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, from which any executor can read it again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that shared_folder() holds."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
+
+    atexit.register(clean)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder; for what is large."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
