@@ -17,8 +17,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are kept in the checkpoint folder after each round.  Nulls, loops and
     repeated edges have no effect; no edges give no rows.
     """
-    way = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
-    both = durable(edges.where("a is not null and b is not null and a <> b").select(way).select("way.a", "way.b").distinct())
+    ends = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # a node's smaller neighbours hang on the least of them: many edges between few nodes become one
+    least = ends.groupBy("a").agg(F.min("b").alias("least"))
+    way = F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("way")
+    few = ends.join(least, "a").select(way).select("way.a", "way.b").where("a <> b").distinct()
+    turn = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = durable(few.select(turn).select("way.a", "way.b"))
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
