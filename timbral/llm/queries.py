@@ -55,12 +55,24 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timbral.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from timbral.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timbral.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -100,5 +112,24 @@ FROM copies
 """
 
 
+#: Base32 of the SHA-1: 20 bits, five hexadecimal digits, are four letters.
+WARC_SQL = """
+WITH rows AS (
+  SELECT page_id, COALESCE(html, '') AS html, sha1(COALESCE(html, '')) AS hex FROM pages WHERE page_id IS NOT NULL
+), last AS (
+  SELECT hex, MAX(page_id) AS keep FROM rows GROUP BY hex
+), digests AS (
+  SELECT hex, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS digest
+  FROM last
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM rows JOIN last USING (hex) JOIN digests USING (hex)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing_to_target_weights": MIXING_SQL}
+    return {"op2_mixing_to_target_weights": MIXING_SQL, "op8_warc": WARC_SQL}
