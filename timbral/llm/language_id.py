@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timbral.llm.decontaminate import normal_form
 from timbral.llm.shared import slices, text_bytes
@@ -137,15 +138,19 @@ def mixtures(model: Model, part: pa.RecordBatch | pa.Table) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (the predicted language's share) and languages (how many were chosen) of every row.
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (all if None) of every row, with lang_pred, score (the predicted language's share) and languages (how many were chosen).
 
-    docs: doc_id, text; other columns are never read.  A null text, one without
-    a letter, and every text under a model without languages is UNKNOWN with
-    score 0.  Ties go to the language more frequent in training.
+    Of docs only text is read.  A null text, one without a letter, and every
+    text under a model without languages is UNKNOWN with score 0.  Ties go to
+    the language more frequent in training.  Columns of docs that have the name
+    of a new one are replaced.
     """
     spark: SparkSession = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
+    new = ["lang_pred", "score", "languages"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("languages", "integer")
 
     def predict(batches):
         known = sent.value
@@ -162,9 +167,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                         k = order[row[order].argmax()]
                         names.append(known.languages[k])
                         scores.append(float(min(1.0, row[k])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names), pa.array(scores), pa.array((share > 0).sum(axis=1), pa.int32())], names=["doc_id", "lang_pred", "score", "languages"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names), pa.array(scores), pa.array((share > 0).sum(axis=1), pa.int32())], names=keep + new)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, languages int")
+    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(predict, schema)
 
 
 def held_out() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timbral.llm.shared import table
 
@@ -39,8 +40,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from timbral.llm.language_id import held_out, identify, train
 
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, train(docs.where(~held_out())))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
+    found = identify(docs, train(docs.where(~held_out())), ["doc_id"])
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,7 +284,7 @@ def _refine(home_of):
 
 def _cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
     """doc_id, row, n_bytes, spans, kept bytes of a home's documents."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("removed", pa.list_(pa.int64()))])
     ids = docs.column("doc_id").to_numpy()
     data, off = text_bytes(docs.column("text"))
     parts = [unpack(x.as_py(), "i8", "i8", "i8") for x in answers.column("payload")]
@@ -297,11 +297,11 @@ def _cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         for s, e in zip(start[a:b], end[a:b], strict=True):
             keep[s:e] = False
         kept = text[keep].tobytes()
-        out.append((int(d), len(text), len(text) - len(kept), int(b - a), hashlib.sha256(kept).hexdigest(), kept, [int(x) for pair in zip(start[a:b], end[a:b], strict=True) for x in pair]))
-    return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 7, schema=schema)
+        out.append((int(d), len(text), len(text) - len(kept), int(b - a), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), [int(x) for pair in zip(start[a:b], end[a:b], strict=True) for x in pair]))
+    return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 8, schema=schema)
 
 
-_RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, removed array<bigint>"
+_RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kept_text string, removed array<bigint>"
 
 
 def remove_repeats(docs: DataFrame, home_bytes: int = 3 << 20) -> DataFrame:
@@ -309,8 +309,8 @@ def remove_repeats(docs: DataFrame, home_bytes: int = 3 << 20) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored.  Returns for each row with a
     doc_id: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256, kept (the remaining bytes; a cut inside a character leaves part
-    of it) and removed (start and end of each run, in turn).  A null or empty
+    kept_sha256, kept (the remaining bytes), kept_text (without what a cut leaves
+    of a character) and removed (start and end of each run, in turn).  A null or empty
     text has no bytes; rows that repeat a doc_id are the same document for the
     comparison, and get the union of their removed ranges only where their
     texts agree, so doc_id should be a key.  A null doc_id has no place in the
