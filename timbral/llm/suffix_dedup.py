@@ -101,9 +101,11 @@ def _chunks(table: pa.Table):
 
 def _send(to: np.ndarray, source: int, arrays: list[np.ndarray]) -> tuple[list, list, list]:
     """Arrays dealt out by to, one packed value for each receiver."""
+    if not len(to):
+        return [], [], []
     order = np.argsort(to, kind="stable")
     ordered = to[order]
-    cuts = np.flatnonzero(np.diff(ordered, prepend=-1)) if len(to) else []
+    cuts = np.flatnonzero(np.diff(ordered, prepend=-1))
     ends = [*cuts[1:], len(to)]
     return [int(ordered[a]) for a in cuts], [source] * len(cuts), [pack(*(x[order[a:b]] for x in arrays)) for a, b in zip(cuts, ends, strict=True)]
 
