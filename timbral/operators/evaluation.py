@@ -18,8 +18,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def first_ratings(ratings: DataFrame) -> DataFrame:
-    """Each evaluator's first rating of an item of a query."""
-    return ratings.groupBy("query", "item", "evaluator").agg(F.min_by("rating", "seq").alias("rating"))
+    """Each evaluator's first rating of an item of a query; the least of those given at once."""
+    return ratings.groupBy("query", "item", "evaluator").agg(F.min_by("rating", F.struct("seq", "rating")).alias("rating"))
 
 
 def last_answers(answers: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -30,7 +30,7 @@ def last_answers(answers: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def item_medians(ratings: DataFrame, least: int = 2) -> DataFrame:
     """query, item, rating (the lower of the middle two) and raters, of items with enough evaluators."""
-    found = first_ratings(ratings).groupBy("query", "item").agg(F.percentile_disc(0.5, F.col("rating")).alias("rating") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rating)").alias("rating"), F.count("*").alias("raters"))
+    found = first_ratings(ratings).groupBy("query", "item").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rating)").alias("rating"), F.count("*").alias("raters"))
     return found.where(F.col("raters") >= least).withColumn("rating", F.col("rating").cast("int"))
 
 

@@ -30,7 +30,7 @@ def states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pending(spark: SparkSession, d: str) -> DataFrame:
-    return library.pending_analysis(_content_samples(spark, d), _analysed(spark, d), views.job_items(spark, d).where("item_id % 5 = 0"), "v1")
+    return library.pending_analysis(_content_samples(spark, d), _analysed(spark, d).where("content % 3 = 1"), views.job_items(spark, d).where("item_id % 50 = 0"), "v1")
 
 
 def collapsed(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def referenced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roles_page(spark: SparkSession, d: str) -> DataFrame:
-    return library.page(library.in_roles(library.search(views.library(spark, d), "TIN"), ["bass", "kick"], page=True), "sample_id", after=100, size=40).select("sample_id", "filename", "role", "has_more")
+    return library.page(library.in_roles(library.search(views.library(spark, d), "E"), ["bass", "kick"], page=True), "sample_id", after=100, size=40).select("sample_id", "filename", "role", "has_more")
 
 
 def empty_roles(spark: SparkSession, d: str) -> DataFrame:
@@ -81,13 +81,13 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
 
 def upserted(spark: SparkSession, d: str) -> DataFrame:
     table = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"))
-    batch = read(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("id"), F.col("l_quantity").cast("int").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    batch = read(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("id"), F.col("l_quantity").cast("int").alias("v"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("int")).alias("seq"))
     return library.upsert(table, batch, ["id"])
 
 
 def inserted(spark: SparkSession, d: str) -> DataFrame:
     table = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"))
-    batch = read(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("id"), F.col("l_quantity").cast("int").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    batch = read(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("id"), F.col("l_quantity").cast("int").alias("v"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("int")).alias("seq"))
     return library.insert_new(table, batch, ["id"])
 
 
@@ -185,7 +185,7 @@ _SHA = "sha256('seed-1' || chr(10) || {0})"
 _PAIRS_SQL = "p AS (SELECT o_orderkey AS pair_id, o_custkey % 50 AS session, o_custkey % 7 AS kick FROM orders)"
 _ORDER = f"o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY {_SHA.format('session || chr(10) || pair_id')}, pair_id) AS position FROM p)"
 _ADMIT = "a AS (SELECT *, source AS priority, count(DISTINCT role) OVER (PARTITION BY sha) AS n_roles, row_number() OVER (PARTITION BY sha ORDER BY source, sample_id) AS nth FROM v_content), f AS (SELECT *, CASE WHEN n_roles > 1 THEN 'conflict' WHEN nth > 1 THEN 'duplicate' ELSE 'kept' END AS decision FROM a)"
-_BATCH = "t AS (SELECT p_partkey AS id, p_size AS v FROM part), b AS (SELECT l_partkey * 2 AS id, CAST(l_quantity AS INTEGER) AS v, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
+_BATCH = "t AS (SELECT p_partkey AS id, p_size AS v FROM part), b AS (SELECT l_partkey * 2 AS id, CAST(l_quantity AS INTEGER) AS v, (l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS INTEGER) AS seq FROM lineitem)"
 _STATES = f"""{JOBS_CTE}, {_SAMPLES}, {_ANALYSED},
 flags AS (SELECT s.*, EXISTS (SELECT 1 FROM analysed a WHERE a.content = s.content AND version = 'v1') AS cur, EXISTS (SELECT 1 FROM analysed a WHERE a.content = s.content AND version <> 'v1') AS old,
   EXISTS (SELECT 1 FROM v_jobs j WHERE j.content = s.content AND version = 'v1' AND state IN ('pending', 'running')) AS pend, EXISTS (SELECT 1 FROM v_jobs j WHERE j.content = s.content AND version = 'v1' AND state = 'failed') AS fail FROM c_samples s),
@@ -196,11 +196,11 @@ QUERIES = {
     "J4_W8_pending_analysis": (
         pending,
         f"""WITH {JOBS_CTE}, {_SAMPLES}, {_ANALYSED} SELECT content, arg_min(sample_id, (path_key, sample_id)) AS sample_id FROM c_samples s WHERE file_status <> 'missing'
-AND NOT EXISTS (SELECT 1 FROM analysed a WHERE a.content = s.content AND version = 'v1') AND NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.content = s.content AND version = 'v1' AND item_id % 5 = 0) GROUP BY content""",
+AND NOT EXISTS (SELECT 1 FROM analysed a WHERE a.content = s.content AND version = 'v1' AND content % 3 = 1) AND NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.content = s.content AND version = 'v1' AND item_id % 50 = 0) GROUP BY content""",
     ),
     "G10_collapse": (collapsed, f"WITH {_STATES} SELECT content, arg_min(sample_id, path_key) AS sample_id, count(*) AS n_rows, count(*) FILTER (WHERE retrieval_state = 'stale') AS n_stale, count(*) FILTER (WHERE retrieval_state = 'absent') AS n_absent FROM states GROUP BY content"),
     "J3_J7_D1_referenced": (referenced, f"WITH {LIBRARY_CTE} SELECT sample_id, role FROM v_library WHERE sample_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) OR sample_id IN (SELECT event_id % 5000 FROM events WHERE event_type = 'error')"),
-    "F8_F9_L3_page": (roles_page, f"WITH {LIBRARY_CTE}, m AS (SELECT * FROM v_library WHERE role IN ('bass', 'kick') AND instr(lower(filename), 'tin') > 0 AND sample_id > 100 ORDER BY sample_id LIMIT 41) SELECT sample_id, filename, role, (SELECT count(*) FROM m) > 40 AS has_more FROM m ORDER BY sample_id LIMIT 40"),
+    "F8_F9_L3_page": (roles_page, f"WITH {LIBRARY_CTE}, m AS (SELECT * FROM v_library WHERE role IN ('bass', 'kick') AND instr(lower(filename), 'e') > 0 AND sample_id > 100 ORDER BY sample_id LIMIT 41) SELECT sample_id, filename, role, (SELECT count(*) FROM m) > 40 AS has_more FROM m ORDER BY sample_id LIMIT 40"),
     "F8_empty_role_list": (empty_roles, "SELECT 'page' AS kind, count(*) AS n FROM part"),
     "F10_F13_scope_without_paths": (scoped, f"WITH {LIBRARY_CTE} SELECT sample_id, filename, role FROM v_library WHERE starts_with(path_key, 'brand#11/')"),
     "G1_role_counts": (counts, f"WITH {LIBRARY_CTE} SELECT r.role, count(l.sample_id) AS n FROM (VALUES ('kick'), ('bass'), ('sub-bass')) r(role) LEFT JOIN (SELECT * FROM v_library WHERE role <> 'kick') l USING (role) GROUP BY r.role"),

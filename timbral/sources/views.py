@@ -155,16 +155,16 @@ SELECT l_orderkey % 300 AS query, l_partkey % 20 AS item, l_suppkey AS evaluator
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, at (UTC text), project_id, candidate_id, event_type; a removal names the selection before it in its project and candidate."""
+    """event_id, happened_at (UTC text), project_id, candidate_id, event_type; a removal names the selection before it in its project and candidate."""
     kinds = F.create_map(*(F.lit(x) for pair in (("click", "auditioned"), ("purchase", "selected"), ("error", "removed"), ("signup", "rejected")) for x in pair))
     e = read(spark, sf_dir, "events")
     return e.where("event_type <> 'view'").select(
-        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.col("user_id").alias("project_id"), (F.col("event_id") % 7).alias("candidate_id"), kinds[F.col("event_type")].alias("event_type"), F.col("value")
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("happened_at"), F.col("user_id").alias("project_id"), (F.col("event_id") % 7).alias("candidate_id"), kinds[F.col("event_type")].alias("event_type"), F.col("value")
     )
 
 
 OUTCOMES_CTE = """v_outcomes AS (
-SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, user_id AS project_id, event_id % 7 AS candidate_id,
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS happened_at, user_id AS project_id, event_id % 7 AS candidate_id,
   CASE event_type WHEN 'click' THEN 'auditioned' WHEN 'purchase' THEN 'selected' WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'rejected' END AS event_type, value
 FROM events WHERE event_type <> 'view')"""
 
