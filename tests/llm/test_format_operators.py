@@ -184,6 +184,16 @@ def test_any_split_owns_each_record_once(tmp_path):
         assert [r["page_id"] for r in found] == list(range(60)) and [r["payload"] for r in found] == payloads
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7, 10, 11, 64])
+def test_a_read_that_ends_inside_a_member_s_head_loses_nothing(monkeypatch, piece):
+    monkeypatch.setattr(warc, "_READ", piece)
+    payloads = [b"", b"some text " * 30, bytes(random.Random(2).randbytes(200)), b"last"]
+    data = b"".join(warc._member(k, "u", p, warc.digest_of(p), None) for k, p in enumerate(payloads))
+    for split in (37, len(data)):
+        found = [r for a in range(0, len(data), split) for r in warc.records_in(pa.PythonFile(io.BytesIO(data), mode="r"), a, split)]
+        assert [(r["page_id"], r["payload"]) for r in found] == list(enumerate(payloads))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -105,18 +105,19 @@ class _Source:
 
 
 def _inflate(source: _Source, most: int | None = None) -> tuple[bytes, int] | None:
-    """The gzip member at the source's start and its packed length; most: no more than about so much of it. None: no such member."""
-    engine, out, used = zlib.decompressobj(31), [], 0
+    """The gzip member at the source's start and its packed length; most: its first so many bytes, read on as far as they need. None: no such member."""
+    engine, out, used, size = zlib.decompressobj(31), [], 0, 0
     while True:
         if used == len(source.held) and not source.more():
             return None
         part = source.held[used : used + _READ]
         try:
-            out.append(engine.decompress(part, 0 if most is None else most))
+            out.append(engine.decompress(part, 0 if most is None else most - size))
         except zlib.error:
             return None
         used += len(part) - len(engine.unused_data) - len(engine.unconsumed_tail)
-        if most is not None or engine.eof:
+        size += len(out[-1])
+        if engine.eof or (most is not None and size >= most):
             return b"".join(out), used
 
 
