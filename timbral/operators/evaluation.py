@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,8 +167,6 @@ def bootstrap_means(values: DataFrame, by: list[str], seed: str, resamples: int
     A group is one row for each query; its values travel as an array and the
     draws are made once for each group, by numpy's own seeded generator.
     """
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("struct<low double, high double>")
     def interval(name: pd.Series, rows: pd.Series) -> pd.DataFrame:

@@ -9,7 +9,7 @@ from timbral.functions import documents as docs_
 from timbral.functions import scalars as sc
 from timbral.operators import judgments as jd
 from timbral.operators import library
-from timbral.operators.ranking import interval_class, pair_with
+from timbral.operators.ranking import interval_class
 from timbral.plans.ranking_queries import _eligible, _kicks
 from timbral.schemas import JOB_STATES, LABEL_SCORES, TONICS, feature_problems
 from timbral.sources import views
@@ -218,7 +218,8 @@ def dataset_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    found = jd.questions(pair_with(_kicks(spark, d), _eligible(spark, d)))
+    kicks = _kicks(spark, d).select(F.struct("*").alias("k"))
+    found = jd.questions(_eligible(spark, d).select(F.struct("*").alias("c")).crossJoin(F.broadcast(kicks)))
     return found.groupBy("dimension", "unavailable").agg(F.count("*").alias("n"))
 
 
