@@ -23,6 +23,8 @@ from timbral.llm.suffix_dedup import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if one language has this share of it at least.
 LEAST_SHARE = 0.5
+#: So many of the most frequent shingles make no candidates; the result is the same for any number.
+FREQUENT = 1 << 18
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each group linked by a Jaccard similarity of 0.8 over five words."""
-    groups = jaccard_components(docs, width=5, at_least=80, of=100)
+    groups = jaccard_components(docs, width=5, at_least=80, of=100, frequent=FREQUENT)
     later = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*COLUMNS)
 

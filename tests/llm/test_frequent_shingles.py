@@ -1,0 +1,63 @@
+"""Passages that many documents share: candidates change, links do not."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+
+from timbral.llm import jaccard_join
+from timbral.llm.components import connected_components
+
+
+def corpus():
+    rng = random.Random(5)
+    passages = [[f"p{k}x{i}" for i in range(50)] for k in range(3)]
+    rows = []
+    for k in range(120):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 200))]
+        for passage in passages[: k % 4]:
+            own[len(own) // 2 : len(own) // 2] = passage
+        rows.append(own)
+    for k in range(0, 120, 3):  # near copies at about the limit
+        copy = list(rows[k])
+        for _ in range(rng.randrange(1, max(2, len(copy) // 40))):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        rows.append(copy)
+    return {k: " ".join(words) for k, words in enumerate(rows)} | {900: None, 901: "", 902: "one two", 903: "One  two"}
+
+
+def brute(docs):
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for k, w in ((k, (t or "").lower().split()) for k, t in docs.items())}
+    root = {k: k for k in docs}
+
+    def top(k):
+        return k if root[k] == k else top(root[k])
+
+    for a, b in combinations(sorted(docs), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {k: (len(sets[k]), top(k)) for k in docs}
+
+
+def test_any_list_of_frequent_shingles_gives_the_same_links(spark):
+    docs = corpus()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    want = brute(docs)
+    assert sum(root != k for k, (_, root) in want.items()) > 10
+    for frequent in (0, 20, 1 << 18):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 5, 80, 100, frequent=frequent).collect()}
+        assert got == want
+
+
+def test_shared_passages_make_no_large_candidate_groups(spark):
+    df = spark.createDataFrame([(k, t) for k, t in corpus().items() if k < 120], "doc_id long, text string").coalesce(1)
+
+    def largest(frequent):
+        found = jaccard_join.frequent_shingles(df, 5, frequent)
+        assert (np.diff(found.astype(object)) > 0).all()
+        sent = df.mapInArrow(jaccard_join._signatures(5, 80, 100, 4, found), "to int, kind int, payload binary")
+        groups = connected_components(sent.groupBy("to").applyInArrow(jaccard_join._stars, "a long, b long"))
+        return max((r["count"] for r in groups.groupBy("root").count().collect()), default=0)
+
+    assert largest(1 << 18) < largest(0)

@@ -7,9 +7,13 @@ compared.  The work has three parts:
 * **Blocking without loss.**  Linked sets of sizes n <= m differ in at most
   D = (n + m)(of - at_least)/(of + at_least) shingles.  The hash space is cut
   into D + 1 + e segments; linked sets agree wholly on e + 1 of them at least.
-  Each class sends one signature per segment (empty segments only when it has
-  more than e of them); classes that share a signature are candidates, kept as
-  a star around the group's least class.  A hot signature costs each task one row.
+  Each class sends one signature per segment (those without a shingle, or with
+  frequent shingles alone, only when it has more than e of them); classes that
+  share a signature are candidates, kept as a star around the group's least
+  class.  A hot signature costs each task one row.  Whether a segment is sent
+  is a matter of its content, on which linked sets agree, so that any list of
+  frequent shingles loses nothing; it only keeps passages that many documents
+  share from tying unlike documents together.
 * **T-occurrence search.**  The components of the candidate stars are dealt
   out; a component above ``block`` classes is dealt as pairs of blocks.  In a
   task, an inverted index over the block answers each class's search: with
@@ -39,6 +43,8 @@ _SLICE = 2 << 20
 _FLUSH = 1 << 20
 #: The share of the merge's cost that a probe of a long list takes (DivideSkip's mu).
 _MU = 0.01
+#: A set may have this share of frequent shingles, about, before they are among its signatures.
+FREQUENT_SHARE = 0.4
 _BLOB = "to int, kind int, payload binary"
 _SENT = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -65,7 +71,8 @@ def _class_of(shingles: np.ndarray) -> int:
 class _Segments:
     """How many segments each size of set is cut into."""
 
-    def __init__(self, at_least: int, of: int) -> None:
+    def __init__(self, at_least: int, of: int, share: float = 0.0) -> None:
+        """share: of a set's shingles may be frequent before its segments without a rare one are more than the spare ones, about."""
         self.at_least, self.of = at_least, of
         edges = [1]
         while edges[-1] < 1 << 40:
@@ -73,7 +80,7 @@ class _Segments:
         self.edges = np.array(edges)
         self.cuts, self.spare = [], []
         sparse = (of - at_least) / (of + at_least) * (1 + of / at_least)  # segments for each shingle, about
-        empty = math.exp(-1 / max(1.3 * sparse, 1e-9))
+        empty = math.exp(-(1 - share) / max(1.3 * sparse, 1e-9))
         for high in edges[1:]:
             n = high - 1
             differ = (n + n * of // at_least) * (of - at_least) // (of + at_least)
@@ -86,7 +93,12 @@ class _Segments:
         low = -(-n * self.at_least // self.of)
         return range(int(np.searchsorted(self.edges, low, "right")) - 1, int(np.searchsorted(self.edges, n, "right")))
 
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
+    def signatures(self, shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """frequent: sorted, without repeats."""
+        rare = np.arange(len(shingles) + 1)
+        if len(frequent):
+            common = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+            rare[1:] -= np.cumsum(common)
         sums = np.append(np.zeros(1, U64), np.cumsum(mix(shingles + U64(3)), dtype=U64))
         out = []
         for level in self.levels(len(shingles)):
@@ -94,7 +106,7 @@ class _Segments:
             # bounds of k equal parts of the upper 32 bits, rounded alike for all sets
             bounds = ((np.arange(1, k, dtype=U64) << U64(32)) // U64(k)) << U64(32)
             at = np.concatenate([[0], np.searchsorted(shingles, bounds), [len(shingles)]])
-            keep = at[1:] > at[:-1]
+            keep = rare[at[1:]] > rare[at[:-1]]
             if k - keep.sum() > self.spare[level]:
                 keep[:] = True
             name = mix(np.flatnonzero(keep).astype(U64) + U64(level << 40))
@@ -102,9 +114,49 @@ class _Segments:
         return np.concatenate(out)
 
 
-def _signatures(width: int, at_least: int, of: int, buckets: int):
+def _frequent(width: int, least: int):
+    """Shingles that least classes or more have among some of a task's texts, and how many have them."""
+
+    def send(batches):
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+
+        def flush():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            seen.clear()
+            often = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
+
+        size = 0
+        for batch in batches:
+            for _, shingles in _sets(batch, width):
+                cls = _class_of(shingles) if len(shingles) else None
+                if cls is not None and cls not in seen:
+                    seen.add(cls)
+                    held.append(shingles)
+                    size += len(shingles)
+                    if size >= 2 * _FLUSH:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
+
+    return send
+
+
+def frequent_shingles(texts: DataFrame, width: int, most: int, least: int = 8) -> np.ndarray:
+    """The most frequent shingles, most of them at most, sorted: 8 bytes each are all that goes to the driver and to the tasks."""
+    if not most:
+        return np.zeros(0, U64)
+    counts = texts.mapInArrow(_frequent(width, least), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return np.sort(top.column("shingle").to_numpy().view(U64))
+
+
+def _signatures(width: int, at_least: int, of: int, buckets: int, frequent: np.ndarray):
     def send(batches):
-        segments = _Segments(at_least, of)
+        segments = _Segments(at_least, of, FREQUENT_SHARE if len(frequent) else 0.0)
         held: list[np.ndarray] = []
         classes: list[int] = []
 
@@ -131,7 +183,7 @@ def _signatures(width: int, at_least: int, of: int, buckets: int):
         for batch in batches:
             for _, shingles in _sets(batch, width):
                 if len(shingles):
-                    held.append(segments.signatures(shingles))
+                    held.append(segments.signatures(shingles, frequent))
                     classes.append(_class_of(shingles))
                     size += len(held[-1])
                     if size >= _FLUSH:
@@ -290,14 +342,16 @@ def _describe(width: int):
     return send
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, at_least: int = 90, of: int = 100, block: int = 1000) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, at_least: int = 90, of: int = 100, block: int = 1000, frequent: int = 0) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links, itself included) of every row with a doc_id.
 
     docs: doc_id, text; other columns are ignored.  Words are the runs of
     characters other than white space, with A-Z in lower case.  A text of fewer
     words than width has all of them as its one shingle; a null, empty or blank
     text has none and links with nothing.  Rows that repeat a doc_id are
-    described each; rows without a doc_id are left out.
+    described each; rows without a doc_id are left out.  frequent: how many of
+    the most frequent shingles are kept from making candidates (any number gives
+    the same result; below a similarity of 0.9 segments are short and need it).
     """
     spark = docs.sparkSession
     width_ = shuffle_width(spark)
@@ -306,7 +360,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, at_least: int = 90, of:
     described = durable(texts.mapInArrow(_describe(width), "doc_id long, n_shingles long, cls long"))
     classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
-    sent = texts.mapInArrow(_signatures(width, at_least, of, buckets), _BLOB)
+    sent = texts.mapInArrow(_signatures(width, at_least, of, buckets, frequent_shingles(texts, width, frequent)), _BLOB)
     near = sent.groupBy("to").applyInArrow(_stars, "a long, b long")
     groups = connected_components(near)
     counted = groups.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
