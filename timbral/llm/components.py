@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are kept in the checkpoint folder after each round.  Nulls, loops and
     repeated edges have no effect; no edges give no rows.
     """
-    ends = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # kept before it is read twice: a search may find other links of the same component when it is run again
+    ends = durable(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     # a node's smaller neighbours hang on the least of them: many edges between few nodes become one
     least = ends.groupBy("a").agg(F.min("b").alias("least"))
     way = F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("way")
