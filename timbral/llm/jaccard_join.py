@@ -278,7 +278,7 @@ class Index:
 
 
 def _search(width: int, at_least: int, of: int):
-    """Links of a component, or between two blocks of it, as (class, class it was reached from)."""
+    """Links of a component, or between two blocks of it, as (class, class it was reached from); the same for any order of the rows."""
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         one, two = key[1].as_py(), key[2].as_py()
@@ -292,6 +292,9 @@ def _search(width: int, at_least: int, of: int):
                 sets.append(shingles)
                 classes.append(cls)
                 side.append(blocks[row])
+        # the walk's links depend on the order of the sets, which must not be that of arrival: a task run again has to give the same links
+        order = sorted(range(len(sets)), key=classes.__getitem__)
+        sets, classes, side = [sets[k] for k in order], [classes[k] for k in order], [side[k] for k in order]
         found_a, found_b = [], []
         index, side = Index(sets), np.array(side)
         if one == two:
@@ -311,11 +314,15 @@ def _search(width: int, at_least: int, of: int):
                 found_b += [classes[k]] * len(rows)
         else:  # each block's own links are another task's
             index.drop(np.flatnonzero(side == one))
-            left = set(np.flatnonzero(side == one).tolist())
+            starts = np.flatnonzero(side == one).tolist()
+            left = set(starts)
             back = Index(sets)
             back.drop(np.flatnonzero(side != one))
-            while left:  # walk from side to side; what has been reached need not be reached again
-                queue = [left.pop()]
+            for start in starts:  # walk from side to side; what has been reached need not be reached again
+                if start not in left:
+                    continue
+                left.remove(start)
+                queue = [start]
                 back.drop(np.array(queue))
                 while queue:
                     k = queue.pop()
