@@ -191,6 +191,15 @@ def session_counts(answers: DataFrame, planned: int) -> DataFrame:
     return counts.crossJoin(missing)
 
 
+def counts_by_session(answers: DataFrame, planned: int) -> DataFrame:
+    """session_counts of every session_id; next_index is null where the whole plan is answered."""
+    index = F.col("presentation_index")
+    done = F.collect_set(F.when(index.between(0, planned - 1), index.cast("long")))  # planned values at most
+    counts = answers.groupBy("session_id").agg(F.count_if(~F.col("skipped")).alias("answered"), F.count_if("skipped").alias("skipped"), F.count_if("recognised").alias("recognised"), F.count_if(~F.col("completed")).alias("failed"), done.alias("done"))
+    plan = F.array(*(F.lit(k).cast("long") for k in range(planned)))
+    return counts.withColumn("next_index", F.array_min(F.array_except(plan, "done"))).drop("done")
+
+
 def valid_ratings(answers: DataFrame) -> DataFrame:
     """Ratings that count, of sessions that count: not skipped, played to the end, labelled, not recognised; no session above the recognised share."""
     share = answers.groupBy("session_id").agg(ratio(F.count_if("recognised"), F.count("*")).alias("share"))

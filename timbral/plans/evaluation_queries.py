@@ -121,6 +121,12 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return ev.session_counts(answers, 60)
 
 
+def each_session(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    answers = e.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 60).alias("presentation_index"), (F.col("event_type") == "view").alias("skipped"), (F.col("event_type") == "click").alias("recognised"), (F.col("event_type") != "error").alias("completed"))
+    return ev.counts_by_session(answers, 60)
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     return e.select(
@@ -201,6 +207,12 @@ SELECT gate, CASE WHEN EXISTS (SELECT 1 FROM lo WHERE (lo.m >= gate) <> (m.m >=
         sessions,
         """WITH e AS (SELECT * FROM events WHERE user_id = 7 AND event_id % 60 <> 5) SELECT count(*) FILTER (WHERE event_type <> 'view') AS answered, count(*) FILTER (WHERE event_type = 'view') AS skipped, count(*) FILTER (WHERE event_type = 'click') AS recognised,
 count(*) FILTER (WHERE event_type = 'error') AS failed, (SELECT min(i) FROM range(60) r(i) WHERE i NOT IN (SELECT event_id % 60 FROM e)) AS next_index FROM e""",
+    ),
+    "G25_each_session_counts": (
+        each_session,
+        """WITH e AS (SELECT user_id AS session_id, event_id % 60 AS i, event_type FROM events), s AS (SELECT session_id, count(*) FILTER (WHERE event_type <> 'view') AS answered, count(*) FILTER (WHERE event_type = 'view') AS skipped,
+count(*) FILTER (WHERE event_type = 'click') AS recognised, count(*) FILTER (WHERE event_type = 'error') AS failed FROM e GROUP BY session_id),
+n AS (SELECT session_id, min(r.i) AS next_index FROM s, range(60) r(i) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = s.session_id AND e.i = r.i) GROUP BY session_id) SELECT s.*, next_index FROM s LEFT JOIN n USING (session_id)""",
     ),
     "M17_valid_ratings": (valid, f"WITH {_ANSWERS} SELECT session_id, seq FROM a WHERE NOT skipped AND completed AND label IS NOT NULL AND NOT recognised AND session_id IN (SELECT session_id FROM a GROUP BY session_id HAVING avg(CASE WHEN recognised THEN 1.0 ELSE 0.0 END) <= 0.2)"),
     "M18_repeated_elsewhere": (elsewhere, f"WITH {_ANSWERS} SELECT evaluator, pair_id, count(DISTINCT session_id) AS sessions FROM a GROUP BY ALL HAVING count(DISTINCT session_id) > 1"),
