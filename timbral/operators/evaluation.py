@@ -118,6 +118,34 @@ def without_each_evaluator(ratings: DataFrame, evaluators: DataFrame) -> DataFra
     return found.where("raters >= 2")
 
 
+def left_out_medians(ratings: DataFrame) -> DataFrame:
+    """left_out, query, item, rating and raters: the median without each evaluator, of the items that this evaluator has rated.
+
+    Items that an evaluator has not rated keep their median over all, so every
+    evaluator is left out with one row for each rating.
+    """
+    first = first_ratings(ratings)
+    values = first.groupBy("query", "item", "rating").agg(F.count("*").alias("n"))
+    table = values.groupBy("query", "item").agg(F.sort_array(F.collect_list(F.struct("rating", "n"))).alias("values"), F.sum("n").alias("all"))
+    others = F.transform("values", lambda v: F.struct(v["rating"].alias("rating"), (v["n"] - F.when(v["rating"] == F.col("own"), 1).otherwise(0)).alias("n")))
+    joined = first.withColumnRenamed("rating", "own").join(table, ["query", "item"]).where("all > 2 and evaluator is not null").withColumn("others", others).withColumn("raters", F.col("all") - 1)
+    # the lower of the middle two: the first value up to which half of the raters are counted
+    upto = F.transform("others", lambda v, k: F.struct(v["rating"].alias("rating"), F.aggregate(F.slice("others", 1, k + 1), F.lit(0).cast("long"), lambda a, o: a + o["n"]).alias("upto")))
+    middle = F.filter(upto, lambda v: v["upto"] * 2 >= F.col("raters"))[0]["rating"]
+    return joined.select(F.col("evaluator").alias("left_out"), "query", "item", middle.cast("int").alias("rating"), "raters")
+
+
+def left_out_means(ratings: DataFrame) -> DataFrame:
+    """left_out and mean, over all items, of the medians without each evaluator; no row where no item is left."""
+    first, rated = first_ratings(ratings), item_medians(ratings)
+    total = rated.agg(F.coalesce(F.sum("rating"), F.lit(0)).alias("total"), F.count("*").alias("items"))
+    own = first.where("evaluator is not null").select("query", "item", F.col("evaluator").alias("left_out")).join(rated, ["query", "item"], "left")
+    was = own.groupBy("left_out").agg(F.coalesce(F.sum("rating"), F.lit(0)).alias("was"), F.count("rating").alias("n_was"))
+    now = left_out_medians(ratings).groupBy("left_out").agg(F.sum("rating").alias("now"), F.count("*").alias("n_now"))
+    rows = was.join(now, "left_out", "left").crossJoin(F.broadcast(total)).withColumn("n", F.col("items") - F.col("n_was") + F.coalesce("n_now", F.lit(0)))
+    return rows.where("n > 0").select("left_out", ratio(F.col("total") - F.col("was") + F.coalesce("now", F.lit(0)), F.col("n")).alias("mean"))
+
+
 def identical_orders(orders: DataFrame) -> DataFrame:
     """arm, queries in which another arm has the very same order; both arms are credited."""
     lists = orders.groupBy("arm", "query").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "item"))), lambda x: x["item"]).alias("items"))

@@ -74,6 +74,10 @@ def left_out(spark: SparkSession, d: str) -> DataFrame:
     return ev.without_each_evaluator(_ratings(spark, d), spark.range(1, 6).withColumnRenamed("id", "evaluator"))
 
 
+def each_left_out(spark: SparkSession, d: str) -> DataFrame:
+    return ev.left_out_medians(_ratings(spark, d))
+
+
 def identical(spark: SparkSession, d: str) -> DataFrame:
     return ev.identical_orders(_orders(spark, d))
 
@@ -103,14 +107,21 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("arm", ev.verdict(low, high, F.col("n"), 1.5).alias("against_1_5"), ev.verdict(low, high, F.col("n"), 0.5).alias("against_0_5"), ev.verdict(low, high, F.col("n"), 1.6, least=1000).alias("too_few"))
 
 
-def flipped(spark: SparkSession, d: str) -> DataFrame:
+def _flipped(spark: SparkSession, d: str, out: DataFrame) -> DataFrame:
     rated = ev.item_medians(_ratings(spark, d)).agg(F.avg("rating").alias("m"))
     gates = F.explode(F.array(*(F.lit(g) for g in (0.5, 1.0, 1.5, 2.0)))).alias("gate")
     all_in = rated.select("m", gates).select("gate", F.when(F.col("m") >= F.col("gate"), "supported").otherwise("not_supported").alias("verdict"))
-    out = ev.without_each_evaluator(_ratings(spark, d), spark.range(1, 6).withColumnRenamed("id", "evaluator")).groupBy("left_out").agg(F.avg("rating").alias("m"))
     return ev.flipped(all_in, out.select("m", gates).select("gate", F.when(F.col("m") >= F.col("gate"), "supported").otherwise("not_supported").alias("verdict")))
 
 
+def flipped(spark: SparkSession, d: str) -> DataFrame:
+    return _flipped(spark, d, ev.without_each_evaluator(_ratings(spark, d), spark.range(1, 6).withColumnRenamed("id", "evaluator")).groupBy("left_out").agg(F.avg("rating").alias("m")))
+
+
+def all_flipped(spark: SparkSession, d: str) -> DataFrame:
+    return _flipped(spark, d, ev.left_out_means(_ratings(spark, d)).withColumnRenamed("mean", "m"))
+
+
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return ev.bootstrap_means(_metrics(spark, d).select("arm", F.col("topk_mean").alias("value")), ["arm"], "seed-1")
 
@@ -218,3 +229,10 @@ n AS (SELECT session_id, min(r.i) AS next_index FROM s, range(60) r(i) WHERE NOT
     "M18_repeated_elsewhere": (elsewhere, f"WITH {_ANSWERS} SELECT evaluator, pair_id, count(DISTINCT session_id) AS sessions FROM a GROUP BY ALL HAVING count(DISTINCT session_id) > 1"),
     "D5_S14_last_answers": (last_answers, f"WITH {_ANSWERS} SELECT session_id, pair_id, seq, label FROM (SELECT *, row_number() OVER (PARTITION BY session_id, pair_id ORDER BY seq DESC) AS n FROM a) WHERE n = 1"),
 }
+
+#: Every evaluator is left out; the queries above leave out those that their SQL states.
+_EACH = f"{_FIRST}, outs AS (SELECT x.e AS left_out, query, item, CAST(quantile_disc(rating, 0.5) AS INTEGER) AS rating, count(*) AS raters FROM firsts, (SELECT DISTINCT evaluator AS e FROM firsts) x WHERE evaluator <> x.e GROUP BY ALL HAVING count(*) >= 2)"
+QUERIES |= {
+    "G16_leave_each_out": (each_left_out, f"WITH {_EACH} SELECT * FROM outs WHERE EXISTS (SELECT 1 FROM firsts f WHERE f.evaluator = left_out AND f.query = outs.query AND f.item = outs.item)"),
+    "G16_R17_all_flipped_gates": (all_flipped, QUERIES["G16_R17_flipped_gates"][1].replace(_OUT, _EACH)),
+}
