@@ -52,6 +52,10 @@ ASIDE_WORDS = frozenset(
     subscription tagcloud tags toolbar topbar widget
     """.split()
 )
+# A name that begins with one of these states how the page is laid out, such as no-sidebar.
+STATE_WORDS = frozenset("no not non without with has have is are hide hidden show shows enable enabled disable disabled".split())
+# Elements that class words never mark.
+WHOLE = frozenset("html body main article".split())
 # The block rules' thresholds.
 LENGTH_SHORT, LENGTH_LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.15, 0.30  # stop words among the words
@@ -68,6 +72,7 @@ _CLOSE = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in DROPPED}
 class Block:
     """Text between two block-level tags; region numbers the innermost enclosing element of a kind."""
 
+    place: int
     region: int
     kind: str  # article, beside or plain
     heading: bool
@@ -77,28 +82,68 @@ class Block:
     label: str = ""
 
 
-def _kind(name: str, attributes: str, outer: str) -> str:
-    if outer == "beside" or name in BOILERPLATE or (name == "header" and outer != "article"):
-        return "beside"
-    if attributes:
-        for found in _NAMES.findall(attributes):
-            if ASIDE_WORDS & set(re.split(r"[^a-z]+", "".join(found).lower())):
-                return "beside"
-    return "article" if name in ARTICLE else outer
+@dataclass
+class Place:
+    """An element that encloses blocks; its kind is known when the page has been read."""
+
+    name: str
+    outer: int
+    aside: bool  # by its class, id or role
+    main: bool = False  # holds html, body or main
+    article: bool = False  # holds an article
+    kind: str = "plain"
+    region: int = 0
+
+
+def _aside(attributes: str) -> bool:
+    """A name of class, id or role is an aside word, or begins or ends with one; header only as its last part, as in site-header."""
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).lower().split():
+            parts = [x for x in re.split(r"[^a-z]+", name) if x]
+            if parts and parts[0] not in STATE_WORDS and (parts[-1] in ASIDE_WORDS or (parts[0] in ASIDE_WORDS and parts[0] != "header")):
+                return True
+    return False
+
+
+def _resolve(places: list[Place]) -> None:
+    """The kind and region of every place; outer ones come first.
+
+    Class words never mark html, body, main or article, nor what holds html,
+    body or main.  What holds an article is marked only if the page has another
+    article outside all that is marked, such as the one that comments belong to.
+    """
+    marked = [False] * len(places)
+    free = False
+    for k, p in enumerate(places[1:], 1):
+        marked[k] = marked[p.outer] or p.name in BOILERPLATE or (p.aside and not p.main)
+        free = free or (p.name == "article" and not marked[k])
+    regions = 0
+    for p in places[1:]:
+        outer = places[p.outer]
+        if outer.kind == "beside" or p.name in BOILERPLATE or (p.name == "header" and outer.kind != "article") or (p.aside and not p.main and (free or not p.article)):
+            p.kind = "beside"
+        else:
+            p.kind = "article" if p.name in ARTICLE else outer.kind
+        if p.kind != outer.kind or p.name in ARTICLE:
+            regions += 1
+            p.region = regions
+        else:
+            p.region = outer.region
 
 
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order, each with its region; text is unescaped, with single spaces."""
-    stack: list[tuple[str, str, int]] = [("", "plain", 0)]
-    regions, links, breaks = 0, 0, 0
-    out = [Block(0, "plain", False)]
+    places = [Place("", 0, False)]
+    stack = [0]
+    links, breaks = 0, 0
+    out = [Block(0, 0, "plain", False)]
     at = 0
 
     def start(heading: bool = False) -> None:
         if out[-1].parts:
-            out.append(Block(stack[-1][2], stack[-1][1], heading))
+            out.append(Block(stack[-1], 0, "plain", heading))
         else:
-            out[-1].region, out[-1].kind, out[-1].heading = stack[-1][2], stack[-1][1], heading
+            out[-1].place, out[-1].heading = stack[-1], heading
 
     while at < len(page):
         token = _TOKEN.match(page, at)
@@ -132,21 +177,25 @@ def blocks(page: str) -> list[Block]:
             if name in REGIONS:
                 if closing:
                     for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
+                        if places[stack[k]].name == name:
                             del stack[k:]
                             break
                 else:
                     if name == "body":
-                        stack = [s for s in stack if s[0] != "head"]
-                    kind = _kind(name, token[3], stack[-1][1])
-                    if kind != stack[-1][1] or name in ARTICLE:
-                        regions += 1
-                        stack.append((name, kind, regions))
-                    else:
-                        stack.append((name, kind, stack[-1][2]))
+                        stack = [k for k in stack if places[k].name != "head"]
+                    if name in WHOLE:
+                        for k in stack:
+                            if name == "article":
+                                places[k].article = True
+                            else:
+                                places[k].main = True
+                    places.append(Place(name, stack[-1], name not in WHOLE and bool(token[3]) and _aside(token[3])))
+                    stack.append(len(places) - 1)
             start(name in HEADINGS and not closing)
+    _resolve(places)
     kept = []
     for b in out:
+        b.region, b.kind = places[b.place].region, places[b.place].kind
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
         if b.text:
             kept.append(b)
