@@ -1,4 +1,4 @@
-"""Connected components of an edge table, as joins and map-side minima."""
+"""Connected components of an edge table, by alternating stars."""
 
 from __future__ import annotations
 
@@ -8,30 +8,33 @@ from pyspark.sql import functions as F
 from timbral.llm.shared import durable
 
 
+def _hung(edges: DataFrame, end: str) -> DataFrame:
+    """edges(a > b) with top: the least smaller neighbour of the node in the column end, null for a node without one."""
+    least = edges.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("top"))
+    return edges.join(least, F.col(end) == F.col("_node"), "left").select("a", "b", "top")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node of its component.
 
-    Each round takes the least label around a node (one join, one aggregation
-    with map-side combine) and then follows the label's own label, so that the
-    number of rounds grows with the logarithm of a component's width.  Labels
-    are kept in the checkpoint folder after each round.  Nulls, loops and
-    repeated edges have no effect; no edges give no rows.
+    Each round makes two stars of the edges a > b.  The large star hangs a on the
+    least smaller neighbour of b; the small star hangs a, and all its other
+    smaller neighbours, on the least of them.  Both keep components as they are
+    and never make more edges, equal edges become one, and once nothing changes
+    every node hangs on its root: the rounds grow with the logarithm of a
+    component's width.  A round is two joins, each of the edges with one row for
+    each node, so that Spark can split a hot node's edges.  Edges are kept in the
+    shared folder after each round.  Nulls, loops and repeated edges have no
+    effect; no edges give no rows.
     """
+    ends = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # kept before it is read twice: a search may find other links of the same component when it is run again
-    ends = durable(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    # a node's smaller neighbours hang on the least of them: many edges between few nodes become one
-    least = ends.groupBy("a").agg(F.min("b").alias("least"))
-    way = F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("way")
-    few = ends.join(least, "a").select(way).select("way.a", "way.b").where("a <> b").distinct()
-    turn = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
-    both = durable(few.select(turn).select("way.a", "way.b"))
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    now, was = durable(ends.distinct()), None
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        met = labels.join(around, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        above = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        now = durable(met.join(above, "root").select("node", F.least("root", "top").alias("root"), "was"))
-        moved = now.where("root <> was").limit(1).count()
-        labels = now.select("node", "root")
-        if not moved:
-            return labels
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("a", "b"))).first()
+        if state == was or not state[0]:
+            return now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("r")).select("r.node", "r.root").distinct()
+        was = state
+        large = _hung(now, "b").select("a", F.coalesce("top", "b").alias("b")).distinct()
+        turned = F.explode(F.array(F.struct("a", F.col("top").alias("b")), F.struct(F.col("b").alias("a"), F.col("top").alias("b")))).alias("r")
+        now = durable(_hung(large, "a").select(turned).select("r.a", "r.b").where("a <> b").distinct())

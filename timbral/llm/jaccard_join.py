@@ -2,27 +2,28 @@
 
 Two documents link when ``of * |A & B| >= at_least * |A | B|`` for their sets of
 word shingles.  Equal sets are one *class* from the start, so copies are never
-compared.  The work has three parts:
-
-* **Blocking without loss.**  Linked sets of sizes n <= m differ in at most
-  D = (n + m)(of - at_least)/(of + at_least) shingles.  The hash space is cut
-  into D + 1 + e segments; linked sets agree wholly on e + 1 of them at least.
-  Each class sends one signature per segment (those without a shingle, or with
-  frequent shingles alone, only when it has more than e of them); classes that
-  share a signature are candidates, kept as a star around the group's least
-  class.  A hot signature costs each task one row.  Whether a segment is sent
-  is a matter of its content, on which linked sets agree, so that any list of
-  frequent shingles loses nothing; it only keeps passages that many documents
-  share from tying unlike documents together.
-* **T-occurrence search.**  The components of the candidate stars are dealt
-  out; a component above ``block`` classes is dealt as pairs of blocks.  In a
-  task, an inverted index over the block answers each class's search: with
-  n shingles, a partner shares T = ceil(at_least * n / of) of them at least.
-  DivideSkip sets the L longest lists aside, heap-merges the short ones for
-  documents met T - L times, and binary-probes the long lists for those only.
-  Classes that a search has reached leave the index, so a dense group is
-  walked once.
-* **Components** of the verified links give the result.
+compared.  The work has four parts:
+
+* **Neighbourhoods without loss.**  Linked sets of sizes n <= m differ in at
+  most D = (n + m)(of - at_least)/(of + at_least) shingles.  The hash space is
+  cut into D + 1 + e segments; linked sets agree wholly on e + 1 of them at
+  least.  Each class sends one signature for each segment, and the classes that
+  share a signature are neighbours of the least of them, their *centre*.  What e
+  allows is left out.  Classes that share a signature agree on its being
+  frequent: one with few frequent signatures, as those that a shared passage
+  gives, leaves all of them out.  Of the others each class leaves out some that
+  it shares with the rarest of its centres, which are mostly met by chance.  No
+  pairs are made, and neighbourhoods are not joined, so that they do not chain.
+* **T-occurrence search.**  A neighbourhood is a task; above ``block`` shingles
+  it is dealt as blocks that have some pivots in common.  In a task an inverted
+  index answers each class's search: with n shingles, a partner shares
+  T = ceil(at_least * n / of) of them at least.  DivideSkip sets the L longest
+  lists aside, heap-merges the short ones for documents met T - L times, and
+  binary-probes the long lists for those only.  Classes that a search has
+  reached leave the index, so a dense group is walked once.
+* **Components** of the verified links.
+* **The rest.**  Of a neighbourhood in several blocks, classes outside its
+  largest component are searched for in all of its blocks.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbral.llm.components import connected_components
@@ -41,12 +43,23 @@ from timbral.llm.shared import LOWER_VALUES, U64, durable, mix, pack, prefix_has
 
 _SLICE = 2 << 20
 _FLUSH = 1 << 20
+#: Classes with one signature in a task, from which on a task names a centre of its own for them.
+_HOT = 100
+#: A signature is frequent if more classes have it.
+FREQUENT = 8
+#: One in so many of the shingles in which linked sets may differ, and one more, is allowed for frequent signatures, and for rare centres.
+FREQUENT_PART, CHANCE_PART = 10, 12
+#: Pivots that the blocks of a neighbourhood have in common, about.
+_PIVOTS = 16
 #: The share of the merge's cost that a probe of a long list takes (DivideSkip's mu).
 _MU = 0.01
-#: A set may have this share of frequent shingles, about, before they are among its signatures.
-FREQUENT_SHARE = 0.4
+#: Shingles in a block, about: what a task of the search holds.
+BLOCK = 1 << 20
+#: The level of signatures that no class may leave out.
+_KEPT = 255
 _BLOB = "to int, kind int, payload binary"
 _SENT = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+_NEAR = "a long, b long, sig long, level int, n int, frequent int"
 
 
 def _sets(batch: pa.RecordBatch | pa.Table, width: int):
@@ -69,123 +82,104 @@ def _class_of(shingles: np.ndarray) -> int:
 
 
 class _Segments:
-    """How many segments each size of set is cut into."""
+    """How many segments each size of set is cut into, and how many of them may be empty, frequent, or left out as the rarest."""
 
-    def __init__(self, at_least: int, of: int, share: float = 0.0) -> None:
-        """share: of a set's shingles may be frequent before its segments without a rare one are more than the spare ones, about."""
+    def __init__(self, at_least: int, of: int) -> None:
         self.at_least, self.of = at_least, of
         edges = [1]
         while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, edges[-1] * 13 // 10))
+            edges.append(max(edges[-1] + 1, edges[-1] * 6 // 5))
         self.edges = np.array(edges)
-        self.cuts, self.spare = [], []
-        sparse = (of - at_least) / (of + at_least) * (1 + of / at_least)  # segments for each shingle, about
-        empty = math.exp(-(1 - share) / max(1.3 * sparse, 1e-9))
-        for high in edges[1:]:
+        self.cuts, self.empty, self.frequent, self.chance = [], [], [], []
+        for low, high in zip(edges, edges[1:], strict=False):
             n = high - 1
             differ = (n + n * of // at_least) * (of - at_least) // (of + at_least)
-            spare = 2 + math.ceil(1.5 * empty * differ) if differ else 0
-            self.cuts.append(differ + 1 + spare)
-            self.spare.append(spare)
+            frequent, chance = (1 + differ // FREQUENT_PART, 1 + differ // CHANCE_PART) if differ else (0, 0)
+            empty = 0
+            while empty < differ:  # as many as the smallest sets have, nearly always
+                k = differ + 1 + empty + frequent + 2 * chance
+                mean = k * math.exp(-low / k)
+                if empty >= mean + 3 * math.sqrt(mean):
+                    break
+                empty += 1 + empty // 16
+            self.cuts.append(differ + 1 + empty + frequent + 2 * chance)
+            self.empty.append(empty)
+            self.frequent.append(frequent)
+            self.chance.append(chance)
 
     def levels(self, n: int) -> range:
         """Levels of the smaller set of any pair that a set of n shingles can be in."""
         low = -(-n * self.at_least // self.of)
         return range(int(np.searchsorted(self.edges, low, "right")) - 1, int(np.searchsorted(self.edges, n, "right")))
 
-    def signatures(self, shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """frequent: sorted, without repeats."""
-        rare = np.arange(len(shingles) + 1)
-        if len(frequent):
-            common = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
-            rare[1:] -= np.cumsum(common)
+    def signatures(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures and their levels.
+
+        Sets that agree on a segment agree on its being empty.  A set with no
+        more empty segments than empty[level] leaves them out.  One with more
+        has its shingles in few segments; it sends these and, for others of its
+        kind, which may agree with it on empty segments alone, the first
+        shingles by hash, of which linked sets have one in common.
+        """
         sums = np.append(np.zeros(1, U64), np.cumsum(mix(shingles + U64(3)), dtype=U64))
-        out = []
+        out, levels, short = [], [], False
         for level in self.levels(len(shingles)):
             k = self.cuts[level]
             # bounds of k equal parts of the upper 32 bits, rounded alike for all sets
             bounds = ((np.arange(1, k, dtype=U64) << U64(32)) // U64(k)) << U64(32)
             at = np.concatenate([[0], np.searchsorted(shingles, bounds), [len(shingles)]])
-            keep = rare[at[1:]] > rare[at[:-1]]
-            if k - keep.sum() > self.spare[level]:
-                keep[:] = True
+            keep = at[1:] > at[:-1]
             name = mix(np.flatnonzero(keep).astype(U64) + U64(level << 40))
             out.append(mix((sums[at[1:]] - sums[at[:-1]])[keep] ^ name))
-        return np.concatenate(out)
+            short |= k - len(name) > self.empty[level]
+            levels.append(np.full(len(name), level, np.uint8))
+        if short:
+            first = len(shingles) - -(-len(shingles) * self.at_least // self.of) + 1
+            out.append(mix(shingles[:first] ^ U64(0x5851F42D4C957F2D)))
+            levels.append(np.full(first, _KEPT, np.uint8))
+        return np.concatenate(out), np.concatenate(levels)
 
 
-def _frequent(width: int, least: int):
-    """Shingles that least classes or more have among some of a task's texts, and how many have them."""
+def _signatures(width: int, at_least: int, of: int, buckets: int):
+    """Signatures with their classes, packed by bucket; of one that many classes of a task have, the least class goes there and the others name it."""
 
     def send(batches):
-        held: list[np.ndarray] = []
-        seen: set[int] = set()
-
-        def flush():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            seen.clear()
-            often = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
-
-        size = 0
-        for batch in batches:
-            for _, shingles in _sets(batch, width):
-                cls = _class_of(shingles) if len(shingles) else None
-                if cls is not None and cls not in seen:
-                    seen.add(cls)
-                    held.append(shingles)
-                    size += len(shingles)
-                    if size >= 2 * _FLUSH:
-                        yield flush()
-                        size = 0
-        if held:
-            yield flush()
-
-    return send
-
-
-def frequent_shingles(texts: DataFrame, width: int, most: int, least: int = 8) -> np.ndarray:
-    """The most frequent shingles, most of them at most, sorted: 8 bytes each are all that goes to the driver and to the tasks."""
-    if not most:
-        return np.zeros(0, U64)
-    counts = texts.mapInArrow(_frequent(width, least), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
-    return np.sort(top.column("shingle").to_numpy().view(U64))
-
-
-def _signatures(width: int, at_least: int, of: int, buckets: int, frequent: np.ndarray):
-    def send(batches):
-        segments = _Segments(at_least, of, FREQUENT_SHARE if len(frequent) else 0.0)
-        held: list[np.ndarray] = []
+        segments = _Segments(at_least, of)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         classes: list[int] = []
+        seen: set[int] = set()
 
         def flush():
-            sig = np.concatenate(held)
-            cls = np.repeat(np.array(classes, np.int64), [len(x) for x in held])
+            sig, level = (np.concatenate(x) for x in zip(*held, strict=True))
+            cls = np.repeat(np.array(classes, np.int64), [len(x) for x, _ in held])
             held.clear()
             classes.clear()
-            to = ((sig >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)  # the order of to is that of sig
+            seen.clear()
             order = np.lexsort((cls, sig))
-            sig, cls, to = sig[order], cls[order], to[order]
+            sig, cls, level = sig[order], cls[order], level[order]
             lead = np.append(True, sig[1:] != sig[:-1])
-            least = cls[np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))]
-            far = cls != least
-            edges = np.unique(np.stack([cls[far], least[far]]), axis=1) if far.any() else np.zeros((2, 0), np.int64)
-            sig, cls, to = sig[lead], cls[lead], to[lead]
+            first = np.flatnonzero(lead)
+            hot = np.diff(np.append(first, len(sig))) > _HOT
+            group = np.cumsum(lead) - 1
+            named = hot[group] & ~lead
+            far = (sig[named], cls[named], cls[first[group[named]]], level[named])
+            sig, cls, level, hot = sig[~named], cls[~named], level[~named], hot[group[~named]].astype(np.uint8)
+            to = ((sig >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)  # the order of to is that of sig
             at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            out = [(int(to[a]), 0, pack(sig[a:b], cls[a:b])) for a, b in zip(at, [*at[1:], len(to)], strict=True)]
-            if edges.size:
-                out.append((int(edges[0, 0] % buckets), 1, pack(edges[0], edges[1])))
+            out = [(int(to[a]), 0, pack(sig[a:b], cls[a:b], level[a:b], hot[a:b])) for a, b in zip(at, [*at[1:], len(to)], strict=True)]
+            if len(far[0]):
+                out.append((int(far[1][0] % buckets), 1, pack(*far)))
             return pa.RecordBatch.from_pylist([dict(zip(_SENT.names, x, strict=True)) for x in out], schema=_SENT)
 
         size = 0
         for batch in batches:
             for _, shingles in _sets(batch, width):
-                if len(shingles):
-                    held.append(segments.signatures(shingles, frequent))
-                    classes.append(_class_of(shingles))
-                    size += len(held[-1])
+                cls = _class_of(shingles) if len(shingles) else None
+                if cls is not None and cls not in seen:
+                    seen.add(cls)
+                    held.append(segments.signatures(shingles))
+                    classes.append(cls)
+                    size += len(held[-1][0])
                     if size >= _FLUSH:
                         yield flush()
                         size = 0
@@ -196,22 +190,51 @@ def _signatures(width: int, at_least: int, of: int, buckets: int, frequent: np.n
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Distinct (class, least class) of the groups of equal signatures."""
-    a, b, sigs, classes = [], [], [], []
+    """a, b, level, n, frequent: class a has n signatures of this level, so many of them frequent, with centre b.
+
+    n = 0: a has the signature sig in common with b, its task's centre; n = -1:
+    b is the centre of the classes that have sig in common with a.
+    """
+    out = [(np.zeros(0, np.int64),) * 6]
+    parts = []
     for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True):
-        x, y = unpack(payload.as_py(), "i8" if kind else "u8", "i8")
-        (a if kind else sigs).append(x)
-        (b if kind else classes).append(y)
-    if sigs:
-        sig, cls = np.concatenate(sigs), np.concatenate(classes)
+        if kind:
+            sig, cls, least, level = unpack(payload.as_py(), "u8", "i8", "i8", "u1")
+            out.append((cls, least, sig.view(np.int64), level, np.zeros(len(sig), np.int64), np.zeros(len(sig), np.int64)))
+        else:
+            parts.append(unpack(payload.as_py(), "u8", "i8", "u1", "u1"))
+    if parts:
+        sig, cls, level, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
+        sig, cls, level, hot = sig[order], cls[order], level[order], hot[order]
         lead = np.append(True, sig[1:] != sig[:-1])
-        least = cls[np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))]
-        a.append(cls[cls != least])
-        b.append(least[cls != least])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pairs[0], "b": pairs[1]})
+        group, first = np.cumsum(lead) - 1, np.flatnonzero(lead)
+        least = cls[first[group]]
+        once = lead | np.append(True, cls[1:] != cls[:-1])  # two tasks may send the same class
+        many = np.add.reduceat(once.astype(np.int64) + hot.astype(np.int64) * FREQUENT, first) > FREQUENT
+        far = (cls != least) & once
+        edge, at, n = np.unique(np.stack([cls[far], least[far], level[far].astype(np.int64)]), axis=1, return_inverse=True, return_counts=True)
+        out.append((edge[0], edge[1], np.zeros(len(n), np.int64), edge[2], n, np.bincount(at.ravel(), many[group[far]], len(n)).astype(np.int64)))
+        ends = hot > 0
+        out.append((cls[ends], least[ends], sig[ends].view(np.int64), level[ends], np.full(int(ends.sum()), -1), np.zeros(int(ends.sum()), np.int64)))
+    columns = [np.concatenate(x).astype(kind) for x, kind in zip(zip(*out, strict=True), (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32), strict=True)]
+    return pa.table(columns, ["a", "b", "sig", "level", "n", "frequent"])
+
+
+def _neighbourhoods(near: DataFrame, segments: _Segments) -> DataFrame:
+    """(cls, center) of what the stars leave when every class has left out what it may; each centre with itself."""
+    ends = near.where("n = -1").select("sig", F.col("a").alias("b"), F.col("b").alias("center")).distinct()
+    hot = near.where("n = 0").join(ends, ["sig", "b"]).where("a <> center").select("a", "center", "level", "sig").distinct()
+    stars = near.where("n > 0").select("a", F.col("b").alias("center"), "level", "n", "frequent").unionByName(hot.select("a", "center", "level", F.lit(1).alias("n"), F.lit(1).alias("frequent")))
+    counts = stars.groupBy("a", "center", "level").agg(F.sum("n").alias("n"), F.sum("frequent").alias("frequent"))
+    may = lambda most: F.coalesce(F.try_element_at(F.array(*map(F.lit, most)), F.col("level") + 1), F.lit(0))
+    own = Window.partitionBy("a", "level")
+    few = counts.withColumn("all_frequent", F.sum("frequent").over(own))
+    rest = few.withColumn("n", F.when(F.col("all_frequent") <= may(segments.frequent), F.col("n") - F.col("frequent")).otherwise(F.col("n"))).where("n > 0")
+    rarest = own.orderBy("n", "center").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = rest.withColumn("upto", F.sum("n").over(rarest)).where(F.col("upto") > may(segments.chance))
+    both = F.explode(F.array(F.struct(F.col("a").alias("cls"), "center"), F.struct(F.col("center").alias("cls"), "center"))).alias("r")
+    return kept.select(both).select("r.cls", "r.center").distinct()
 
 
 class Index:
@@ -219,7 +242,7 @@ class Index:
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets = sets
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         rows = np.repeat(np.arange(len(sets)), self.sizes)
         flat = np.concatenate(sets) if sets else np.zeros(0, U64)
         order = np.argsort(flat, kind="stable")
@@ -277,63 +300,74 @@ class Index:
         return rows[count >= least]
 
 
-def _search(width: int, at_least: int, of: int):
-    """Links of a component, or between two blocks of it, as (class, class it was reached from); the same for any order of the rows."""
+class _Links:
+    """Links found in a task, kept as a forest whose roots are the least classes; the same for any order of the rows."""
 
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        one, two = key[1].as_py(), key[2].as_py()
-        wanted, blocks = table.column("cls").to_numpy(), table.column("block").to_numpy()
-        seen: set[int] = set()
-        sets, classes, side = [], [], []
-        for row, shingles in _sets(table, width):
-            cls = int(wanted[row])
-            if cls not in seen and _class_of(shingles) == cls:  # a repeated doc_id may bring another text
-                seen.add(cls)
-                sets.append(shingles)
-                classes.append(cls)
-                side.append(blocks[row])
-        # the walk's links depend on the order of the sets, which must not be that of arrival: a task run again has to give the same links
-        order = sorted(range(len(sets)), key=classes.__getitem__)
-        sets, classes, side = [sets[k] for k in order], [classes[k] for k in order], [side[k] for k in order]
-        found_a, found_b = [], []
-        index, side = Index(sets), np.array(side)
-        if one == two:
-            queue, todo = [], iter(range(len(sets)))
-            while index.left:
-                if not queue:
-                    k = next(todo)
-                    if not index.present[k]:
-                        continue
-                    index.drop(np.array([k]))
-                else:
-                    k = queue.pop()
-                rows = index.links(sets[k], at_least, of)
-                index.drop(rows)
-                queue += rows.tolist()
-                found_a += [classes[r] for r in rows]
-                found_b += [classes[k]] * len(rows)
-        else:  # each block's own links are another task's
-            index.drop(np.flatnonzero(side == one))
-            starts = np.flatnonzero(side == one).tolist()
-            left = set(starts)
-            back = Index(sets)
-            back.drop(np.flatnonzero(side != one))
-            for start in starts:  # walk from side to side; what has been reached need not be reached again
-                if start not in left:
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def add(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+    def table(self) -> pa.Table:
+        far = sorted((x, self.root(x)) for x in list(self.up))
+        far = [(x, y) for x, y in far if x != y]
+        return pa.table({"a": pa.array([x for x, _ in far], pa.int64()), "b": pa.array([y for _, y in far], pa.int64())})
+
+
+def _named_sets(table: pa.Table, width: int) -> tuple[list[int], list[np.ndarray]]:
+    """Classes that table(cls, text) asks for, in order, and their sets. A doc_id that is repeated may bring another text; it is left out."""
+    wanted, found = table.column("cls").to_numpy(), {}
+    for row, shingles in _sets(table, width):
+        if _class_of(shingles) == wanted[row]:
+            found[int(wanted[row])] = shingles
+    classes = sorted(found)
+    return classes, [found[c] for c in classes]
+
+
+def _search(width: int, at_least: int, of: int):
+    """Links within a block, as (class, least class that it is linked with)."""
+
+    def send(table: pa.Table) -> pa.Table:
+        classes, sets = _named_sets(table, width)
+        index, links, queue, todo = Index(sets), _Links(), [], 0
+        while index.left:
+            if queue:
+                k = queue.pop()
+            else:
+                k, todo = todo, todo + 1
+                if not index.present[k]:
                     continue
-                left.remove(start)
-                queue = [start]
-                back.drop(np.array(queue))
-                while queue:
-                    k = queue.pop()
-                    here = index if side[k] == one else back
-                    rows = here.links(sets[k], at_least, of) if here.left else np.zeros(0, np.int64)
-                    here.drop(rows)
-                    left.difference_update(rows.tolist())
-                    queue += rows.tolist()
-                    found_a += [classes[r] for r in rows]
-                    found_b += [classes[k]] * len(rows)
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+                index.drop(np.array([k]))
+            rows = index.links(sets[k], at_least, of)
+            index.drop(rows)
+            queue += rows.tolist()
+            for r in rows:
+                links.add(classes[r], classes[k])
+        return links.table()
+
+    return send
+
+
+def _search_rest(width: int, at_least: int, of: int):
+    """Links of the classes asked for with all of a block."""
+
+    def send(table: pa.Table) -> pa.Table:
+        asked = pc.fill_null(table.column("asks"), False)
+        names, queries = _named_sets(table.filter(asked), width)
+        classes, sets = _named_sets(table.filter(pc.invert(asked)), width)
+        index, links = Index(sets), _Links()
+        for name, query in zip(names, queries, strict=True):
+            for r in index.links(query, at_least, of):
+                links.add(classes[r], name)
+        return links.table()
 
     return send
 
@@ -349,36 +383,53 @@ def _describe(width: int):
     return send
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, at_least: int = 90, of: int = 100, block: int = 1000, frequent: int = 0) -> DataFrame:
+def _links(texts: DataFrame, members: DataFrame, width: int, at_least: int, of: int, block: int) -> DataFrame:
+    """(node, root) of all linked classes. members: cls, center, doc_id and n (shingles) of each class of each neighbourhood."""
+    sizes = members.groupBy("center").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.ceil(F.count("*") / _PIVOTS).alias("each"))
+    placed = durable(members.join(sizes, "center").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")))
+    pivot = F.pmod(F.xxhash64("cls", F.lit("pivot")), "each") == 0
+    places = F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = placed.select("doc_id", "cls", "center", F.explode(places).alias("block"))
+    found = texts.join(dealt, "doc_id").select("center", "block", "cls", "text").groupBy("center", "block").applyInArrow(_search(width, at_least, of), "a long, b long")
+    roots = connected_components(found)
+
+    # neighbourhoods in several blocks: what is not in the largest component is searched for in all blocks
+    several = placed.where("blocks > 1").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    counts = several.groupBy("center", "root").agg(F.count("*").alias("size"))
+    largest = counts.groupBy("center").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    rest = durable(several.join(largest, "center").where("root <> main").select("center", "cls", "doc_id", "n", "blocks"))
+    if rest.isEmpty():
+        return roots
+    chunks = rest.groupBy("center").agg(F.ceil(F.sum("n") / block).cast("int").alias("chunks"))
+    all_blocks, all_chunks = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+    queries = rest.join(chunks, "center").select("doc_id", "cls", "center", F.explode(all_blocks).alias("block"), F.pmod(F.xxhash64("cls"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("asks"))
+    held = placed.join(chunks, "center").select("doc_id", "cls", "center", "block", F.explode(all_chunks).alias("chunk"), F.lit(False).alias("asks"))
+    more = texts.join(queries.unionByName(held), "doc_id").select("center", "block", "chunk", "asks", "cls", "text").groupBy("center", "block", "chunk").applyInArrow(_search_rest(width, at_least, of), "a long, b long")
+    return connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, at_least: int = 90, of: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links, itself included) of every row with a doc_id.
 
     docs: doc_id, text; other columns are ignored.  Words are the runs of
     characters other than white space, with A-Z in lower case.  A text of fewer
     words than width has all of them as its one shingle; a null, empty or blank
     text has none and links with nothing.  Rows that repeat a doc_id are
-    described each; rows without a doc_id are left out.  frequent: how many of
-    the most frequent shingles are kept from making candidates (any number gives
-    the same result; below a similarity of 0.9 segments are short and need it).
+    described each; rows without a doc_id are left out.
     """
     spark = docs.sparkSession
-    width_ = shuffle_width(spark)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = spread(text_size(texts) // 2, 16 << 20, 4 * width_)
+    buckets = spread(text_size(texts) // 2, 16 << 20, 4 * shuffle_width(spark))
     described = durable(texts.mapInArrow(_describe(width), "doc_id long, n_shingles long, cls long"))
-    classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-
-    sent = texts.mapInArrow(_signatures(width, at_least, of, buckets, frequent_shingles(texts, width, frequent)), _BLOB)
-    near = sent.groupBy("to").applyInArrow(_stars, "a long, b long")
-    groups = connected_components(near)
-    counted = groups.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = groups.join(counted, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    asked = placed.select(F.col("node").alias("cls"), "root", "blocks", "block").join(classes, "cls")
-    whole = texts.join(asked, "doc_id").select("root", "cls", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = whole.select("root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "block", "text")
-    links = dealt.groupBy("root", "one", "two").applyInArrow(_search(width, at_least, of), "a long, b long")
-    roots = connected_components(links)
-
-    least = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    first = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(first, "root").select("cls", "component_id")
+    classes = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+
+    sent = texts.mapInArrow(_signatures(width, at_least, of, buckets), _BLOB)
+    near = durable(sent.groupBy("to").applyInArrow(_stars, _NEAR))
+    members = _neighbourhoods(near, _Segments(at_least, of)).join(classes, "cls").select("cls", "center", "doc_id", "n")
+    roots = _links(texts, members, width, at_least, of, block)
+
+    # the other classes have one row, which is its own component
+    linked = classes.join(roots, F.col("cls") == F.col("node"), "left").where("rows > 1 or root is not null").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    first = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = linked.join(first, "root").select("cls", "component_id")
     return described.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
