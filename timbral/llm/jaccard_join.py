@@ -263,6 +263,8 @@ class Index:
 
     def links(self, query: np.ndarray, at_least: int, of: int) -> np.ndarray:
         """Present rows whose sets link with query."""
+        if not len(self.tokens):
+            return np.zeros(0, np.int64)
         n = len(query)
         at = np.searchsorted(self.tokens, query)
         hit = (at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == query)
