@@ -5,12 +5,16 @@ block by stop-word density, length and link density, together with the
 elements that enclose it; short blocks, and those with a middling share of stop
 words, stay undecided.  In the second pass they take the label of the nearest
 decided neighbours, first within the same enclosing region, then on the page.
+A page on which no block outside the regions beside the article has the density
+of prose is in a language without a list here; length and link density alone
+decide its blocks.  The time is linear in a page's length whatever it holds.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -61,7 +65,10 @@ LENGTH_SHORT, LENGTH_LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.15, 0.30  # stop words among the words
 MOST_LINKED = 0.5  # characters inside links
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+#: What stands between a tag's name and its end; a quote opens a value only after an equals sign, and a tag that another one interrupts ends there.
+_QUOTED = re.compile(r"(?:[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+")
+_BARE = re.compile(r"[^<>]*+")
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
@@ -89,7 +96,7 @@ class Place:
     name: str
     outer: int
     aside: bool  # by its class, id or role
-    main: bool = False  # holds html, body or main
+    main: bool = False  # is or holds html, body or main
     article: bool = False  # holds an article
     kind: str = "plain"
     region: int = 0
@@ -112,6 +119,10 @@ def _resolve(places: list[Place]) -> None:
     body or main.  What holds an article is marked only if the page has another
     article outside all that is marked, such as the one that comments belong to.
     """
+    for p in reversed(places[1:]):
+        outer = places[p.outer]
+        outer.main |= p.main or p.name in WHOLE - {"article"}
+        outer.article |= p.article or p.name == "article"
     marked = [False] * len(places)
     free = False
     for k, p in enumerate(places[1:], 1):
@@ -131,13 +142,56 @@ def _resolve(places: list[Place]) -> None:
             p.region = outer.region
 
 
+def _tokens(page: str):
+    """(text, closing, name, attributes) of each text - with an empty name - and tag, in order.
+
+    Comments, declarations and the insides of DROPPED elements are left out.
+    Every search goes on from where the one before it ended, or is not made
+    again once it has found nothing.
+    """
+    at, size, last = 0, len(page), page.rfind(">")
+    attributes, unclosed = _QUOTED, set()
+    while at < size:
+        spot = page.find("<", at)
+        if spot != at:
+            stop = size if spot < 0 else spot
+            yield page[at:stop], False, "", ""
+            at = stop
+            continue
+        tag = _NAME.match(page, at + 1)
+        if tag:
+            end = attributes.match(page, tag.end()).end()
+            if end == size:  # it never ends, as far as its quotes go, so that quotes are no guide on this page
+                attributes = _BARE
+                end = attributes.match(page, tag.end()).end()
+            at = end + page.startswith(">", end)
+            name, closing = tag[2].lower(), bool(tag[1])
+            if name not in DROPPED:
+                yield "", closing, name, page[tag.end() : end]
+            elif not closing and page[end - 1] != "/" and name not in unclosed:
+                close = _CLOSE[name].search(page, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style", "textarea", "title"):
+                    return
+                else:
+                    unclosed.add(name)
+        elif page.startswith(("<!--", "<![CDATA["), at):
+            end = page.find("-->" if page.startswith("<!--", at) else "]]>", at + 4)
+            at = size if end < 0 else end + 3
+        elif page.startswith(("<!", "<?", "</"), at) and at < last:
+            at = page.find(">", at) + 1
+        else:
+            yield "<", False, "", ""
+            at += 1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order, each with its region; text is unescaped, with single spaces."""
     places = [Place("", 0, False)]
-    stack = [0]
+    stack, inside = [0], Counter()  # open places, and how many of them by name
     links, breaks = 0, 0
     out = [Block(0, 0, "plain", False)]
-    at = 0
 
     def start(heading: bool = False) -> None:
         if out[-1].parts:
@@ -145,13 +199,8 @@ def blocks(page: str) -> list[Block]:
         else:
             out[-1].place, out[-1].heading = stack[-1], heading
 
-    while at < len(page):
-        token = _TOKEN.match(page, at)
-        at = token.end()
-        if token[2] is None:
-            text = token[0]
-            if text[0] == "<" and len(text) > 1:
-                continue  # a comment or declaration
+    for text, closing, name, attributes in _tokens(page):
+        if not name:
             text = html.unescape(text)
             out[-1].parts.append(text)
             if links:
@@ -159,12 +208,6 @@ def blocks(page: str) -> list[Block]:
             if not text.isspace():
                 breaks = 0
             continue
-        name, closing = token[2].lower(), bool(token[1])
-        if name in DROPPED and not closing:
-            if not token[3].rstrip().endswith("/"):
-                end = _CLOSE[name].search(page, at)
-                at = end.end() if end else len(page) if name in ("script", "style", "textarea", "title") else at
-            continue
         if name == "a":
             links = 0 if closing else 1
         elif name == "br":
@@ -176,21 +219,18 @@ def blocks(page: str) -> list[Block]:
             links = breaks = 0
             if name in REGIONS:
                 if closing:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if places[stack[k]].name == name:
-                            del stack[k:]
+                    while inside[name]:
+                        last = places[stack.pop()].name
+                        inside[last] -= 1
+                        if last == name:
                             break
                 else:
-                    if name == "body":
+                    if name == "body" and inside["head"]:
                         stack = [k for k in stack if places[k].name != "head"]
-                    if name in WHOLE:
-                        for k in stack:
-                            if name == "article":
-                                places[k].article = True
-                            else:
-                                places[k].main = True
-                    places.append(Place(name, stack[-1], name not in WHOLE and bool(token[3]) and _aside(token[3])))
+                        inside["head"] = 0
+                    places.append(Place(name, stack[-1], name not in WHOLE and bool(attributes) and _aside(attributes)))
                     stack.append(len(places) - 1)
+                    inside[name] += 1
             start(name in HEADINGS and not closing)
     _resolve(places)
     kept = []
@@ -202,16 +242,28 @@ def blocks(page: str) -> list[Block]:
     return kept
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, or - undecided - short or near."""
+def _density(text: str) -> float:
+    found = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+
+
+def has_prose(found: list[Block]) -> bool:
+    """Whether a longer block that may be main text has the stop words of prose: the page's language has a list."""
+    return any(len(b.text) >= LENGTH_SHORT and b.kind != "beside" and not _linked(b) and _density(b.text) >= STOP_HIGH for b in found)
+
+
+def _linked(block: Block) -> bool:
+    return len(_SPACE.sub(" ", "".join(block.linked)).strip()) > MOST_LINKED * len(block.text)
+
+
+def first_pass(block: Block, listed: bool = True) -> str:
+    """good, bad, or - undecided - short or near. listed: stop words tell something about the page."""
     size = len(block.text)
-    linked = len(_SPACE.sub(" ", "".join(block.linked)).strip())
-    if block.kind == "beside" or linked > MOST_LINKED * size:
+    if block.kind == "beside" or _linked(block):
         return "bad"
     if size < LENGTH_SHORT:
         return "short"
-    found = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+    density = _density(block.text) if listed else STOP_HIGH
     if density >= STOP_HIGH:
         return "good" if size > LENGTH_LONG or block.kind == "article" else "near"
     if density >= STOP_LOW or block.kind == "article":
@@ -255,8 +307,9 @@ def second_pass(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """The page's main text: its good blocks in order, one to a line."""
     found = blocks(page or "")
+    listed = has_prose(found)
     for b in found:
-        b.label = first_pass(b)
+        b.label = first_pass(b, listed)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")
 
