@@ -35,6 +35,26 @@ def test_token_counts_are_the_library_s(spark):
     assert token_counts(docs.where("false"), path).count() == 0
 
 
+def test_the_cache_of_tokens_is_bounded(monkeypatch):
+    import base64
+
+    from timbral.llm import token_counts as module
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(4)
+    long = base64.b64encode(rng.randbytes(750_000)).decode()
+    many = " ".join(f"{rng.randrange(10**9):x}" for _ in range(20_000))
+    monkeypatch.setattr(module, "CACHE", 400_000)
+    counter = module.Counter(path, {})
+    texts = [long, many, "漢字" * 5000, many[:5000], long[:100], "a b a b"]
+    got = counter.count(texts)
+    assert got == [len(counter.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert not counter.lengths  # it was full
+    counter.count(texts[3:])
+    assert 500 < len(counter.lengths) and max(map(len, counter.lengths)) <= module.MOST_KEPT
+    assert module.counter(path) is module.counter(path)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><a href="/a">A</a> and the rest of it</nav><div class="cookie-banner">We use cookies on this site and all of that is in our policy, which you may read.</div>
 <div id=content><h2>The   title</h2><p>This is the first &amp; longest paragraph of the text: it is long enough that the rules should take it, as there are
@@ -70,6 +90,12 @@ def speech(rng, lang, n):
     return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
 
+def test_too_many_languages_are_refused_before_training(spark):
+    docs = spark.range(10_000).selectExpr("cast(id as string) as lang", "'text' as text")
+    with pytest.raises(ValueError, match="values of lang"):
+        train(docs)
+
+
 def test_language_shares_and_held_out_accuracy(spark):
     rng = random.Random(8)
     rows = []

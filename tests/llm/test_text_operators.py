@@ -132,8 +132,8 @@ def distance_in(pattern, text):
 
 def test_decontamination_is_that_of_brute_force(spark):
     rng = random.Random(9)
-    items = [(k, words(rng, n)) for k, n in enumerate([6, 14, 22, 40, 60])] + [(7, None), (8, "short"), (9, "")]
-    docs = [(0, None), (1, ""), (2, words(rng, 50))]
+    items = [(k, words(rng, n)) for k, n in enumerate([6, 14, 22, 40, 60])] + [(7, None), (8, "short"), (9, ""), (10, "Two, words"), (11, "é")]
+    docs = [(0, None), (1, ""), (2, words(rng, 50)), (100, "SHORT, and (two words) É"), (101, "shorty twotwo words éé two"), (102, "x short"), (103, "two -- words")]
     for d in range(3, 40):
         text = list(items[d % 5][1])
         for _ in range(rng.randrange(0, 1 + len(text) // 8)):
@@ -145,13 +145,16 @@ def test_decontamination_is_that_of_brute_force(spark):
     for d, t in docs:
         for i, x in items:
             p = form(x)
-            if len(p) >= decontaminate.LEAST_ITEM and (n := distance_in(p, form(t))) <= int(len(p) * 0.1):
+            if len(p) >= decontaminate.SHORT and (n := distance_in(p, form(t))) <= int(len(p) * 0.1):
                 want[d, i] = n
+            elif 0 < len(p) < decontaminate.SHORT and b" " + p + b" " in b" " + form(t) + b" ":
+                want[d, i] = 0
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     found = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): r["distance"] for r in found} == want
     assert len(want) > 20 and any(want.values())
-    exact = next(r for r in found if r["distance"] == 0)
+    assert all(r["short_item"] == (r["item_id"] in (8, 10, 11)) for r in found) and sum(r["short_item"] for r in found) == 5
+    exact = next(r for r in found if r["distance"] == 0 and not r["short_item"])
     text = dict(docs)[exact["doc_id"]].encode()[exact["start"] : exact["stop"]]
     assert form(text.decode()) == form(dict(items)[exact["item_id"]])
 
@@ -161,6 +164,41 @@ def test_decontamination_without_items(spark, rows):
     assert decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_long_items_and_items_without_an_id(spark):
+    import time
+
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(5_000))
+    changed = list(long)
+    for _ in range(250):
+        at = rng.randrange(len(changed))
+        changed[at : at + rng.randrange(2)] = rng.choice(["", "q", "z"])
+    mid = " ".join(f"v{rng.randrange(10**5)}" for _ in range(400))
+    docs = spark.createDataFrame([(1, "before it " + "".join(changed) + " after it"), (2, long[: len(long) // 2]), (3, "x " + mid[:-30] + " y")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, long), (None, mid), (None, long[:200]), (None, None)], "item_id long, text string").coalesce(1)
+    began = time.time()
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["item_length"]) for r in decontaminate.contamination(docs, items).collect())
+    assert time.time() - began < 120
+    assert got == [(1, 0, 200), (1, 1, len(long)), (2, 0, 200), (3, 0, len(mid))]
+
+
+def test_long_and_short_distances_agree():
+    rng = random.Random(8)
+    for _ in range(200):
+        pattern, text = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, n))).encode() for n in (90, 150))
+        for anchored in (False, True):
+            low, at = decontaminate.myers_long(decontaminate._long_bits(pattern), len(pattern), text, anchored)
+            best = [len(pattern)]
+            row = list(range(len(pattern) + 1))
+            for k, c in enumerate(text, 1):
+                new = [k if anchored else 0]
+                for j, p in enumerate(pattern, 1):
+                    new.append(min(row[j - 1] + (p != c), row[j] + 1, new[-1] + 1))
+                row = new
+                best.append(row[-1])
+            assert (low, at) == (min(best), best.index(min(best)))
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, rows, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA)
     items = spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows[9:40])], "item_id long, text string")

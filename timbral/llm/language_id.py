@@ -27,7 +27,7 @@ from timbral.llm.shared import slices, text_bytes
 BUCKETS = 1 << 15
 #: Trigrams in a span.
 SPAN = 48
-#: Languages are a closed set; a lang column with more values than this is not one of languages.
+#: A model has a table of BUCKETS numbers for each language, in the driver and in each task: 64 MB for so many languages.
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
 _SLICE = 2 << 20
@@ -57,8 +57,13 @@ def _trigrams(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return bucket[keep], doc[keep]
 
 
-def train(docs: DataFrame) -> Model:
-    """The model of docs(text, lang): one pass over all of them. Rows without a lang or a text teach nothing."""
+def train(docs: DataFrame, most: int = MOST_LANGUAGES) -> Model:
+    """The model of docs(text, lang): one pass over all of them.
+
+    Rows without a lang or a text teach nothing; those without a doc_id teach
+    like others.  Values of lang are counted before any text is read, and more
+    than most of them are an error: no language is left out.
+    """
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
@@ -75,11 +80,13 @@ def train(docs: DataFrame) -> Model:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    taught = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
+    known = docs.where("lang is not null and text is not null").select("text", "lang")
+    n = known.select("lang").distinct().limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} values of lang; a model has {BUCKETS} numbers for each")
+    taught = known.mapInArrow(count, "lang string, bucket int, n long")
     rows = taught.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} values of lang; {MOST_LANGUAGES} languages are the most that are told apart")
     table = np.zeros((len(languages), BUCKETS))
     table[[languages.index(x) for x in rows["lang"]], rows["bucket"]] = rows["n"]
     total = table.sum(axis=1, keepdims=True)

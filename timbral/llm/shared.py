@@ -175,10 +175,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a new one on a single machine, and an error on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="timbral-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -4,23 +4,33 @@ A byte-level BPE splits a text into pre-tokens and encodes each by itself, so a
 text's count is the sum over its pre-tokens' counts.  Texts are cut where that
 sum is safe: before a single space, around white-space runs of three and more,
 and around the added tokens.  The first tier is a broadcast table with the
-lengths of the vocabulary's own words, the frequent pre-tokens of the corpus
-that it was trained on; its size is bound by the vocabulary.  What it misses is
-encoded by the tokenizer once for each worker and kept in a bounded cache.
+lengths of the vocabulary's own words.  They are the frequent pre-tokens of the
+corpus that the tokenizer was trained on, and stand for those of these
+documents: counting these would be a second pass over all texts to find the same
+words, and counts are the same whichever words the table has.  Its size is bound
+by the vocabulary.  What it misses is encoded by the tokenizer and kept in a
+cache of bounded bytes that a Python worker process keeps from task to task.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Entries of a worker's second tier; when it is full it starts anew.
-CACHE = 1_000_000
+from timbral.llm.shared import slices
+
+#: Bytes of a worker's second tier, about; when it is full it starts anew.
+CACHE = 64 << 20
+#: Longer pieces, as texts without spaces give them, are encoded each time and never kept.
+MOST_KEPT = 64
+_SLICE = 1 << 20
 _SPACES = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 _RUN = re.compile(f"([{_SPACES}]{{3,}})")
 _RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -40,6 +50,7 @@ class Counter:
     def __init__(self, path: str, frequent: dict[str, int]) -> None:
         self.tokenizer, self.frequent = Tokenizer.from_file(path), frequent
         self.lengths = dict(frequent)  # both tiers
+        self.held = 0
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -67,17 +78,31 @@ class Counter:
                         lead = run[-1]
         return extra - 1, out
 
+    def _encoded(self, pieces: list[str]) -> list[int]:
+        return [len(e.ids) for a in range(0, len(pieces), 10_000) for e in self.tokenizer.encode_batch_fast(pieces[a : a + 10_000], add_special_tokens=False)]
+
     def count(self, texts: list[str | None]) -> list[int]:
         found = [self.pieces(t) if t else (0, []) for t in texts]
-        met = set().union(*(words for _, words in found))
-        new = list(met.difference(self.lengths))
-        if len(self.lengths) + len(new) > CACHE:
-            self.lengths = dict(self.frequent)
-            new = list(met.difference(self.lengths))
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            self.lengths |= zip(part, (len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
-        return [extra + sum(map(self.lengths.__getitem__, words)) for extra, words in found]
+        out, new = [], set().union(*(words for _, words in found)).difference(self.lengths)
+        long = {w for w in new if len(w) > MOST_KEPT}
+        new = sorted(new - long)
+        self.held += sum(map(len, new)) * 2 + 150 * len(new)
+        self.lengths |= zip(new, self._encoded(new), strict=True)
+        for extra, words in found:
+            if long:
+                away = [w for w in words if w in long]
+                extra += sum(self._encoded(away))
+                words = [w for w in words if w not in long] if away else words
+            out.append(extra + sum(map(self.lengths.__getitem__, words)))
+        if self.held > CACHE:
+            self.lengths, self.held = dict(self.frequent), 0
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """The worker process's counter for a tokenizer file; its first tier comes with the first task."""
+    return Counter(path, {})
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -95,13 +120,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def count(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        counter = Counter(path, table.value)
+        own = counter(path)
+        if not own.frequent:
+            own.frequent = table.value
+            own.lengths = dict(own.frequent)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for a in range(0, batch.num_rows, 512):
-                part = texts.slice(a, 512)
-                n = pa.array(counter.count(part.to_pylist()), pa.int64())
-                size = pa.compute.fill_null(pa.compute.binary_length(part), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 512), size, n, pa.compute.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for part in slices(batch, "text", _SLICE):
+                texts = part.column("text")
+                n = pa.array(own.count(texts.to_pylist()), pa.int64())
+                size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, _RESULT)
