@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import io
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -148,6 +150,40 @@ def test_adpcm_blocks_side_by_side():
     assert telephony.decode_ima(blocks).tolist() == [slow_ima(b.tolist()) for b in blocks]
 
 
+@pytest.mark.parametrize("align", [5, 196, 256, 1024])
+def test_adpcm_of_any_block_size_with_an_incomplete_end(align):
+    rng = np.random.default_rng(align)
+    found, want = [], []
+    for size in (0, 3, align, 3 * align, 2 * align + 4, 2 * align + align // 2, align - 1):
+        data = rng.integers(0, 256, size).astype(np.uint8)
+        found.append(telephony.Audio(telephony.IMA, 8000, data, align))
+        blocks = [data[a : a + align].tolist() for a in range(0, size, align)]
+        want.append([x for b in blocks if len(b) >= 4 for x in slow_ima(b)])
+    assert [x.tolist() for x in telephony.decode_all(found)] == want
+    chunk = struct.pack("<HHIIHHHH", telephony.IMA, 1, 8000, 4000, align, 4, 2, 2 * (align - 4) + 1)
+    body = b"WAVEfmt " + struct.pack("<I", len(chunk)) + chunk + b"data" + struct.pack("<I", 2 * align) + bytes(2 * align)
+    assert telephony.read_wav(b"RIFF" + struct.pack("<I", len(body)) + body).align == align
+
+
+def slow_feature(audio, samples, up, down):
+    """decode_media()'s feature, one sample at a time."""
+    half = 8 * max(1, -(-down // up))
+    turned = []
+    for j in range(-(-len(samples) * up // down)):
+        at, total, weight = j * down / up, 0.0, 0.0
+        for i in range(int(at) - half + 1, int(at) + half + 1):
+            t = i - at
+            x = t * min(1.0, up / down)
+            tap = (math.sin(math.pi * x) / (math.pi * x) if x else 1.0) * (0.5 + 0.5 * math.cos(math.pi * t / half)) * (abs(t) < half)
+            weight += tap
+            total += tap * (samples[i] if 0 <= i < len(samples) else 0)
+        turned.append(max(-32768, min(32767, round(total / weight))))
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:], strict=False))
+    name = {telephony.MULAW: "mulaw", telephony.ALAW: "alaw", telephony.IMA: "ima_adpcm"}[audio.kind]
+    rms = math.sqrt(sum(x * x for x in samples) / len(samples))
+    return f"{name} n={len(samples)} peak={max(map(abs, samples))} rms={rms:.3f} crossings={crossings}", turned
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(4000)
     tone = (10000 * np.sin(2 * np.pi * 300 * t / 8000)).astype(np.int16)
@@ -161,7 +197,7 @@ def test_resampling_keeps_a_tone():
 def test_media_round_trip(spark):
     texts = [None, "", "a", "ü" * 96, "x" * 192, "y" * 193, "same", "same", *(f"text {k} " * k for k in range(60))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("media", F.lit(1))
-    rows = {r["doc_id"]: r for r in telephony.media_round_trip(docs, keep_pcm=True).collect()}
+    rows = {r["doc_id"]: r for r in telephony.media_round_trip(docs).collect()}
     for k, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
@@ -170,7 +206,16 @@ def test_media_round_trip(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
         pcm = telephony.read_wav(r["pcm"])
-        assert pcm.kind == telephony.PCM and pcm.rate == 16000 and f"resampled={len(pcm.data) // 2}:" in r["feature"]
+        stored = pcm.data.view("<i2")
+        assert pcm.kind == telephony.PCM and pcm.rate == 2000 and r["feature"].endswith(f" resampled={len(stored)}:{zlib.crc32(stored.tobytes()):08x}")
+        if k < 20:
+            audio = telephony.read_wav(media)
+            blocks = audio.data.reshape(-1, 196).tolist() if audio.kind == telephony.IMA else []
+            table = telephony.MULAW_TABLE if audio.kind == telephony.MULAW else telephony.ALAW_TABLE
+            samples = [x for b in blocks for x in slow_ima(b)] if blocks else [int(table[b]) for b in audio.data]
+            text, turned = slow_feature(audio, samples, 1, 4)
+            assert r["feature"].startswith(text + " ")
+            assert max(abs(a - b) for a, b in zip(turned, stored.tolist(), strict=True)) <= 1  # single precision
     assert rows[6]["feature"] == rows[7]["feature"] and len({r["feature"].split()[0] for r in rows.values()}) == 3
     with pytest.raises(ValueError, match="no RIFF"):
         telephony.read_wav(b"nothing")

@@ -47,7 +47,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from timbral.llm.telephony import media_round_trip
 
-    return media_round_trip(table(spark, sf_dir, "documents"))
+    return media_round_trip(table(spark, sf_dir, "documents")).drop("pcm")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
