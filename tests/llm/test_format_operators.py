@@ -225,10 +225,8 @@ def test_media_round_trip(spark):
 def brute_archive(rows, least):
     out = []
     for p, _, h in rows:
-        if p is None:
-            continue
         raw = (h or "").encode()
-        keep = max(q for q, _, g in rows if q is not None and (g or "") == (h or "")) if len(raw) >= least else p
+        keep = max((q for q, _, g in rows if q is not None and (g or "") == (h or "")), default=None) if len(raw) >= least else p
         out.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if keep == p else "revisit", None if keep == p else keep))
     return sorted(out, key=str)
 
@@ -237,7 +235,7 @@ def brute_archive(rows, least):
 def test_archives_come_back(spark, least):
     rng = random.Random(6)
     bodies = ["", "abc", "<p>" + "x" * 5000, "é" * 40, "\x1f\x8b\x08 no member", "WARC/1.1\r\n\r\n"] + ["".join(rng.choice("abcdef \n") for _ in range(rng.randrange(4000))) for _ in range(40)]
-    rows = [(k, None if k % 9 == 0 else f"http://e.x/{k} \r\nX: y", None if k == 3 else rng.choice(bodies)) for k in range(160)] + [(None, "u", "abc"), (159, "again", "abc")]
+    rows = [(k, None if k % 9 == 0 else f"http://e.x/{k} \r\nX: y", None if k == 3 else rng.choice(bodies)) for k in range(160)] + [(None, "u", "abc"), (None, "u", "of its own"), (159, "again", "abc")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("keep", F.lit(3))
     got = [tuple(r) for r in warc.archive_round_trip(pages, least).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
     assert sorted(got, key=str) == brute_archive(rows, least)
@@ -265,6 +263,53 @@ def test_a_read_that_ends_inside_a_member_s_head_loses_nothing(monkeypatch, piec
         assert [(r["page_id"], r["payload"]) for r in found] == list(enumerate(payloads))
 
 
+def packed(raw):
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return engine.compress(raw) + engine.flush()
+
+
+def record_of(kind, block, *fields):
+    return packed("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def records_of(data, split):
+    return [r for a in range(0, len(data), split) for r in warc.records_in(pa.PythonFile(io.BytesIO(data), mode="r"), a, split)]
+
+
+def test_records_of_any_type_are_read():
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody"
+    data = record_of("warcinfo", b"software: x\r\n", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields")
+    data += record_of("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "WARC-Record-ID: <urn:uuid:2>", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://x/")
+    data += record_of("response", http, "WARC-Record-ID: <urn:uuid:3>", "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{warc.digest_of(b'body')}")
+    data += record_of("response", http, "WARC-Record-ID: <urn:uuid:4>", "Content-Type: application/http", "WARC-Payload-Digest: md5:abc")
+    data += record_of("resource", b"a\r\n\r\nb") + record_of("metadata", b"") + record_of("revisit", http[:-4], "WARC-Refers-To: <urn:uuid:3>")
+    for split in (50, 200, len(data)):
+        found = records_of(data, split)
+        assert [(r["record_type"], r["payload"]) for r in found] == [("warcinfo", b"software: x\r\n"), ("request", b""), ("response", b"body"), ("response", b"body"), ("resource", b"a\r\n\r\nb"), ("metadata", b""), ("revisit", None)]
+        assert all(r["page_id"] is None and r["refers_to"] is None for r in found) and found[2]["record_id"] == "<urn:uuid:3>"
+
+
+def test_a_member_inside_a_payload_is_no_record():
+    inner = warc._member(900, "u", b"inner", warc.digest_of(b"inner"), None)
+    noise = random.Random(3).randbytes
+    payloads = [noise(5000) + inner * n + noise(5000) for n in (1, 2, 3)] + [b"last"]
+    plain = [zlib.decompress(warc._member(k, "u", p, warc.digest_of(p), None), 31) for k, p in enumerate(payloads)]
+    data = b"".join((engine := zlib.compressobj(0, zlib.DEFLATED, 31)).compress(x) + engine.flush() for x in plain)
+    assert data.count(inner) == 6
+    for split in (300, 4096, len(data)):
+        assert [r["page_id"] for r in records_of(data, split)] == [0, 1, 2, 3]
+
+
+def test_large_records_and_many_small_ones_take_linear_time():
+    import time
+
+    big = random.Random(3).randbytes(24 << 20)
+    data = warc._member(0, "u", big, warc.digest_of(big), None) + b"".join(warc._member(k, "u", b"x", warc.digest_of(b"x"), None) for k in range(1, 4000))
+    began = time.process_time()
+    assert [r["page_id"] for r in records_of(data, 8 << 20)] == list(range(4000))
+    assert time.process_time() - began < 20
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
