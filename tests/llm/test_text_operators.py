@@ -46,10 +46,10 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("home_bytes", [400, 3 << 20])
-def test_repeats_are_those_of_brute_force(spark, rows, home_bytes):
+@pytest.mark.parametrize(("home_bytes", "hot_runs"), [(400, 1 << 14), (400, 2), (3 << 20, 5), (3 << 20, 0)])
+def test_repeats_are_those_of_brute_force(spark, rows, home_bytes, hot_runs):
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("to", F.lit(1)).withColumn("payload", F.lit("x"))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs, home_bytes).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs, home_bytes, hot_runs).collect()}
     assert got == brute_repeats(rows)
     assert sum(x[1] for x in got.values()) > 1000
 

@@ -15,7 +15,9 @@ Spark deals out the positions so that no task sees more than a small bucket:
    answer with those that two documents share.
 2. Windows of shared hashes travel as runs (84 bytes at most for up to 35
    windows) to their bucket's task; equal runs of one home travel once.  That
-   task refines the buckets and answers with byte ranges by home.
+   task refines the buckets and answers with byte ranges by home.  A bucket of
+   more than HOT runs is dealt out once more by the least but one hash of each
+   window, on which equal windows agree as well.
 3. Each home joins the ranges and cuts them from the texts.
 
 A hot passage is one hash and, from each home, one run.
@@ -26,7 +28,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ WINDOW = 50
 GRAM = 16
 RUN = WINDOW - GRAM + 1  # windows in a run, at most
 WIDTH = WINDOW + RUN - 1  # bytes in a run, at most
+#: Runs, before equal ones of a home become one, from which on a bucket is dealt out by two hashes.
+HOT = 1 << 14
 _CHUNK = 1 << 21
 _BLOB = "to int, source int, payload binary"
 _SENT = pa.schema([("to", pa.int32()), ("source", pa.int32()), ("payload", pa.binary())])
@@ -51,14 +54,18 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out if size == width else np.minimum(out[: len(out) - (width - size)], out[width - size :])
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The hash of each 16-gram."""
+    prefix = prefix_hash(data, BYTE_VALUES)
+    return mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(data))[1][: len(data) - GRAM + 1])
+
+
 def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, number of windows and hash of each run of neighbouring windows with one least 16-gram hash."""
     if len(data) < WINDOW:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(U64)
-    prefix = prefix_hash(data, BYTE_VALUES)
-    grams = (prefix[GRAM:] - prefix[:-GRAM]) * powers(len(data))[1][: len(data) - GRAM + 1]
-    key = _least(mix(grams), RUN)
+    key = _least(_grams(data), RUN)
     n = len(key)  # windows; those that cross a document's end are left out
     whole = np.zeros(n + 1, np.int32)
     for a, b in zip(off[:-1], off[1:], strict=True):
@@ -81,6 +88,26 @@ def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, count, key[start]
 
 
+def _split(data: np.ndarray, start: np.ndarray, count: np.ndarray, hashes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of windows and bucket hash of the runs, with hot ones cut where their windows' least but one hash changes."""
+    rows = np.flatnonzero(hot)
+    if not len(rows):
+        return start, count, hashes
+    grams = np.append(_grams(data), np.full(2 * RUN, ~U64(0)))
+    near = grams[start[rows, None] + np.arange(2 * RUN - 1)]
+    near[near == hashes[rows, None]] = ~U64(0)
+    second = np.lib.stride_tricks.sliding_window_view(near, RUN, axis=1).min(axis=2)
+    inside = np.arange(RUN) < count[rows, None]
+    first = inside & np.append(np.ones((len(rows), 1), bool), second[:, 1:] != second[:, :-1], axis=1)
+    row, at = np.nonzero(first)
+    stop = np.append(at[1:], 0)
+    last = np.append(row[1:] != row[:-1], True)
+    stop[last] = count[rows][row[last]]
+    rest = ~hot
+    named = mix(hashes[rows][row] + U64(1)) ^ second[row, at]
+    return np.concatenate([start[rest], start[rows][row] + at]), np.concatenate([count[rest], stop - at]), np.concatenate([hashes[rest], named])
+
+
 def _chunks(table: pa.Table):
     """(bytes, offsets, doc ids, offset in the document) of about 2 MB; a longer document comes in overlapping parts."""
     ids = table.column("doc_id").to_numpy()
@@ -134,23 +161,29 @@ def _hashes_of(buckets: int):
         hashes, own = hashes[order], own[order]
         at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         several = (np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)).astype(np.uint8)
-        return _table(_send(_bucket(hashes[at], buckets), home, [hashes[at], several]))
+        runs = np.minimum(np.diff(np.append(at, len(hashes))), 0xFFFF).astype(np.uint16)
+        return _table(_send(_bucket(hashes[at], buckets), home, [hashes[at], several, runs]))
 
     return send
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """To each home: those of its hashes that two documents have."""
-    homes, parts = table.column("source").to_pylist(), [unpack(x.as_py(), "u8", "u1") for x in table.column("payload")]
-    hashes, several = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    source = np.repeat(np.array(homes, np.int32), [len(p[0]) for p in parts])
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    count = np.diff(np.append(at, len(ordered)))
-    # a home sends a hash once: two senders are two documents, as a document has one home
-    good = np.repeat((count > 1) | (np.maximum.reduceat(several[order], at) > 0), count)
-    return _table(_send(source[order][good], 0, [ordered[good]]))
+def _shared_of(hot_runs: int):
+    """To each home: those of its hashes that two documents have, and whether their buckets are hot."""
+
+    def send(table: pa.Table) -> pa.Table:
+        homes, parts = table.column("source").to_pylist(), [unpack(x.as_py(), "u8", "u1", "u2") for x in table.column("payload")]
+        hashes, several, runs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        source = np.repeat(np.array(homes, np.int32), [len(p[0]) for p in parts])
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        count = np.diff(np.append(at, len(ordered)))
+        # a home sends a hash once: two senders are two documents, as a document has one home
+        good = np.repeat((count > 1) | (np.maximum.reduceat(several[order], at) > 0), count)
+        hot = np.repeat(np.add.reduceat(runs[order].astype(np.int64), at) > hot_runs, count).astype(np.uint8)
+        return _table(_send(source[order][good], 0, [ordered[good], hot[good]]))
+
+    return send
 
 
 def _windows_of(buckets: int):
@@ -158,13 +191,15 @@ def _windows_of(buckets: int):
         home = key[0].as_py()
         if not answers.num_rows or not docs.num_rows:
             return _table()
-        shared = np.sort(np.concatenate([unpack(x.as_py(), "u8")[0] for x in answers.column("payload")]))
+        shared, hot = (np.concatenate(x) for x in zip(*(unpack(x.as_py(), "u8", "u1") for x in answers.column("payload")), strict=True))
+        order = np.argsort(shared)
+        shared, hot = shared[order], hot[order] > 0
         parts: list[list[np.ndarray]] = []
         for data, off, ids, base in _chunks(docs):
             start, count, hashes = _runs(data, off)
             at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
             keep = shared[at] == hashes
-            start, count, hashes = start[keep], count[keep], hashes[keep]
+            start, count, hashes = _split(data, start[keep], count[keep], hashes[keep], hot[at[keep]])
             if not len(start):
                 continue
             row = np.searchsorted(off, start, "right") - 1
@@ -236,52 +271,53 @@ def _run_keys(text: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _refine(home_of):
-    def send(table: pa.Table) -> pa.Table:
-        passed, parts = [], []
-        for source, payload in zip(table.column("source").to_pylist(), table.column("payload"), strict=True):
-            if source < 0:
-                passed.append((-1 - source, payload.as_py()))
-            else:
-                parts.append(unpack(payload.as_py(), "i8", "i8", "u1", f"{WIDTH}u1"))
-        done = ([h for h, _ in passed], [0] * len(passed), [p for _, p in passed])
-        if not parts:
-            return _table(done)
-        ids, start, count, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-        first, later = _equal_runs(np.zeros(len(ids), U64), ids, count, text)
-        found = [(ids[later], start[later], start[later] + count[later] + WINDOW - 1)]
-        ids, start, count, text = ids[first], start[first], count[first], text[first]
-        keys = _run_keys(text)
-        order = np.argsort(keys, kind="stable")
-        cuts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
-        size = np.diff(np.append(cuts, len(keys)))
-        own = ids[order]
-        if len(cuts):
-            mixed = np.minimum.reduceat(own, cuts) != np.maximum.reduceat(own, cuts)
-        a = 0
-        while a < len(cuts):  # whole q-gram buckets, some thousand runs at a time
-            b, n, rows = a, 0, []
-            while b < len(cuts) and (not n or n + size[b] <= 20000):
-                if mixed[b]:
-                    rows.append(order[cuts[b] : cuts[b] + size[b]])
-                    n += size[b]
-                b += 1
-            a = b
-            if not n:
-                continue
-            rows = np.concatenate(rows)
-            bucket = _refined(text[rows])
-            valid = np.arange(RUN) < count[rows][:, None]
-            flat, who = bucket[valid], np.broadcast_to(ids[rows][:, None], bucket.shape)[valid]
-            least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, flat, who)
-            begin = (start[rows][:, None] + np.arange(RUN))[valid]
-            gone = least[flat] < who
-            found.append((who[gone], begin[gone], begin[gone] + WINDOW))
-        ranges = _ranges(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        return _table(done, _send(home_of(ranges[0]), 0, ranges))
-
-    return send
+def _refine(table: pa.Table) -> pa.Table:
+    """To each home: the ranges of its documents that an earlier document has."""
+    passed, parts, homes = [], [], []
+    for source, payload in zip(table.column("source").to_pylist(), table.column("payload"), strict=True):
+        if source < 0:
+            passed.append((-1 - source, payload.as_py()))
+        else:
+            parts.append(unpack(payload.as_py(), "i8", "i8", "u1", f"{WIDTH}u1"))
+            homes.append(source)
+    done = ([h for h, _ in passed], [0] * len(passed), [p for _, p in passed])
+    if not parts:
+        return _table(done)
+    ids, start, count, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    docs, at = np.unique(ids, return_index=True)
+    home = np.repeat(np.array(homes, np.int32), [len(p[0]) for p in parts])[at]
+    first, later = _equal_runs(np.zeros(len(ids), U64), ids, count, text)
+    found = [(ids[later], start[later], start[later] + count[later] + WINDOW - 1)]
+    ids, start, count, text = ids[first], start[first], count[first], text[first]
+    keys = _run_keys(text)
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(cuts, len(keys)))
+    own = ids[order]
+    if len(cuts):
+        mixed = np.minimum.reduceat(own, cuts) != np.maximum.reduceat(own, cuts)
+    a = 0
+    while a < len(cuts):  # whole q-gram buckets, some thousand runs at a time
+        b, n, rows = a, 0, []
+        while b < len(cuts) and (not n or n + size[b] <= 20000):
+            if mixed[b]:
+                rows.append(order[cuts[b] : cuts[b] + size[b]])
+                n += size[b]
+            b += 1
+        a = b
+        if not n:
+            continue
+        rows = np.concatenate(rows)
+        bucket = _refined(text[rows])
+        valid = np.arange(RUN) < count[rows][:, None]
+        flat, who = bucket[valid], np.broadcast_to(ids[rows][:, None], bucket.shape)[valid]
+        least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, flat, who)
+        begin = (start[rows][:, None] + np.arange(RUN))[valid]
+        gone = least[flat] < who
+        found.append((who[gone], begin[gone], begin[gone] + WINDOW))
+    ranges = _ranges(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return _table(done, _send(home[np.searchsorted(docs, ranges[0])], 0, ranges))
 
 
 def _cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -306,7 +342,7 @@ def _cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kept_text string, removed array<bigint>"
 
 
-def remove_repeats(docs: DataFrame, home_bytes: int = 3 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, home_bytes: int = 3 << 20, hot_runs: int = HOT) -> DataFrame:
     """Each document's bytes without those covered by a 50-byte string that also starts in a document of smaller doc_id.
 
     docs: doc_id, text; other columns are ignored.  Returns for each row with a
@@ -323,13 +359,10 @@ def remove_repeats(docs: DataFrame, home_bytes: int = 3 << 20) -> DataFrame:
     size = text_size(docs)
     homes, buckets = spread(size, home_bytes, width), spread(size, 16 << 20, width)
 
-    def home_of(ids: np.ndarray) -> np.ndarray:
-        return (mix(ids.astype(np.int64).view(U64)) % U64(homes)).astype(np.int32)
-
-    home = F.pandas_udf(lambda ids: pd.Series(home_of(ids.to_numpy())), "int")
-    dealt = docs.where("doc_id is not null").select(home("doc_id").alias("to"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    home = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(homes)).cast("int")
+    dealt = docs.where("doc_id is not null").select(home.alias("to"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashes = dealt.groupBy("to").applyInArrow(_hashes_of(buckets), _BLOB)
-    shared = hashes.groupBy("to").applyInArrow(_shared, _BLOB)
+    shared = hashes.groupBy("to").applyInArrow(_shared_of(hot_runs), _BLOB)
     windows = dealt.groupBy("to").cogroup(shared.groupBy("to")).applyInArrow(_windows_of(buckets), _BLOB)
-    ranges = windows.groupBy("to").applyInArrow(_refine(home_of), _BLOB)
+    ranges = windows.groupBy("to").applyInArrow(_refine, _BLOB)
     return dealt.groupBy("to").cogroup(ranges.groupBy("to")).applyInArrow(_cut, _RESULT)
