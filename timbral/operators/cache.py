@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +27,22 @@ def survivors(entries: DataFrame, most_entries: int, most_size: int, by: str | N
     """Entries that stay when the oldest are deleted until both budgets hold.
 
     Counted from the newest back, an entry stays while it and all newer ones fit.
-    The running sums are by ``by`` (say, the cache's shard), which keeps a
-    shard's budget within one task's stream; there is no collection.
+    by: a column whose values, say shards, have a budget each.  The hours of
+    created_at cut the entries into parts: the sums of whole hours are a small
+    table, and only an hour's own entries are summed one after the other.
     """
-    order = Window.partitionBy(*([by] if by else [])).orderBy(F.col("created_at").desc(), F.col("cache_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = entries.withColumn("_n", F.count("*").over(order)).withColumn("_size", F.sum("size").over(order))
-    return summed.where((F.col("_n") <= most_entries) & (F.col("_size") <= most_size)).drop("_n", "_size")
+    keys = [by] if by else []
+    hour = F.substring(F.col("created_at").cast("string"), 1, 13)
+    cut = entries.withColumn("_hour", hour)
+    sums = cut.groupBy(*keys, "_hour").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+    newer = Window.partitionBy(*keys).orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_hour", *(F.coalesce(F.sum(c).over(newer), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_size")))
+    own = Window.partitionBy(*keys, "_hour").orderBy(F.col("created_at").desc(), F.col("cache_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in [*keys, "_hour"]))
+    named = before.select(*(F.col(c).alias(f"{c}_of") for c in [*keys, "_hour"]), "_n_before", "_size_before")
+    summed = cut.withColumn("_n", F.count("*").over(own)).withColumn("_size", F.sum("size").over(own)).join(named, same)
+    fits = (F.col("_n_before") + F.col("_n") <= most_entries) & (F.col("_size_before") + F.col("_size") <= most_size)
+    return summed.where(fits).select(*entries.columns)
 
 
 def store(entries: DataFrame, batch: DataFrame) -> DataFrame:

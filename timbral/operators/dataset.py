@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -21,8 +22,15 @@ def admit_files(files: DataFrame) -> DataFrame:
 
 def select_per_role(files: DataFrame, target: int = 100) -> DataFrame:
     """files with selected: the first target of each role by priority and id; the others are reserves."""
-    order = Window.partitionBy("role").orderBy("priority", "sample_id")
-    return files.withColumn("selected", F.row_number().over(order) <= target)
+    return _first_of_role(files, "selected", [F.col("priority")], target)
+
+
+def _first_of_role(rows: DataFrame, name: str, order: list[Column], size: int) -> DataFrame:
+    """rows with name: whether a row is among the first size of its role. Each task keeps size rows of a role, and only these meet."""
+    by = Window.partitionBy("role").orderBy(*order, "sample_id")
+    first = rows.select("role", "sample_id", F.row_number().over(by).alias("_nth")).where(F.col("_nth") <= size)
+    picked = first.select(F.col("role").alias("_role"), F.col("sample_id").alias("_id"), F.lit(True).alias(name))
+    return rows.join(picked, F.col("role").eqNullSafe(F.col("_role")) & (F.col("sample_id") == F.col("_id")), "left").select(*rows.columns, F.coalesce(name, F.lit(False)).alias(name))
 
 
 def role_summary(files: DataFrame, target: int = 100) -> DataFrame:
@@ -72,24 +80,33 @@ def repair_order(ordered: DataFrame, by: str = "session", kick: str = "kick") ->
     return ordered.groupBy(by).applyInPandas(repair, ordered.schema)
 
 
-def random_arm(items: DataFrame, seed: str) -> DataFrame:
-    """query, item, position: each query's items drawn without replacement by a Mersenne Twister seeded with the query's SHA-256."""
+def seeded_twister(*parts: object) -> random.Random:
+    """A Mersenne Twister seeded with the first 16 bytes, big-endian, of the SHA-256 of the parts' texts joined by |."""
+    return random.Random(int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:16], "big"))
 
-    @F.pandas_udf("array<long>")
-    def draw(query: pd.Series, rows: pd.Series) -> pd.Series:
-        import hashlib
 
+def random_arm(items: DataFrame, seed: str, version: str = "", order: str = "item") -> DataFrame:
+    """query, item, position: each query's items drawn without replacement, one after the other from what is left.
+
+    The draw is that of seeded_twister(seed, version, "random", query) from the
+    list of eligible items in the order of the column order.  A query's list is
+    what one evaluator is to be shown.
+    """
+
+    @F.pandas_udf("array<string>")
+    def draw(query: pd.Series, rows: pd.Series) -> pd.Series:
         out = []
         for q, x in zip(query, rows, strict=True):
-            rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}\n{q}".encode()).digest()[:16], "big"))
-            pool, order = sorted(int(i) for i in x), []
+            rng, pool, drawn = seeded_twister(seed, version, "random", q), list(x), []
             while pool:
-                order.append(pool.pop(rng.randrange(len(pool))))
-            out.append(order)
+                drawn.append(pool.pop(rng.randrange(len(pool))))
+            out.append(drawn)
         return pd.Series(out)
 
-    lists = items.groupBy("query").agg(F.collect_set("item").alias("rows"))
-    return lists.select("query", F.posexplode(draw("query", "rows")).alias("at", "item")).select("query", "item", (F.col("at") + 1).alias("position"))
+    kind = items.schema["item"].dataType
+    entry = F.struct(F.col(order).alias("at"), F.col("item").cast("string").alias("item"))
+    lists = items.groupBy("query").agg(F.transform(F.array_sort(F.collect_set(entry)), lambda x: x["item"]).alias("rows"))
+    return lists.select("query", F.posexplode(draw("query", "rows")).alias("at", "item")).select("query", F.col("item").cast(kind).alias("item"), (F.col("at") + 1).alias("position"))
 
 
 def pool_split(n: int, share: float = 0.25) -> int:
@@ -100,8 +117,8 @@ def pool_split(n: int, share: float = 0.25) -> int:
 def split_pool(samples: DataFrame, seed: str, size: int) -> DataFrame:
     """samples with pool: tuning or held_back, by a seeded hash of their id. Specified behaviour."""
     key = F.sha2(F.concat_ws("\n", F.lit(seed), F.col("sample_id").cast("string")), 256)
-    order = Window.partitionBy("role").orderBy(key, "sample_id")
-    return samples.withColumn("pool", F.when(F.row_number().over(order) <= size, "held_back").otherwise("tuning"))
+    placed = _first_of_role(samples, "_held", [key], size)
+    return placed.withColumn("pool", F.when(F.col("_held"), "held_back").otherwise("tuning")).drop("_held")
 
 
 def balanced_assignment(pairs: DataFrame, evaluators: int, each: int, seed: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbral.operators.dataset import seeded_twister
+
 # Sizes of the recall curve, the top-k size, and the latency percentiles.
 CURVE = (5, 10, 20, 50, 100)
 TOP = 10
 RECOGNISED_MOST = 0.20
 SCORED_LEAST = 0.50
+#: Resamples of a bootstrap in one task.
+_RESAMPLES = 250
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -189,26 +192,36 @@ def flipped(verdicts: DataFrame, left_out: DataFrame) -> DataFrame:
     return verdicts.join(other, "gate", "left").select("gate", F.when(F.coalesce("flips", F.lit(False)), "inconclusive").otherwise(F.col("verdict")).alias("verdict"))
 
 
-def bootstrap_means(values: DataFrame, by: list[str], seed: str, resamples: int = 10_000) -> DataFrame:
+def bootstrap_means(values: DataFrame, by: list[str], seed: str, resamples: int = 10_000, order: str = "query", most: int = 1 << 20) -> DataFrame:
     """by, n, mean, low and high: a 95 % percentile interval of the mean under seeded resampling of a group's values.
 
-    A group is one row for each query; its values travel as an array and the
-    draws are made once for each group, by numpy's own seeded generator.
+    values: by, order and value, a row for each query; null values don't count.
+    Resample k draws n values, with replacement, from the group's list in the
+    order of the column order, by seeded_twister(seed, group, k).  Resamples are
+    dealt out, a task for each batch of them; each has the group's list, since a
+    draw may be any value.  A list of more than most values is an error.
     """
+    groups = values.where("value is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "value"))).alias("rows"), F.avg("value").alias("mean"), F.count("*").alias("n"))
+    fits = F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("a bootstrap over more values than "), F.lit(most)))).otherwise(F.transform("rows", lambda x: x["value"].cast("double")))
+    lists = groups.select(*by, "n", "mean", fits.alias("rows"))
 
-    @F.pandas_udf("struct<low double, high double>")
-    def interval(name: pd.Series, rows: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<double>")
+    def draws(name: pd.Series, rows: pd.Series, batch: pd.Series) -> pd.Series:
         out = []
-        for key, x in zip(name, rows, strict=True):
-            x = np.asarray(x, float)
-            rng = np.random.default_rng([ord(c) for c in f"{seed}|{key}"])
-            means = np.concatenate([x[rng.integers(0, len(x), (500, len(x)))].mean(axis=1) for _ in range(resamples // 500)])
-            out.append(np.quantile(means, [0.025, 0.975]))
-        return pd.DataFrame(out, columns=["low", "high"])
-
-    lists = values.where("value is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.sort_array(F.collect_list("value")).alias("rows"))
-    found = lists.withColumn("i", interval(F.concat_ws("|", *by), "rows"))
-    return found.select(*by, "n", "mean", "i.low", "i.high")
+        for key, x, first in zip(name, rows, batch, strict=True):
+            found = []
+            for k in range(first, min(first + _RESAMPLES, resamples)):
+                pick, total = seeded_twister(seed, key, k).randrange, 0.0
+                for _ in range(len(x)):
+                    total += x[pick(len(x))]
+                found.append(total / len(x))
+            out.append(found)
+        return pd.Series(out)
+
+    batches = lists.select(*by, "rows", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(_RESAMPLES))).alias("batch"))
+    dealt = batches.repartition(*by, "batch")
+    means = dealt.select(*by, F.explode(draws(F.concat_ws("|", *by), "rows", "batch")).alias("m")).groupBy(*by).agg(F.percentile("m", [0.025, 0.975]).alias("ends"))
+    return lists.drop("rows").join(means, by).select(*by, "n", "mean", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
 
 
 def session_counts(answers: DataFrame, planned: int) -> DataFrame:

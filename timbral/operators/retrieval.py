@@ -8,10 +8,12 @@ from the admitted rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbral.operators.ranking import in_blocks
 from timbral.schemas import BANDS, CANDIDATE_ROLES, RELIABLE
 
 # The dimensions in order, with their transforms.
@@ -111,11 +113,12 @@ def _normals(fitted: DataFrame) -> DataFrame:
 def similarities(kicks: DataFrame, candidates: DataFrame, fitted: DataFrame) -> DataFrame:
     """kick_id, sample_id, similarity, unavailable_reason, coverage and n_common of every pair.
 
-    kicks is the stated query set: a few rows, broadcast to the candidates'
+    kicks is the stated query set, broadcast in blocks to the candidates'
     partitions, as are the 14 normals.  Nothing is shuffled.
     """
     queries = coordinates(kicks).select(F.col("sample_id").alias("kick_id"), F.col("coords").alias("kick_coords"))
-    pairs = coordinates(candidates).select("sample_id", "coords").crossJoin(F.broadcast(_normals(fitted))).crossJoin(F.broadcast(queries))
+    placed = coordinates(candidates).select("sample_id", "coords").crossJoin(F.broadcast(_normals(fitted)))
+    pairs = reduce(DataFrame.unionByName, [placed.crossJoin(F.broadcast(part)) for part in in_blocks(queries, "kick_id")])
     z = F.zip_with("coords", "normals", lambda v, n: (v - n["mean"]) / n["std"])
     k = F.zip_with("kick_coords", "normals", lambda v, n: (v - n["mean"]) / n["std"])
     zipped = pairs.select("kick_id", "sample_id", F.zip_with(z, k, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("z"), F.size(F.filter("normals", lambda n: n["std"].isNotNull())).alias("active"))
@@ -150,11 +153,15 @@ def shortlist(pairs: DataFrame, size: int = SHORTLIST[1]) -> DataFrame:
 
 
 def cutoff_evidence(pairs: DataFrame, size: int = SHORTLIST[1]) -> DataFrame:
-    """For each kick: last_similarity, last_id, first_excluded_id, tied (ids with the last similarity), returned and limit_reason."""
-    placed = positions(pairs)
-    ends = placed.groupBy("kick_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("position") <= size, F.struct("position", "similarity", "sample_id"))).alias("last"), F.max(F.when(F.col("position") == size + 1, F.col("sample_id"))).alias("first_excluded_id"))
+    """For each kick: last_similarity, last_id, first_excluded_id, tied (ids with the last similarity), returned and limit_reason.
+
+    Only the first size + 1 rows of a kick are sorted, which each task cuts down
+    to before they are shuffled; the ties are found by their similarity.
+    """
+    first = positions(pairs).where(F.col("position") <= size + 1)
+    ends = first.groupBy("kick_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("position") <= size, F.struct("position", "similarity", "sample_id"))).alias("last"), F.max(F.when(F.col("position") == size + 1, F.col("sample_id"))).alias("first_excluded_id"))
     last = ends.select("kick_id", "n", F.col("last.similarity").alias("last_similarity"), F.col("last.sample_id").alias("last_id"), "first_excluded_id")
-    same = placed.join(last.select("kick_id", "last_similarity"), "kick_id").where(F.col("similarity") == F.col("last_similarity"))
+    same = pairs.join(last.select("kick_id", "last_similarity"), "kick_id").where(F.col("similarity") == F.col("last_similarity"))
     tied = same.groupBy("kick_id").agg(F.array_sort(F.collect_list("sample_id")).alias("tied"))
     joined = last.join(tied, "kick_id", "left")
-    return joined.select("kick_id", "last_similarity", "last_id", "first_excluded_id", F.coalesce("tied", F.array("last_id")).alias("tied"), F.least("n", F.lit(size)).alias("returned"), F.when(F.col("n") > size, "shortlist_size").otherwise("eligible_exhausted").alias("limit_reason"))
+    return joined.select("kick_id", "last_similarity", "last_id", "first_excluded_id", F.coalesce("tied", F.array("last_id")).alias("tied"), F.least("n", F.lit(size).cast("long")).alias("returned"), F.when(F.col("n") > size, "shortlist_size").otherwise("eligible_exhausted").alias("limit_reason"))

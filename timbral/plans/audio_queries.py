@@ -61,6 +61,10 @@ def resumed(spark: SparkSession, d: str) -> DataFrame:
     return extraction.run_counts(extraction.run(some, before.select("fingerprint", "measurements")), F.count("*"))
 
 
+def lenient_headers(spark: SparkSession, d: str) -> DataFrame:
+    return wav.scan_headers(files(spark, d)).select("vec_id", "error", "rate", "channels", "frames", "duration_ms")
+
+
 _X = "x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings)"
 _STATS = f"{_X}, s AS (SELECT vec_id, list_max(list_transform(v, lambda e: abs(e))) AS top, sqrt(list_avg(list_transform(v, lambda e: e * e))) AS rms FROM x)"
 _BAD = "vec_id % 50 = 0"
@@ -79,6 +83,7 @@ SELECT vec_id, block, round(level / max(level) OVER (PARTITION BY vec_id), 9) AS
     ),
     "A8_second_onsets": (second_onsets, None),
     "S6_headers": (headers, f"SELECT vec_id, CASE WHEN {_BAD} THEN 'invalid_audio' END AS error, CASE WHEN NOT {_BAD} THEN CAST({RATE} AS BIGINT) END AS rate, CASE WHEN NOT {_BAD} THEN CAST(1 AS BIGINT) END AS channels, CASE WHEN NOT {_BAD} THEN CAST(64 AS BIGINT) END AS frames FROM embeddings"),
+    "S6_lenient_headers": (lenient_headers, f"SELECT vec_id, CASE WHEN {_BAD} THEN 'unsupported_format' END AS error, CASE WHEN NOT {_BAD} THEN CAST({RATE} AS BIGINT) END AS rate, CASE WHEN NOT {_BAD} THEN CAST(1 AS BIGINT) END AS channels, CASE WHEN NOT {_BAD} THEN CAST(64 AS BIGINT) END AS frames, CASE WHEN NOT {_BAD} THEN CAST(64 AS DOUBLE) / {RATE} * 1000 END AS duration_ms FROM embeddings"),
     "S7_S19_chunks": (
         chunk_rows,
         f"SELECT vec_id, true AS wave, 'fmt ' AS name, CAST(20 AS BIGINT) AS start, CAST(16 AS BIGINT) AS size FROM embeddings UNION ALL SELECT vec_id, true, 'data', CAST(44 AS BIGINT), CAST(512 AS BIGINT) FROM embeddings WHERE NOT {_BAD}",

@@ -123,7 +123,7 @@ def all_flipped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return ev.bootstrap_means(_metrics(spark, d).select("arm", F.col("topk_mean").alias("value")), ["arm"], "seed-1")
+    return ev.bootstrap_means(_metrics(spark, d).select("arm", "query", F.col("topk_mean").alias("value")), ["arm"], "seed-1")
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:

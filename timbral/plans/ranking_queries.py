@@ -218,7 +218,7 @@ _TOP = f"""{_PAIRS.replace("WITH", "")},
 {_HYBRID[len(_SCORED) + 2:].replace("FROM scored s LEFT", "FROM (SELECT s.* FROM scored s JOIN placed p USING (kick_id, sample_id) WHERE p.position <= 100) s LEFT").replace("round(h_total / h_confidence, 9)", "h_total / h_confidence")}"""
 
 QUERIES = {
-    "S1_flagship_recommend": (top, f"WITH {_TOP} SELECT kick_id, sample_id, round(hc, 9) AS compatibility, mode, CAST(hrank AS INTEGER) AS rank FROM hr WHERE hrank <= 10"),
+    "R14_J9_L2_flagship_recommend": (top, f"WITH {_TOP} SELECT kick_id, sample_id, round(hc, 9) AS compatibility, mode, CAST(hrank AS INTEGER) AS rank FROM hr WHERE hrank <= 10"),
     "J1_pivot_features": (pivot, f"WITH {SAMPLES_CTE} SELECT sample_id, analysis_version, {', '.join(MEASURES)}, fundamental_confidence, tempo_confidence, key_tonic, key_mode, key_confidence FROM v_samples"),
     "F1_F6_admission": (admit, f"WITH {_ADMITTED} SELECT sample_id, coalesce(list_aggregate(reasons, 'string_agg', ','), '') AS reasons, len(reasons) = 0 AS eligible FROM admitted"),
     "F7_exclusion_tally": (tally, f"WITH {_ADMITTED} SELECT code, count(*) AS n FROM (SELECT unnest(reasons) AS code FROM admitted) GROUP BY code"),

@@ -12,7 +12,7 @@ REGISTERED = audio_queries.QUERIES | ranking_queries.QUERIES | library_queries.Q
 
 #: The queries that bench.py times, one or two for each kind of plan.
 HEADLINES = (
-    "S1_flagship_recommend",
+    "R14_J9_L2_flagship_recommend",
     "J1_pivot_features",
     "F1_F6_admission",
     "G8_G9_fit_normalization",

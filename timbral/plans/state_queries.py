@@ -78,6 +78,13 @@ def enqueued(spark: SparkSession, d: str) -> DataFrame:
     return jobs.enqueue(once, contents, "v1", 999).groupBy("version", "state").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("ids"))
 
 
+def enqueued_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The new items' ids, which follow the contents' order."""
+    items = _items(spark, d).where("content % 5 > 0")
+    contents = read(spark, d, "orders").select(F.col("o_orderkey").alias("content"))
+    return jobs.enqueue(items, contents, "v1", 999).where("run_id = 999 and item_id > 0").join(items.select("item_id"), "item_id", "left_anti").select("item_id", "content", "state")
+
+
 def horizon(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).agg(F.max("item_id").alias("horizon"), F.count("*").alias("n"))
 
@@ -293,6 +300,11 @@ CASE WHEN state <> 'running' THEN error_code WHEN item_id % 4 = 1 THEN 'read_fai
         enqueued,
         f"""WITH {JOBS_CTE}, i AS (SELECT * FROM v_jobs WHERE content % 5 > 0), k AS (SELECT item_id, version, CASE WHEN version = 'v1' AND state = 'cancelled' AND content < 1500 THEN 'pending' ELSE state END AS state FROM i
 UNION ALL SELECT -1 - c, 'v1', 'pending' FROM range(1500) r(c) WHERE c NOT IN (SELECT content FROM i WHERE version = 'v1')) SELECT version, state, count(*) AS n, count(DISTINCT item_id) AS ids FROM k GROUP BY ALL""",
+    ),
+    "T2_enqueued_ids": (
+        enqueued_ids,
+        f"""WITH {JOBS_CTE}, i AS (SELECT * FROM v_jobs WHERE content % 5 > 0), n AS (SELECT DISTINCT o_orderkey AS content FROM orders WHERE o_orderkey NOT IN (SELECT content FROM i WHERE version = 'v1'))
+SELECT (SELECT max(item_id) FROM i) + row_number() OVER (ORDER BY content) AS item_id, content, 'pending' AS state FROM n""",
     ),
     "G6_horizon": (horizon, f"WITH {JOBS_CTE} SELECT max(item_id) AS horizon, count(*) AS n FROM v_jobs"),
     "T14_recent_runs": (recent, f"WITH {_RUNS} SELECT run_id, started_at FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 32"),

@@ -76,6 +76,10 @@ def known_or_reason(value: Column, reason: Column) -> Column:
     return value.isNull() == reason.isNotNull()
 
 
+#: Measures that are never 0 and are known with a confidence only.
+POSITIVE = ("fundamental", "tempo")
+
+
 def measurement_problem(name: Column, value: Column, unit: Column, reason: Column, confidence: Column) -> Column:
     """The first rule that a measurement breaks, or null."""
     units = F.create_map(*(F.lit(x) for n, (u, _, _) in MEASURES.items() for x in (n, u)))
@@ -88,6 +92,9 @@ def measurement_problem(name: Column, value: Column, unit: Column, reason: Colum
         .when(value.isNotNull() & ~finite(value), "not_finite")
         .when(value < low[name], "below_range")
         .when(value > high[name], "above_range")
+        .when(name.isin(*POSITIVE) & (value <= 0), "not_positive")
+        .when(value.isNull() & confidence.isNotNull(), "confidence_of_unknown")
+        .when(name.isin(*POSITIVE) & value.isNotNull() & confidence.isNull(), "confidence_missing")
         .when(confidence.isNotNull() & ~confidence.between(0.0, 1.0), "confidence_range")
     )
 

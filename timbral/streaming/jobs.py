@@ -42,6 +42,27 @@ def progress(counts: DataFrame) -> DataFrame:
     return counts.withColumn("percent", percent)
 
 
+def number_rows(rows: DataFrame, key: str, each: int = 10_000) -> DataFrame:
+    """rows with _nth: 1, 2, ... in the order of their key, which is unique, without one task that sees them all.
+
+    Quantiles of the key - of the first six bytes of a text - cut the rows into
+    parts of about each rows; a part is numbered by itself, on top of the rows of
+    the parts before it.
+    """
+    parts = max(1, -(-rows.count() // each))
+    place = F.col(key)
+    if rows.schema[key].dataType.simpleString() == "string":
+        place = F.conv(F.rpad(F.hex(F.substring(place.cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    cut = rows.withColumn("_place", place.cast("double"))
+    ends = cut.agg(F.percentile_approx("_place", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("_ends"))
+    cut = cut.crossJoin(F.broadcast(ends)).withColumn("_part", F.size(F.filter("_ends", lambda e: e < F.col("_place")))).drop("_ends", "_place")
+    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    so_far = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    within = cut.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    return within.join(before, "_part").withColumn("_nth", F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+
+
 def enqueue(items: DataFrame, contents: DataFrame, version: str, run: int) -> DataFrame:
     """items with a pending one for each content that has none at the version; a cancelled one is pending again. Running it twice changes nothing."""
     mine = contents.select("content").distinct()
@@ -50,8 +71,7 @@ def enqueue(items: DataFrame, contents: DataFrame, version: str, run: int) -> Da
     kept = revived.withColumns({"state": F.when(again, "pending").otherwise(F.col("state")), "attempts": F.when(again, 0).otherwise(F.col("attempts"))}).select(*items.columns)
     new = mine.join(items.where(F.col("version") == version).select("content"), "content", "left_anti")
     top = items.agg(F.coalesce(F.max("item_id"), F.lit(0)).alias("_top"))
-    # ids follow the content's order; the content is unique, so its hash order serves any number of rows
-    numbered = new.crossJoin(F.broadcast(top)).withColumn("item_id", F.col("_top") + F.monotonically_increasing_id() + 1)
+    numbered = number_rows(new, "content").crossJoin(F.broadcast(top)).withColumn("item_id", F.col("_top") + F.col("_nth"))
     row = {"run_id": F.lit(run).cast("long"), "version": F.lit(version), "state": F.lit("pending"), "attempts": F.lit(0), "error_code": F.lit(None).cast("string")}
     return kept.unionByName(numbered.withColumns(row).select(*items.columns))
 
