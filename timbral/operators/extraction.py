@@ -10,13 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timbral.schemas import BANDS, MEASURES
-from timbral.sources.wav import EDGES, ENVELOPE_RATE, LOUDNESS_RATES, summaries
+from timbral.schemas import BANDS, MEASURES, TONICS
+from timbral.sources.wav import EDGES, ENVELOPE_RATE, LOUDNESS_RATES, NEAR_CENTS, PITCH_RATES, summaries
 
 # Loudness offset and gates; envelope thresholds and the tolerance of comparisons with them.
 OFFSET, ABSOLUTE_GATE, RELATIVE_GATE = -0.691, -70.0, -10.0
 ONSET, RISE, SECOND = 0.1, 0.9, 0.5
 ROUNDING = 8 * 2.0**-52
+# Shares of frames with a pitch, seconds and pitch classes that a key needs, fit and lead of the best key, and the
+# published Krumhansl-Kessler ratings of the twelve tones in a major and a minor key, from the tonic on.
+STEADY, KEY_SHARE, KEY_SECONDS, KEY_CLASSES, CLASS_SHARE = 0.80, 0.60, 4, 5, 0.05
+KEY_FIT, KEY_LEAD, SURE_LEAD = 0.80, 0.10, 0.30
+RATINGS = {
+    "major": (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88),
+    "minor": (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17),
+}
 
 
 def _silent() -> Column:
@@ -119,13 +127,89 @@ def _transient() -> dict[str, tuple[Column, Column]]:
     }
 
 
+def _at_share(values: Column, share: float) -> Column:
+    """The value at a share of the way through values, which are in order, between neighbours in proportion."""
+    place = (F.size(values) - 1) * share
+    low = F.floor(place).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return a + (place - low) * (b - a)
+
+
+def _with_pitch(df: DataFrame) -> DataFrame:
+    """df with what pitch and key are told from: coverage, the median of the pitches' logarithms and their spread in cents."""
+    logs = F.array_sort(F.transform("pitches", lambda p: F.log2(p)))
+    df = df.withColumn("_logs", logs).withColumn("_median", _at_share(F.col("_logs"), 0.5)).withColumn("_coverage", F.size("pitches") / F.col("active_frames"))
+    away = F.array_sort(F.transform("_logs", lambda x: F.abs(x - F.col("_median")) * 1200))
+    return df.withColumn("_spread", _at_share(away, 0.9))
+
+
+def _unpitched() -> Column:
+    return (
+        F.when(_silent(), "silent_audio")
+        .when(~F.col("rate").isin(*PITCH_RATES), "unsupported_harmony_sample_rate")
+        .when(F.col("active_frames").isNull() | (F.col("active_frames") < 3), "insufficient_active_frames")
+    )
+
+
+def _fundamental() -> tuple[Column, Column, Column]:
+    """Value, reason and confidence of the pitch that a file keeps throughout."""
+    refused = lambda why: F.array_contains("pitch_refusals", why)
+    only_range = (F.size("pitch_refusals") > 0) & F.forall("pitch_refusals", lambda r: r == "pitch_out_of_range")
+    reason = F.coalesce(
+        _unpitched(),
+        F.when(refused("channel_disagreement"), "channel_disagreement")
+        .when(refused("octave_ambiguity"), "octave_ambiguity")
+        .when((F.col("_coverage") < STEADY) & only_range, "pitch_out_of_range")
+        .when(F.col("_coverage") < STEADY, "insufficient_periodicity")
+        .when(F.col("_spread") > NEAR_CENTS + 1e-9, "unstable_pitch"),
+    )
+    confidence = _mean(F.col("periodicities")) * F.col("_coverage") * F.greatest(F.lit(0.0), 1 - F.col("_spread") / (2 * NEAR_CENTS))
+    return F.pow(F.lit(2.0), F.col("_median")), reason, confidence
+
+
+def _centred(values: list[float]) -> list[float]:
+    mean = sum(values) / len(values)
+    size = sum((v - mean) ** 2 for v in values) ** 0.5
+    return [(v - mean) / size for v in values]
+
+
+def _key() -> Column:
+    """tonic, mode, confidence and unavailable_reason of the key whose ratings correlate best with how long each tone sounds."""
+    tone = lambda p: F.pmod(F.floor(F.lit(69.5) + 12 * F.log2(p / 440)), F.lit(12)).cast("int")
+    tones = F.transform("pitches", tone)
+    share = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.size(F.filter(tones, lambda t: t == k)) / F.size("pitches"))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    centred = F.transform(share, lambda s: s - F.lit(1 / 12))
+    length = F.sqrt(total(F.transform(centred, lambda c: c * c)))
+    entries = []
+    for place, (mode, tonic) in enumerate((m, t) for m in RATINGS for t in range(12)):
+        rating = _centred([RATINGS[mode][(k - tonic) % 12] for k in range(12)])
+        dot = total(F.zip_with(centred, F.array(*map(F.lit, rating)), lambda c, r: c * r))
+        fit = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / length))
+        entries.append(F.struct((-fit).alias("order"), F.lit(place).alias("place"), F.lit(TONICS[tonic]).alias("tonic"), F.lit(mode).alias("mode")))
+    best = F.array_sort(F.array(*entries))
+    fit, lead = -best[0]["order"], best[1]["order"] - best[0]["order"]
+    reason = F.coalesce(
+        _unpitched(),
+        F.when(F.col("frames") < KEY_SECONDS * F.col("rate"), "insufficient_key_context")
+        .when((F.col("_coverage") < KEY_SHARE) | (F.size("pitches") == 0), "insufficient_key_pitch_coverage")
+        .when(F.size(F.filter(share, lambda s: s >= CLASS_SHARE)) < KEY_CLASSES, "insufficient_pitch_class_diversity")
+        .when(length <= 1e-15, "ambiguous_key_histogram")
+        .when(fit < KEY_FIT - 1e-12, "low_key_fit")
+        .when(lead < KEY_LEAD - 1e-12, "ambiguous_key"),
+    )
+    sure = fit * F.least(F.lit(1.0), lead / SURE_LEAD) * F.col("_coverage")
+    known = reason.isNull()
+    return F.struct(F.when(known, best[0]["tonic"]).alias("tonic"), F.when(known, best[0]["mode"]).alias("mode"), F.when(known, sure).alias("confidence"), reason.alias("unavailable_reason"))
+
+
 def measure(files: DataFrame) -> DataFrame:
-    """files (their columns but content) with error, rate, channels, frames and measurements: name, unit, value and unavailable_reason of each measure.
+    """files (their columns but content) with error, rate, channels, frames, key and measurements: name, unit, value, unavailable_reason and confidence of each measure.
 
-    A file that cannot be read has an error and no measurements.  Measures that
-    need a pitch or a tempo are not made here: not_implemented.
+    A file that cannot be read has an error and neither measurements nor a key.
+    Stereo width and tempo are not made here: not_implemented.
     """
-    df = _with_marks(summaries(files))
+    df = _with_pitch(_with_marks(summaries(files)))
     rms = F.col("peak") * F.col("scaled_rms")
     none = F.lit(None).cast("string")
     known: dict[str, tuple[Column, Column]] = {
@@ -136,13 +220,14 @@ def measure(files: DataFrame) -> DataFrame:
         "spectral_centroid": (F.col("centroid"), _spectral_reason()),
         "spectral_rolloff": (F.col("rolloff"), _spectral_reason()),
     }
-    known |= {band: _band(k) for k, band in enumerate(BANDS)} | _transient()
+    *pitch, confidence = _fundamental()
+    known |= {band: _band(k) for k, band in enumerate(BANDS)} | _transient() | {"fundamental": tuple(pitch)}
     entries = []
     for name, (unit, _, _) in MEASURES.items():
         value, reason = known.get(name, (F.lit(None).cast("double"), F.lit("not_implemented")))
-        entries.append(F.struct(F.lit(name).alias("name"), F.lit(unit).alias("unit"), F.when(reason.isNull(), value).alias("value"), reason.alias("unavailable_reason")))
+        entries.append(F.struct(F.lit(name).alias("name"), F.lit(unit).alias("unit"), F.when(reason.isNull(), value).alias("value"), reason.alias("unavailable_reason"), F.when(reason.isNull(), confidence if name == "fundamental" else F.lit(None).cast("double")).alias("confidence")))
     kept = [c for c in files.columns if c != "content"]
-    return df.select(*kept, "error", "rate", "channels", "frames", F.when(F.col("error").isNull(), F.array(*entries)).alias("measurements"))
+    return df.select(*kept, "error", "rate", "channels", "frames", F.when(F.col("error").isNull(), F.array(*entries)).alias("measurements"), F.when(F.col("error").isNull(), _key()).alias("key"))
 
 
 def run(files: DataFrame, done: DataFrame) -> DataFrame:
@@ -154,8 +239,10 @@ def run(files: DataFrame, done: DataFrame) -> DataFrame:
     """
     found = files.withColumn("fingerprint", F.sha2("content", 256))
     fresh = found.join(done.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", "content").groupBy("fingerprint").agg(F.min("content").alias("content"))
-    made = measure(fresh).select("fingerprint", "error", "measurements", F.lit(False).alias("reused"))
-    old = done.dropDuplicates(["fingerprint"]).select("fingerprint", F.lit(None).cast("string").alias("error"), F.col("measurements"), F.lit(True).alias("reused"))
+    fields = [f.name for f in done.schema["measurements"].dataType.elementType]  # results of an older version may lack some
+    kept = F.transform("measurements", lambda m: F.struct(*(m[f] for f in fields))).alias("measurements")
+    made = measure(fresh).select("fingerprint", "error", kept, F.lit(False).alias("reused"))
+    old = done.dropDuplicates(["fingerprint"]).select("fingerprint", F.lit(None).cast("string").alias("error"), F.transform("measurements", lambda m: F.struct(*(m[f] for f in fields))).alias("measurements"), F.lit(True).alias("reused"))
     status = F.when(F.col("error").isNull(), "complete").otherwise("failed")
     return found.select("path", "fingerprint").join(made.unionByName(old), "fingerprint").select("path", "fingerprint", status.alias("status"), "error", "reused", "measurements")
 
