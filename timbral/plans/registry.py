@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbral.plans import audio_queries, evaluation_queries, library_queries, ranking_queries, state_queries
+from timbral.plans import audio_queries, evaluation_queries, library_queries, ranking_queries, record_queries, state_queries
 
-REGISTERED = audio_queries.QUERIES | ranking_queries.QUERIES | library_queries.QUERIES | evaluation_queries.QUERIES | state_queries.QUERIES
+REGISTERED = audio_queries.QUERIES | ranking_queries.QUERIES | library_queries.QUERIES | evaluation_queries.QUERIES | state_queries.QUERIES | record_queries.QUERIES
 
 #: The queries that bench.py times, one or two for each kind of plan.
 HEADLINES = (
