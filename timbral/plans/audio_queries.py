@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbral.operators import extraction
+from timbral.schemas import BANDS, TONICS
 from timbral.sources import wav
 from timbral.sources.views import read
 
@@ -65,6 +66,37 @@ def lenient_headers(spark: SparkSession, d: str) -> DataFrame:
     return wav.scan_headers(files(spark, d)).select("vec_id", "error", "rate", "channels", "frames", "duration_ms")
 
 
+def tones(spark: SparkSession, d: str) -> DataFrame:
+    """A second of one tone for each nation, and twelve seconds of a scale for each region: what is known of them beforehand."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = np.arange(48000) / 48000
+        for batch in batches:
+            yield pd.DataFrame({"k": batch["k"], "content": [wav.encode(0.5 * np.sin(2 * np.pi * (60 + 37 * k) * t)[:, None], 48000) for k in batch["k"]]})
+
+    def scales(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            files = []
+            for tonic in batch["k"]:
+                weights = np.array(extraction.RATINGS["major"]) - 2
+                notes = [(220 * 2 ** ((tonic + n - 9) % 12 / 12), int(12 * 48000 * w / weights.sum())) for n, w in enumerate(weights)]
+                files.append(wav.encode(np.concatenate([0.5 * np.sin(2 * np.pi * f * np.arange(n) / 48000) for f, n in notes])[:, None], 48000))
+            yield pd.DataFrame({"k": batch["k"], "content": files})
+
+    value = lambda n: F.filter("measurements", lambda m: m["name"] == n)[0]["value"]
+    heard = extraction.measure(read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")).mapInPandas(made, "k long, content binary"))
+    near = F.abs(F.log2(value("fundamental") / (60 + 37 * F.col("k"))) * 1200) < 8
+    widest = F.array_max(F.array(*(F.struct(value(b).alias("share"), F.lit(b).alias("band")) for b in BANDS)))
+    single = heard.select(F.lit("tone").alias("kind"), "k", F.round(value("spectral_centroid")).cast("long").alias("centroid"), F.round(value("spectral_rolloff")).cast("long").alias("rolloff"), F.coalesce(near, F.lit(False)).alias("pitch"), widest["band"].alias("band"), F.col("key.tonic").alias("tonic"), F.col("key.mode").alias("mode"))
+    keys = extraction.measure(read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k")).mapInPandas(scales, "k long, content binary"))
+    none = F.lit(None)
+    return single.unionByName(keys.select(F.lit("scale").alias("kind"), "k", none.cast("long").alias("centroid"), none.cast("long").alias("rolloff"), none.cast("boolean").alias("pitch"), none.cast("string").alias("band"), F.col("key.tonic").alias("tonic"), F.col("key.mode").alias("mode")))
+
+
+def _band_sql(f: str) -> str:
+    return "CASE " + " ".join(f"WHEN {f} >= {low} AND {f} < {high} THEN '{name}'" for name, (low, high) in zip(BANDS, wav.EDGES.values(), strict=True)) + " END"
+
+
 _X = "x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings)"
 _STATS = f"{_X}, s AS (SELECT vec_id, list_max(list_transform(v, lambda e: abs(e))) AS top, sqrt(list_avg(list_transform(v, lambda e: e * e))) AS rms FROM x)"
 _BAD = "vec_id % 50 = 0"
@@ -84,6 +116,12 @@ SELECT vec_id, block, round(level / max(level) OVER (PARTITION BY vec_id), 9) AS
     "A8_second_onsets": (second_onsets, None),
     "S6_headers": (headers, f"SELECT vec_id, CASE WHEN {_BAD} THEN 'invalid_audio' END AS error, CASE WHEN NOT {_BAD} THEN CAST({RATE} AS BIGINT) END AS rate, CASE WHEN NOT {_BAD} THEN CAST(1 AS BIGINT) END AS channels, CASE WHEN NOT {_BAD} THEN CAST(64 AS BIGINT) END AS frames FROM embeddings"),
     "S6_lenient_headers": (lenient_headers, f"SELECT vec_id, CASE WHEN {_BAD} THEN 'unsupported_format' END AS error, CASE WHEN NOT {_BAD} THEN CAST({RATE} AS BIGINT) END AS rate, CASE WHEN NOT {_BAD} THEN CAST(1 AS BIGINT) END AS channels, CASE WHEN NOT {_BAD} THEN CAST(64 AS BIGINT) END AS frames, CASE WHEN NOT {_BAD} THEN CAST(64 AS DOUBLE) / {RATE} * 1000 END AS duration_ms FROM embeddings"),
+    "A4_A6_A10_A12_tones": (
+        tones,
+        f"""WITH t AS (SELECT CAST(n_nationkey AS BIGINT) AS k, 60 + 37 * n_nationkey AS f FROM nation)
+SELECT 'tone' AS kind, k, CAST(f AS BIGINT) AS centroid, CAST(f AS BIGINT) AS rolloff, true AS pitch, {_band_sql("f")} AS band, CAST(NULL AS VARCHAR) AS tonic, CAST(NULL AS VARCHAR) AS mode FROM t
+UNION ALL SELECT 'scale', r_regionkey, NULL, NULL, NULL, NULL, ({list(TONICS)})[r_regionkey + 1], 'major' FROM region""",
+    ),
     "S7_S19_chunks": (
         chunk_rows,
         f"SELECT vec_id, true AS wave, 'fmt ' AS name, CAST(20 AS BIGINT) AS start, CAST(16 AS BIGINT) AS size FROM embeddings UNION ALL SELECT vec_id, true, 'data', CAST(44 AS BIGINT), CAST(512 AS BIGINT) FROM embeddings WHERE NOT {_BAD}",
