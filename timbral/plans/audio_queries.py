@@ -66,6 +66,13 @@ def lenient_headers(spark: SparkSession, d: str) -> DataFrame:
     return wav.scan_headers(files(spark, d)).select("vec_id", "error", "rate", "channels", "frames", "duration_ms")
 
 
+def half_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """A run over all files that finds those of even number analysed before."""
+    some = files(spark, d).withColumn("path", F.concat(F.lit("a/"), "vec_id"))
+    before = extraction.measure(some.where("vec_id % 2 = 0").select(F.sha2("content", 256).alias("fingerprint"), "content")).where("error is null")
+    return extraction.run_counts(extraction.run(some.drop("vec_id"), before.select("fingerprint", "measurements")), F.count("*"))
+
+
 def tones(spark: SparkSession, d: str) -> DataFrame:
     """A second of one tone for each nation, and twelve seconds of a scale for each region: what is known of them beforehand."""
 
@@ -127,4 +134,8 @@ UNION ALL SELECT 'scale', r_regionkey, NULL, NULL, NULL, NULL, ({list(TONICS)})[
         f"SELECT vec_id, true AS wave, 'fmt ' AS name, CAST(20 AS BIGINT) AS start, CAST(16 AS BIGINT) AS size FROM embeddings UNION ALL SELECT vec_id, true, 'data', CAST(44 AS BIGINT), CAST(512 AS BIGINT) FROM embeddings WHERE NOT {_BAD}",
     ),
     "A15_A16_resumed_run": (resumed, None),
+    "A15_A16_half_resumed_run": (
+        half_resumed,
+        f"SELECT count(*) AS discovered, count(*) AS total, count(*) FILTER (WHERE NOT {_BAD}) AS completed, count(*) FILTER (WHERE {_BAD}) AS failed, CAST(0 AS BIGINT) AS remaining, count(*) FILTER (WHERE NOT {_BAD} AND vec_id % 2 = 1) AS analyzed, count(*) FILTER (WHERE NOT {_BAD} AND vec_id % 2 = 0) AS reused FROM embeddings",
+    ),
 }

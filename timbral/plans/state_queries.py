@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from timbral.functions import documents as docs_
 from timbral.functions import scalars as sc
 from timbral.operators import judgments as jd
 from timbral.operators import library
-from timbral.operators.ranking import interval_class
-from timbral.plans.ranking_queries import _eligible, _kicks
-from timbral.schemas import JOB_STATES, LABEL_SCORES, TONICS, feature_problems
+from timbral.operators.ranking import in_blocks, interval_class
+from timbral.plans.ranking_queries import _BASE, _eligible, _kicks
+from timbral.schemas import BANDS, JOB_STATES, LABEL_SCORES, TONICS, feature_problems
 from timbral.sources import views
-from timbral.sources.views import JOBS_CTE, OUTCOMES_CTE, SAMPLES_CTE, read
+from timbral.sources.views import CONTENT_CTE, JOBS_CTE, OUTCOMES_CTE, SAMPLES_CTE, read
 from timbral.streaming import jobs, outcomes, palette, scan
 
 
@@ -237,8 +239,9 @@ def dataset_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    kicks = _kicks(spark, d).select(F.struct("*").alias("k"))
-    found = jd.questions(_eligible(spark, d).select(F.struct("*").alias("c")).crossJoin(F.broadcast(kicks)))
+    c = _eligible(spark, d).select(F.struct("*").alias("c"))
+    pairs = [c.crossJoin(F.broadcast(part.select(F.struct("*").alias("k")))) for part in in_blocks(_kicks(spark, d), "sample_id")]
+    found = jd.questions(reduce(DataFrame.unionByName, pairs))
     return found.groupBy("dimension", "unavailable").agg(F.count("*").alias("n"))
 
 
@@ -262,6 +265,20 @@ l AS (SELECT *, coalesce(before = 'selected', false) AS live FROM b), s AS (SELE
 log AS (SELECT CASE WHEN event_type = 'selected' AND live THEN since ELSE event_id END AS event_id, project_id, candidate_id, event_type,
   CASE WHEN event_type = 'removed' AND NOT live THEN 'nothing_to_remove' WHEN event_type = 'rejected' AND live THEN 'already_selected' END AS code,
   NOT (event_type = 'removed' AND NOT live) AND NOT (event_type = 'rejected' AND live) AND NOT (event_type = 'selected' AND live) AS created, CASE WHEN event_type = 'removed' AND live THEN since END AS removes_event_id, happened_at FROM s)"""
+
+
+def _questions_sql() -> str:
+    """A row for each kick, candidate and dimension with the first fact that is missing."""
+    parts = []
+    for dimension, (kick, candidate) in jd.REQUIRED.items():
+        tests = [f"WHEN k.{n} IS NULL THEN 'kick_{n}_unknown'" for n in kick] + [f"WHEN c.{n} IS NULL THEN 'candidate_{n}_unknown'" for n in candidate]
+        if dimension == "frequency":
+            tests += [f"WHEN {' + '.join(f'{s}.{b}' for b in BANDS)} = 0 THEN '{name}_band_energy_zero'" for s, name in (("k", "kick"), ("c", "candidate"))]
+        parts.append(f"SELECT '{dimension}' AS dimension, CASE {' '.join(tests)} END AS unavailable FROM kicks k, eligible c")
+    return " UNION ALL ".join(parts)
+
+
+_QUESTIONS = _questions_sql()
 _FOLD = f"WITH {_LOG} SELECT event_id, project_id, candidate_id, event_type, code, created, removes_event_id FROM log"
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in JOB_STATES)
 _SCAN = """t AS (SELECT doc_id, text, 'a/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS a, 'b/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS b FROM documents),
@@ -360,8 +377,12 @@ round(v[2] * 0.25 + v[3] * 0.5 + v[4] * 0.75 + v[5], 9) AS expected, '{",".join(
     ),
     "X9_X10_exact_text": (shown_text, None),
     "R24_palette_hash": (palette_hashes, None),
-    "R27_dataset_version": (dataset_versions, None),
-    "Q1_Q2_questions": (asked, None),
+    "R27_dataset_version": (
+        dataset_versions,
+        f"""WITH {CONTENT_CTE}, k AS (SELECT sha256(concat_ws(chr(10), sample_id, sha, role)) AS k FROM v_content), g AS (SELECT k[1:3] AS part, sha256(string_agg(k, '' ORDER BY k)) AS sha FROM k GROUP BY 1)
+SELECT sha256('policy-1' || chr(10) || string_agg(sha, '' ORDER BY part)) AS version FROM g""",
+    ),
+    "Q1_Q2_questions": (asked, f"WITH {_BASE}, q AS ({_QUESTIONS}) SELECT dimension, unavailable, count(*) AS n FROM q GROUP BY ALL"),
     "Q10_Q13_resolve_judgments": (
         resolved,
         """WITH t AS (SELECT i AS question_id, CASE WHEN i % 3 > 0 THEN 'good' END AS label, i / CAST(300 AS DOUBLE) AS confidence FROM range(300) r(i)), a AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_id % 300 END AS q FROM events)
