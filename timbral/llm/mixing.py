@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from timbral.llm.shared import shuffle_width
 
-#: Up to so many sources their rates are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
+#: Up to so many sources their rates are broadcast (a distribution of some 60 to 120 numbers each); beyond, they are joined by a shuffle.
 MOST_BROADCAST = 20_000
 #: A mean is split into parts of this size at most, so that exp(-mean) can't vanish.
 MEAN = 16.0
@@ -82,4 +82,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     key = F.substring(F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 16)
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
     mixed = copies.select(*kept, "copy", key.alias("shuffle_key"))
-    return mixed.repartitionByRange(shuffle_width(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    # keys are uniform: their first digits tell the range, without a sample that would read everything twice
+    width = shuffle_width(spark)
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * width / F.lit(float(1 << 32))).cast("int")
+    return mixed.repartitionById(width, part).sortWithinPartitions("shuffle_key")
