@@ -121,3 +121,18 @@ def test_first_of_role_and_budgets(spark):
                     if n <= 60 and total <= 1200:
                         want.add(key)
         assert got == want
+
+
+def test_identities_of_records(spark):
+    from timbral.functions.documents import digest
+    from timbral.operators import records
+
+    rows = [(1, "b1", "r1", None), (2, "b1", "r2", None), (3, "b1", "r1", digest({"batch": "b1", "reader": "r1"})), (4, "b1", "r1", "other")]
+    df = spark.createDataFrame(rows, "k int, batch string, reader string, stated string")
+    got = {r["k"]: (r["version"], r["problem"]) for r in records.analysis_version(df, ["batch", "reader"]).collect()}
+    one = digest({"batch": "b1", "reader": "r1"})
+    assert got == {1: (one, None), 2: (digest({"batch": "b1", "reader": "r2"}), None), 3: (one, None), 4: (one, "descriptor_mismatch")}
+    entries = [(r, p, f"d{p}", "linear", 3, 0.5, 1.0, None) for r in (1, 2) for p in range(4)] + [(3, p, f"d{p}", "linear", 4, 0.5, 1.0, None) for p in range(4)]
+    df = spark.createDataFrame(entries, "record int, place int, dimension string, transform string, n long, mean double, std double, inactive_reason string").repartition(5)
+    ids = {r["record"]: r["normalization_id"] for r in records.normalization_id(df, ["record"]).collect()}
+    assert ids[1] == ids[2] != ids[3] and len(ids[1]) == 64
