@@ -80,6 +80,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timbral.llm.conversations import damaged_repair
+
+    return damaged_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -138,5 +144,72 @@ FROM rows JOIN last USING (hex) JOIN digests USING (hex)
 """
 
 
+#: A CRC-32 bit by bit; a walk down each conversation that carries the cheapest (cost, audit, text) of the four states.
+_FAR = 1_000_000_000
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "") -> str:
+    text = f" || chr(10) || {line}" if line else ""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t{text}}}"
+
+
+def _filled(source: str) -> str:
+    """One more insertion in every state."""
+    users = ", ".join(_edit(s, "5", "I", "'user:'") for s in ("s0", "s1", "s3"))
+    return f"SELECT * REPLACE (list_min([s2, {users}]) AS s2, list_min([s3, {_edit('s2', '5', 'I', chr(39) + 'assistant:' + chr(39))}]) AS s3) FROM ({source})"
+
+
+def _row_moves() -> str:
+    spare = f"(CASE WHEN fault IN ('blank', 'duplicate') THEN {_FAR} WHEN fault = 'truncated' THEN 5 ELSE 0 END)"
+    keep = lambda s, initial: _edit(s, f"{spare} + CASE WHEN role[1] = '{initial}' THEN 0 ELSE {_FAR} END", "K", "role || ':' || text")
+    give = lambda s, role: _edit(s, f"{spare} + 1", "R", f"'{role}:' || text")
+    drop = lambda s: _edit(s, "2", "D")
+    to_user = ", ".join(f(s) for s in ("s0", "s1", "s3") for f in (lambda s: keep(s, "u"), lambda s: give(s, "user")))
+    return f"{drop('s0')} AS s0, list_min([{drop('s1')}, {keep('s0', 's')}]) AS s1, list_min([{drop('s2')}, {to_user}]) AS s2, list_min([{drop('s3')}, {keep('s2', 'a')}, {give('s2', 'assistant')}]) AS s3"
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), kinds AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS kind
+  FROM given
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         UNNEST(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS n FROM damaged
+), rows AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+                 WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+         LAG(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair
+  FROM numbered
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS s0, {{'c': CAST({_FAR} AS BIGINT), 'a': '', 't': ''}} AS s1,
+         {{'c': CAST({_FAR} AS BIGINT), 'a': '', 't': ''}} AS s2, {{'c': CAST({_FAR} AS BIGINT), 'a': '', 't': ''}} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, n, {_row_moves()}
+  FROM ({_filled(_filled("SELECT r.conv_id, r.n, r.role, r.text, r.fault, w.s0, w.s1, w.s2, w.s3 FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n + 1"))})
+), ends AS (
+  SELECT conv_id, list_min([s0, s3]) AS best
+  FROM ({_filled(_filled("SELECT * FROM walk QUALIFY ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1"))})
+), counts AS (
+  SELECT conv_id, CAST(COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS BIGINT) AS gaps, COUNT(*) FILTER (WHERE fault = 'blank') AS blank,
+         COUNT(*) FILTER (WHERE fault = 'duplicate') AS duplicate, COUNT(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         COUNT(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+)
+SELECT e.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated,
+       COALESCE(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing_to_target_weights": MIXING_SQL, "op8_warc": WARC_SQL}
+    return {"op2_mixing_to_target_weights": MIXING_SQL, "op8_warc": WARC_SQL, "op13_conversation_repair": REPAIR_SQL}
