@@ -80,6 +80,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timbral.llm.personal_data import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from timbral.llm.conversations import damaged_repair
 
@@ -184,9 +190,11 @@ WITH RECURSIVE given AS (
 ), numbered AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS n FROM damaged
 ), rows AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
                  WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault,
          LAG(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair
   FROM numbered
 ), walk AS (
