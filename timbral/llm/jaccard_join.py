@@ -10,8 +10,8 @@ compared.  The work has four parts:
   least.  Each class sends one signature for each segment, and the classes that
   share a signature are neighbours of the least of them, their *centre*.  What e
   allows is left out.  Classes that share a signature agree on its being
-  frequent: one with few frequent signatures, as those that a shared passage
-  gives, leaves all of them out.  Of the others each class leaves out some that
+  frequent and on its centre: each leaves out frequent signatures, as those that
+  a shared passage gives, in the order of their centres.  Of the others each class leaves out some that
   it shares with the rarest of its centres, which are mostly met by chance.  No
   pairs are made, and neighbourhoods are not joined, so that they do not chain.
 * **T-occurrence search.**  A neighbourhood is a task; above ``block`` shingles
@@ -229,8 +229,10 @@ def _neighbourhoods(near: DataFrame, segments: _Segments) -> DataFrame:
     counts = stars.groupBy("a", "center", "level").agg(F.sum("n").alias("n"), F.sum("frequent").alias("frequent"))
     may = lambda most: F.coalesce(F.try_element_at(F.array(*map(F.lit, most)), F.col("level") + 1), F.lit(0))
     own = Window.partitionBy("a", "level")
-    few = counts.withColumn("all_frequent", F.sum("frequent").over(own))
-    rest = few.withColumn("n", F.when(F.col("all_frequent") <= may(segments.frequent), F.col("n") - F.col("frequent")).otherwise(F.col("n"))).where("n > 0")
+    # frequent signatures go in the order of their centres, of which the least have the most classes: what two linked classes
+    # leave out of those they share is a beginning of one list, the longer of two, so it is no more than one of them may leave out
+    first = own.orderBy("center").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = counts.withColumn("upto", F.sum("frequent").over(first)).withColumn("n", F.when(F.col("upto") <= may(segments.frequent), F.col("n") - F.col("frequent")).otherwise(F.col("n"))).where("n > 0")
     rarest = own.orderBy("n", "center").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = rest.withColumn("upto", F.sum("n").over(rarest)).where(F.col("upto") > may(segments.chance))
     both = F.explode(F.array(F.struct(F.col("a").alias("cls"), "center"), F.struct(F.col("center").alias("cls"), "center"))).alias("r")
