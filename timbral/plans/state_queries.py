@@ -36,24 +36,26 @@ def scope_counts(spark: SparkSession, d: str) -> DataFrame:
     return jobs.scope_counts(_items(spark, d), 7, "v1")
 
 
-def claimed(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    return jobs.claim(items, jobs.claimable(items, 5000, 20), 999).where("item_id <= 5000").groupBy("state").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"), F.count_if(F.col("run_id") == 999).alias("mine"))
+NOW = "2024-03-01T00:00:00Z"
 
 
 def all_claimed(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    return jobs.claim(items, jobs.claimable(items, 5000, 20), 999).groupBy("state").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"), F.count_if(F.col("run_id") == 999).alias("mine"))
+    return jobs.claim(_items(spark, d), 999, "v1", NOW, 20, horizon=5000).groupBy("state", "error_code").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"), F.count_if(F.col("run_id") == 999).alias("mine"), F.count_if(F.col("finished_at") == NOW).alias("now"))
 
 
 def finished(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    results = items.where("state = 'running'").select("item_id", F.when(F.col("item_id") % 4 == 1, "read_failed").when(F.col("item_id") % 4 == 2, "decode_failed").alias("code"))
-    return jobs.finish(items, results).select("item_id", "state", "error_code")
+    results = items.where("state = 'running'").select("item_id", F.when(F.col("item_id") % 15 < 13, F.try_element_at(F.array(*(F.lit(c) for c in (*jobs.RETRYABLE, *jobs.TERMINAL))), (F.col("item_id") % 15 + 1).cast("int"))).alias("code"))
+    return jobs.finish(items, results, NOW).select("item_id", "run_id", "state", "attempts", "error_code", jobs.stage(F.col("error_code")).alias("stage"), "finished_at")
 
 
 def reconciled(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.reconcile(_items(spark, d), _runs(spark, d), "2024-01-31T00:00:00Z").groupBy("state").agg(F.count("*").alias("n"))
+    found = jobs.reconcile(_items(spark, d), _runs(spark, d), "2024-01-30T23:00:30Z")
+    return found.groupBy("state").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"), F.count("run_id").alias("held"))
+
+
+def interrupted(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.interrupted_runs(_runs(spark, d), "2024-01-30T23:00:30Z").select("run_id", "state", "finished_at")
 
 
 def live(spark: SparkSession, d: str) -> DataFrame:
@@ -61,13 +63,22 @@ def live(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retried(spark: SparkSession, d: str) -> DataFrame:
-    both = jobs.cancel_pending(jobs.retry_failed(_items(spark, d), 7), 8)
-    return both.where("run_id in (7, 8)").select("item_id", "state", "attempts")
+    both = jobs.cancel_pending(jobs.retry_failed(_items(spark, d), "v1"), 8, "v2", NOW)
+    return both.select("item_id", "run_id", "state", "attempts", "error_code", "finished_at")
+
+
+def _ended(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d).withColumn("state", F.lit("complete"))
 
 
 def pruned(spark: SparkSession, d: str) -> DataFrame:
-    runs = _runs(spark, d).where("state <> 'running'")
-    return jobs.prune(_items(spark, d), runs, "2024-01-30T12:00:00Z").groupBy("state").agg(F.count("*").alias("n"))
+    return jobs.prune(_items(spark, d), _ended(spark, d), "2024-02-15T12:00:00Z").select("item_id", "state")
+
+
+def prune_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What goes when all runs have ended, and while one is running."""
+    items = _items(spark, d)
+    return jobs.prune_counts(items, _ended(spark, d), "2024-02-15T12:00:00Z").unionByName(jobs.prune_counts(items, _runs(spark, d), "2024-02-15T12:00:00Z"))
 
 
 def orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -76,15 +87,15 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
 
 def enqueued(spark: SparkSession, d: str) -> DataFrame:
     contents = spark.range(1500).withColumnRenamed("id", "content")
-    once = jobs.enqueue(_items(spark, d).where("content % 5 > 0"), contents, "v1", 999)
-    return jobs.enqueue(once, contents, "v1", 999).groupBy("version", "state").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("ids"))
+    once = jobs.enqueue(_items(spark, d).where("content % 5 > 0"), contents, "v1")
+    return jobs.enqueue(once, contents, "v1").groupBy("version", "state").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("ids"))
 
 
 def enqueued_ids(spark: SparkSession, d: str) -> DataFrame:
     """The new items' ids, which follow the contents' order."""
     items = _items(spark, d).where("content % 5 > 0")
     contents = read(spark, d, "orders").select(F.col("o_orderkey").alias("content"))
-    return jobs.enqueue(items, contents, "v1", 999).where("run_id = 999 and item_id > 0").join(items.select("item_id"), "item_id", "left_anti").select("item_id", "content", "state")
+    return jobs.enqueue(items, contents, "v1").where("run_id is null").join(items.select("item_id"), "item_id", "left_anti").select("item_id", "content", "state")
 
 
 def horizon(spark: SparkSession, d: str) -> DataFrame:
@@ -206,10 +217,6 @@ def _judged(li: DataFrame) -> DataFrame:
     return rows.select("id", "q", sc.probability_problem(F.col("p"), F.col("label")).alias("problem"), F.round(sc.expected_score(F.col("p")), 9).alias("expected"), F.array_join(F.transform(sc.canonical_order(F.col("p")), lambda x: x["label"]), ",").alias("labels"))
 
 
-def probabilities(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(read(spark, d, "lineitem").where("l_orderkey < 2000"))
-
-
 def all_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return _judged(read(spark, d, "lineitem"))
 
@@ -259,7 +266,7 @@ def bad_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RUNS = "runs AS (SELECT user_id AS run_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS heartbeat_at, CASE WHEN user_id % 3 = 0 THEN 'running' ELSE 'complete' END AS state FROM events GROUP BY user_id)"
-_LIVE = "strptime('{0}', '%Y-%m-%dT%H:%M:%SZ') - strptime(heartbeat_at, '%Y-%m-%dT%H:%M:%SZ') <= INTERVAL 60 SECONDS"
+_LIVE = "strptime('{0}', '%Y-%m-%dT%H:%M:%SZ') - strptime(heartbeat_at, '%Y-%m-%dT%H:%M:%SZ') < INTERVAL 60 SECONDS"
 _LOG = f"""{OUTCOMES_CTE}, b AS (SELECT *, last_value(CASE WHEN event_type IN ('selected', 'removed') THEN event_type END IGNORE NULLS) OVER (PARTITION BY project_id, candidate_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v_outcomes),
 l AS (SELECT *, coalesce(before = 'selected', false) AS live FROM b), s AS (SELECT *, last_value(CASE WHEN event_type = 'selected' AND NOT live THEN event_id END IGNORE NULLS) OVER (PARTITION BY project_id, candidate_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM l),
 log AS (SELECT CASE WHEN event_type = 'selected' AND live THEN since ELSE event_id END AS event_id, project_id, candidate_id, event_type,
@@ -296,22 +303,42 @@ QUERIES = {
         f"WITH {JOBS_CTE}, c AS (SELECT run_id, {_COUNTS} FROM v_jobs GROUP BY run_id) SELECT *, pending + running AS remaining, CASE WHEN complete + failed + pending + running > 0 THEN CAST(round(100.0 * (complete + failed) / (complete + failed + pending + running)) AS INTEGER) END AS percent FROM c",
     ),
     "G2_M12_scope_counts": (scope_counts, f"WITH {JOBS_CTE} SELECT state, count(*) AS n FROM v_jobs WHERE run_id = 7 OR (state = 'pending' AND version = 'v1') GROUP BY state"),
-    "T3_L9_claim": (
-        claimed,
-        f"""WITH {JOBS_CTE}, c AS (SELECT * FROM v_jobs WHERE state = 'pending' AND item_id <= 5000 ORDER BY item_id LIMIT 20),
-n AS (SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM c) THEN 'running' WHEN state = 'pending' AND EXISTS (SELECT 1 FROM c WHERE c.content = v_jobs.content AND c.version <> v_jobs.version) THEN 'superseded' ELSE state END AS state,
-  attempts + CASE WHEN item_id IN (SELECT item_id FROM c) THEN 1 ELSE 0 END AS attempts, CASE WHEN item_id IN (SELECT item_id FROM c) THEN 999 ELSE run_id END AS run_id FROM v_jobs)
-SELECT state, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (WHERE run_id = 999) AS mine FROM n WHERE item_id <= 5000 GROUP BY state""",
+    "T3_L9_all_claim": (
+        all_claimed,
+        f"""WITH {JOBS_CTE}, c AS (SELECT item_id FROM v_jobs WHERE state = 'pending' AND version = 'v1' AND item_id <= 5000 ORDER BY item_id LIMIT 20),
+n AS (SELECT CASE WHEN item_id IN (SELECT item_id FROM c) THEN 'running' WHEN state = 'pending' AND version <> 'v1' THEN 'superseded' ELSE state END AS state, CASE WHEN state = 'pending' AND version <> 'v1' THEN 'analysis_version_changed' ELSE error_code END AS error_code,
+  attempts + CASE WHEN item_id IN (SELECT item_id FROM c) THEN 1 ELSE 0 END AS attempts, item_id IN (SELECT item_id FROM c) OR state = 'pending' AND version <> 'v1' AS mine, state = 'pending' AND version <> 'v1' AS now FROM v_jobs)
+SELECT state, error_code, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (WHERE mine) AS mine, count(*) FILTER (WHERE now) AS now FROM n GROUP BY state, error_code""",
     ),
     "T6_T7_finish": (
         finished,
-        f"""WITH {JOBS_CTE} SELECT item_id, CASE WHEN state <> 'running' THEN state WHEN item_id % 4 = 1 THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'failed' END WHEN item_id % 4 = 2 THEN 'failed' ELSE 'complete' END AS state,
-CASE WHEN state <> 'running' THEN error_code WHEN item_id % 4 = 1 THEN 'read_failed' WHEN item_id % 4 = 2 THEN 'decode_failed' END AS error_code FROM v_jobs""",
+        f"""WITH {JOBS_CTE}, c AS (SELECT *, state = 'running' AS ran, (['not_found', 'access_denied', 'io_error', 'source_changed', 'not_file', 'unsupported_format', 'unsupported_channels', 'empty_audio', 'invalid_audio', 'extractor_failure', 'sample_missing', 'content_changed', 'analysis_version_changed'])[item_id % 15 + 1] AS code FROM v_jobs),
+n AS (SELECT *, CASE WHEN NOT ran THEN state WHEN code IS NULL THEN 'complete' WHEN item_id % 15 < 5 AND attempts < 3 THEN 'pending' ELSE 'failed' END AS next FROM c),
+o AS (SELECT item_id, CASE WHEN ran AND next = 'pending' THEN NULL ELSE run_id END AS run_id, next AS state, attempts, CASE WHEN NOT ran THEN error_code WHEN next = 'failed' THEN code END AS error_code,
+  CASE WHEN NOT ran THEN finished_at WHEN next <> 'pending' THEN '2024-03-01T00:00:00Z' END AS finished_at FROM n)
+SELECT *, CASE WHEN error_code IN ('not_found', 'access_denied', 'io_error', 'source_changed', 'not_file') THEN 'read' WHEN error_code IN ('unsupported_format', 'unsupported_channels', 'empty_audio', 'invalid_audio') THEN 'decode'
+  WHEN error_code = 'extractor_failure' THEN 'extract' WHEN error_code IN ('sample_missing', 'content_changed', 'analysis_version_changed') THEN 'queue' END AS stage FROM o""",
+    ),
+    "T4_reconcile_leases": (
+        reconciled,
+        f"""WITH {JOBS_CTE}, {_RUNS}, r AS (SELECT j.*, state = 'running' AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.run_id = j.run_id AND r.state = 'running' AND {_LIVE.format('2024-01-30T23:00:30Z')}) AS lost FROM v_jobs j)
+SELECT CASE WHEN lost THEN 'pending' ELSE state END AS state, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (WHERE NOT lost AND run_id IS NOT NULL) AS held FROM r GROUP BY 1""",
     ),
-    "T4_reconcile_leases": (reconciled, f"WITH {JOBS_CTE}, {_RUNS} SELECT state, count(*) AS n FROM (SELECT CASE WHEN j.state = 'running' AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.run_id = j.run_id AND r.state = 'running' AND {_LIVE.format('2024-01-31T00:00:00Z')}) THEN 'pending' ELSE j.state END AS state FROM v_jobs j) GROUP BY state"),
+    "T4_interrupted_runs": (interrupted, f"WITH {_RUNS}, d AS (SELECT *, state = 'running' AND NOT ({_LIVE.format('2024-01-30T23:00:30Z')}) AS dead FROM runs) SELECT run_id, CASE WHEN dead THEN 'interrupted' ELSE state END AS state, CASE WHEN dead THEN '2024-01-30T23:00:30Z' WHEN state = 'complete' THEN heartbeat_at END AS finished_at FROM d"),
     "M11_live_runs": (live, f"WITH {_RUNS} SELECT run_id FROM runs WHERE state = 'running' AND {_LIVE.format('2024-01-30T23:00:00Z')}"),
-    "T5_retry_and_cancel": (retried, f"WITH {JOBS_CTE} SELECT item_id, CASE WHEN run_id = 7 AND state = 'failed' AND error_code = 'read_failed' THEN 'pending' WHEN run_id = 8 AND state = 'pending' THEN 'cancelled' ELSE state END AS state, CASE WHEN run_id = 7 AND state = 'failed' AND error_code = 'read_failed' THEN 0 ELSE attempts END AS attempts FROM v_jobs WHERE run_id IN (7, 8)"),
-    "G5_prune_history": (pruned, f"WITH {JOBS_CTE}, {_RUNS} SELECT j.state, count(*) AS n FROM v_jobs j WHERE NOT (j.state IN ('complete', 'failed', 'cancelled', 'superseded') AND EXISTS (SELECT 1 FROM runs r WHERE r.run_id = j.run_id AND r.state <> 'running' AND heartbeat_at < '2024-01-30T12:00:00Z')) GROUP BY j.state"),
+    "T5_retry_and_cancel": (
+        retried,
+        f"""WITH {JOBS_CTE}, k AS (SELECT *, version = 'v1' AND state IN ('failed', 'orphaned') AS again, version = 'v2' AND state = 'pending' AS gone FROM v_jobs)
+SELECT item_id, CASE WHEN again THEN NULL WHEN gone THEN 8 ELSE run_id END AS run_id, CASE WHEN again THEN 'pending' WHEN gone THEN 'cancelled' ELSE state END AS state, CASE WHEN again THEN 0 ELSE attempts END AS attempts,
+  CASE WHEN NOT again THEN error_code END AS error_code, CASE WHEN gone THEN '2024-03-01T00:00:00Z' WHEN NOT again THEN finished_at END AS finished_at FROM k""",
+    ),
+    "G5_prune_history": (pruned, f"WITH {JOBS_CTE} SELECT item_id, state FROM v_jobs WHERE NOT (state IN ('complete', 'cancelled', 'superseded') AND finished_at < '2024-01-16T12:00:00Z')"),
+    "G5_prune_counts": (
+        prune_counts,
+        f"""WITH {JOBS_CTE}, o AS (SELECT state FROM v_jobs WHERE state IN ('complete', 'cancelled', 'superseded') AND finished_at < '2024-01-16T12:00:00Z')
+SELECT count(*) FILTER (WHERE state = 'complete') AS complete, count(*) FILTER (WHERE state = 'cancelled') AS cancelled, count(*) FILTER (WHERE state = 'superseded') AS superseded, count(*) AS total, false AS deferred FROM o
+UNION ALL SELECT 0, 0, 0, 0, true""",
+    ),
     "J6_orphaned_items": (orphans, f"WITH {JOBS_CTE}, {_RUNS} SELECT item_id, run_id FROM v_jobs WHERE state = 'running' AND run_id NOT IN (SELECT run_id FROM runs WHERE state = 'running')"),
     "T2_enqueue": (
         enqueued,
@@ -364,9 +391,9 @@ SELECT p_partkey, regexp_extract(path, '([^/\\]*)$', 1) AS name, regexp_extract(
     ),
     "L5_cursors": (cursors, "SELECT n_nationkey, n_nationkey * 1234567 AS back, CAST(NULL AS BIGINT) AS bad FROM nation"),
     "X11_X13_grammars": (grammars, "SELECT c_custkey, true AS run, upper(sha256(CAST(c_custkey AS VARCHAR))) = sha256(CAST(c_custkey AS VARCHAR)) AS content, true AS digest FROM customer"),
-    "X20_X21_probabilities": (
-        probabilities,
-        f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS q, {_V} AS v, l_linenumber FROM lineitem WHERE l_orderkey < 2000)
+    "X20_X21_all_probabilities": (
+        all_probabilities,
+        f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS q, {_V} AS v, l_linenumber FROM lineitem)
 SELECT id, q, CASE WHEN list_min(v) < 0 OR list_max(v) > 1 THEN 'probability_range' WHEN abs(list_sum(v) - 1) > 1e-6 THEN 'probability_sum' WHEN CASE WHEN l_linenumber = 3 THEN v[2] ELSE v[5] END < list_max(v) THEN 'label_not_most_probable' END AS problem,
 round(v[2] * 0.25 + v[3] * 0.5 + v[4] * 0.75 + v[5], 9) AS expected, '{",".join(LABEL_SCORES)}' AS labels FROM r""",
     ),
@@ -395,9 +422,3 @@ CASE WHEN q IS NULL THEN 'unavailable' WHEN q % 5 = 0 AND q % 3 > 0 THEN 'cached
 r AS (SELECT 'band_sub' AS measurement, p AS problem FROM b WHERE p IS NOT NULL UNION ALL SELECT NULL, 'incomplete_features' FROM v_samples WHERE sample_id % 20 = 0) SELECT measurement, problem, count(*) AS n FROM r GROUP BY ALL""",
     ),
 }
-
-#: The same rules over whole tables; the queries above keep to the rows that their SQL states.
-QUERIES |= {
-    "T3_L9_all_claim": (all_claimed, QUERIES["T3_L9_claim"][1].replace(" FROM n WHERE item_id <= 5000 GROUP BY", " FROM n GROUP BY")),
-    "X20_X21_all_probabilities": (all_probabilities, QUERIES["X20_X21_probabilities"][1].replace(" FROM lineitem WHERE l_orderkey < 2000)", " FROM lineitem)")),
-}

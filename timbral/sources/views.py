@@ -170,17 +170,18 @@ FROM events WHERE event_type <> 'view')"""
 
 
 def job_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, run_id, content, version, state, attempts, error_code."""
+    """item_id, run_id, content, version, state, attempts, error_code, finished_at."""
     e = read(spark, sf_dir, "events")
     state = F.element_at(F.array(*(F.lit(s) for s in ("pending", "running", "complete", "failed", "cancelled", "superseded", "orphaned"))), (F.col("event_id") % 7 + 1).cast("int"))
-    error = F.when(F.col("event_id") % 7 == 3, F.when(F.col("value") > 50, "read_failed").otherwise("decode_failed"))
-    return e.select(F.col("event_id").alias("item_id"), F.col("user_id").alias("run_id"), (F.col("event_id") % 997).alias("content"), F.when(F.col("event_id") % 2 == 0, "v1").otherwise("v2").alias("version"), state.alias("state"), (F.col("event_id") % 4).cast("int").alias("attempts"), error.alias("error_code"))
+    error = F.when(F.col("event_id") % 7 == 3, F.when(F.col("value") > 50, "io_error").otherwise("invalid_audio"))
+    return e.select(F.col("event_id").alias("item_id"), F.col("user_id").alias("run_id"), (F.col("event_id") % 997).alias("content"), F.when(F.col("event_id") % 2 == 0, "v1").otherwise("v2").alias("version"), state.alias("state"), (F.col("event_id") % 4).cast("int").alias("attempts"), error.alias("error_code"), F.when(F.col("event_id") % 7 > 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("finished_at"))
 
 
 JOBS_CTE = """v_jobs AS (
 SELECT event_id AS item_id, user_id AS run_id, event_id % 997 AS content, CASE WHEN event_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS version,
   (['pending','running','complete','failed','cancelled','superseded','orphaned'])[event_id % 7 + 1] AS state, CAST(event_id % 4 AS INTEGER) AS attempts,
-  CASE WHEN event_id % 7 = 3 THEN CASE WHEN value > 50 THEN 'read_failed' ELSE 'decode_failed' END END AS error_code
+  CASE WHEN event_id % 7 = 3 THEN CASE WHEN value > 50 THEN 'io_error' ELSE 'invalid_audio' END END AS error_code,
+  CASE WHEN event_id % 7 > 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS finished_at
 FROM events)"""
 
 
