@@ -118,19 +118,20 @@ def plain_scores(graph, followers, rounds):
     known = {}
     for _ in range(rounds):
         sure = {}
-        for pattern in {p for p, _, _ in graph}:
-            own = [(v, f) for p, v, f in graph if p == pattern]
-            held = [0.0] * 4
-            for v, f in own:
+        for pattern in {p for p, *_ in graph}:
+            own = [(v, f, n) for p, v, f, n in graph if p == pattern]
+            values, times = [0.0] * 4, [0.0] * 4
+            for v, f, n in own:
                 kind, score = (f, 1.0) if f < 4 else known.get(v, (None, 0.0))
                 if kind is not None:
-                    held[kind] += score
-            kind = max(range(4), key=lambda k: (held[k], -k))
-            share = held[kind] / (len(own) + followers.get(pattern, 0))
-            if held[kind] >= personal_data.SUPPORT and share >= personal_data.CONFIDENCE:
+                    values[kind] += score
+                    times[kind] += score * n
+            kind = max(range(4), key=lambda k: (times[k], -k))
+            share = times[kind] / (sum(n for *_, n in own) + followers.get(pattern, 0))
+            if values[kind] >= personal_data.SUPPORT and share >= personal_data.CONFIDENCE:
                 sure[pattern] = (kind, share)
         found = {}
-        for p, v, f in graph:
+        for p, v, f, _ in graph:
             if f == 4 and p in sure and sure[p][0] == 3:  # made values look like phone numbers alone
                 found.setdefault(v, []).append(sure[p])
         known = {v: (3, 1 - math.prod(1 - min(c, 1 - 1e-9) for _, c in ways)) for v, ways in found.items()}
@@ -142,9 +143,9 @@ def plain_scores(graph, followers, rounds):
 def test_rounds_as_plain_ones(spark, rounds):
     rng = random.Random(11)
     graph = {(f"p{rng.randrange(12)}", f"555{rng.randrange(90):04d}") for _ in range(400)}
-    graph = sorted((p, v, 3 if int(v) % 3 else 4) for p, v in graph)
-    followers = {f"p{k}": 3 * k for k in range(12)}
-    edge = spark.createDataFrame(graph, "pattern string, value string, family int")
+    graph = sorted((p, v, 3 if int(v) % 3 else 4, rng.randint(1, 5)) for p, v in graph)
+    followers = {f"p{k}": 9 * k for k in range(12)}
+    edge = spark.createDataFrame(graph, "pattern string, value string, family int, n long")
     follow = spark.createDataFrame(list(followers.items()), "pattern string, words long")
     known = None
     for _ in range(rounds):
@@ -158,7 +159,7 @@ def test_rounds_as_plain_ones(spark, rounds):
 def test_followers_by_shuffle(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c a b d"), (2, "A  b\nc 12345"), (3, None), (4, "b +1 b 7")], SCHEMA)
     patterns = spark.createDataFrame([("b",), ("a b",), ("zz",)], "pattern string")
-    want = {("b", 3), ("a b", 2)}  # b: c, d and 7; +1 is the start of a number
+    want = {("b", 4), ("a b", 3)}  # b: c twice, d and 7; +1 is the start of a number
     assert {tuple(r) for r in personal_data.ordinary_followers(docs, patterns).collect()} == want
     monkeypatch.setattr(personal_data, "MOST_BROADCAST", 1)
     assert {tuple(r) for r in personal_data.ordinary_followers(docs, patterns).collect()} == want

@@ -4,9 +4,9 @@ The fixed forms (mail and IP addresses, card and phone numbers) are found by
 patterns that say the same as the published ones but can't fall back: each is
 linear in a text's length.  Their finds are the seeds of a bootstrap.  The one or
 two words before an identifier are a pattern; patterns and values make a graph
-that Spark scores in rounds: a pattern's confidence is the share of the
-different words and values that follow it, anywhere in the corpus, that are
-known as one kind; a value's score is the chance that one at least of its
+that Spark scores in rounds: a pattern's confidence is the share of all its
+occurrences in the corpus that a value known as one kind follows, if different
+values enough do; a value's score is the chance that one at least of its
 confident patterns is right.  Values so found raise the confidence of further
 patterns in the next round.  A pattern that many ordinary words follow never
 becomes confident, so plain prose with numbers gains nothing.
@@ -116,14 +116,14 @@ def spans(scanned: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """pattern, value, family: which values follow which words; once each, however many copies of a text there are."""
+    """pattern, value, family, n: which values follow which words, and how often."""
     both = F.array(F.col("first"), F.concat_ws(" ", "second", "first"))
     each = found.where("first IS NOT NULL").select(F.explode(F.when(F.col("second").isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("pattern"), "value", "family")
-    return stored(each.groupBy("pattern", "value").agg(F.min("family").alias("family")))
+    return stored(each.groupBy("pattern", "value").agg(F.min("family").alias("family"), F.count("*").alias("n")))
 
 
 def ordinary_followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, words: how many different words that are no identifiers follow each of the patterns, in all texts."""
+    """pattern, words: how often a word that is no identifier follows each of the patterns, in all texts."""
     words = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+")
     size = F.greatest(F.size("words"), F.lit(1))
     runs = docs.select(words.alias("words")).select(F.inline(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), size).alias("b"), F.slice("words", F.lit(3), size).alias("c"))))
@@ -132,26 +132,28 @@ def ordinary_followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     few = patterns.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     if few:
         plain = plain.join(F.broadcast(patterns), "pattern", "left_semi")
-    different = plain.groupBy("pattern", "next").agg(F.lit(1).alias("one"))
-    if not few:
-        different = different.join(patterns, "pattern", "left_semi")
-    return different.groupBy("pattern").agg(F.count("*").alias("words"))
+    counts = plain.groupBy("pattern").agg(F.count("*").alias("words"))
+    return counts if few else counts.join(patterns, "pattern", "left_semi")
 
 
 def confident(graph: DataFrame, followers: DataFrame, known: DataFrame | None, support: int = SUPPORT, least: float = CONFIDENCE) -> DataFrame:
     """pattern, kind, confidence of the patterns that are sure enough, given the values known so far (value, kind, score)."""
+    seed = F.col("family") < MENTION
     if known is None:
-        scored = graph.select("pattern", F.when(F.col("family") < MENTION, F.col("family")).alias("kind"), F.lit(1.0).alias("score"))
+        scored = graph.select("pattern", "n", F.when(seed, F.col("family")).alias("kind"), F.lit(1.0).alias("score"))
     else:
         named = known.select("value", F.col("kind").alias("_kind"), F.col("score").alias("_score"))
         joined = graph.join(named, "value", "left")
-        seed = F.col("family") < MENTION
-        scored = joined.select("pattern", F.when(seed, F.col("family")).otherwise(F.col("_kind")).alias("kind"), F.when(seed, F.lit(1.0)).otherwise(F.col("_score")).alias("score"))
-    sums = [F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(name) for k, name in enumerate(KINDS)]
-    best = F.greatest(*(F.struct(F.coalesce(F.col(name), F.lit(0.0)).alias("held"), F.lit(-k).alias("kind")) for k, name in enumerate(KINDS)))
-    totals = scored.groupBy("pattern").agg(F.count("*").alias("values"), *sums).join(followers, "pattern", "left")
-    rated = totals.select("pattern", best.alias("best"), (F.col("values") + F.coalesce("words", F.lit(0))).alias("all"))
-    return rated.where(F.col("best.held") >= support).select("pattern", (-F.col("best.kind")).alias("kind"), (F.col("best.held") / F.col("all")).alias("confidence")).where(F.col("confidence") >= least)
+        scored = joined.select("pattern", "n", F.when(seed, F.col("family")).otherwise(F.col("_kind")).alias("kind"), F.when(seed, F.lit(1.0)).otherwise(F.col("_score")).alias("score"))
+
+    def held(kind: int) -> F.Column:
+        mine = F.col("kind") == kind
+        values, times = F.sum(F.when(mine, F.col("score"))), F.sum(F.when(mine, F.col("score") * F.col("n")))
+        return F.struct(F.coalesce(times, F.lit(0.0)).alias("times"), F.lit(-kind).alias("kind"), F.coalesce(values, F.lit(0.0)).alias("values"))
+
+    totals = scored.groupBy("pattern").agg(F.sum("n").alias("n"), *(held(k).alias(name) for k, name in enumerate(KINDS))).join(followers, "pattern", "left")
+    rated = totals.select("pattern", F.greatest(*KINDS).alias("best"), (F.col("n") + F.coalesce("words", F.lit(0))).alias("all"))
+    return rated.where(F.col("best.values") >= support).select("pattern", (-F.col("best.kind")).alias("kind"), (F.col("best.times") / F.col("all")).alias("confidence")).where(F.col("confidence") >= least)
 
 
 def plausible(kind: Column, value: Column) -> Column:
@@ -185,8 +187,9 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUP
     docs: doc_id, text; other columns are left aside.  A null text is an empty
     one, a null or repeated doc_id keeps its rows.  The counts and base_sha256
     are of the fixed forms; spans also has the n_added finds by context, as
-    kind:start:end.  Copies of a text count once in the scores.  No documents
-    give no rows.
+    kind:start:end.  Copies of a text count as often as they occur, among the
+    identifiers and among the other words; support counts different values.  No
+    documents give no rows.
     """
     scanned = scan(docs)
     found = stored(spans(scanned))
