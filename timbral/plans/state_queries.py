@@ -15,7 +15,7 @@ from timbral.operators.ranking import in_blocks, interval_class
 from timbral.plans.ranking_queries import _BASE, _eligible, _kicks
 from timbral.schemas import BANDS, JOB_STATES, LABEL_SCORES, TONICS, feature_problems
 from timbral.sources import views
-from timbral.sources.views import CONTENT_CTE, JOBS_CTE, OUTCOMES_CTE, SAMPLES_CTE, read
+from timbral.sources.views import CONTENT_CTE, JOBS_CTE, OUTCOMES_CTE, SAMPLES_CTE, SUBMISSIONS_CTE, read
 from timbral.streaming import jobs, outcomes, palette, scan
 
 
@@ -118,15 +118,20 @@ def health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outcome_fold(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes.fold(views.outcomes(spark, d))
+    return outcomes.judge(views.submissions(spark, d).drop("happened_at"), *views.outcome_tables(spark, d))
 
 
-def outcome_windows(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes.fold_in_sql(views.outcomes(spark, d))
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    v = views.submissions(spark, d)
+    return outcomes.created_events(v.drop("happened_at"), outcome_fold(spark, d)).join(v.select("event_id", "happened_at"), "event_id")
+
+
+def outcome_codes(spark: SparkSession, d: str) -> DataFrame:
+    return outcome_fold(spark, d).groupBy("code").agg(F.count("*").alias("n"), F.count_if("created").alias("created"))
 
 
 def live_selections(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes.live_selections(outcomes.fold_in_sql(views.outcomes(spark, d)).where("created")).select("event_id", "project_id", "candidate_id")
+    return outcomes.live_selections(_log(spark, d)).select("event_id", "project_id", "palette_id", "candidate_id")
 
 
 def outcome_page(spark: SparkSession, d: str) -> DataFrame:
@@ -134,9 +139,7 @@ def outcome_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retained(spark: SparkSession, d: str) -> DataFrame:
-    v = views.outcomes(spark, d)
-    log = outcomes.fold_in_sql(v).where("created").join(v.select("event_id", "happened_at"), "event_id")
-    return outcomes.retained(log, "2024-01-28T00:00:00Z")
+    return outcomes.retained(_log(spark, d), "2024-01-28T00:00:00Z")
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -267,11 +270,38 @@ def bad_features(spark: SparkSession, d: str) -> DataFrame:
 
 _RUNS = "runs AS (SELECT user_id AS run_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS heartbeat_at, CASE WHEN user_id % 3 = 0 THEN 'running' ELSE 'complete' END AS state FROM events GROUP BY user_id)"
 _LIVE = "strptime('{0}', '%Y-%m-%dT%H:%M:%SZ') - strptime(heartbeat_at, '%Y-%m-%dT%H:%M:%SZ') < INTERVAL 60 SECONDS"
-_LOG = f"""{OUTCOMES_CTE}, b AS (SELECT *, last_value(CASE WHEN event_type IN ('selected', 'removed') THEN event_type END IGNORE NULLS) OVER (PARTITION BY project_id, candidate_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v_outcomes),
-l AS (SELECT *, coalesce(before = 'selected', false) AS live FROM b), s AS (SELECT *, last_value(CASE WHEN event_type = 'selected' AND NOT live THEN event_id END IGNORE NULLS) OVER (PARTITION BY project_id, candidate_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM l),
-log AS (SELECT CASE WHEN event_type = 'selected' AND live THEN since ELSE event_id END AS event_id, project_id, candidate_id, event_type,
-  CASE WHEN event_type = 'removed' AND NOT live THEN 'nothing_to_remove' WHEN event_type = 'rejected' AND live THEN 'already_selected' END AS code,
-  NOT (event_type = 'removed' AND NOT live) AND NOT (event_type = 'rejected' AND live) AND NOT (event_type = 'selected' AND live) AS created, CASE WHEN event_type = 'removed' AND live THEN since END AS removes_event_id, happened_at FROM s)"""
+#: Each submission with what refuses it at once and the candidate that it is about; then walks of all candidates, given the prior event of each client id.
+_JUDGED = f"""{SUBMISSIONS_CTE}, st AS (SELECT s.*, CASE
+    WHEN s.client = 'no id' OR s.mode = 'other' THEN 'invalid_outcome'
+    WHEN s.kind = 'removed' THEN CASE WHEN t.event_id IS NULL THEN 'unknown_selection' END
+    WHEN s.project = 'proj-none' THEN 'unknown_project' WHEN s.palette = 'pal-none' THEN 'unknown_palette'
+    WHEN s.project <> 'proj-' || CAST(s.palette[5:] AS BIGINT) % 20 THEN 'cross_project_reference' WHEN s.revision > 3 THEN 'unknown_palette_revision' END AS at_once,
+  coalesce(t.palette, s.palette) AS kp, coalesce(t.candidate, s.candidate) AS kc
+  FROM v_submissions s LEFT JOIN (SELECT * FROM v_submissions WHERE kind = 'selected' AND client <> 'no id' AND mode <> 'other') t ON s.kind = 'removed' AND t.event_id = s.names AND t.event_id < s.event_id AND s.client <> 'no id'),
+sa AS (SELECT st.*, coalesce((SELECT arg_max(active, moment) FROM ch WHERE ch.palette = kp AND ch.candidate = kc AND ch.moment <= st.event_id), false) AS active FROM st),
+p0 AS (SELECT x.event_id, min(y.event_id) AS prior FROM sa x JOIN sa y ON x.client = y.client AND y.event_id < x.event_id AND y.at_once IS NULL WHERE x.at_once IS NULL OR x.at_once <> 'invalid_outcome' GROUP BY x.event_id)"""
+
+
+def _round(k: int) -> str:
+    """The walk of round k: each candidate's events one after the other; what it creates gives the next round's priors."""
+    return f"""f{k} AS (SELECT *, row_number() OVER (PARTITION BY kp, kc ORDER BY event_id) AS i FROM sa WHERE at_once IS NULL AND event_id NOT IN (SELECT event_id FROM p{k})),
+w{k} AS (SELECT kp, kc, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS live, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS BIGINT) AS was FROM f{k} WHERE i = 1
+  UNION ALL SELECT f.kp, f.kc, f.i, CASE WHEN kind = 'selected' AND active AND w.live IS NULL THEN f.event_id WHEN kind = 'removed' AND names = w.live AND NOT active THEN NULL ELSE w.live END, f.event_id,
+    CASE kind WHEN 'selected' THEN CASE WHEN NOT active THEN 'selection_not_in_palette' WHEN w.live IS NULL THEN 'created' ELSE 'again' END
+      WHEN 'removed' THEN CASE WHEN names IS DISTINCT FROM w.live THEN 'not_live' WHEN active THEN 'removal_not_reflected' ELSE 'created' END WHEN 'rejected' THEN CASE WHEN w.live IS NOT NULL THEN 'outcome_conflict' ELSE 'created' END ELSE 'created' END, w.live
+  FROM w{k} w JOIN f{k} f ON f.kp = w.kp AND f.kc = w.kc AND f.i = w.i + 1),
+p{k + 1} AS (SELECT x.event_id, min(y.event_id) AS prior FROM sa x JOIN sa y ON x.client = y.client AND y.event_id < x.event_id JOIN w{k} w ON w.event_id = y.event_id AND w.verdict = 'created' WHERE x.at_once IS NULL OR x.at_once <> 'invalid_outcome' GROUP BY x.event_id)"""
+
+
+_ROUNDS = 6
+_LOG = f"""{_JUDGED}, {", ".join(_round(k) for k in range(_ROUNDS))},
+answers AS (SELECT s.event_id, s.kind, s.names, s.happened_at, CASE WHEN s.at_once = 'invalid_outcome' THEN s.at_once
+    WHEN p.prior IS NOT NULL THEN CASE WHEN y.kind = s.kind AND y.names IS NOT DISTINCT FROM s.names AND (s.kind = 'removed' OR (y.project, y.palette, y.revision, y.candidate, y.mode) = (s.project, s.palette, s.revision, s.candidate, s.mode)) THEN NULL ELSE 'idempotency_conflict' END
+    WHEN s.at_once IS NOT NULL THEN s.at_once WHEN w.verdict = 'not_live' THEN CASE WHEN EXISTS (SELECT 1 FROM w{_ROUNDS - 1} z WHERE z.event_id = s.names AND z.verdict = 'created') THEN 'outcome_conflict' ELSE 'unknown_selection' END
+    WHEN w.verdict NOT IN ('created', 'again') THEN w.verdict END AS code,
+  p.prior IS NULL AND s.at_once IS NULL AND w.verdict = 'created' AS created, p.prior, w.verdict, w.was, s.kp, s.kc
+  FROM sa s LEFT JOIN p{_ROUNDS} p ON p.event_id = s.event_id LEFT JOIN sa y ON y.event_id = p.prior LEFT JOIN w{_ROUNDS - 1} w ON w.event_id = s.event_id),
+log AS (SELECT event_id, 'proj-' || CAST(kp[5:] AS BIGINT) % 20 AS project_id, kp AS palette_id, kc AS candidate_id, kind AS event_type, names AS removes_event_id, happened_at FROM answers WHERE created)"""
 
 
 def _questions_sql() -> str:
@@ -286,7 +316,7 @@ def _questions_sql() -> str:
 
 
 _QUESTIONS = _questions_sql()
-_FOLD = f"WITH {_LOG} SELECT event_id, project_id, candidate_id, event_type, code, created, removes_event_id FROM log"
+_FOLD = f"WITH RECURSIVE {_LOG} SELECT event_id, code, created, CASE WHEN code IS NULL OR code = 'idempotency_conflict' THEN CASE WHEN prior IS NOT NULL THEN prior WHEN created THEN event_id WHEN verdict = 'again' THEN was END END AS answer_event_id FROM answers"
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in JOB_STATES)
 _SCAN = """t AS (SELECT doc_id, text, 'a/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS a, 'b/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS b FROM documents),
 st AS (SELECT doc_id AS sample_id, a AS path_key, sha256(text) AS sha FROM t WHERE doc_id % 10 <> 9),
@@ -355,13 +385,13 @@ SELECT (SELECT max(item_id) FROM i) + row_number() OVER (ORDER BY content) AS it
     "L9_queue_heads": (queue_heads, f"WITH {JOBS_CTE} SELECT run_id, min(item_id) AS item_id FROM v_jobs WHERE state = 'pending' GROUP BY run_id"),
     "M10_health": (health, f"WITH {JOBS_CTE}, {_RUNS} SELECT (SELECT count(*) FROM part) AS samples, (SELECT count(*) FROM v_jobs WHERE state = 'pending') AS pending, (SELECT count(*) FROM runs WHERE state = 'running' AND {_LIVE.format('2024-01-30T23:00:00Z')}) AS live_runs"),
     "T9_outcome_fold": (outcome_fold, _FOLD),
-    "T9_outcome_windows": (outcome_windows, _FOLD),
-    "J5_live_selections": (live_selections, f"WITH {_LOG} SELECT event_id, project_id, candidate_id FROM log WHERE created AND event_type = 'selected' AND event_id NOT IN (SELECT removes_event_id FROM log WHERE removes_event_id IS NOT NULL)"),
+    "T9_outcome_codes": (outcome_codes, f"WITH RECURSIVE {_LOG} SELECT code, count(*) AS n, count(*) FILTER (WHERE created) AS created FROM answers GROUP BY code"),
+    "J5_live_selections": (live_selections, f"WITH RECURSIVE {_LOG} SELECT event_id, project_id, palette_id, candidate_id FROM log WHERE event_type = 'selected' AND event_id NOT IN (SELECT removes_event_id FROM log WHERE removes_event_id IS NOT NULL)"),
     "F12_L4_T10_outcome_page": (outcome_page, f"WITH {OUTCOMES_CTE} SELECT event_id, happened_at, project_id, event_type FROM v_outcomes WHERE event_id > 100 AND event_type IN ('selected', 'removed') AND candidate_id = 3 ORDER BY event_id LIMIT 30"),
     "X19_retention": (
         retained,
-        f"""WITH {_LOG}, r AS (SELECT removes_event_id AS event_id, strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') AS gone FROM log WHERE created AND removes_event_id IS NOT NULL)
-SELECT l.event_id, project_id, candidate_id, CASE WHEN gone < strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 14 DAYS THEN false WHEN strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 14 DAYS <= TIMESTAMP '2024-01-28 00:00:00' THEN true END AS retained FROM log l LEFT JOIN r USING (event_id) WHERE created AND event_type = 'selected'""",
+        f"""WITH RECURSIVE {_LOG}, r AS (SELECT removes_event_id AS event_id, strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') AS gone FROM log WHERE removes_event_id IS NOT NULL)
+SELECT l.event_id, project_id, candidate_id, CASE WHEN gone < strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 14 DAYS THEN false WHEN strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 14 DAYS <= TIMESTAMP '2024-01-28 00:00:00' THEN true END AS retained FROM log l LEFT JOIN r USING (event_id) WHERE event_type = 'selected'""",
     ),
     "T11_T12_palette_fold": (palette_fold, None),
     "T13_newest_answer": (palette_newest, "SELECT palette_id, revision, request_id FROM (SELECT user_id AS palette_id, event_id % 11 AS revision, event_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 11 DESC, event_id DESC) AS n FROM events) WHERE n = 1"),

@@ -8,7 +8,7 @@ column choices reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timbral.schemas import BANDS, MEASURES, TONICS
@@ -169,6 +169,59 @@ SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS happened_at, user_id AS p
 FROM events WHERE event_type <> 'view')"""
 
 
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions of the outcome log (timbral.streaming.outcomes.SUBMISSION) with happened_at; every refusal occurs among them."""
+    n, user = F.col("event_id") + 1, F.col("user_id")
+    kinds = F.create_map(*(F.lit(x) for pair in (("click", "auditioned"), ("purchase", "selected"), ("error", "removed"), ("signup", "rejected"), ("view", "auditioned")) for x in pair))
+    e = read(spark, sf_dir, "events").select(n.alias("n"), user.alias("u"), (n % 3).alias("c"), kinds[F.col("event_type")].alias("kind"), "ts")
+    mine = Window.partitionBy("u", "c").orderBy("n")
+    same = Window.partitionBy("u", "c", "kind").orderBy("n")
+    selected = F.last(F.when(F.col("kind") == "selected", F.col("n")), ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    removal = F.col("kind") == "removed"
+    names = F.when(removal, F.when(F.col("n") % 11 == 0, F.col("n") - 1).otherwise(F.coalesce("selected", F.lit(1).cast("long"))))
+    told = lambda value: F.when(~removal, value)
+    project = F.when(F.col("n") % 53 == 1, "proj-none").otherwise(F.concat(F.lit("proj-"), ((F.col("u") + F.when(F.col("n") % 61 == 1, 1).otherwise(0)) % 20).cast("string")))
+    palette = F.when(F.col("n") % 59 == 1, "pal-none").otherwise(F.concat(F.lit("pal-"), F.col("u").cast("string")))
+    client = F.when(F.col("n") % 71 == 1, "no id").otherwise(F.concat(F.lit("c-"), F.when(F.col("n") % 13 == 0, F.coalesce("again", "n")).when(F.col("n") % 17 == 0, F.coalesce("other", "n")).otherwise(F.col("n")).cast("string")))
+    e = e.withColumns({"selected": selected, "again": F.lag("n").over(same), "other": F.lag("n").over(Window.partitionBy("u").orderBy("n"))})
+    return e.select(
+        F.col("n").alias("event_id"),
+        client.alias("client_event_id"),
+        F.col("kind").alias("event_type"),
+        told(project).alias("project_id"),
+        told(palette).alias("palette_id"),
+        told(F.when(F.col("n") % 67 == 1, 99).otherwise(1)).cast("long").alias("palette_revision"),
+        told(F.lit("run-1")).alias("run_id"),
+        told(F.concat(F.lit("cand-"), F.col("c").cast("string"))).alias("candidate_id"),
+        told(F.lit("ranking-1")).alias("ranking_version"),
+        told(F.when(F.col("n") % 73 == 1, "other").otherwise("hybrid")).alias("mode"),
+        told(F.lit("v1")).alias("candidate_analysis_version"),
+        names.alias("removes_event_id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("happened_at"),
+    )
+
+
+def outcome_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Projects, palettes, and what palettes gained (before most selections) and lost (before most removals)."""
+    e = read(spark, sf_dir, "events")
+    palettes = e.select("user_id").distinct().select(F.concat(F.lit("pal-"), F.col("user_id").cast("string")).alias("palette_id"), F.concat(F.lit("proj-"), (F.col("user_id") % 20).cast("string")).alias("project_id"), F.lit(3).cast("long").alias("revision"))
+    n = F.col("event_id") + 1
+    gained, lost = (F.col("event_type") == "purchase") & (n % 5 > 0), (F.col("event_type") == "error") & (n % 7 > 0)
+    changes = e.where(gained | lost).select(F.concat(F.lit("pal-"), F.col("user_id").cast("string")).alias("palette_id"), F.concat(F.lit("cand-"), (n % 3).cast("string")).alias("candidate_id"), n.alias("at"), gained.alias("active"))
+    return palettes.select("project_id").distinct(), palettes, changes
+
+
+#: submissions() and, as of each, whether its candidate is active; both as SQL.
+SUBMISSIONS_CTE = """ev AS (SELECT event_id + 1 AS n, user_id AS u, (event_id + 1) % 3 AS c, CASE event_type WHEN 'purchase' THEN 'selected' WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'rejected' ELSE 'auditioned' END AS kind, ts FROM events),
+ew AS (SELECT *, last_value(CASE WHEN kind = 'selected' THEN n END IGNORE NULLS) OVER (PARTITION BY u, c ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS selected,
+  lag(n) OVER (PARTITION BY u, c, kind ORDER BY n) AS again, lag(n) OVER (PARTITION BY u ORDER BY n) AS other FROM ev),
+v_submissions AS (SELECT n AS event_id, CASE WHEN n % 71 = 1 THEN 'no id' ELSE 'c-' || CASE WHEN n % 13 = 0 THEN coalesce(again, n) WHEN n % 17 = 0 THEN coalesce(other, n) ELSE n END END AS client, kind,
+  CASE WHEN kind <> 'removed' THEN CASE WHEN n % 53 = 1 THEN 'proj-none' ELSE 'proj-' || (u + CASE WHEN n % 61 = 1 THEN 1 ELSE 0 END) % 20 END END AS project, CASE WHEN kind <> 'removed' THEN CASE WHEN n % 59 = 1 THEN 'pal-none' ELSE 'pal-' || u END END AS palette,
+  CASE WHEN kind <> 'removed' THEN CASE WHEN n % 67 = 1 THEN 99 ELSE 1 END END AS revision, CASE WHEN kind <> 'removed' THEN 'cand-' || c END AS candidate, CASE WHEN kind <> 'removed' THEN CASE WHEN n % 73 = 1 THEN 'other' ELSE 'hybrid' END END AS mode,
+  CASE WHEN kind = 'removed' THEN CASE WHEN n % 11 = 0 THEN n - 1 ELSE coalesce(selected, 1) END END AS names, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS happened_at FROM ew),
+ch AS (SELECT 'pal-' || user_id AS palette, 'cand-' || (event_id + 1) % 3 AS candidate, event_id + 1 AS moment, event_type = 'purchase' AS active FROM events WHERE event_type = 'purchase' AND (event_id + 1) % 5 > 0 OR event_type = 'error' AND (event_id + 1) % 7 > 0)"""
+
+
 def job_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, run_id, content, version, state, attempts, error_code, finished_at."""
     e = read(spark, sf_dir, "events")
