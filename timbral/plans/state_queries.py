@@ -13,7 +13,7 @@ from timbral.operators import judgments as jd
 from timbral.operators import library
 from timbral.operators.ranking import in_blocks, interval_class
 from timbral.plans.ranking_queries import _BASE, _eligible, _kicks
-from timbral.schemas import BANDS, JOB_STATES, LABEL_SCORES, TONICS, feature_problems
+from timbral.schemas import JOB_STATES, LABEL_SCORES, TONICS, feature_problems
 from timbral.sources import views
 from timbral.sources.views import CONTENT_CTE, JOBS_CTE, OUTCOMES_CTE, SAMPLES_CTE, SUBMISSIONS_CTE, read
 from timbral.streaming import jobs, outcomes, palette, scan
@@ -248,11 +248,77 @@ def dataset_versions(spark: SparkSession, d: str) -> DataFrame:
     return docs_.dataset_version(views.content(spark, d), "policy-1")
 
 
+QUESTION_SONG = jd.SongFacts(tempo=110.0, tempo_confidence=0.9, tonic="C", mode="major", key_confidence=0.7, genre='dub "n" bass')
+
+
+def _questions(spark: SparkSession, d: str, song: jd.SongFacts | None) -> DataFrame:
+    """Questions of every kick and candidate: each side says its facts once, then only these meet."""
+    kick = jd.side_facts(_kicks(spark, d), "kick").withColumnsRenamed({"sample_id": "kick_id", "says": "kick_says"})
+    candidate = jd.side_facts(_eligible(spark, d), "candidate").withColumnsRenamed({"sample_id": "candidate_id", "says": "candidate_says"})
+    pairs = [candidate.crossJoin(F.broadcast(part)) for part in in_blocks(kick, "kick_id")]
+    return jd.questions(reduce(DataFrame.unionByName, pairs), song)
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    c = _eligible(spark, d).select(F.struct("*").alias("c"))
-    pairs = [c.crossJoin(F.broadcast(part.select(F.struct("*").alias("k")))) for part in in_blocks(_kicks(spark, d), "sample_id")]
-    found = jd.questions(reduce(DataFrame.unionByName, pairs))
-    return found.groupBy("dimension", "unavailable").agg(F.count("*").alias("n"))
+    both = _questions(spark, d, QUESTION_SONG).withColumn("song", F.lit(True)).unionByName(_questions(spark, d, None).withColumn("song", F.lit(False)))
+    return both.groupBy("song", "dimension", "unavailable").agg(F.count("*").alias("n"), F.sum(F.size("withheld")).alias("withheld"))
+
+
+def question_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _questions(spark, d, QUESTION_SONG).select("kick_id", "candidate_id", "dimension", "unavailable", F.array_join("withheld", ";").alias("withheld"), "question_id")
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """event_id and an answer with one fault or none."""
+    n = F.col("event_id") % 32
+    text = lambda value: F.concat(F.lit('"'), value, F.lit('"'))
+    plain = {"question_id": text(F.concat(F.lit("q-"), F.col("event_id").cast("string"))), "dimension": F.lit('"tonal"'), "label": F.lit('"good"'), "probabilities": F.lit(_SHARES.format("0.6", "0.2", "good")), "confidence": F.lit("0.5"), "model_version": F.lit('"m-1"'), "prompt_version": F.lit('"questions-v1"'), "unavailable_reason": F.lit("null")}
+    fields = []
+    for name, value in plain.items():
+        for k, (field, told) in FAULTS.items():
+            if field == name:
+                value = F.when(n == k, F.lit(told)).otherwise(value)
+        # abstentions: 27 is sound, 28 has a confidence, 29 no reason
+        if name in ("label", "confidence", "probabilities", "unavailable_reason"):
+            told = {"label": "null", "confidence": "null", "probabilities": "[]", "unavailable_reason": '"model_abstained"'}[name]
+            value = F.when((n == 28) & F.lit(name == "confidence"), "0.5").when((n == 29) & F.lit(name == "unavailable_reason"), "null").when(n.isin(27, 28, 29), told).otherwise(value)
+        fields.append(F.concat(F.lit(f'"{name}": '), value))
+    body = F.array_join(F.when(n == 3, F.slice(F.array(*fields), 1, 7)).when(n == 2, F.array_append(F.array(*fields), F.lit('"score": 1'))).when(n == 1, F.array_append(F.array(*fields), F.lit('"label": "good"'))).otherwise(F.array(*fields)), ", ")
+    response = F.when(n == 0, F.lit("[1, 2]")).when(n == 30, F.lit("{")).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    return read(spark, d, "events").select("event_id", response.alias("response"), F.when(n != 31, F.concat(F.lit("q-"), F.col("event_id").cast("string"))).alias("asked_id"))
+
+
+_SHARES = '[{{"label": "very-poor", "probability": 0.05}}, {{"label": "poor", "probability": 0.05}}, {{"label": "neutral", "probability": 0.1}}, {{"label": "{2}", "probability": {0}}}, {{"label": "excellent", "probability": {1}}}]'
+#: Which field of an answer is wrong, and how.
+FAULTS = {
+    4: ("question_id", '"q-x"'),
+    5: ("question_id", "7"),
+    6: ("dimension", '"taste"'),
+    7: ("dimension", '"texture"'),
+    8: ("prompt_version", '"questions-v0"'),
+    9: ("model_version", '"  "'),
+    10: ("model_version", "1"),
+    11: ("label", '"fine"'),
+    12: ("label", "3"),
+    13: ("unavailable_reason", '"model_abstained"'),
+    14: ("confidence", "1.5"),
+    15: ("confidence", '"0.5"'),
+    16: ("confidence", "true"),
+    17: ("confidence", "null"),
+    18: ("probabilities", "[]"),
+    19: ("probabilities", "null"),
+    20: ("probabilities", _SHARES.format("0.6", "0.2", "poor")),
+    21: ("probabilities", _SHARES.format('"0.6"', "0.2", "good")),
+    22: ("probabilities", _SHARES.format("0.6", "-0.2", "good")),
+    23: ("probabilities", _SHARES.format("0.6", "0.3", "good")),
+    24: ("probabilities", _SHARES.format("0.2", "0.6", "good")),
+    25: ("probabilities", _SHARES.format("0.6", "0.2", "fine")),
+}
+
+
+def response_problems(spark: SparkSession, d: str) -> DataFrame:
+    problem = jd.response_problem(F.col("response"), F.col("asked_id"), F.lit("tonal"), F.lit("questions-v1"))
+    return _responses(spark, d).select("event_id", problem.alias("problem"), F.when(problem.isNull(), F.to_json(jd.judgment(F.col("response")))).alias("judgment"))
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -304,18 +370,64 @@ answers AS (SELECT s.event_id, s.kind, s.names, s.happened_at, CASE WHEN s.at_on
 log AS (SELECT event_id, 'proj-' || CAST(kp[5:] AS BIGINT) % 20 AS project_id, kp AS palette_id, kc AS candidate_id, kind AS event_type, names AS removes_event_id, happened_at FROM answers WHERE created)"""
 
 
-def _questions_sql() -> str:
-    """A row for each kick, candidate and dimension with the first fact that is missing."""
+def _questions_sql(song: bool) -> str:
+    """A row for each kick, candidate and dimension: the first code of the rules, the facts shown and withheld, as the rules say them."""
+
+    def known(side: str, table: str, name: str) -> tuple[str, str]:
+        x, sure = f"{table}.{name}", {"fundamental": f"{table}.fundamental_confidence", "tempo": f"{table}.tempo_confidence"}.get(name)
+        if name == "key":
+            x, sure = f"{table}.key_tonic || ' ' || {table}.key_mode", f"{table}.key_confidence"
+        reason = f"CASE WHEN {x} IS NULL THEN 'unknown'" + (f" WHEN {sure} < 0.8 THEN 'below_reliability_threshold'" if sure else "") + " END"
+        unit = {"fundamental": "Hz", "spectral_centroid": "Hz", "spectral_rolloff": "Hz", "loudness": "LUFS", "crest_factor": "ratio", "transient_strength": "normalized", "stereo_width": "normalized", "transient_position": "ms", "attack": "ms", "decay": "ms", "tempo": "BPM"}.get(name, "ratio")
+        text = f"'\"' || {x} || '\", null]'" if name in ("key", "role") else f"CAST({x} AS VARCHAR) || ', \"{unit}\"]'"
+        return reason, f"CASE WHEN ({reason}) IS NULL THEN '[\"{side}\", \"{name}\", ' || {text} END"
+
+    bands = [("{0}", f"band_{b}") for b in ("sub", "bass", "low_mid", "mid", "high_mid", "high")]
+    k, c = "kick", "candidate"
+    needs = {
+        "frequency": [(k, n) for _, n in bands] + [(c, n) for _, n in bands],
+        "transient": [(k, "attack"), (k, "decay"), (k, "transient_strength"), (c, "transient_position")],
+        "tonal": [(k, "key"), (k, "fundamental"), (c, "key"), (c, "fundamental")],
+        "rhythmic": [(c, "tempo")],
+        "texture": [(k, "spectral_centroid"), (k, "spectral_rolloff"), (c, "spectral_centroid"), (c, "spectral_rolloff")],
+        "arrangement": [(k, "role"), (c, "role")],
+    }
+    shows = {
+        "frequency": [(k, "fundamental"), (k, "loudness"), (c, "fundamental"), (c, "loudness")],
+        "transient": [(k, "crest_factor"), (k, "loudness"), (c, "crest_factor"), (c, "loudness")],
+        "tonal": [],
+        "rhythmic": [(k, "transient_position")],
+        "texture": [(k, "loudness"), (k, "stereo_width"), (c, "loudness"), (c, "stereo_width")],
+        "arrangement": [],
+    }
+    genre, tempo, key = '["song", "genre", "dub \\"n\\" bass", null]', '["song", "tempo", 110.0, "BPM"]', '["song", "key", "below_reliability_threshold"]'
+    said = {"tonal": ([genre], [key]), "rhythmic": ([tempo, genre], []), "arrangement": ([genre], [key])}
+    if not song:
+        said = {d: ([], [f'["song", "{n}", "not_supplied"]' for n in names]) for d, names in (("tonal", ("key", "genre")), ("rhythmic", ("tempo", "genre")), ("arrangement", ("genre", "key")))}
     parts = []
-    for dimension, (kick, candidate) in jd.REQUIRED.items():
-        tests = [f"WHEN k.{n} IS NULL THEN 'kick_{n}_unknown'" for n in kick] + [f"WHEN c.{n} IS NULL THEN 'candidate_{n}_unknown'" for n in candidate]
-        if dimension == "frequency":
-            tests += [f"WHEN {' + '.join(f'{s}.{b}' for b in BANDS)} = 0 THEN '{name}_band_energy_zero'" for s, name in (("k", "kick"), ("c", "candidate"))]
-        parts.append(f"SELECT '{dimension}' AS dimension, CASE {' '.join(tests)} END AS unavailable FROM kicks k, eligible c")
-    return " UNION ALL ".join(parts)
-
-
-_QUESTIONS = _questions_sql()
+    for d in needs:
+        codes, shown, gone = [], [], {k: [], c: []}
+        for n, (side, name) in enumerate(needs[d] + shows[d]):
+            reason, fact = known(side, {k: "k", c: "c"}[side], name)
+            shown.append(fact)
+            gone[side].append(f"CASE WHEN ({reason}) IS NOT NULL THEN '[\"{side}\", \"{name}\", \"' || ({reason}) || '\"]' END")
+            if n < len(needs[d]) and name != "role":
+                token = "f0" if name == "fundamental" else name
+                codes.append(f"CASE ({reason}) " + ("" if name == "fundamental" else f"WHEN 'unknown' THEN '{side}_{token}_unknown' ") + f"WHEN 'below_reliability_threshold' THEN '{side}_{token}_unreliable' END")
+            if name == "band_high":
+                t = {k: "k", c: "c"}[side]
+                codes.append(f"CASE WHEN {t}.band_sub + {t}.band_bass + {t}.band_low_mid + {t}.band_mid + {t}.band_high_mid + {t}.band_high = 0 THEN '{side}_band_energy_zero' END")
+        if d == "rhythmic" and not song:
+            codes.append("'song_context_absent'")
+        more, less = said.get(d, ([], []))
+        lists = lambda xs: "[" + ", ".join(xs) + "]" if xs else "CAST([] AS VARCHAR[])"
+        quoted = lambda xs: ["'" + x.replace("'", "''") + "'" for x in xs]
+        parts.append(f"SELECT k.sample_id AS kick_id, c.sample_id AS candidate_id, '{d}' AS dimension, coalesce({', '.join(codes) or 'NULL'}, NULL) AS unavailable, {lists(shown + quoted(more))} AS e, {lists(gone[k] + gone[c] + quoted(less))} AS w FROM kicks k, eligible c")
+    return f"SELECT kick_id, candidate_id, dimension, CAST(unavailable AS VARCHAR) AS unavailable, list_filter(e, lambda x: x IS NOT NULL) AS e, list_filter(w, lambda x: x IS NOT NULL) AS w FROM ({' UNION ALL '.join(parts)})"
+
+
+_TEXTS = "'[' || coalesce(list_aggregate(list_transform(list_sort({0}), lambda x: '\"' || replace(replace(x, '\\', '\\\\'), '\"', '\\\"') || '\"'), 'string_agg', ', '), '') || ']'"
+_QUESTION_ID = f"""CASE WHEN unavailable IS NULL THEN 'q-' || sha256('{{"dimension": "' || dimension || '", "evidence": ' || {_TEXTS.format('e')} || ', "prompt_version": "questions-v1", "withheld": ' || {_TEXTS.format('w')} || '}}') END"""
 _FOLD = f"WITH RECURSIVE {_LOG} SELECT event_id, code, created, CASE WHEN code IS NULL OR code = 'idempotency_conflict' THEN CASE WHEN prior IS NOT NULL THEN prior WHEN created THEN event_id WHEN verdict = 'again' THEN was END END AS answer_event_id FROM answers"
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in JOB_STATES)
 _SCAN = """t AS (SELECT doc_id, text, 'a/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS a, 'b/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS b FROM documents),
@@ -439,7 +551,16 @@ round(v[2] * 0.25 + v[3] * 0.5 + v[4] * 0.75 + v[5], 9) AS expected, '{",".join(
         f"""WITH {CONTENT_CTE}, k AS (SELECT sha256(concat_ws(chr(10), sample_id, sha, role)) AS k FROM v_content), g AS (SELECT k[1:3] AS part, sha256(string_agg(k, '' ORDER BY k)) AS sha FROM k GROUP BY 1)
 SELECT sha256('policy-1' || chr(10) || string_agg(sha, '' ORDER BY part)) AS version FROM g""",
     ),
-    "Q1_Q2_questions": (asked, f"WITH {_BASE}, q AS ({_QUESTIONS}) SELECT dimension, unavailable, count(*) AS n FROM q GROUP BY ALL"),
+    "Q1_Q2_questions": (asked, f"WITH {_BASE}, q AS (SELECT true AS song, * FROM ({_questions_sql(True)}) UNION ALL SELECT false, * FROM ({_questions_sql(False)})) SELECT song, dimension, unavailable, count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS withheld FROM q GROUP BY song, dimension, unavailable"),
+    "Q3_question_ids": (question_ids, f"WITH {_BASE}, q AS ({_questions_sql(True)}) SELECT kick_id, candidate_id, dimension, unavailable, coalesce(list_aggregate(w, 'string_agg', ';'), '') AS withheld, {_QUESTION_ID} AS question_id FROM q"),
+    "Q4_response_problems": (
+        response_problems,
+        """SELECT event_id, problem, CASE WHEN problem IS NULL THEN '{"question_id":"q-' || event_id || '","dimension":"tonal",' || CASE WHEN n = 27 THEN '"model_version":"m-1","prompt_version":"questions-v1","unavailable_reason":"model_abstained"}'
+  ELSE '"label":"good","probabilities":[{"label":"very-poor","probability":0.05},{"label":"poor","probability":0.05},{"label":"neutral","probability":0.1},{"label":"good","probability":0.6},{"label":"excellent","probability":0.2}],"confidence":0.5,"model_version":"m-1","prompt_version":"questions-v1"}' END END AS judgment
+FROM (SELECT event_id, event_id % 32 AS n, (['invalid_response', 'invalid_response', 'unexpected_field', 'missing_field', 'question_id_mismatch', 'question_id_mismatch', 'unsupported_dimension', 'dimension_mismatch', 'prompt_version_mismatch', 'invalid_version', 'invalid_version',
+  'unsupported_label', 'unsupported_label', 'invalid_abstention', 'invalid_confidence', 'invalid_confidence', 'invalid_confidence', 'invalid_confidence', 'invalid_probabilities', 'invalid_probabilities', 'invalid_probabilities', 'invalid_probabilities', 'probability_out_of_range', 'probability_sum', 'label_probability_mismatch',
+  'invalid_probabilities', NULL, NULL, 'invalid_abstention', 'invalid_abstention', 'invalid_response', 'question_unavailable'])[event_id % 32 + 1] AS problem FROM events)""",
+    ),
     "Q10_Q13_resolve_judgments": (
         resolved,
         """WITH t AS (SELECT i AS question_id, CASE WHEN i % 3 > 0 THEN 'good' END AS label, i / CAST(300 AS DOUBLE) AS confidence FROM range(300) r(i)), a AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_id % 300 END AS q FROM events)
