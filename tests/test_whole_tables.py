@@ -14,7 +14,8 @@ def test_claim_counts_every_item(spark):
 
     found = registry.queries()["T3_L9_all_claim"](spark, SF).collect()
     assert sum(r.n for r in found) == views.job_items(spark, SF).count()
-    assert sum(r.mine for r in found) == 20
+    assert {r.state for r in found if r.mine} == {"running", "superseded"}  # what a run supersedes is credited to it
+    assert sum(r.mine for r in found if r.state == "running") == 20
 
 
 def test_counts_of_every_session(spark):
@@ -31,7 +32,12 @@ def test_an_evaluator_beyond_the_fifth_flips_a_gate(spark):
     ratings = spark.createDataFrame(rows, "query long, item long, evaluator long, rating int, seq long")
     got = {(r.left_out, r.item): (r.rating, r.raters) for r in ev.left_out_medians(ratings).collect()}
     assert got == {(1, 1): (2, 4), (2, 1): (2, 4), (3, 1): (0, 4), (9, 1): (0, 4), (10, 1): (0, 4)}
-    whole = {(r.left_out, r.item): (r.rating, r.raters) for r in ev.without_each_evaluator(ratings, spark.createDataFrame([(e,) for e in (1, 2, 3, 9, 10)], "evaluator long")).collect()}
+    whole = {}
+    for out in (1, 2, 3, 9, 10):
+        for item in (1, 2, 3):
+            left = sorted(r[3] for r in rows if r[1] == item and r[2] != out)
+            if len(left) >= 2:
+                whole[out, item] = (left[(len(left) - 1) // 2], len(left))
     assert got.items() <= whole.items()
     means = {r.left_out: round(r["mean"], 9) for r in ev.left_out_means(ratings).collect()}
     want = {}

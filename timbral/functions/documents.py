@@ -74,10 +74,25 @@ def struct_digest(*columns: str) -> Column:
     return json_digest(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def palette_hash(items: DataFrame) -> DataFrame:
-    """palette_id and the identity of what it holds: items in slot order and the context, without revision and times."""
-    rows = items.groupBy("palette_id").agg(F.array_sort(F.collect_list(F.struct("slot", "sample_id"))).alias("items"), F.max("tempo").alias("tempo"), F.max("tonic").alias("tonic"))
-    return rows.select("palette_id", struct_digest("items", "tempo", "tonic").alias("palette_hash"))
+def palette_hash(items: DataFrame, contexts: DataFrame, version: str = "palette-hash-v1") -> DataFrame:
+    """palette_id and palette_hash, the identity of what each palette of contexts selects.
+
+    items: palette_id, slot, sample_id, role of what is active; contexts:
+    palette_id, tempo, tempo_confidence, tempo_reason, tonic, mode,
+    key_confidence, key_reason, genre, genre_reason.  Revisions, times and
+    removed items are no part of it.
+    """
+    rows = items.groupBy("palette_id").agg(F.array_sort(F.collect_list(F.struct("slot", "sample_id", "role"))).alias("items"))
+    none = F.array().cast("array<struct<slot: string, sample_id: string, role: string>>")
+    held = contexts.join(rows, "palette_id", "left").withColumn("items", F.coalesce(F.col("items").cast("array<struct<slot: string, sample_id: string, role: string>>"), none))
+    reason = lambda name: F.col(name).alias("unavailable_reason")
+    context = F.struct(
+        F.struct(F.col("tempo").alias("value"), F.col("tempo_confidence").alias("confidence"), reason("tempo_reason")).alias("tempo"),
+        F.struct("tonic", "mode", F.col("key_confidence").alias("confidence"), reason("key_reason")).alias("key"),
+        F.struct(F.col("genre").alias("value"), reason("genre_reason")).alias("genre"),
+    )
+    named = held.withColumns({"context": context, "palette_hash_version": F.lit(version)})
+    return named.select("palette_id", struct_digest("palette_hash_version", "palette_id", "items", "context").alias("palette_hash"))
 
 
 def run_id(columns: list[str]) -> Column:

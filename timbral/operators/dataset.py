@@ -39,11 +39,36 @@ def role_summary(files: DataFrame, target: int = 100) -> DataFrame:
     return found.withColumn("shortfall", F.greatest(F.lit(target) - F.col("kept"), F.lit(0)))
 
 
-def role_hint(path: Column) -> Column:
-    """The role that a path's words name; null if none or several do."""
-    low = F.lower(path)
-    hits = F.array_compact(F.array(F.when(low.rlike(r"(^|[^a-z])(kick|kicks|bd)([^a-z]|$)"), "kick"), F.when(low.rlike(r"(^|[^a-z])sub([^a-z]|$)"), "sub-bass"), F.when(low.rlike(r"(^|[^a-z])(bass|basses)([^a-z]|$)") & ~low.rlike(r"(^|[^a-z])sub([^a-z]|$)"), "bass")))
-    return F.when(F.size(hits) == 1, hits[0])
+def role_hints(path: Column) -> Column:
+    """The roles that a file's name, without its ending, suggests: kick, bass, both or none."""
+    name = F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"(?<=[^.])\.[^.]+$", ""))
+    kick = name.contains("kick") | name.rlike("bass[ _-]?drum")
+    bass = name.contains("bass") | name.contains("808") | name.rlike("(^|[ _-])sub([ _-]|$)")
+    return F.array_compact(F.array(F.when(kick, "kick"), F.when(bass, "bass")))
+
+
+def restricted(path: Column) -> Column:
+    """Whether a folder or the file is named as a demo, a preview or a miscellany."""
+    return F.exists(F.split(path, "/"), lambda part: F.lower(part).rlike("(^|[ ._-])(demo|preview|misc)([ ._-]|$)"))
+
+
+def role_evidence(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """source, path, role, method, rule_id, subtype, problem of each file by the reviewed rules of its source.
+
+    rules: source, kind (category: everything below path; file: path itself),
+    path, role, rule_id, subtype.  Rules of several roles conflict; of those that
+    agree the one of least id is named.  A file meets its own path and the
+    folders above it, never all rules.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), F.when(n == F.size(parts), "file").otherwise("category").alias("kind")))
+    asked = files.select("source", "path").distinct().select("source", "path", F.explode(above).alias("a")).select("source", F.col("path").alias("file"), "a.path", "a.kind")
+    method = F.when(F.col("kind") == "category", "trusted_category").otherwise("reviewed_mapping")
+    hits = asked.join(rules, ["source", "path", "kind"]).groupBy("source", F.col("file").alias("path")).agg(F.count_distinct("role").alias("roles"), F.min_by(F.struct("role", method.alias("method"), "rule_id", "subtype"), "rule_id").alias("rule"))
+    one = F.col("roles") == 1
+    problem = F.when(F.col("roles") > 1, "conflicting_role_evidence").when(F.col("roles").isNull(), "unconfirmed_role")
+    told = [F.when(one, F.col("rule")[c]).alias(c) for c in ("role", "method", "rule_id", "subtype")]
+    return files.select("source", "path").distinct().join(hits, ["source", "path"], "left").select("source", "path", *told, problem.alias("problem"))
 
 
 def seeded_order(rows: DataFrame, seed: str, key: str = "pair_id", by: str = "session") -> DataFrame:

@@ -13,6 +13,10 @@ CURVE = (5, 10, 20, 50, 100)
 TOP = 10
 RECOGNISED_MOST = 0.20
 SCORED_LEAST = 0.50
+RATED_LEAST = 2
+# Labels that are ratings, and how the description of a session that only tries the tools begins.
+RATING_LABELS = {"poor": 0.0, "acceptable": 1.0, "good": 2.0, "excellent": 3.0}
+TOOLING = "dry-run"
 #: Resamples of a bootstrap in one task.
 _RESAMPLES = 250
 
@@ -77,12 +81,27 @@ def query_metrics(orders: DataFrame, medians: DataFrame, top: int = TOP) -> Data
     )
 
 
-def eligibility(orders: DataFrame, medians: DataFrame) -> DataFrame:
-    """arm, query, rated, scored, and the first reason that keeps the query out, or null."""
+def eligibility(orders: DataFrame, medians: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """arm, query, items, rated, scored, and the first reason that keeps the query out, or null.
+
+    queries: query and filter_error of all that were asked, so that one without
+    items is seen, too; without it, those that have items.
+    """
     joined = orders.join(medians.select("query", "item", "rating"), ["query", "item"], "left")
     counted = joined.groupBy("arm", "query").agg(F.count("*").alias("items"), F.count("rating").alias("rated"), F.count_if(F.col("rating").isNotNull() & F.col("score").isNotNull()).alias("scored"))
-    reason = F.when(F.col("items") == 0, "empty").when(F.col("rated") < 2, "too_few_rated").when(ratio(F.col("scored"), F.col("rated")) < SCORED_LEAST, "too_few_scored")
-    return counted.withColumn("reason", reason)
+    if queries is None:
+        counted = counted.withColumn("filter_error", F.lit(None).cast("string"))
+    else:
+        asked = queries.select("query", "filter_error").crossJoin(F.broadcast(orders.select("arm").distinct()))  # a handful of arms
+        counted = asked.join(counted, ["arm", "query"], "left").na.fill(0, ["items", "rated", "scored"])
+    share = ratio(F.col("scored"), F.col("rated"))
+    reason = (
+        F.when(F.col("filter_error").isNotNull(), "filter_error")
+        .when(F.col("items") == 0, "no_eligible_candidate_set")
+        .when(F.col("rated") < RATED_LEAST, "rated_subset_below_minimum_ratings")
+        .when(share < SCORED_LEAST, "scored_share_below_minimum")
+    )
+    return counted.withColumn("reason", reason).select("arm", "query", "items", "rated", "scored", "reason")
 
 
 def arm_summary(metrics: DataFrame, eligible: DataFrame) -> DataFrame:
@@ -113,14 +132,6 @@ def agreement(ratings: DataFrame) -> DataFrame:
     return rows.groupBy("evaluator").agg(F.sum("others").alias("n"), ratio(F.sum("away"), F.sum("others")).alias("mean_deviation"), ratio(F.sum("same"), F.sum("others")).alias("exact_share"))
 
 
-def without_each_evaluator(ratings: DataFrame, evaluators: DataFrame) -> DataFrame:
-    """left_out and the item medians of all others' ratings, for the stated evaluators (a broadcast of ids)."""
-    one = F.broadcast(evaluators.select(F.col("evaluator").alias("left_out")))
-    rest = first_ratings(ratings).join(one, F.col("evaluator") != F.col("left_out"))
-    found = rest.groupBy("left_out", "query", "item").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rating)").cast("int").alias("rating"), F.count("*").alias("raters"))
-    return found.where("raters >= 2")
-
-
 def left_out_medians(ratings: DataFrame) -> DataFrame:
     """left_out, query, item, rating and raters: the median without each evaluator, of the items that this evaluator has rated.
 
@@ -181,15 +192,36 @@ def misses(positives: DataFrame, returned: DataFrame, supplied: DataFrame, libra
     return joined.select("query", "item", why.alias("why"))
 
 
-def verdict(low: Column, high: Column, n: Column, gate: float, least: int = 10) -> Column:
-    """supported, not_supported or inconclusive from an interval against a gate; insufficient under least queries."""
-    return F.when(n < least, "insufficient").when(low >= gate, "supported").when(high < gate, "not_supported").otherwise("inconclusive")
+def verdict(value: Column, low: Column, high: Column, minimum: float, met: Column, unsure: Column | None = None) -> Column:
+    """supported, not supported, inconclusive or insufficient.
+
+    Without the evidence, a value or an interval: insufficient; if something
+    else makes the gate unsure: inconclusive; supported if the value reaches the
+    minimum and the interval lies above 0; not supported if the whole interval
+    is below the minimum.
+    """
+    unsure = F.lit(False) if unsure is None else F.coalesce(unsure, F.lit(False))
+    return (
+        F.when(~F.coalesce(met, F.lit(False)) | value.isNull() | low.isNull(), "insufficient")
+        .when(unsure, "inconclusive")
+        .when((value >= minimum) & (low > 0), "supported")
+        .when(high < minimum, "not supported")
+        .otherwise("inconclusive")
+    )
+
+
+def point_class(value: Column, minimum: Column) -> Column:
+    """On which side of a minimum a point estimate is."""
+    return F.when(value.isNull(), "absent").when(value >= minimum, "meets_minimum").otherwise("below_minimum")
+
 
+def flipped(points: DataFrame, left_out: DataFrame) -> DataFrame:
+    """gate, left_out: the evaluators without whom a gate's point changes sides.
 
-def flipped(verdicts: DataFrame, left_out: DataFrame) -> DataFrame:
-    """Gates with their verdict, inconclusive where leaving out one evaluator gives another one."""
-    other = left_out.join(verdicts.select("gate", F.col("verdict").alias("was")), "gate").groupBy("gate").agg(F.bool_or(F.col("verdict") != F.col("was")).alias("flips"))
-    return verdicts.join(other, "gate", "left").select("gate", F.when(F.coalesce("flips", F.lit(False)), "inconclusive").otherwise(F.col("verdict")).alias("verdict"))
+    points: gate, minimum, value over all ratings; left_out: gate, left_out, value without one evaluator.
+    """
+    both = left_out.select("gate", "left_out", F.col("value").alias("_without")).join(points, "gate")
+    return both.where(point_class(F.col("_without"), F.col("minimum")) != point_class(F.col("value"), F.col("minimum"))).select("gate", "left_out")
 
 
 def bootstrap_means(values: DataFrame, by: list[str], seed: str, resamples: int = 10_000, order: str = "query", most: int = 1 << 20) -> DataFrame:
@@ -224,16 +256,8 @@ def bootstrap_means(values: DataFrame, by: list[str], seed: str, resamples: int
     return lists.drop("rows").join(means, by).select(*by, "n", "mean", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
 
 
-def session_counts(answers: DataFrame, planned: int) -> DataFrame:
-    """answered, skipped, recognised, failed, and next_index: the least index of the plan without an answer."""
-    done = answers.select("presentation_index").distinct()
-    missing = answers.sparkSession.range(planned).withColumnRenamed("id", "presentation_index").join(done, "presentation_index", "left_anti").agg(F.min("presentation_index").alias("next_index"))
-    counts = answers.agg(F.count_if(~F.col("skipped")).alias("answered"), F.count_if("skipped").alias("skipped"), F.count_if("recognised").alias("recognised"), F.count_if(~F.col("completed")).alias("failed"))
-    return counts.crossJoin(missing)
-
-
 def counts_by_session(answers: DataFrame, planned: int) -> DataFrame:
-    """session_counts of every session_id; next_index is null where the whole plan is answered."""
+    """session_id, answered, skipped, recognised, failed, and next_index, the least index of the plan without an answer: null where all are."""
     index = F.col("presentation_index")
     done = F.collect_set(F.when(index.between(0, planned - 1), index.cast("long")))  # planned values at most
     counts = answers.groupBy("session_id").agg(F.count_if(~F.col("skipped")).alias("answered"), F.count_if("skipped").alias("skipped"), F.count_if("recognised").alias("recognised"), F.count_if(~F.col("completed")).alias("failed"), done.alias("done"))
@@ -241,11 +265,32 @@ def counts_by_session(answers: DataFrame, planned: int) -> DataFrame:
     return counts.withColumn("next_index", F.array_min(F.array_except(plan, "done"))).drop("done")
 
 
-def valid_ratings(answers: DataFrame) -> DataFrame:
-    """Ratings that count, of sessions that count: not skipped, played to the end, labelled, not recognised; no session above the recognised share."""
-    share = answers.groupBy("session_id").agg(ratio(F.count_if("recognised"), F.count("*")).alias("share"))
-    good = share.where(F.col("share") <= RECOGNISED_MOST).select("session_id")
-    return answers.where("not skipped and completed and label is not null and not recognised").join(good, "session_id")
+def effective_answers(answers: DataFrame) -> DataFrame:
+    """The last record of each presentation of a session; corrections replace what they correct."""
+    rest = F.struct(*[c for c in answers.columns if c not in ("session_id", "presentation_index")])
+    told = answers.where("presentation_index IS NOT NULL")
+    return told.groupBy("session_id", "presentation_index").agg(F.max_by(rest, "seq").alias("v")).select("session_id", "presentation_index", "v.*")
+
+
+def session_verdicts(answers: DataFrame, sessions: DataFrame) -> DataFrame:
+    """session_id, planned, effective, recognised, counted and reason of each session (session_id, planned, monitoring).
+
+    A session that tries the tools doesn't count, nor one whose evaluator
+    recognised more than the allowed share of the presentations planned.
+    """
+    found = effective_answers(answers).groupBy("session_id").agg(F.count("*").alias("effective"), F.count_if("recognised").alias("recognised"))
+    joined = sessions.select("session_id", "planned", "monitoring").join(found, "session_id", "left").na.fill(0, ["effective", "recognised"])
+    share = ratio(F.col("recognised"), F.col("planned"))
+    reason = F.when(F.coalesce(F.col("monitoring").startswith(TOOLING), F.lit(False)), "tooling_session").when(share > RECOGNISED_MOST, "recognised_rate_above_maximum")
+    return joined.select("session_id", "planned", "effective", "recognised", reason.isNull().alias("counted"), reason.alias("reason"))
+
+
+def valid_ratings(answers: DataFrame, sessions: DataFrame) -> DataFrame:
+    """session_id, seq, pair_id, rating of what counts: effective, not recognised nor skipped, played to the end, with a label, in a session that counts."""
+    good = session_verdicts(answers, sessions).where("counted").select("session_id")
+    scores = F.create_map(*(F.lit(x) for pair in RATING_LABELS.items() for x in pair))
+    kept = effective_answers(answers).where("NOT coalesce(recognised, false) AND skipped = false AND completed AND pair_id IS NOT NULL").withColumn("rating", scores[F.col("label")])
+    return kept.where("rating IS NOT NULL").join(good, "session_id").select("session_id", "seq", "pair_id", "rating")
 
 
 def repeated_elsewhere(answers: DataFrame) -> DataFrame:

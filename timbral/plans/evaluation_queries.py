@@ -53,7 +53,9 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eligibility(spark: SparkSession, d: str) -> DataFrame:
-    return ev.eligibility(_orders(spark, d), ev.item_medians(_ratings(spark, d), 3))
+    """All arms and queries; one in 23 failed in its filter, and one in 19 has no candidate left."""
+    asked = spark.range(300).select(F.col("id").alias("query"), F.when(F.col("id") % 23 == 1, "unknown_role").alias("filter_error"))
+    return ev.eligibility(_orders(spark, d).where("query % 19 <> 2"), ev.item_medians(_ratings(spark, d), 3), asked)
 
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
@@ -70,10 +72,6 @@ def agreement(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ev.agreement(_ratings(spark, d)), ("mean_deviation", "exact_share"))
 
 
-def left_out(spark: SparkSession, d: str) -> DataFrame:
-    return ev.without_each_evaluator(_ratings(spark, d), spark.range(1, 6).withColumnRenamed("id", "evaluator"))
-
-
 def each_left_out(spark: SparkSession, d: str) -> DataFrame:
     return ev.left_out_medians(_ratings(spark, d))
 
@@ -101,37 +99,44 @@ def misses(spark: SparkSession, d: str) -> DataFrame:
     return ev.misses(ev.item_medians(_ratings(spark, d)).where("rating >= 2").select("query", "item"), returned, supplied, known).groupBy("why").agg(F.count("*").alias("n"))
 
 
-def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    stats = _metrics(spark, d).groupBy("arm").agg(F.count("topk_mean").alias("n"), F.avg("topk_mean").alias("m"), F.stddev_pop("topk_mean").alias("s"))
-    low, high = F.col("m") - F.col("s") / F.sqrt("n"), F.col("m") + F.col("s") / F.sqrt("n")
-    return stats.select("arm", ev.verdict(low, high, F.col("n"), 1.5).alias("against_1_5"), ev.verdict(low, high, F.col("n"), 0.5).alias("against_0_5"), ev.verdict(low, high, F.col("n"), 1.6, least=1000).alias("too_few"))
+GATES = {"topk_mean": (0.5, 1.5, 1.7), "top1_margin": (-0.5, 0.02, 0.5)}
 
 
-def _flipped(spark: SparkSession, d: str, out: DataFrame) -> DataFrame:
-    rated = ev.item_medians(_ratings(spark, d)).agg(F.avg("rating").alias("m"))
-    gates = F.explode(F.array(*(F.lit(g) for g in (0.5, 1.0, 1.5, 2.0)))).alias("gate")
-    all_in = rated.select("m", gates).select("gate", F.when(F.col("m") >= F.col("gate"), "supported").otherwise("not_supported").alias("verdict"))
-    return ev.flipped(all_in, out.select("m", gates).select("gate", F.when(F.col("m") >= F.col("gate"), "supported").otherwise("not_supported").alias("verdict")))
+def _gates(metric: str) -> F.Column:
+    return F.array(*(F.lit(g) for g in GATES[metric]))
+
+
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Each arm's metrics against gates: the mean, an interval of the queries' own percentiles, and evidence from 250 queries on."""
+    rows = []
+    for metric in GATES:
+        stats = _metrics(spark, d).groupBy("arm").agg(F.count(metric).alias("n"), F.round(F.avg(metric), 9).alias("value"), *(F.round(F.percentile(metric, q), 9).alias(name) for name, q in (("low", 0.3), ("high", 0.7))))
+        rows.append(stats.select("arm", F.lit(metric).alias("metric"), "n", "value", "low", "high", F.explode(_gates(metric)).alias("minimum")))
+    every = rows[0].unionByName(rows[1])
+    unsure = (F.col("arm") == "copy") & (F.col("minimum") < 0)
+    gate = lambda met: ev.verdict(F.col("value"), F.col("low"), F.col("high"), F.col("minimum"), met, unsure)
+    return every.select("arm", "metric", "minimum", gate(F.col("n") >= 250).alias("verdict"), gate(F.col("n") >= 100_000).alias("too_few"))
 
 
-def flipped(spark: SparkSession, d: str) -> DataFrame:
-    return _flipped(spark, d, ev.without_each_evaluator(_ratings(spark, d), spark.range(1, 6).withColumnRenamed("id", "evaluator")).groupBy("left_out").agg(F.avg("rating").alias("m")))
+def bootstrap_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The same gates with the bootstrap's intervals."""
+    found = bootstrap(spark, d).select("arm", "n", "mean", "low", "high", F.explode(_gates("topk_mean")).alias("minimum"))
+    return found.select("arm", "minimum", ev.verdict(F.col("mean"), F.col("low"), F.col("high"), F.col("minimum"), F.col("n") >= 250).alias("verdict"))
 
 
 def all_flipped(spark: SparkSession, d: str) -> DataFrame:
-    return _flipped(spark, d, ev.left_out_means(_ratings(spark, d)).withColumnRenamed("mean", "m"))
+    """Evaluators without whom the mean of all medians changes sides of a gate; one gate is that mean itself."""
+    mean = ev.item_medians(_ratings(spark, d)).agg(F.avg("rating").alias("value"))
+    names = {"half": F.lit(0.5), "one": F.lit(1.0), "mean": F.col("value"), "two": F.lit(2.0)}
+    points = mean.select("value", F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), m.alias("minimum")) for g, m in names.items()))).alias("g")).select("g.gate", "g.minimum", "value")
+    out = ev.left_out_means(_ratings(spark, d)).select("left_out", F.col("mean").alias("value"), F.explode(F.array(*(F.lit(g) for g in names))).alias("gate"))
+    return ev.flipped(points, out)
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return ev.bootstrap_means(_metrics(spark, d).select("arm", "query", F.col("topk_mean").alias("value")), ["arm"], "seed-1")
 
 
-def sessions(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("user_id = 7 and event_id % 60 <> 5")
-    answers = e.select((F.col("event_id") % 60).alias("presentation_index"), (F.col("event_type") == "view").alias("skipped"), (F.col("event_type") == "click").alias("recognised"), (F.col("event_type") != "error").alias("completed"))
-    return ev.session_counts(answers, 60)
-
-
 def each_session(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     answers = e.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 60).alias("presentation_index"), (F.col("event_type") == "view").alias("skipped"), (F.col("event_type") == "click").alias("recognised"), (F.col("event_type") != "error").alias("completed"))
@@ -146,8 +151,27 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+LABELS = ("poor", "acceptable", "good", "excellent", "great")
+
+
+def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Records of sessions of up to 40 presentations, some corrected later, and the sessions: some try the tools."""
+    e = read(spark, d, "events")
+    label = F.element_at(F.array(*(F.lit(x) for x in LABELS)), (F.col("event_id") % 5 + 1).cast("int"))
+    answers = e.select(
+        F.col("user_id").alias("session_id"), (F.col("event_id") % 40).alias("presentation_index"), F.col("event_id").alias("seq"), F.concat(F.lit("p"), F.col("event_id") % 400).alias("pair_id"), (F.col("event_type") == "view").alias("skipped"), ((F.col("event_type") == "error") & (F.col("user_id") % 3 > 0)).alias("recognised"),
+        (F.col("event_type") != "signup").alias("completed"), F.when(F.col("event_id") % 13 > 0, label).alias("label"),
+    )
+    sessions = e.select("user_id").distinct().select(F.col("user_id").alias("session_id"), F.lit(40).alias("planned"), F.when(F.col("user_id") % 11 == 0, "dry-run of the desk").when(F.col("user_id") % 11 != 1, "headphones").alias("monitoring"))
+    return answers, sessions
+
+
 def valid(spark: SparkSession, d: str) -> DataFrame:
-    return ev.valid_ratings(_answers(spark, d)).select("session_id", "seq")
+    return ev.valid_ratings(*_rated(spark, d))
+
+
+def session_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return ev.session_verdicts(*_rated(spark, d))
 
 
 def elsewhere(spark: SparkSession, d: str) -> DataFrame:
@@ -174,18 +198,31 @@ metrics AS (SELECT p.arm, p.query, p.n, CAST(coalesce(d.n, 0) AS INTEGER) AS dec
 def _eligible(least: int) -> str:
     return f"""el AS (SELECT o.arm, o.query, count(*) AS items, count(m.rating) AS rated, count(*) FILTER (WHERE m.rating IS NOT NULL AND score IS NOT NULL) AS scored
   FROM orders_ o LEFT JOIN (SELECT * FROM medians WHERE raters >= {least}) m ON o.query = m.query AND o.item = m.item GROUP BY ALL),
-eligible AS (SELECT *, CASE WHEN rated < 2 THEN 'too_few_rated' WHEN CAST(scored AS DOUBLE) / rated < 0.5 THEN 'too_few_scored' END AS reason FROM el)"""
+eligible AS (SELECT *, CASE WHEN rated < 2 THEN 'rated_subset_below_minimum_ratings' WHEN CAST(scored AS DOUBLE) / rated < 0.5 THEN 'scored_share_below_minimum' END AS reason FROM el)"""
 
 
-_OUT = f"{_FIRST}, outs AS (SELECT x.e AS left_out, query, item, CAST(quantile_disc(rating, 0.5) AS INTEGER) AS rating, count(*) AS raters FROM firsts, (VALUES (1), (2), (3), (4), (5)) x(e) WHERE evaluator <> x.e GROUP BY ALL HAVING count(*) >= 2)"
 _ANSWERS = "a AS (SELECT user_id AS session_id, user_id % 10 AS evaluator, event_id % 400 AS pair_id, event_id AS seq, event_type = 'view' AS skipped, event_type = 'click' AS recognised, event_type <> 'error' AS completed, CASE WHEN event_id % 13 > 0 THEN event_type END AS label FROM events)"
-_VERDICT = "CASE WHEN n < {1} THEN 'insufficient' WHEN m - s / sqrt(n) >= {0} THEN 'supported' WHEN m + s / sqrt(n) < {0} THEN 'not_supported' ELSE 'inconclusive' END"
+_RATED = """r AS (SELECT user_id AS session_id, event_id % 40 AS presentation_index, event_id AS seq, 'p' || event_id % 400 AS pair_id, event_type = 'view' AS skipped, event_type = 'error' AND user_id % 3 > 0 AS recognised, event_type <> 'signup' AS completed,
+  CASE WHEN event_id % 13 > 0 THEN (['poor', 'acceptable', 'good', 'excellent', 'great'])[event_id % 5 + 1] END AS label FROM events),
+eff AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session_id, presentation_index ORDER BY seq DESC) = 1),
+ses AS (SELECT session_id, CAST(40 AS INTEGER) AS planned, count(*) AS effective, count(*) FILTER (WHERE recognised) AS recognised, CASE WHEN session_id % 11 = 0 THEN 'tooling_session' WHEN count(*) FILTER (WHERE recognised) > 8 THEN 'recognised_rate_above_maximum' END AS reason FROM eff GROUP BY session_id)"""
+
+
+def _verdict(least: int) -> str:
+    return f"CASE WHEN n < {least} THEN 'insufficient' WHEN arm = 'copy' AND minimum < 0 THEN 'inconclusive' WHEN value >= minimum AND low > 0 THEN 'supported' WHEN high < minimum THEN 'not supported' ELSE 'inconclusive' END"
+
 
 QUERIES = {
     "G11_J12_item_medians": (medians, f"WITH {_MEDIAN} SELECT * FROM medians"),
     "R15_arm_orders": (orders, f"WITH {_ORDERS} SELECT arm, query, item, CAST(position AS INTEGER) AS position FROM orders_"),
     "G13_J13_W12_query_metrics": (metrics, f"WITH {_METRICS} SELECT arm, query, n, decided_pairs, round(pairwise_accuracy, 9) AS pairwise_accuracy, round(top1_margin, 9) AS top1_margin, round(topk_mean, 9) AS topk_mean, round(rating_mean, 9) AS rating_mean FROM metrics"),
-    "R16_query_eligibility": (eligibility, f"WITH {_ORDERS}, {_eligible(3)} SELECT * FROM eligible"),
+    "R16_query_eligibility": (
+        eligibility,
+        f"""WITH {_ORDERS}, o AS (SELECT * FROM orders_ WHERE query % 19 <> 2), c AS (SELECT o.arm, o.query, count(*) AS items, count(m.rating) AS rated, count(*) FILTER (WHERE m.rating IS NOT NULL AND score IS NOT NULL) AS scored
+  FROM o LEFT JOIN (SELECT * FROM medians WHERE raters >= 3) m ON o.query = m.query AND o.item = m.item GROUP BY ALL),
+a AS (SELECT v.arm, q.query, coalesce(items, 0) AS items, coalesce(rated, 0) AS rated, coalesce(scored, 0) AS scored FROM range(300) q(query) CROSS JOIN (VALUES ('price'), ('discount'), ('copy')) v(arm) LEFT JOIN c ON c.arm = v.arm AND c.query = q.query)
+SELECT *, CASE WHEN query % 23 = 1 THEN 'filter_error' WHEN items = 0 THEN 'no_eligible_candidate_set' WHEN rated < 2 THEN 'rated_subset_below_minimum_ratings' WHEN CAST(scored AS DOUBLE) / rated < 0.5 THEN 'scored_share_below_minimum' END AS reason FROM a""",
+    ),
     "G14_arm_summary": (
         summary,
         f"""WITH {_METRICS}, {_eligible(2)}, s AS (SELECT m.arm, count(*) AS queries, round(avg(pairwise_accuracy), 9) AS pairwise_accuracy, round(avg(top1_margin), 9) AS top1_margin, round(avg(topk_mean), 9) AS topk_mean, round(avg(rating_mean), 9) AS rating_mean
@@ -196,7 +233,6 @@ FROM metrics m JOIN eligible e ON m.arm = e.arm AND m.query = e.query WHERE reas
         agreement,
         f"WITH {_FIRST} SELECT a.evaluator, count(*) AS n, round(avg(abs(a.rating - b.rating)), 9) AS mean_deviation, round(avg(CASE WHEN a.rating = b.rating THEN 1.0 ELSE 0.0 END), 9) AS exact_share FROM firsts a JOIN firsts b ON a.query = b.query AND a.item = b.item AND a.evaluator <> b.evaluator GROUP BY a.evaluator",
     ),
-    "G16_leave_one_out": (left_out, f"WITH {_OUT} SELECT * FROM outs"),
     "G18_identical_orders": (identical, f"WITH {_ORDERS}, l AS (SELECT arm, query, list(item ORDER BY position) AS items FROM orders_ GROUP BY ALL) SELECT arm, count(*) AS queries FROM l x WHERE EXISTS (SELECT 1 FROM l y WHERE y.query = x.query AND y.arm <> x.arm AND y.items = x.items) GROUP BY arm"),
     "G12_G19_latency_percentiles": (latencies, "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events GROUP BY event_type"),
     "G20_recall_curve": (recall, f"WITH {_ORDERS}, h AS (SELECT o.position FROM orders_ o JOIN medians m ON o.query = m.query AND o.item = m.item WHERE arm = 'price' AND m.rating >= 2) SELECT size, (SELECT count(*) FROM h WHERE position <= size) AS found, (SELECT count(*) FROM h) AS positives, round((SELECT count(*) FROM h WHERE position <= size) / CAST((SELECT count(*) FROM h) AS DOUBLE), 9) AS recall FROM (VALUES (5), (10), (20), (50), (100)) v(size)"),
@@ -206,33 +242,34 @@ FROM metrics m JOIN eligible e ON m.arm = e.arm AND m.query = e.query WHERE reas
 SELECT why, count(*) AS n FROM (SELECT CASE WHEN item >= 18 THEN 'missing_from_library' WHEN NOT EXISTS (SELECT 1 FROM s WHERE s.query = pos.query AND s.item = pos.item) THEN 'filter_excluded' ELSE 'cut' END AS why FROM pos
 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query = pos.query AND s.item = pos.item AND position <= 10)) GROUP BY why""",
     ),
-    "R17_verdicts": (verdicts, f"WITH {_METRICS}, t AS (SELECT arm, count(topk_mean) AS n, avg(topk_mean) AS m, stddev_pop(topk_mean) AS s FROM metrics GROUP BY arm) SELECT arm, {_VERDICT.format(1.5, 10)} AS against_1_5, {_VERDICT.format(0.5, 10)} AS against_0_5, {_VERDICT.format(1.6, 1000)} AS too_few FROM t"),
-    "G16_R17_flipped_gates": (
-        flipped,
-        f"""WITH {_OUT}, m AS (SELECT avg(rating) AS m FROM (SELECT quantile_disc(rating, 0.5) AS rating FROM firsts GROUP BY query, item HAVING count(*) >= 2)), lo AS (SELECT left_out, avg(rating) AS m FROM outs GROUP BY left_out),
-g AS (SELECT CAST(gate AS DOUBLE) AS gate FROM (VALUES (0.5), (1.0), (1.5), (2.0)) v(gate))
-SELECT gate, CASE WHEN EXISTS (SELECT 1 FROM lo WHERE (lo.m >= gate) <> (m.m >= gate)) THEN 'inconclusive' WHEN m.m >= gate THEN 'supported' ELSE 'not_supported' END AS verdict FROM g, m""",
+    "R17_verdicts": (
+        verdicts,
+        f"""WITH {_METRICS}, t AS (SELECT arm, 'topk_mean' AS metric, unnest([0.5, 1.5, 1.7]) AS minimum, count(topk_mean) AS n, round(avg(topk_mean), 9) AS value, round(quantile_cont(topk_mean, 0.3), 9) AS low, round(quantile_cont(topk_mean, 0.7), 9) AS high FROM metrics GROUP BY arm
+  UNION ALL SELECT arm, 'top1_margin', unnest([-0.5, 0.02, 0.5]), count(top1_margin), round(avg(top1_margin), 9), round(quantile_cont(top1_margin, 0.3), 9), round(quantile_cont(top1_margin, 0.7), 9) FROM metrics GROUP BY arm)
+SELECT arm, metric, CAST(minimum AS DOUBLE) AS minimum, {_verdict(250)} AS verdict, {_verdict(100000)} AS too_few FROM t""",
     ),
+    "R17_bootstrap_verdicts": (bootstrap_verdicts, None),
     "G17_bootstrap_means": (bootstrap, None),
-    "G25_session_counts": (
-        sessions,
-        """WITH e AS (SELECT * FROM events WHERE user_id = 7 AND event_id % 60 <> 5) SELECT count(*) FILTER (WHERE event_type <> 'view') AS answered, count(*) FILTER (WHERE event_type = 'view') AS skipped, count(*) FILTER (WHERE event_type = 'click') AS recognised,
-count(*) FILTER (WHERE event_type = 'error') AS failed, (SELECT min(i) FROM range(60) r(i) WHERE i NOT IN (SELECT event_id % 60 FROM e)) AS next_index FROM e""",
-    ),
     "G25_each_session_counts": (
         each_session,
         """WITH e AS (SELECT user_id AS session_id, event_id % 60 AS i, event_type FROM events), s AS (SELECT session_id, count(*) FILTER (WHERE event_type <> 'view') AS answered, count(*) FILTER (WHERE event_type = 'view') AS skipped,
 count(*) FILTER (WHERE event_type = 'click') AS recognised, count(*) FILTER (WHERE event_type = 'error') AS failed FROM e GROUP BY session_id),
 n AS (SELECT session_id, min(r.i) AS next_index FROM s, range(60) r(i) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = s.session_id AND e.i = r.i) GROUP BY session_id) SELECT s.*, next_index FROM s LEFT JOIN n USING (session_id)""",
     ),
-    "M17_valid_ratings": (valid, f"WITH {_ANSWERS} SELECT session_id, seq FROM a WHERE NOT skipped AND completed AND label IS NOT NULL AND NOT recognised AND session_id IN (SELECT session_id FROM a GROUP BY session_id HAVING avg(CASE WHEN recognised THEN 1.0 ELSE 0.0 END) <= 0.2)"),
+    "M17_valid_ratings": (valid, f"WITH {_RATED} SELECT session_id, seq, pair_id, CASE label WHEN 'poor' THEN 0.0 WHEN 'acceptable' THEN 1.0 WHEN 'good' THEN 2.0 WHEN 'excellent' THEN 3.0 END AS rating FROM eff WHERE NOT recognised AND NOT skipped AND completed AND label IS NOT NULL AND label <> 'great' AND session_id IN (SELECT session_id FROM ses WHERE reason IS NULL)"),
+    "M17_session_verdicts": (session_verdicts, f"WITH {_RATED} SELECT session_id, planned, effective, recognised, reason IS NULL AS counted, reason FROM ses"),
     "M18_repeated_elsewhere": (elsewhere, f"WITH {_ANSWERS} SELECT evaluator, pair_id, count(DISTINCT session_id) AS sessions FROM a GROUP BY ALL HAVING count(DISTINCT session_id) > 1"),
     "D5_S14_last_answers": (last_answers, f"WITH {_ANSWERS} SELECT session_id, pair_id, seq, label FROM (SELECT *, row_number() OVER (PARTITION BY session_id, pair_id ORDER BY seq DESC) AS n FROM a) WHERE n = 1"),
 }
 
-#: Every evaluator is left out; the queries above leave out those that their SQL states.
+#: Every evaluator is left out.
 _EACH = f"{_FIRST}, outs AS (SELECT x.e AS left_out, query, item, CAST(quantile_disc(rating, 0.5) AS INTEGER) AS rating, count(*) AS raters FROM firsts, (SELECT DISTINCT evaluator AS e FROM firsts) x WHERE evaluator <> x.e GROUP BY ALL HAVING count(*) >= 2)"
 QUERIES |= {
     "G16_leave_each_out": (each_left_out, f"WITH {_EACH} SELECT * FROM outs WHERE EXISTS (SELECT 1 FROM firsts f WHERE f.evaluator = left_out AND f.query = outs.query AND f.item = outs.item)"),
-    "G16_R17_all_flipped_gates": (all_flipped, QUERIES["G16_R17_flipped_gates"][1].replace(_OUT, _EACH)),
+    "G16_R17_all_flipped_gates": (
+        all_flipped,
+        f"""WITH {_EACH}, m AS (SELECT avg(rating) AS m FROM (SELECT quantile_disc(rating, 0.5) AS rating FROM firsts GROUP BY query, item HAVING count(*) >= 2)), lo AS (SELECT left_out, avg(rating) AS m FROM outs GROUP BY left_out),
+g AS (SELECT 'half' AS gate, 0.5 AS minimum, m FROM m UNION ALL SELECT 'one', 1.0, m FROM m UNION ALL SELECT 'mean', m, m FROM m UNION ALL SELECT 'two', 2.0, m FROM m)
+SELECT gate, left_out FROM g, lo WHERE (lo.m >= minimum) <> (g.m >= minimum)""",
+    ),
 }

@@ -114,9 +114,24 @@ def role_summary(spark: SparkSession, d: str) -> DataFrame:
     return dataset.role_summary(dataset.admit_files(views.content(spark, d).withColumn("priority", F.col("source"))), 100)
 
 
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """source, path: names that hint at a role, at both or at none, and folders that are closed to use."""
+    folder = F.element_at(F.array(*(F.lit(x) for x in ("Drums/Kicks", "Low/Bass", "Low/808s", "Misc", "My-Demo Pack", "demonstration"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    name = F.element_at(F.array(*(F.lit(x) for x in ("Kick 01.wav", "bass_drum.wav", "Sub-A.wav", "subtle.wav", "808.WAV", "pad.kick.wav", "Bass.wav"))), (F.col("p_size") % 7 + 1).cast("int"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_brand").alias("source"), F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"), F.lit(" "), name).alias("path"))
+
+
 def role_hints(spark: SparkSession, d: str) -> DataFrame:
-    path = F.concat(F.lower("p_name"), F.when(F.col("p_size") % 3 == 0, "/kick_").when(F.col("p_size") % 3 == 1, "-sub-bass/").otherwise(" Bass "), F.when(F.col("p_size") % 5 == 0, "BD").otherwise("x"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), dataset.role_hint(path).alias("role"))
+    return _paths(spark, d).select("sample_id", F.array_join(dataset.role_hints(F.col("path")), ",").alias("hints"), dataset.restricted(F.col("path")).alias("restricted"))
+
+
+def role_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of folders for all sources, one of them in conflict below, and of single files."""
+    files = _paths(spark, d)
+    folders = spark.createDataFrame([("Drums", "kick", "r2", "drum"), ("Drums/Kicks", "kick", "r1", "one-shot"), ("Low", "bass", "r3", "synth"), ("Low/808s", "sub-bass", "r4", "long")], "path string, role string, rule_id string, subtype string")
+    rules = files.select("source").distinct().crossJoin(F.broadcast(folders)).select("source", F.lit("category").alias("kind"), "path", "role", "rule_id", "subtype")
+    single = files.where("sample_id % 5 = 0").select("source", F.lit("file").alias("kind"), "path", F.when(F.col("sample_id") % 10 == 0, "bass").otherwise("kick").alias("role"), F.lit("r0").alias("rule_id"), F.lit("hand").alias("subtype"))
+    return dataset.role_evidence(files, rules.unionByName(single))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -191,6 +206,9 @@ flags AS (SELECT s.*, EXISTS (SELECT 1 FROM analysed a WHERE a.content = s.conte
   EXISTS (SELECT 1 FROM v_jobs j WHERE j.content = s.content AND version = 'v1' AND state IN ('pending', 'running')) AS pend, EXISTS (SELECT 1 FROM v_jobs j WHERE j.content = s.content AND version = 'v1' AND state = 'failed') AS fail FROM c_samples s),
 states AS (SELECT *, CASE WHEN cur THEN 'current' WHEN old THEN 'stale' WHEN pend THEN 'pending' WHEN fail THEN 'failed' ELSE 'absent' END AS state, CASE WHEN cur THEN 'current' WHEN old THEN 'stale' ELSE 'absent' END AS retrieval_state FROM flags)"""
 
+_PATHS = """paths AS (SELECT p_partkey AS sample_id, p_brand AS source, p_partkey || ' ' || (['Kick 01.wav', 'bass_drum.wav', 'Sub-A.wav', 'subtle.wav', '808.WAV', 'pad.kick.wav', 'Bass.wav'])[p_size % 7 + 1] AS name,
+  (['Drums/Kicks', 'Low/Bass', 'Low/808s', 'Misc', 'My-Demo Pack', 'demonstration'])[p_partkey % 6 + 1] || '/' || p_partkey || ' ' || (['Kick 01.wav', 'bass_drum.wav', 'Sub-A.wav', 'subtle.wav', '808.WAV', 'pad.kick.wav', 'Bass.wav'])[p_size % 7 + 1] AS path FROM part)"""
+
 QUERIES = {
     "F16_F17_J2_analysis_states": (states, f"WITH {_STATES} SELECT sample_id, state, retrieval_state FROM states"),
     "J4_W8_pending_analysis": (
@@ -217,9 +235,18 @@ AND NOT EXISTS (SELECT 1 FROM analysed a WHERE a.content = s.content AND version
     "G21_role_summary": (role_summary, f"WITH {CONTENT_CTE}, {_ADMIT} SELECT role, count(*) AS candidates, count(*) FILTER (WHERE decision = 'kept') AS kept, count(*) FILTER (WHERE decision = 'conflict') AS conflicts, greatest(100 - count(*) FILTER (WHERE decision = 'kept'), 0) AS shortfall FROM f GROUP BY role"),
     "F14_role_hints": (
         role_hints,
-        """WITH x AS (SELECT p_partkey AS sample_id, lower(p_name) || CASE p_size % 3 WHEN 0 THEN '/kick_' WHEN 1 THEN '-sub-bass/' ELSE ' bass ' END || CASE WHEN p_size % 5 = 0 THEN 'bd' ELSE 'x' END AS p FROM part),
-h AS (SELECT sample_id, regexp_matches(p, '(^|[^a-z])(kick|kicks|bd)([^a-z]|$)') AS k, regexp_matches(p, '(^|[^a-z])sub([^a-z]|$)') AS s, regexp_matches(p, '(^|[^a-z])(bass|basses)([^a-z]|$)') AS b FROM x)
-SELECT sample_id, CASE WHEN k AND NOT s AND NOT b THEN 'kick' WHEN s AND NOT k THEN 'sub-bass' WHEN b AND NOT s AND NOT k THEN 'bass' END AS role FROM h""",
+        f"""WITH {_PATHS}, h AS (SELECT sample_id, path, lower(regexp_replace(name, '\\.[^.]+$', '')) AS n FROM paths)
+SELECT sample_id, concat_ws(',', CASE WHEN n LIKE '%kick%' OR regexp_matches(n, 'bass[ _-]?drum') THEN 'kick' END, CASE WHEN n LIKE '%bass%' OR n LIKE '%808%' OR regexp_matches(n, '(^|[ _-])sub([ _-]|$)') THEN 'bass' END) AS hints,
+  len(list_filter(string_split(path, '/'), lambda x: regexp_matches(lower(x), '(^|[ ._-])(demo|preview|misc)([ ._-]|$)'))) > 0 AS restricted FROM h""",
+    ),
+    "F14_role_evidence": (
+        role_evidence,
+        f"""WITH {_PATHS}, hits AS (SELECT source, path, 'kick' AS role, 'trusted_category' AS method, 'r2' AS rule_id, 'drum' AS subtype FROM paths WHERE path LIKE 'Drums/%' UNION ALL SELECT source, path, 'kick', 'trusted_category', 'r1', 'one-shot' FROM paths WHERE path LIKE 'Drums/Kicks/%'
+  UNION ALL SELECT source, path, 'bass', 'trusted_category', 'r3', 'synth' FROM paths WHERE path LIKE 'Low/%' UNION ALL SELECT source, path, 'sub-bass', 'trusted_category', 'r4', 'long' FROM paths WHERE path LIKE 'Low/808s/%'
+  UNION ALL SELECT source, path, CASE WHEN sample_id % 10 = 0 THEN 'bass' ELSE 'kick' END, 'reviewed_mapping', 'r0', 'hand' FROM paths WHERE sample_id % 5 = 0),
+g AS (SELECT source, path, count(DISTINCT role) AS roles, arg_min({{'role': role, 'method': method, 'rule_id': rule_id, 'subtype': subtype}}, rule_id) AS r FROM hits GROUP BY source, path)
+SELECT p.source, p.path, CASE WHEN roles = 1 THEN r.role END AS role, CASE WHEN roles = 1 THEN r.method END AS method, CASE WHEN roles = 1 THEN r.rule_id END AS rule_id, CASE WHEN roles = 1 THEN r.subtype END AS subtype,
+  CASE WHEN roles > 1 THEN 'conflicting_role_evidence' WHEN roles IS NULL THEN 'unconfirmed_role' END AS problem FROM paths p LEFT JOIN g ON g.source = p.source AND g.path = p.path""",
     ),
     "X14_R20_seeded_order": (presentation, f"WITH {_PAIRS_SQL}, {_ORDER} SELECT session, pair_id, CAST(position AS INTEGER) AS position FROM o"),
     "W10_collisions": (adjacent, f"WITH {_PAIRS_SQL}, {_ORDER}, l AS (SELECT session, kick = lag(kick) OVER (PARTITION BY session ORDER BY position) AS same FROM o) SELECT session, count(*) FILTER (WHERE same) AS collisions FROM l GROUP BY session"),

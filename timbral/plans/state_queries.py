@@ -240,8 +240,19 @@ def shown_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def palette_hashes(spark: SparkSession, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("palette_id"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("sample_id"), F.lit(120.0).alias("tempo"), F.lit(None).cast("string").alias("tonic"))
-    return docs_.palette_hash(li)
+    """Palettes of two slots and their songs; some are empty, and each part of a song is unknown in some."""
+    name = F.concat(F.lit("pal-"), F.col("o_orderkey").cast("string"))
+    o = read(spark, d, "orders")
+    items = read(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 9 > 0").select(
+        F.concat(F.lit("pal-"), F.col("l_orderkey").cast("string")).alias("palette_id"), F.when(F.col("l_linenumber") == 1, "kick").otherwise("bass").alias("slot"), F.concat(F.lit("s-"), F.col("l_partkey").cast("string")).alias("sample_id"), F.when(F.col("l_linenumber") == 1, "kick").when(F.col("l_partkey") % 2 == 0, "bass").otherwise("sub-bass").alias("role")
+    )
+    part = lambda n, known, value: F.when((F.col("o_orderkey") % n == 0) == F.lit(not known), value)
+    contexts = o.select(
+        name.alias("palette_id"), part(3, True, (F.col("o_orderkey") % 100 + 60).cast("double") + 0.5).alias("tempo"), part(3, True, F.lit(0.9)).alias("tempo_confidence"), part(3, False, F.lit("song_context_absent")).alias("tempo_reason"),
+        part(4, True, F.lit("C#")).alias("tonic"), part(4, True, F.when(F.col("o_custkey") % 2 == 0, "major").otherwise("minor")).alias("mode"), part(4, True, F.lit(0.85)).alias("key_confidence"), part(4, False, F.lit("insufficient_duration")).alias("key_reason"),
+        part(5, True, F.col("o_orderpriority")).alias("genre"), part(5, False, F.lit("song_context_absent")).alias("genre_reason"),
+    )
+    return docs_.palette_hash(items, contexts)
 
 
 def dataset_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -545,7 +556,15 @@ round(v[2] * 0.25 + v[3] * 0.5 + v[4] * 0.75 + v[5], 9) AS expected, '{",".join(
         """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'duplicate_key' WHEN 1 THEN 'not_finite' WHEN 2 THEN 'invalid_json' END AS problem, CASE WHEN event_id % 5 > 2 THEN sha256(replace(props, ' ', '')) END AS digest FROM events""",
     ),
     "X9_X10_exact_text": (shown_text, None),
-    "R24_palette_hash": (palette_hashes, None),
+    "R24_palette_hash": (
+        palette_hashes,
+        """WITH i AS (SELECT l_orderkey, '[' || string_agg('{"role":"' || role || '","sample_id":"s-' || l_partkey || '","slot":"' || slot || '"}', ',' ORDER BY slot, 's-' || l_partkey) || ']' AS items FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 'kick' ELSE 'bass' END AS slot,
+  CASE WHEN l_linenumber = 1 THEN 'kick' WHEN l_partkey % 2 = 0 THEN 'bass' ELSE 'sub-bass' END AS role FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 9 > 0) GROUP BY l_orderkey),
+c AS (SELECT o_orderkey, '{"genre":' || CASE WHEN o_orderkey % 5 = 0 THEN '{"unavailable_reason":"song_context_absent","value":null}' ELSE '{"unavailable_reason":null,"value":"' || o_orderpriority || '"}' END
+  || ',"key":' || CASE WHEN o_orderkey % 4 = 0 THEN '{"confidence":null,"mode":null,"tonic":null,"unavailable_reason":"insufficient_duration"}' ELSE '{"confidence":0.85,"mode":"' || CASE WHEN o_custkey % 2 = 0 THEN 'major' ELSE 'minor' END || '","tonic":"C#","unavailable_reason":null}' END
+  || ',"tempo":' || CASE WHEN o_orderkey % 3 = 0 THEN '{"confidence":null,"unavailable_reason":"song_context_absent","value":null}' ELSE '{"confidence":0.9,"unavailable_reason":null,"value":' || (o_orderkey % 100 + 60) || '.5}' END || '}' AS context FROM orders)
+SELECT 'pal-' || o_orderkey AS palette_id, sha256('{"context":' || context || ',"items":' || coalesce(items, '[]') || ',"palette_hash_version":"palette-hash-v1","palette_id":"pal-' || o_orderkey || '"}') AS palette_hash FROM c LEFT JOIN i ON l_orderkey = o_orderkey""",
+    ),
     "R27_dataset_version": (
         dataset_versions,
         f"""WITH {CONTENT_CTE}, k AS (SELECT sha256(concat_ws(chr(10), sample_id, sha, role)) AS k FROM v_content), g AS (SELECT k[1:3] AS part, sha256(string_agg(k, '' ORDER BY k)) AS sha FROM k GROUP BY 1)
