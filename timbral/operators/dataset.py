@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import random
+from collections import Counter, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,22 +87,81 @@ def collisions(ordered: DataFrame, by: str = "session", kick: str = "kick") -> D
     return ordered.withColumn("_same", before == F.col(kick)).groupBy(by).agg(F.count_if("_same").alias("collisions"))
 
 
+def _shared(codes: np.ndarray) -> np.ndarray:
+    """Of each place, how many of its neighbours have the same kick; the ends have no neighbour outside."""
+    same = np.concatenate([[0], (codes[1:] == codes[:-1]).astype(np.int64), [0]])
+    return same[:-1] + same[1:]
+
+
+def _better_swap(codes: np.ndarray, at: int) -> int | None:
+    """The place to swap with that makes fewer places meet their own kick: the first one behind, then the nearest one before; None if there is none."""
+    n, own = len(codes), codes[at]
+    padded = np.concatenate([[-1], codes, [-2]])
+    before, behind = padded[:-2], padded[2:]
+    away = np.arange(n) - at
+    # what comes to this place meets the neighbours here, what goes meets those there; side by side, each meets the other
+    here = (codes == np.where(away == -1, own, before[at])).astype(np.int64) + (codes == np.where(away == 1, own, behind[at]))
+    there = (own == np.where(away == 1, codes, before)).astype(np.int64) + (own == np.where(away == -1, codes, behind))
+    count = _shared(codes)
+    good = (here + there < count + count[at]) & (away != 0)
+    later, earlier = np.flatnonzero(good[at + 1 :]), np.flatnonzero(good[:at])
+    return int(at + 1 + later[0]) if len(later) else int(earlier[-1]) if len(earlier) else None
+
+
+def _spread_out(codes: np.ndarray) -> list[int]:
+    """Places in an order with as few meetings as there can be: always of the kick with most left, but for the last one dealt; ties by first place."""
+    places: dict[int, deque] = {}
+    for place, kick in enumerate(codes.tolist()):
+        places.setdefault(kick, deque()).append(place)
+    heap = [(-len(x), x[0], kick) for kick, x in places.items()]
+    heapq.heapify(heap)
+    out: list[int] = []
+    held = None
+    while heap or held:
+        if not heap:
+            heap, held = [held], None
+        left, first, kick = heapq.heappop(heap)
+        out.append(places[kick].popleft())
+        if held:
+            heapq.heappush(heap, held)
+        held = (left + 1, first, kick) if left < -1 else None
+    return out
+
+
+def repaired(codes: np.ndarray) -> list[int]:
+    """The places of codes in the order in which they are shown.
+
+    Wherever a kick follows itself, the later place or else the earlier one is
+    swapped if that leaves fewer meetings, over and over until a whole pass swaps
+    nothing; if more are left than any order must have, the list is dealt anew.
+    """
+    codes, order = np.array(codes), np.arange(len(codes))
+    changed = len(codes) > 1
+    while changed:
+        changed = False
+        for at in range(1, len(codes)):
+            for place in (at, at - 1):
+                other = _better_swap(codes, place) if codes[at] == codes[at - 1] else None
+                if other is not None:
+                    codes[[place, other]], order[[place, other]] = codes[[other, place]], order[[other, place]]
+                    changed = True
+                    break
+    meetings = lambda x: int((x[1:] == x[:-1]).sum())
+    most = int(np.unique(codes, return_counts=True)[1].max(initial=0))
+    if meetings(codes) > max(0, 2 * most - len(codes) - 1):
+        dealt = _spread_out(codes)
+        if meetings(codes[dealt]) < meetings(codes):
+            order = order[dealt]
+    return order.tolist()
+
+
 def repair_order(ordered: DataFrame, by: str = "session", kick: str = "kick") -> DataFrame:
-    """ordered with positions in which a kick follows itself as seldom as possible: each place takes the first remaining row
-    of another kick, or of the kick with most rows left once it needs every other place. A session is one evaluator's list."""
+    """ordered with positions in which a kick follows itself as seldom as can be. A session is what one evaluator is shown, so one task has it whole."""
 
     def repair(group: pd.DataFrame) -> pd.DataFrame:
-        left = group.sort_values("position").to_dict("records")
-        out, last = [], object()
-        while left:
-            counts = pd.Series([r[kick] for r in left]).value_counts()
-            top, most = counts.index[0], int(counts.iloc[0])
-            pressed = top != last and most > (len(left)) // 2
-            pick = next((k for k, r in enumerate(left) if (r[kick] == top if pressed else r[kick] != last)), 0)
-            out.append(left.pop(pick))
-            last = out[-1][kick]
-        found = pd.DataFrame(out, columns=group.columns)
-        found["position"] = range(1, len(found) + 1)
+        rows = group.sort_values("position", ignore_index=True)
+        found = rows.iloc[repaired(pd.factorize(rows[kick], use_na_sentinel=False)[0])].copy()
+        found["position"] = np.arange(1, len(found) + 1)
         return found
 
     return ordered.groupBy(by).applyInPandas(repair, ordered.schema)
@@ -146,6 +208,59 @@ def split_pool(samples: DataFrame, seed: str, size: int) -> DataFrame:
     return placed.withColumn("pool", F.when(F.col("_held"), "held_back").otherwise("tuning")).drop("_held")
 
 
+def hashed_pairs(kicks: DataFrame, basses: DataFrame, seed: str, version: str, queries: int = 60, each: int = 5) -> DataFrame:
+    """query, slot, bass: the first kicks by a seeded hash, and for each of them the first basses by another.
+
+    kicks, basses: identity.  The draw depends on seed, version and identities
+    alone.  The kicks drawn are a stated query set, which meets all basses; a
+    task keeps each of a query's basses, and only these are shuffled.
+    """
+    digest = lambda *parts: F.sha2(F.concat_ws("\n", F.lit(seed), F.lit(version), *parts), 256)
+    first = kicks.select(F.col("identity").alias("query")).distinct().orderBy(digest(F.lit("query"), F.col("query")), "query").limit(queries)
+    met = basses.select(F.col("identity").alias("bass")).distinct().crossJoin(F.broadcast(first))
+    order = Window.partitionBy("query").orderBy(digest(F.lit("pair"), F.col("query"), F.col("bass")), "bass")
+    return met.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= each).select("query", (F.col("slot") - 1).alias("slot"), "bass")
+
+
+def cover_basses(pairs: DataFrame, basses: DataFrame, seed: str, version: str) -> DataFrame:
+    """pairs (query, slot, bass) with repaired, so changed that each bass has a slot if there are enough of them.
+
+    A bass without a slot, in the order of identities, takes the slot of least
+    seeded hash among those whose bass has another slot left.  Each repair uses
+    up one slot too many of some bass, so as many basses can be served as there
+    are more slots than basses in them: only these few, and the slots, whose
+    number is the design's, are brought together.
+    """
+    seen = pairs.select("bass").distinct()
+    spare = pairs.agg((F.count("*") - F.count_distinct("bass")).cast("int").alias("n")).first()["n"]
+    left = basses.select(F.col("identity").alias("bass")).distinct().join(seen, "bass", "left_anti").orderBy("bass").limit(spare)
+    both = pairs.select("query", "slot", "bass").unionByName(left.select(F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("slot"), "bass"))
+
+    def serve(table: pd.DataFrame) -> pd.DataFrame:
+        slots = table[table["query"].notna()].copy()
+        held = Counter(slots["bass"])
+        now = {(q, int(k)): b for q, k, b in zip(slots["query"], slots["slot"], slots["bass"], strict=True)}
+        given = set()
+        for bass in sorted(table[table["query"].isna()]["bass"]):
+            open_ = [x for x, b in now.items() if held[b] > 1]
+            if not open_:
+                break
+            place = min(open_, key=lambda x: (hashlib.sha256("\n".join([seed, version, "repair", x[0], str(x[1]), bass]).encode()).hexdigest(), x))
+            held[now[place]] -= 1
+            held[bass] += 1
+            now[place] = bass
+            given.add(place)
+        return pd.DataFrame([(q, k, b, (q, k) in given) for (q, k), b in now.items()], columns=["query", "slot", "bass", "repaired"])
+
+    return both.groupBy().applyInPandas(serve, "query string, slot int, bass string, repaired boolean")
+
+
+def coverage(pairs: DataFrame, basses: DataFrame) -> DataFrame:
+    """One row: queries, pairs, basses, and how many of them have no slot."""
+    all_ = basses.agg(F.count_distinct("identity").alias("basses"))
+    return pairs.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("pairs"), F.count_distinct("bass").alias("_seen")).crossJoin(F.broadcast(all_)).select("queries", "pairs", "basses", (F.col("basses") - F.col("_seen")).alias("uncovered"))
+
+
 def balanced_assignment(pairs: DataFrame, evaluators: int, each: int, seed: str) -> DataFrame:
     """pair_id and evaluator: each pair goes to each different evaluators, dealt in turn along a seeded order. Specified behaviour."""
     if not 1 <= each <= evaluators:

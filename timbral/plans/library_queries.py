@@ -147,7 +147,28 @@ def adjacent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repaired(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.collisions(dataset.repair_order(dataset.seeded_order(_pairs(spark, d), "seed-1")))
+    """Each customer's orders as a session: after the repair no more kicks meet themselves than must."""
+    pairs = read(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_custkey").alias("session"), F.when(F.col("o_custkey") % 3 == 0, F.least(F.col("o_orderkey") % 9, F.lit(3))).otherwise(F.col("o_orderkey") % 4).alias("kick"))
+    shown = dataset.repair_order(dataset.seeded_order(pairs, "seed-1"))
+    sizes = shown.groupBy("session").agg(F.count("*").alias("pairs"), F.count_distinct("position").alias("positions"), F.sum("pair_id").alias("ids"))
+    return dataset.collisions(shown).join(sizes, "session")
+
+
+def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lib = views.library(spark, d).withColumn("identity", F.concat(F.lit("id-"), F.col("sample_id").cast("string")))
+    return lib.where("role = 'kick'").select("identity"), lib.where("role <> 'kick' AND sample_id % 3 = 0").select("identity")
+
+
+def hashed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.hashed_pairs(*_sampled(spark, d), "seed-1", "v1")
+
+
+def covered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Of the draw and of its repair: how many basses have no slot."""
+    basses = _sampled(spark, d)[1]
+    drawn = hashed_pairs(spark, d)
+    served = dataset.cover_basses(drawn, basses, "seed-1", "v1")
+    return dataset.coverage(drawn, basses).withColumn("step", F.lit("drawn")).unionByName(dataset.coverage(served, basses).withColumn("step", F.lit("covered")))
 
 
 def random_arm(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +230,10 @@ states AS (SELECT *, CASE WHEN cur THEN 'current' WHEN old THEN 'stale' WHEN pen
 _PATHS = """paths AS (SELECT p_partkey AS sample_id, p_brand AS source, p_partkey || ' ' || (['Kick 01.wav', 'bass_drum.wav', 'Sub-A.wav', 'subtle.wav', '808.WAV', 'pad.kick.wav', 'Bass.wav'])[p_size % 7 + 1] AS name,
   (['Drums/Kicks', 'Low/Bass', 'Low/808s', 'Misc', 'My-Demo Pack', 'demonstration'])[p_partkey % 6 + 1] || '/' || p_partkey || ' ' || (['Kick 01.wav', 'bass_drum.wav', 'Sub-A.wav', 'subtle.wav', '808.WAV', 'pad.kick.wav', 'Bass.wav'])[p_size % 7 + 1] AS path FROM part)"""
 
+_DRAWN = """sk AS (SELECT 'id-' || sample_id AS query FROM v_library WHERE role = 'kick' ORDER BY sha256('seed-1' || chr(10) || 'v1' || chr(10) || 'query' || chr(10) || 'id-' || sample_id), 'id-' || sample_id LIMIT 60),
+sb AS (SELECT 'id-' || sample_id AS bass FROM v_library WHERE role <> 'kick' AND sample_id % 3 = 0),
+drawn AS (SELECT query, bass, row_number() OVER (PARTITION BY query ORDER BY sha256('seed-1' || chr(10) || 'v1' || chr(10) || 'pair' || chr(10) || query || chr(10) || bass), bass) - 1 AS slot FROM sk, sb QUALIFY slot < 5)"""
+
 QUERIES = {
     "F16_F17_J2_analysis_states": (states, f"WITH {_STATES} SELECT sample_id, state, retrieval_state FROM states"),
     "J4_W8_pending_analysis": (
@@ -250,7 +275,17 @@ SELECT p.source, p.path, CASE WHEN roles = 1 THEN r.role END AS role, CASE WHEN
     ),
     "X14_R20_seeded_order": (presentation, f"WITH {_PAIRS_SQL}, {_ORDER} SELECT session, pair_id, CAST(position AS INTEGER) AS position FROM o"),
     "W10_collisions": (adjacent, f"WITH {_PAIRS_SQL}, {_ORDER}, l AS (SELECT session, kick = lag(kick) OVER (PARTITION BY session ORDER BY position) AS same FROM o) SELECT session, count(*) FILTER (WHERE same) AS collisions FROM l GROUP BY session"),
-    "R20_repaired_order": (repaired, None),
+    "R20_repaired_order": (
+        repaired,
+        """WITH p AS (SELECT o_orderkey, o_custkey AS session, CASE WHEN o_custkey % 3 = 0 THEN least(o_orderkey % 9, 3) ELSE o_orderkey % 4 END AS kick FROM orders), k AS (SELECT session, kick, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT session, max(n) AS most FROM k GROUP BY session)
+SELECT p.session, count(*) AS pairs, count(*) AS positions, CAST(sum(o_orderkey) AS BIGINT) AS ids, greatest(2 * max(most) - count(*) - 1, 0) AS collisions FROM p JOIN m USING (session) GROUP BY p.session""",
+    ),
+    "R19_hashed_pairs": (hashed_pairs, f"WITH {LIBRARY_CTE}, {_DRAWN} SELECT query, CAST(slot AS INTEGER) AS slot, bass FROM drawn"),
+    "R19_coverage": (
+        covered_pairs,
+        f"""WITH {LIBRARY_CTE}, {_DRAWN}, c AS (SELECT count(DISTINCT query) AS queries, count(*) AS pairs, (SELECT count(*) FROM sb) AS basses, count(DISTINCT bass) AS seen FROM drawn)
+SELECT 'drawn' AS step, queries, pairs, basses, basses - seen AS uncovered FROM c UNION ALL SELECT 'covered', queries, pairs, basses, greatest(basses - pairs, 0) FROM c""",
+    ),
     "X15_R15_random_arm": (random_arm, None),
     "R19_pool_split": (held_back, f"WITH {LIBRARY_CTE} SELECT sample_id, CASE WHEN row_number() OVER (PARTITION BY role ORDER BY {_SHA.format('sample_id')}, sample_id) <= 25 THEN 'held_back' ELSE 'tuning' END AS pool FROM v_library"),
     "R19_balanced_assignment": (assignment, f"WITH {_PAIRS_SQL} SELECT pair_id, CAST((CAST('0x' || substr({_SHA.format('pair_id')}, 1, 12) AS BIGINT) % 9 + s) % 9 AS INTEGER) AS evaluator FROM p, (VALUES (0), (1)) v(s)"),
