@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbral.operators import evaluation as ev
+from timbral.operators import preflight
 from timbral.sources import views
 from timbral.sources.views import RATINGS_CTE, read
 
@@ -182,6 +185,84 @@ def last_answers(spark: SparkSession, d: str) -> DataFrame:
     return ev.last_answers(_answers(spark, d).select("session_id", "pair_id", "seq", "label"), ["session_id", "pair_id"], "seq")
 
 
+PROTOCOL = "protocol-1"
+
+
+def _inputs(spark: SparkSession, d: str) -> preflight.Inputs:
+    """Forty runs over the orders; run 1 to 24 each have one fault of their inputs."""
+    runs = spark.range(40).withColumnRenamed("id", "run")
+    r = F.col("run")
+    name = F.explode(F.array(*(F.lit(x) for x in (*preflight.SINGLE, "analysis_manifest", "analysis_manifest")))).alias("name")
+    at = lambda **faults: reduce(lambda a, b: a | b, ((F.col("name") == k) & (r == v) for k, v in faults.items()))
+    gone = at(protocol=1, split_manifest=3, pair_list=5, assignment=10, analysis_manifest=18, dataset=23)
+    bad = at(split_manifest=4, pair_list=6, assignment=11, analysis_manifest=17, dataset=22)
+    documents = runs.select("run", name).select("run", "name", (~gone).alias("present"), F.when(bad, "schema_mismatch").alias("problem"), F.when(F.col("name") == "protocol", F.when(r == 2, "protocol-0").otherwise(PROTOCOL)).alias("version"), F.concat(F.lit("sha256:"), (r + F.when((F.col("name") == "pair_list") & (r == 7), 1).otherwise(0)).cast("string")).alias("digest"))
+    key = F.col("o_orderkey")
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 40).alias("run"), key.alias("pair_id"), F.concat(F.lit("k"), key % 97).alias("kick"), F.concat(F.lit("b"), key % 89).alias("bass"), "o_custkey").where(~r.isin(5, 6) & ~((r == 13) & (key % 50 > 0)))
+    pairs = o.select("run", F.col("pair_id").alias("place"), "pair_id", "kick", "bass")
+    samples = spark.range(97).select(F.concat(F.lit("k"), "id").alias("sample_id"), F.lit("kick").alias("role"), "id").unionByName(spark.range(89).select(F.concat(F.lit("b"), "id").alias("sample_id"), F.when(F.col("id") % 2 == 0, "bass").otherwise("sub-bass").alias("role"), "id"))
+    every = samples.crossJoin(F.broadcast(runs))
+    selected = every.where(~r.isin(22, 23) & ~((r == 8) & (F.col("sample_id") == "k5"))).select("run", F.col("id").alias("place"), "sample_id", "role", F.when((r == 24) & (F.col("id") < 3), "synthetic").otherwise("real_library_sample").alias("provenance"))
+    reserves = runs.select("run", F.lit("r1").alias("sample_id"))
+    members = every.where(~((r == 9) & (F.col("sample_id") == "b7")) & ~r.isin(3, 4)).select("run", F.lit("held_out").alias("partition"), "sample_id")
+    raters = F.explode(F.array(F.lit("e1"), F.lit("e2"))).alias("evaluator")
+    assignments = pairs.where(~r.isin(10, 11) & ~((r == 12) & (F.col("pair_id") % 40 == 3))).select("run", "pair_id", raters)
+    sessions = runs.where("run <> 15").select("run", F.explode(F.array(*(F.lit(k) for k in range(5)))).alias("session_id")).select("run", "session_id", F.concat(F.lit("e"), F.col("session_id") + 1).alias("evaluator"), (F.col("session_id") < 4).alias("valid"), (F.col("session_id") < 3).alias("counted"), (F.col("session_id") == 3).alias("tooling"), F.col("session_id").alias("recognised"), ((r == 14) & (F.col("session_id") == 4)).alias("public"))
+    rated = o.select("run", "pair_id", "o_custkey", F.explode(F.array(*(F.lit(k) for k in range(5)))).alias("session_id")).where("(pair_id + session_id * 3) % 4 > 1 AND run <> 15")
+    ratings = rated.select("run", "session_id", F.concat(F.lit("e"), F.col("session_id") + 1).alias("evaluator"), F.when((r == 16) & (F.col("pair_id") % 100 == 2), -F.col("pair_id")).otherwise(F.col("pair_id")).alias("pair_id"))
+    twice = F.explode(F.array(F.lit(0), F.lit(1))).alias("again")
+    entries = every.where(~r.isin(17, 18) & ~((r == 19) & (F.col("sample_id") == "b11"))).select("run", "sample_id", "id", twice).where("again = 0 OR id % 10 = 0").select("run", (F.col("id") * 2 + F.col("again")).alias("place"), "sample_id", F.when((F.col("id") % 10 == 0) & (F.col("again") == 0), "error").otherwise("complete").alias("status"), F.when((r == 21) & (F.col("id") == 4), "v2").otherwise("v1").alias("version"), F.lit(True).alias("whole"))
+    queries = pairs.select("run", F.col("kick").alias("query")).distinct().withColumn("eligible", F.substring("query", 2, 9).cast("int") % 5 > 0)
+    return preflight.Inputs(documents, pairs, selected, reserves, members, assignments, sessions, ratings, entries, queries)
+
+
+def preflight_findings(spark: SparkSession, d: str) -> DataFrame:
+    return preflight.findings(preflight.summary(_inputs(spark, d)), PROTOCOL)
+
+
+def accounting(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(preflight.accounting(preflight.summary(_inputs(spark, d))), ("pair_coverage",))
+
+
+def pool(spark: SparkSession, d: str) -> DataFrame:
+    i = _inputs(spark, d)
+    return preflight.pool_counts(i.selected, i.reserves).withColumn("provenance", F.to_json("provenance"))
+
+
+def entry_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of manifests made of lineitems: repeated samples, unfinished ones, some that can't be read."""
+    rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").alias("sample_id"), F.when(F.col("l_linenumber") == 3, "pending").otherwise("complete").alias("status"), F.lit("v1").alias("version"), (F.col("l_quantity") > 10).alias("whole"), F.col("l_extendedprice").alias("price"))
+    found = preflight.analysis_entries(rows)
+    return found.groupBy("run", "problem").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("samples"), F.sum("place").alias("places"))
+
+
+_RUNS_SQL = """rn AS (SELECT range AS run FROM range(40)), o AS (SELECT o_custkey % 40 AS run, o_orderkey AS pair_id, 'k' || o_orderkey % 97 AS kick, 'b' || o_orderkey % 89 AS bass FROM orders WHERE o_custkey % 40 NOT IN (5, 6) AND NOT (o_custkey % 40 = 13 AND o_orderkey % 50 > 0)),
+sm AS (SELECT 'k' || i AS sample_id, 'kick' AS role, i FROM range(97) t(i) UNION ALL SELECT 'b' || i, CASE WHEN i % 2 = 0 THEN 'bass' ELSE 'sub-bass' END, i FROM range(89) t(i)),
+p AS (SELECT o.*, CASE WHEN run IN (22, 23) OR run = 8 AND kick = 'k5' THEN 'unknown_sample_id' WHEN run IN (3, 4) OR run = 9 AND bass = 'b7' THEN 'pair_not_held_out' END AS wrong, CASE WHEN run IN (10, 11) OR run = 12 AND pair_id % 40 = 3 THEN 0 ELSE 2 END AS assigned FROM o),
+bp AS (SELECT run, count(*) AS sampled_pairs, count(DISTINCT kick) AS sampled_queries, count(wrong) AS n_wrong, arg_min(wrong, pair_id) AS code, min(CASE WHEN wrong IS NOT NULL THEN pair_id END) AS wrong_pair,
+  count(*) FILTER (WHERE assigned < 2 AND wrong IS DISTINCT FROM 'unknown_sample_id') AS n_short, min(CASE WHEN assigned < 2 AND wrong IS DISTINCT FROM 'unknown_sample_id' THEN pair_id END) AS short_pair FROM p GROUP BY run),
+us AS (SELECT DISTINCT run, kick AS sample_id FROM o UNION SELECT DISTINCT run, bass FROM o),
+bu AS (SELECT run, count(*) AS used_samples, count(*) FILTER (WHERE run IN (17, 18) OR run = 19 AND sample_id = 'b11') AS missing_analysis_entries, count(*) FILTER (WHERE NOT (run IN (22, 23) OR run = 8 AND sample_id = 'k5')) AS dataset_records,
+  count(*) FILTER (WHERE run = 24 AND CAST(sample_id[2:] AS INTEGER) < 3) AS synthetic_fixture_records, count(*) FILTER (WHERE run = 21 AND sample_id[2:] = '4') AS v2 FROM us GROUP BY run),
+rt AS (SELECT run, s, CASE WHEN run = 16 AND pair_id % 100 = 2 THEN -pair_id ELSE pair_id END AS pair_id FROM o, range(3) t(s) WHERE (pair_id + s * 3) % 4 > 1 AND run <> 15),
+rp AS (SELECT run, pair_id, count(*) AS n, count(DISTINCT s) AS raters FROM rt GROUP BY ALL),
+br AS (SELECT run, CAST(sum(n) AS BIGINT) AS valid_ratings, count(*) AS rated, count(*) FILTER (WHERE pair_id < 0) AS unsampled, count(*) FILTER (WHERE raters >= 2) AS rated_pairs, count(*) FILTER (WHERE raters >= 2 AND pair_id >= 0) AS rated_pairs_sampled FROM rp GROUP BY run),
+su AS (SELECT rn.run, coalesce(sampled_pairs, 0) AS sampled_pairs, coalesce(sampled_queries, 0) AS sampled_queries, coalesce(n_wrong, 0) AS n_wrong, code, wrong_pair, coalesce(n_short, 0) AS n_short, short_pair, coalesce(used_samples, 0) AS used_samples,
+  coalesce(missing_analysis_entries, 0) AS missing_analysis_entries, coalesce(dataset_records, 0) AS dataset_records, coalesce(synthetic_fixture_records, 0) AS synthetic_fixture_records, coalesce(v2, 0) AS v2, coalesce(valid_ratings, 0) AS valid_ratings, coalesce(rated, 0) AS rated,
+  coalesce(unsampled, 0) AS unsampled, coalesce(rated_pairs, 0) AS rated_pairs, coalesce(rated_pairs_sampled, 0) AS rated_pairs_sampled FROM rn LEFT JOIN bp USING (run) LEFT JOIN bu USING (run) LEFT JOIN br USING (run))"""
+_FINDINGS_SQL = f"""WITH {_RUNS_SQL}, u AS (SELECT *, run NOT IN (3, 4, 5, 6) AS usable FROM su), f AS (
+SELECT run, 1 AS nth, 'protocol_document' AS "check", CASE run WHEN 1 THEN 'protocol_document_missing' WHEN 2 THEN 'protocol_version_mismatch' ELSE 'ok' END AS code, CASE run WHEN 1 THEN 'absent' WHEN 2 THEN 'protocol-0' ELSE 'protocol-1' END AS observed, NULL AS detail FROM u
+UNION ALL SELECT run, 2, 'split_manifest', CASE run WHEN 3 THEN 'split_manifest_missing' WHEN 4 THEN 'schema_mismatch' ELSE 'ok' END, CASE run WHEN 3 THEN 'absent' WHEN 4 THEN 'present but malformed' ELSE 'sha256:' || run END, NULL FROM u
+UNION ALL SELECT run, 3, 'pair_list', CASE run WHEN 5 THEN 'pair_list_missing' WHEN 6 THEN 'schema_mismatch' WHEN 7 THEN 'split_manifest_digest_mismatch' ELSE 'ok' END, CASE run WHEN 5 THEN 'absent' WHEN 6 THEN 'present but malformed' WHEN 7 THEN 'sha256:8' ELSE 'sha256:' || run END, NULL FROM u
+UNION ALL SELECT run, 4, 'pair_membership', CASE WHEN run IN (3, 5) THEN 'missing_prerequisite' WHEN usable AND n_wrong > 0 THEN code ELSE 'ok' END, CASE WHEN run IN (3, 5) THEN '0 of 0 pairs checkable' WHEN usable AND n_wrong > 0 THEN n_wrong || ' of ' || sampled_pairs || ' pairs violate it' ELSE sampled_pairs || ' of ' || sampled_pairs || ' pairs held-out' END, CASE WHEN usable AND n_wrong > 0 THEN CAST(wrong_pair AS VARCHAR) END FROM u
+UNION ALL SELECT run, 5, 'evaluator_assignment', CASE WHEN run = 10 THEN 'assignment_missing' WHEN run = 11 THEN 'schema_mismatch' WHEN n_short > 0 AND usable THEN 'pair_unassigned' ELSE 'ok' END, CASE WHEN run = 10 THEN 'absent' WHEN run = 11 THEN 'present but malformed' WHEN n_short > 0 AND usable THEN n_short || ' of ' || sampled_pairs || ' pairs short' ELSE sampled_pairs || ' of ' || sampled_pairs || ' pairs assigned' END, CASE WHEN run NOT IN (10, 11) AND n_short > 0 AND usable THEN CAST(short_pair AS VARCHAR) END FROM u
+UNION ALL SELECT run, 6, 'pair_counts', CASE WHEN sampled_pairs < 300 OR q < 60 THEN 'pair_counts_below_minimum' ELSE 'ok' END, CASE WHEN sampled_pairs < 300 OR q < 60 THEN sampled_pairs || ' of 300 sampled pairs; ' || q || ' of 60 query kicks' ELSE sampled_pairs || ' sampled pairs; ' || q || ' query kicks' END, NULL FROM (SELECT *, CASE WHEN usable THEN sampled_queries ELSE 0 END AS q FROM u)
+UNION ALL SELECT run, 7, 'rated_pairs', CASE WHEN run = 14 THEN 'public_rating_source' WHEN run = 15 THEN 'ratings_missing' WHEN unsampled > 0 THEN 'rated_pair_not_sampled' ELSE 'ok' END, CASE WHEN run = 14 THEN 'a ratings source is public' WHEN run = 15 THEN '0 sessions, 0 rated pairs' WHEN unsampled > 0 THEN unsampled || ' of ' || rated || ' rated pairs outside the pair list' ELSE rated || ' of ' || rated || ' rated pairs sampled' END, NULL FROM u
+UNION ALL SELECT run, 8, 'analysis_manifests', CASE WHEN run = 17 THEN 'schema_mismatch' WHEN run = 18 THEN 'analysis_manifest_missing' WHEN missing_analysis_entries > 0 THEN 'missing_analysis_entry' WHEN v2 > 0 THEN 'multiple_analysis_versions' ELSE 'ok' END,
+  CASE WHEN run = 17 THEN '2 of 2 declared analysis manifests are present but malformed' WHEN run = 18 THEN '2 of 2 declared analysis manifests are absent' WHEN missing_analysis_entries > 0 THEN missing_analysis_entries || ' of ' || used_samples || ' used samples unresolved' WHEN v2 > 0 THEN 'v1, v2' ELSE CASE WHEN used_samples > 0 THEN 'v1' ELSE '' END || ' over ' || used_samples || ' used samples' END, NULL FROM u
+UNION ALL SELECT run, 9, 'dataset_provenance', CASE WHEN run = 22 THEN 'schema_mismatch' WHEN run = 23 THEN 'dataset_missing' WHEN synthetic_fixture_records > 0 THEN 'synthetic_fixture_record' ELSE 'ok' END, CASE WHEN run = 22 THEN 'present but malformed' WHEN run = 23 THEN 'absent' WHEN synthetic_fixture_records > 0 THEN synthetic_fixture_records || ' of ' || dataset_records || ' used records are not real_library_sample' ELSE dataset_records || ' used records' END, NULL FROM u)
+SELECT *, CASE WHEN code = 'ok' THEN 'ok' WHEN observed = 'absent' OR code IN ('missing_prerequisite', 'ratings_missing', 'analysis_manifest_missing') THEN 'missing' WHEN code = 'schema_mismatch' THEN 'malformed' WHEN nth = 6 THEN 'below_minimum' ELSE 'inconsistent' END AS status FROM f"""
+
 _FIRST = f"{RATINGS_CTE}, firsts AS (SELECT query, item, evaluator, arg_min(rating, (seq, rating)) AS rating FROM v_ratings GROUP BY ALL)"
 _MEDIAN = f"{_FIRST}, medians AS (SELECT query, item, CAST(quantile_disc(rating, 0.5) AS INTEGER) AS rating, count(*) AS raters FROM firsts GROUP BY ALL HAVING count(*) >= 2)"
 _ORDERS = f"""{_MEDIAN}, base AS (SELECT query, item, round(avg(price), 6) AS p, round(avg(discount), 6) AS q FROM v_ratings GROUP BY ALL),
@@ -250,6 +331,21 @@ SELECT arm, metric, CAST(minimum AS DOUBLE) AS minimum, {_verdict(250)} AS verdi
     ),
     "R17_bootstrap_verdicts": (bootstrap_verdicts, None),
     "G17_bootstrap_means": (bootstrap, None),
+    "R23_preflight_findings": (preflight_findings, _FINDINGS_SQL),
+    "G24_accounting": (
+        accounting,
+        f"""WITH {_RUNS_SQL} SELECT run, CASE WHEN run IN (22, 23) THEN 0 WHEN run = 8 THEN 96 ELSE 97 END AS pool_kicks, CASE WHEN run IN (22, 23) THEN 0 ELSE 89 END AS pool_basses, CASE WHEN run IN (22, 23) THEN 0 WHEN run = 8 THEN 185 ELSE 186 END AS pool_records, CASE WHEN run IN (22, 23) THEN 0 ELSE 1 END AS pool_reserves,
+  sampled_pairs, sampled_queries, (SELECT count(DISTINCT kick) FROM o WHERE o.run = su.run AND CAST(kick[2:] AS INTEGER) % 5 > 0) AS eligible_queries, rated_pairs, rated_pairs_sampled, rated_pairs AS multi_rated_pairs, valid_ratings, CASE WHEN run = 15 THEN 0 ELSE 3 END AS counted_evaluators, CASE WHEN run = 15 THEN 0 ELSE 5 END AS sessions,
+  CASE WHEN run = 15 THEN 0 ELSE 1 END AS tooling_sessions, CASE WHEN run = 15 THEN 0 ELSE 2 END AS excluded_sessions, CASE WHEN run = 15 THEN 0 ELSE 10 END AS recognised_ratings, CASE WHEN run IN (17, 18) THEN 0 WHEN run = 19 THEN 185 ELSE 186 END AS analysed_samples, used_samples, missing_analysis_entries, dataset_records, synthetic_fixture_records,
+  CASE WHEN sampled_pairs > 0 THEN round(CAST(rated_pairs AS DOUBLE) / sampled_pairs, 9) END AS pair_coverage FROM su""",
+    ),
+    "M16_pool_counts": (pool, """SELECT run, CASE WHEN run = 8 THEN 96 ELSE 97 END AS pool_kicks, 89 AS pool_basses, CASE WHEN run = 8 THEN 185 ELSE 186 END AS pool_records, CASE run WHEN 8 THEN '{"real_library_sample":185}' WHEN 24 THEN '{"real_library_sample":180,"synthetic":6}' ELSE '{"real_library_sample":186}' END AS provenance, 1 AS pool_reserves FROM range(40) t(run) WHERE run NOT IN (22, 23)"""),
+    "M15_analysis_entries": (
+        entry_problems,
+        """WITH e AS (SELECT l_suppkey % 5 AS run, l_orderkey * 10 + l_linenumber AS place, l_partkey AS sample_id, l_quantity > 10 AS whole FROM lineitem WHERE l_linenumber <> 3),
+f AS (SELECT *, (SELECT min(place) FROM e x WHERE x.run = e.run AND x.sample_id = e.sample_id AND x.whole) AS first FROM e)
+SELECT run, CASE WHEN place > first THEN 'duplicate_analysis_entry' WHEN NOT whole THEN 'analysis_entry_incomplete' END AS problem, count(*) AS n, count(DISTINCT sample_id) AS samples, CAST(sum(place) AS BIGINT) AS places FROM f GROUP BY 1, 2""",
+    ),
     "G25_each_session_counts": (
         each_session,
         """WITH e AS (SELECT user_id AS session_id, event_id % 60 AS i, event_type FROM events), s AS (SELECT session_id, count(*) FILTER (WHERE event_type <> 'view') AS answered, count(*) FILTER (WHERE event_type = 'view') AS skipped,
