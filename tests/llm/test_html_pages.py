@@ -84,6 +84,61 @@ def test_precision_and_recall_of_generated_pages():
     assert hit / said > 0.97, hit / said
 
 
+def test_every_paragraph_of_a_mixed_page():
+    english = (prose(random.Random(1), 70) + " ") * 2
+    facts = "Prices: apples 3, pears 4, plums 5, cherries 6, melons 7, grapes 8, peaches 9, figs 10, dates 11."
+    for order in ([english, RUSSIAN], [RUSSIAN, english], [RUSSIAN, CHINESE, english]):
+        page = "<html><body><nav><a href=/>Home</a></nav><div>" + "".join(f"<p>{t}</p>" for t in order) + f"<table><tr><td>{facts}</td></tr></table></div><footer>{english}</footer></body></html>"
+        assert main_text(page) == "\n".join([*(t.strip() for t in order), facts])
+
+
+@pytest.mark.parametrize("around", ["{}", "<nav><a href=/>Home</a></nav>{}<footer>All rights reserved</footer>", "<div class=menu>Menu</div><div>{}</div>"])
+def test_pages_of_short_paragraphs(around):
+    short = "<p>Short note about the cat.</p><p>And one on the dog.</p>"
+    assert main_text(f"<body>{around.format(short)}</body>") == "Short note about the cat.\nAnd one on the dog."
+    assert main_text(f"<body>{around.format('')}</body>") == ""
+
+
+def mixed_page_of(rng):
+    """A page of paragraphs in listed and other languages, tables of facts, lists and short paragraphs."""
+    article, shown = [], []
+
+    def add(form, *texts):
+        article.extend(texts)
+        shown.append(form.format(*texts))
+
+    for n in range(rng.randrange(3, 9)):
+        kind = rng.random()
+        if n == 0 or kind < 0.4:
+            add("<p>{}</p>", prose(rng, rng.randrange(40, 90)))
+        elif kind < 0.55:
+            add("<p>{}</p>", rng.choice([RUSSIAN, CHINESE]).strip()[: rng.randrange(80, 300)].strip())
+        elif kind < 0.7:
+            add("<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td></tr></table>", *(f"{rng.choice(NOUNS)} {rng.randrange(100)}, {rng.choice(NOUNS)} {rng.randrange(100)}" * rng.randrange(1, 5) for _ in range(3)))
+        elif kind < 0.85:
+            add("<ul><li>{}</li><li>{}</li></ul>", prose(rng, rng.randrange(3, 30)), " ".join(rng.choice(NOUNS) for _ in range(rng.randrange(3, 30))))
+        else:
+            add("<p>{}</p>", prose(rng, rng.randrange(2, 8)))
+    links = "".join(f"<li><a href=/{k}>{prose(rng, 2)}</a></li>" for k in range(9))
+    after = [f"<aside><p>{prose(rng, 40)}</p></aside>", f"<div class='related-posts'><ul>{links}</ul><p>{prose(rng, 30)}</p></div>", f"<div id=comments><p>{prose(rng, 60)}</p></div>", f"<footer><p>{prose(rng, 30)}</p></footer>", f"<ul class=x>{links}</ul>"]
+    rng.shuffle(after)
+    shell = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>"])
+    return f"<html><body><nav><ul>{links}</ul></nav>{shell.format(''.join(shown))}{''.join(after)}</body></html>", article
+
+
+def test_precision_and_recall_of_mixed_pages():
+    rng = random.Random(8)
+    hit = said = meant = 0
+    for _ in range(300):
+        page, article = mixed_page_of(rng)
+        got = main_text(page).split("\n")
+        hit += sum(len(x) for x in got if x in article)
+        said += sum(map(len, got))
+        meant += sum(map(len, article))
+    assert hit / meant > 0.98, hit / meant
+    assert hit / said > 0.98, hit / said
+
+
 class Plain(HTMLParser):
     """Texts between block-level tags, by the standard library's parser."""
 

@@ -2,12 +2,14 @@
 
 A page is cut into blocks at block-level tags.  The first pass decides each
 block by stop-word density, length and link density, together with the
-elements that enclose it; short blocks, and those with a middling share of stop
-words, stay undecided.  In the second pass they take the label of the nearest
-decided neighbours, first within the same enclosing region, then on the page.
-A page on which no block outside the regions beside the article has the density
-of prose is in a language without a list here; length and link density alone
-decide its blocks.  The time is linear in a page's length whatever it holds.
+elements that enclose it; short blocks, and those with a middling or low share
+of stop words, stay undecided.  In the second pass they take the label of the
+nearest decided neighbours, first within the same enclosing region, then on the
+page.  Stop words tell nothing about a block in a script that has no list here,
+nor on a page on which no block outside the regions beside the article has the
+density of prose: there length and link density alone decide.  On a page without
+any good block, what is neither beside the article nor made of links is its
+text.  The time is linear in a page's length whatever it holds.
 """
 
 from __future__ import annotations
@@ -65,6 +67,10 @@ LENGTH_SHORT, LENGTH_LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.15, 0.30  # stop words among the words
 MOST_LINKED = 0.5  # characters inside links
 
+UNDECIDED = ("short", "near", "low")
+# The last letter of the Latin blocks.
+_LATIN_END = "\u024f"
+
 #: What stands between a tag's name and its end; a quote opens a value only after an equals sign, and a tag that another one interrupts ends there.
 _QUOTED = re.compile(r"(?:[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+")
 _BARE = re.compile(r"[^<>]*+")
@@ -252,27 +258,36 @@ def has_prose(found: list[Block]) -> bool:
     return any(len(b.text) >= LENGTH_SHORT and b.kind != "beside" and not _linked(b) and _density(b.text) >= STOP_HIGH for b in found)
 
 
+def _other_script(text: str) -> bool:
+    """Whether most letters are of a script that none of the listed languages is written in."""
+    letters = "".join(_WORD.findall(text))
+    return 2 * sum(c > _LATIN_END for c in letters) > len(letters)
+
+
 def _linked(block: Block) -> bool:
     return len(_SPACE.sub(" ", "".join(block.linked)).strip()) > MOST_LINKED * len(block.text)
 
 
 def first_pass(block: Block, listed: bool = True) -> str:
-    """good, bad, or - undecided - short or near. listed: stop words tell something about the page."""
+    """good, bad, or - undecided - short, near or low. listed: stop words tell something about the page."""
     size = len(block.text)
     if block.kind == "beside" or _linked(block):
         return "bad"
     if size < LENGTH_SHORT:
         return "short"
     density = _density(block.text) if listed else STOP_HIGH
+    if density < STOP_LOW and _other_script(block.text):
+        density = STOP_HIGH
     if density >= STOP_HIGH:
         return "good" if size > LENGTH_LONG or block.kind == "article" else "near"
-    if density >= STOP_LOW or block.kind == "article":
-        return "near"
-    return "bad"
+    return "near" if density >= STOP_LOW or block.kind == "article" else "low"
 
 
 def second_pass(found: list[Block]) -> None:
-    """Undecided blocks take the label of the nearest decided one of their region, else of the page; good wins a tie."""
+    """Undecided blocks take the label of the nearest decided one of their region, else of the page; good wins a tie.
+
+    Where the page has no good block, or nothing is decided, they are the text.
+    """
     first = [b.label for b in found]
     for regional in (True, False):
         groups: dict[int, list[int]] = {}
@@ -289,7 +304,7 @@ def second_pass(found: list[Block]) -> None:
                 k = rows[place]
                 if first[k] in ("good", "bad"):
                     after = (place, first[k])
-                elif found[k].label in ("short", "near"):
+                elif found[k].label in UNDECIDED:
                     near = [(abs(p - place), label != "good", label) for p, label in filter(None, (before[k], after))]
                     if near and (found[k].label == "near" or found[k].heading) and any(x[2] == "good" for x in near):
                         found[k].label = "good"
@@ -297,11 +312,11 @@ def second_pass(found: list[Block]) -> None:
                         found[k].label = min(near)[2]
         if regional:
             for b in found:  # nothing in its region is decided: an article is trusted
-                if b.label in ("short", "near") and b.kind == "article":
+                if b.label in UNDECIDED and b.kind == "article":
                     b.label = "good"
-    for b in found:
-        if b.label in ("short", "near"):
-            b.label = "bad"
+    if all(b.label != "good" for b in found):
+        for b, label in zip(found, first, strict=True):
+            b.label = "good" if label in UNDECIDED else "bad"
 
 
 def main_text(page: str | None) -> str:
