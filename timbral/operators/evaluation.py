@@ -296,3 +296,22 @@ def valid_ratings(answers: DataFrame, sessions: DataFrame) -> DataFrame:
 def repeated_elsewhere(answers: DataFrame) -> DataFrame:
     """evaluator and pair_id that were answered in more than one session."""
     return answers.groupBy("evaluator", "pair_id").agg(F.count_distinct("session_id").alias("sessions")).where("sessions > 1")
+
+
+def recall_reference(pairs: DataFrame, ratings: DataFrame, positive: tuple[str, ...] = ("good", "excellent")) -> DataFrame:
+    """query, declared, positive: of each kick the basses that it was paired with, and those that enough evaluators found good.
+
+    pairs: pair_id, kick, bass; ratings: pair_id, evaluator_id, session_id,
+    place, label, skipped.  Skipped and unlabelled ratings, and those of pairs
+    that the list doesn't have, say nothing; of an evaluator's ratings of a pair
+    the first stands.  No ranking is read.
+    """
+    scores = F.create_map(*(F.lit(x) for pair in RATING_LABELS.items() for x in pair))
+    told = ratings.where("NOT skipped").withColumn("rating", scores[F.col("label")]).where("rating IS NOT NULL")
+    known = told.join(pairs.select("pair_id").distinct(), "pair_id", "left_semi")
+    seen = known.select(F.col("pair_id").alias("query"), F.lit(0).alias("item"), F.col("evaluator_id").alias("evaluator"), F.col("rating").cast("int").alias("rating"), F.struct("session_id", "place").alias("seq"))
+    liked = item_medians(seen, RATED_LEAST).where(F.col("rating").isin(*(int(RATING_LABELS[n]) for n in positive))).select(F.col("query").alias("pair_id"), F.lit(True).alias("liked"))
+    # a kick and a bass that several pairs name are judged by the last of them
+    one = pairs.groupBy("kick", "bass").agg(F.max("pair_id").alias("pair_id")).join(liked, "pair_id", "left")
+    found = F.array_sort(F.collect_list(F.when(F.col("liked"), F.col("bass"))))
+    return one.groupBy(F.col("kick").alias("query")).agg(F.array_sort(F.collect_list("bass")).alias("declared"), found.alias("positive"))

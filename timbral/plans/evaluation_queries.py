@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timbral.operators import evaluation as ev
 from timbral.operators import preflight
-from timbral.sources import views
+from timbral.sources import json_files, views
 from timbral.sources.views import RATINGS_CTE, read
 
 
@@ -229,6 +229,55 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
     return preflight.pool_counts(i.selected, i.reserves).withColumn("provenance", F.to_json("provenance"))
 
 
+def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A pair list and exports of ratings as JSON texts, made of the orders and lineitems; every customer's list, every supplier's export."""
+    o = read(spark, d, "orders")
+    entry = F.struct(F.concat(F.lit("p-"), "o_orderkey").alias("pair_id"), F.concat(F.lit("k-"), F.col("o_custkey") % 30).alias("kick_sample_id"), F.concat(F.lit("b-"), F.col("o_orderkey") % 23).alias("bass_sample_id"))
+    kind = F.col("o_custkey") % 12
+    lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("pairs"))
+    rows = lists.select("o_custkey", F.to_json("pairs").alias("p"), kind.alias("kind"))
+    digest = F.when(F.col("kind") == 3, "sha256:12").otherwise(F.concat(F.lit("sha256:"), F.lit("0" * 64)))
+    told = F.concat(
+        F.lit('{"schema_version":'), F.when(F.col("kind") == 1, F.lit("1.0")).otherwise(F.lit('"1.0"')), F.lit(',"dataset_version":"'), F.when(F.col("kind") == 2, " ").otherwise("v1"), F.lit('","split_manifest_digest":"'), digest,
+        F.lit('","sampler_seed":"s","assignment_seed":'), F.when(F.col("kind") == 4, "null").otherwise('"a"'), F.lit(',"pairs":'), F.when(F.col("kind") == 5, "[]").when(F.col("kind") == 6, '[{"pair_id":"p"}]').when(F.col("kind") == 7, '[{"pair_id":"p","kick_sample_id":"","bass_sample_id":"b"}]').otherwise(F.col("p")),
+        F.when(F.col("kind") == 8, F.lit(',"more":1}')).when(F.col("kind") == 9, F.lit(',"pairs":[]}')).when(F.col("kind") == 10, F.lit("")).otherwise(F.lit("}")),
+    )
+    documents = rows.select(F.col("o_custkey").alias("name"), told.alias("document"))
+    li = read(spark, d, "lineitem")
+    label = F.element_at(F.array(*(F.lit(x) for x in ("poor", "acceptable", "good", "excellent"))), (F.col("l_quantity").cast("int") % 4 + 1).cast("int"))
+    rating = F.struct(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("presentation_index"), F.concat(F.lit("p-"), "l_orderkey").alias("pair_id"), F.lit("k").alias("kick_sample_id"), F.lit("b").alias("bass_sample_id"), F.when(F.col("l_linenumber") != 4, label).alias("rating"), (F.col("l_linenumber") == 5).alias("skip"),
+        F.lit(None).cast("string").alias("skip_reason"), F.lit(False).alias("recognised"), F.lit(True).alias("playback_completed"), F.lit("t").alias("responded_at"), F.lit(None).cast("string").alias("correction_of"),
+    )
+    session = F.struct(F.concat(F.lit("s-"), "l_suppkey").alias("session_id"), F.concat(F.lit("e-"), F.col("l_suppkey") % 25).alias("evaluator_id"))
+    each = li.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(rating)).alias("ratings"))
+    version = F.when(F.col("l_suppkey") % 20 == 7, "0.9").otherwise("1.0")
+    exports = each.select(F.col("l_suppkey").alias("name"), F.to_json(F.struct(version.alias("schema_version"), session.alias("session"), "ratings"), {"ignoreNullFields": "false"}).alias("document"))
+    return documents, exports
+
+
+def list_problems(spark: SparkSession, d: str) -> DataFrame:
+    documents, exports = _lists(spark, d)
+    lists = documents.select(F.lit("pair_list").alias("kind"), "name", json_files.pair_list_problem(F.col("document")).alias("problem"))
+    return lists.unionByName(exports.select(F.lit("export").alias("kind"), "name", json_files.export_problem(F.col("document")).alias("problem")))
+
+
+def _reference(spark: SparkSession, d: str) -> DataFrame:
+    documents, exports = _lists(spark, d)
+    return ev.recall_reference(json_files.pairs_of(documents), json_files.ratings_of(exports))
+
+
+def recall_reference(spark: SparkSession, d: str) -> DataFrame:
+    return _reference(spark, d).select("query", F.array_join("declared", ",").alias("declared"), F.array_join("positive", ",").alias("positive"))
+
+
+def reference_curve(spark: SparkSession, d: str) -> DataFrame:
+    """The recall of an order of the declared basses against the reference's positives."""
+    found = _reference(spark, d)
+    placed = found.select("query", F.posexplode("declared").alias("at", "item")).select("query", "item", (F.col("at") + 1).alias("position"))
+    return _rounded(ev.recall_curve(placed, found.select("query", F.explode("positive").alias("item"))), ("recall",))
+
+
 def entry_problems(spark: SparkSession, d: str) -> DataFrame:
     """Entries of manifests made of lineitems: repeated samples, unfinished ones, some that can't be read."""
     rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").alias("sample_id"), F.when(F.col("l_linenumber") == 3, "pending").otherwise("complete").alias("status"), F.lit("v1").alias("version"), (F.col("l_quantity") > 10).alias("whole"), F.col("l_extendedprice").alias("price"))
@@ -236,6 +285,10 @@ def entry_problems(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("run", "problem").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("samples"), F.sum("place").alias("places"))
 
 
+_REFERENCE_SQL = """op AS (SELECT 'p-' || o_orderkey AS pair_id, 'k-' || o_custkey % 30 AS kick, 'b-' || o_orderkey % 23 AS bass FROM orders WHERE o_custkey % 12 IN (0, 11)),
+orr AS (SELECT 'p-' || l_orderkey AS pair_id, 'e-' || l_suppkey % 25 AS evaluator, CAST(l_quantity AS INTEGER) % 4 AS rating, 's-' || l_suppkey AS session_id, l_orderkey * 10 + l_linenumber AS place FROM lineitem WHERE l_linenumber NOT IN (4, 5) AND l_suppkey % 20 <> 7),
+fr AS (SELECT pair_id, evaluator, arg_min(rating, (session_id, place, (['poor', 'acceptable', 'good', 'excellent'])[rating + 1])) AS rating FROM orr WHERE pair_id IN (SELECT pair_id FROM op) GROUP BY ALL), md AS (SELECT pair_id, quantile_disc(rating, 0.5) AS rating FROM fr GROUP BY pair_id HAVING count(*) >= 2),
+ref AS (SELECT kick AS query, bass, coalesce((SELECT rating >= 2 FROM md WHERE md.pair_id = m.pair_id), false) AS liked FROM (SELECT kick, bass, max(pair_id) AS pair_id FROM op GROUP BY ALL) m)"""
 _RUNS_SQL = """rn AS (SELECT range AS run FROM range(40)), o AS (SELECT o_custkey % 40 AS run, o_orderkey AS pair_id, 'k' || o_orderkey % 97 AS kick, 'b' || o_orderkey % 89 AS bass FROM orders WHERE o_custkey % 40 NOT IN (5, 6) AND NOT (o_custkey % 40 = 13 AND o_orderkey % 50 > 0)),
 sm AS (SELECT 'k' || i AS sample_id, 'kick' AS role, i FROM range(97) t(i) UNION ALL SELECT 'b' || i, CASE WHEN i % 2 = 0 THEN 'bass' ELSE 'sub-bass' END, i FROM range(89) t(i)),
 p AS (SELECT o.*, CASE WHEN run IN (22, 23) OR run = 8 AND kick = 'k5' THEN 'unknown_sample_id' WHEN run IN (3, 4) OR run = 9 AND bass = 'b7' THEN 'pair_not_held_out' END AS wrong, CASE WHEN run IN (10, 11) OR run = 12 AND pair_id % 40 = 3 THEN 0 ELSE 2 END AS assigned FROM o),
@@ -339,6 +392,14 @@ SELECT arm, metric, CAST(minimum AS DOUBLE) AS minimum, {_verdict(250)} AS verdi
   CASE WHEN run = 15 THEN 0 ELSE 1 END AS tooling_sessions, CASE WHEN run = 15 THEN 0 ELSE 2 END AS excluded_sessions, CASE WHEN run = 15 THEN 0 ELSE 10 END AS recognised_ratings, CASE WHEN run IN (17, 18) THEN 0 WHEN run = 19 THEN 185 ELSE 186 END AS analysed_samples, used_samples, missing_analysis_entries, dataset_records, synthetic_fixture_records,
   CASE WHEN sampled_pairs > 0 THEN round(CAST(rated_pairs AS DOUBLE) / sampled_pairs, 9) END AS pair_coverage FROM su""",
     ),
+    "S13_document_problems": (
+        list_problems,
+        """SELECT 'pair_list' AS kind, name, (['schema_mismatch:pair_list.schema_version', 'schema_mismatch:pair_list.dataset_version', 'split_manifest_digest_invalid:pair_list.split_manifest_digest', 'schema_mismatch:pair_list.assignment_seed', 'schema_mismatch:pair_list.pairs', 'schema_mismatch:pair_list.pairs', 'schema_mismatch:pair_list.pairs.pair',
+  'schema_mismatch:pair_list', 'schema_mismatch:pair_list', 'schema_mismatch:pair_list'])[name % 12] AS problem FROM (SELECT DISTINCT o_custkey AS name FROM orders) UNION ALL SELECT 'export', name, CASE WHEN name % 20 = 7 THEN 'malformed_export:version' END FROM (SELECT DISTINCT l_suppkey AS name FROM lineitem)""",
+    ),
+    "M20_recall_reference": (recall_reference, f"WITH {_REFERENCE_SQL} SELECT query, string_agg(bass, ',' ORDER BY bass) AS declared, coalesce(string_agg(CASE WHEN liked THEN bass END, ',' ORDER BY bass), '') AS positive FROM ref GROUP BY query"),
+    "M20_G20_reference_curve": (reference_curve, f"""WITH {_REFERENCE_SQL}, h AS (SELECT liked, row_number() OVER (PARTITION BY query ORDER BY bass) AS position FROM ref), n AS (SELECT count(*) FILTER (WHERE liked) AS n FROM h)
+SELECT size, (SELECT count(*) FROM h WHERE liked AND position <= size) AS found, n.n AS positives, round((SELECT count(*) FROM h WHERE liked AND position <= size) / CAST(n.n AS DOUBLE), 9) AS recall FROM (VALUES (5), (10), (20), (50), (100)) v(size), n"""),
     "M16_pool_counts": (pool, """SELECT run, CASE WHEN run = 8 THEN 96 ELSE 97 END AS pool_kicks, 89 AS pool_basses, CASE WHEN run = 8 THEN 185 ELSE 186 END AS pool_records, CASE run WHEN 8 THEN '{"real_library_sample":185}' WHEN 24 THEN '{"real_library_sample":180,"synthetic":6}' ELSE '{"real_library_sample":186}' END AS provenance, 1 AS pool_reserves FROM range(40) t(run) WHERE run NOT IN (22, 23)"""),
     "M15_analysis_entries": (
         entry_problems,
