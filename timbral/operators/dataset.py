@@ -303,3 +303,29 @@ def session_violations(answers: DataFrame, planned: DataFrame) -> DataFrame:
     rows = joined.select("session_id", "seq", F.explode(F.array_compact(F.array(*rules))).alias("violation"))
     open_ = plan.join(answers.select("session_id", "presentation_index").distinct(), ["session_id", "presentation_index"], "left_anti").join(answers.where("finished").select("session_id").distinct(), "session_id", "left_semi")
     return rows.unionByName(open_.select("session_id", F.lit(None).cast("long").alias("seq"), F.lit("finished_with_open_presentations").alias("violation")).distinct())
+
+
+def revalidated(records: DataFrame, found: DataFrame) -> DataFrame:
+    """records with error: why a record no longer describes its file, or null.
+
+    records: source, path, sha256, metadata and others; found: source, path,
+    sha256, metadata, error of the files as they are read now (one that can't be
+    read has an error alone, one that is gone no row).
+    """
+    now = found.select("source", "path", F.struct(F.col("sha256").alias("sha256"), F.col("metadata").alias("metadata"), F.col("error").alias("error")).alias("_now"))
+    joined = records.join(now, ["source", "path"], "left")
+    error = (
+        F.when(F.col("_now").isNull(), "not_found")
+        .when(F.col("_now.error").isNotNull(), F.col("_now.error"))
+        .when(~F.col("sha256").eqNullSafe(F.col("_now.sha256")), "stale_fingerprint")
+        .when(~F.col("metadata").eqNullSafe(F.col("_now.metadata")), "stale_metadata")
+    )
+    return joined.select(*records.columns, error.alias("error"))
+
+
+def verified_shortfall(checked: DataFrame, target: int = 100, roles: tuple[str, ...] = ("kick", "bass")) -> DataFrame:
+    """role, verified and shortfall of the selected records (group, role, error) that still hold; a role without any has its whole target to find."""
+    held = checked.where("group = 'selected' AND error IS NULL").groupBy("role").agg(F.count("*").alias("verified"))
+    every = checked.sparkSession.createDataFrame([(r,) for r in roles], "role string")
+    counted = every.join(held, "role", "left").na.fill(0, ["verified"])
+    return counted.withColumn("shortfall", F.greatest(F.lit(target) - F.col("verified"), F.lit(0)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbral.operators import records, retrieval
+from timbral.operators import batches, dataset, records, retrieval
 from timbral.plans.ranking_queries import _FIT, _fitted
-from timbral.sources import views
+from timbral.sources import versioned, views
 from timbral.sources.views import CONTENT_CTE, JOBS_CTE, LIBRARY_CTE, read
 
 
@@ -77,12 +77,82 @@ def splits(spark: SparkSession, d: str) -> DataFrame:
     return records.split_members(lists.withColumn("sample_ids", F.when(F.col("partition") == "p1", F.col("members"))).withColumn("members", F.when(F.col("partition") != "p1", F.col("members"))))
 
 
+def analysis_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Analyses of documents, some of which have other contents by now, are gone, or name a version that isn't registered or doesn't fit its descriptor."""
+    docs = views.content(spark, d)
+    n = F.col("sample_id")
+    batch = docs.select("sample_id", F.when(n % 7 == 0, "old").otherwise(F.col("sha")).alias("content"), F.when(n % 11 == 0, "v9").when(n % 13 == 0, "v2").otherwise("v1").alias("version"), F.when(n % 5 == 0, F.when(n % 3 == 0, "v8").when(n % 11 == 0, "v9").when(n % 13 == 0, "v2").otherwise("v1")).alias("descriptor_digest"))
+    versions = spark.createDataFrame([("v1", "v1"), ("v2", "other")], "version string, digest string")
+    found = versioned.analysis_problems(batch, docs.where("sample_id % 17 > 0").select("sample_id", F.col("sha").alias("content")), versions)
+    return found.select("sample_id", "version", "code")
+
+
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a data set and their files as they are now: some changed, some with other metadata, some unreadable, some gone."""
+    docs = views.content(spark, d)
+    n = F.col("sample_id")
+    path = F.concat(F.lit("f/"), n.cast("string"))
+    records = docs.select("source", path.alias("path"), F.when(n % 4 == 0, "reserves").otherwise("selected").alias("group"), F.when(F.col("role") == "kick", "kick").otherwise("bass").alias("role"), F.col("sha").alias("sha256"), F.lit("48000/2").alias("metadata"))
+    found = docs.where("sample_id % 9 > 0").select("source", path.alias("path"), F.when(n % 10 != 7, F.when(n % 8 == 1, F.reverse("sha")).otherwise(F.col("sha"))).alias("sha256"), F.when(n % 6 == 1, "44100/2").otherwise("48000/2").alias("metadata"), F.when(n % 10 == 7, "invalid_audio").alias("error"))
+    return dataset.revalidated(records, found)
+
+
+def revalidated(spark: SparkSession, d: str) -> DataFrame:
+    return _recorded(spark, d).select("source", "path", "error")
+
+
+def shortfalls(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.verified_shortfall(_recorded(spark, d), 400)
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """name and an answer of up to twenty candidates for each part's suppliers, with one fault or none."""
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("name"), "l_linenumber", "l_partkey")
+    kind = F.col("name") % 16
+    one = F.struct(
+        F.when((kind == 3) & (F.col("at") == 0), "same").when(kind == 3, "same").otherwise(F.concat(F.lit("c"), F.col("at").cast("string"))).alias("candidate_id"), (F.col("at") + F.when((kind == 4) & (F.col("at") == F.col("n") - 1), 2).otherwise(1)).cast("int").alias("rank"),
+        F.when((kind == 5) & (F.col("at") == 0), F.lit(1.5)).otherwise(F.lit(0.5)).alias("compatibility"), F.lit(1).alias("confidence"), F.array().cast("array<string>").alias("warnings"), F.when(kind != 6, F.array().cast("array<string>")).alias("jev_judgments"),
+    )
+    sizes = li.groupBy("name").agg(F.count("*").alias("n"))
+    results = sizes.select("name", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).groupBy("name").agg(F.max("n").alias("n"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", one.alias("r")))), lambda x: x["r"])).alias("results"))
+    counts = F.lit('{"eligible":1,"excluded":1,"shortlisted":1,"scored":1,"unscored":0,"requested":1' + '%s}')
+    block = F.concat(F.lit('{"counts":'), F.replace(counts, F.lit("%s"), F.when(kind == 8, "").otherwise(',"returned":1')), F.lit(',"evidence":{"interface":1,"double":0,"unavailable":0,"cache":0,"cache_errors":0},"retrieval":{'), F.when(kind == 9, "").otherwise('"limit_reason":null'), F.lit('},"ranking":{"jev_status":'), F.when(kind == 10, "null").otherwise('"absent"'), F.lit("}}"))
+    batch = F.concat(F.lit('{"schema_version":'), F.when(kind == 11, '"1.1"').otherwise('"1.0"'), F.lit(',"results":'), F.when(kind == 12, "{}").otherwise(F.col("results")), F.lit(',"alternatives":'), F.when(kind == 13, '["none"]').otherwise("[]"), F.lit("}"))
+    error = F.when(kind == 1, '"error":{"code":"revision_conflict","details":{"current_revision":7}},').when(kind == 2, '"error":{"code":"internal_error"},').otherwise("")
+    whole = F.concat(F.lit('{"api_schema":'), F.when(kind == 14, "1.0").otherwise('"1.0"'), F.lit(","), error, F.lit('"recommendation":'), batch, F.lit(',"run":'), F.when(kind == 7, "null").otherwise(block), F.when(kind == 15, "").otherwise("}"))
+    return results.select("name", "n", whole.alias("answer"))
+
+
+def batch_problems(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("name", batches.batch_problem(F.col("answer")).alias("code"), batches.current_revision(F.col("answer")).alias("current"))
+
+
+def batch_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return batches.candidates(_answers(spark, d)).groupBy("name").agg(F.max("n").alias("n"), F.count("*").alias("candidates"), F.max("rank").alias("last"), F.sum("compatibility").alias("total"))
+
+
 _TRANSFORMS = ", ".join(f"('{n}', {k}, '{t}')" for k, (n, t) in enumerate(retrieval.SPACE.items()))
 _IMPORT = f"""WITH {LIBRARY_CTE}, lib AS (SELECT sample_id, path_key || '#' || sample_id AS path_key, 'c' || sample_id % 1500 AS content FROM v_library),
 batch AS (SELECT path_key || CASE WHEN sample_id % 7 = 0 THEN '/new' ELSE '' END AS path_key, content || CASE WHEN sample_id % 11 = 0 THEN 'x' ELSE '' END AS content FROM lib WHERE sample_id % 5 < 3),
 held AS (SELECT * FROM lib WHERE sample_id % 3 = 0)"""
 
+_RECORDED = f"""{CONTENT_CTE}, rec AS (SELECT sample_id AS n, source, 'f/' || sample_id AS path, CASE WHEN sample_id % 4 = 0 THEN 'reserves' ELSE 'selected' END AS grp, CASE WHEN role = 'kick' THEN 'kick' ELSE 'bass' END AS role,
+  CASE WHEN sample_id % 9 = 0 THEN 'not_found' WHEN sample_id % 10 = 7 THEN 'invalid_audio' WHEN sample_id % 8 = 1 AND reverse(sha) <> sha THEN 'stale_fingerprint' WHEN sample_id % 6 = 1 THEN 'stale_metadata' END AS error FROM v_content)"""
+
 QUERIES = {
+    "M3_analysis_problems": (
+        analysis_problems,
+        f"""WITH {CONTENT_CTE}, b AS (SELECT sample_id AS n, CASE WHEN sample_id % 11 = 0 THEN 'v9' WHEN sample_id % 13 = 0 THEN 'v2' ELSE 'v1' END AS version FROM v_content)
+SELECT n AS sample_id, version, CASE WHEN n % 17 = 0 THEN 'unknown_sample' WHEN n % 7 = 0 THEN 'invalid_content_identity' WHEN n % 5 <> 0 AND version = 'v9' THEN 'unknown_analysis_version' WHEN n % 5 = 0 AND n % 3 = 0 THEN 'invalid_sample' WHEN version = 'v2' THEN 'analysis_version_mismatch' END AS code FROM b""",
+    ),
+    "M21_revalidated": (revalidated, f"WITH {_RECORDED} SELECT source, path, error FROM rec"),
+    "M21_shortfall": (shortfalls, f"WITH {_RECORDED}, v AS (SELECT role, count(*) AS n FROM rec WHERE grp = 'selected' AND error IS NULL GROUP BY role) SELECT r.role, coalesce(n, 0) AS verified, greatest(400 - coalesce(n, 0), 0) AS shortfall FROM (VALUES ('kick'), ('bass')) r(role) LEFT JOIN v USING (role)"),
+    "M23_batch_problems": (
+        batch_problems,
+        """WITH a AS (SELECT l_orderkey AS name, l_orderkey % 16 AS kind, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT name, CASE WHEN kind IN (11, 14, 15) THEN 'unsupported_schema' WHEN kind = 1 THEN 'stale_revision' WHEN kind IN (2, 4, 5, 6, 7, 8, 9, 10, 12, 13) OR kind = 3 AND n > 1 THEN 'malformed_response' END AS code, CASE WHEN kind = 1 THEN 7 END AS current FROM a""",
+    ),
+    "M23_candidates": (batch_candidates, "SELECT l_orderkey AS name, count(*) AS n, count(*) AS candidates, CAST(count(*) AS INTEGER) AS last, count(*) * 0.5 AS total FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY 1 UNION ALL SELECT l_orderkey, 1, 1, 1, 0.5 FROM lineitem WHERE l_orderkey % 16 = 3 GROUP BY 1 HAVING count(*) = 1"),
     "G3_disposition_counts": (dispositions, f"WITH {JOBS_CTE} SELECT run_id, count(*) FILTER (WHERE content % 3 = 1) AS analyzed, count(*) FILTER (WHERE content % 3 = 0) AS reused, count(*) FILTER (WHERE content % 3 = 2) AS \"unknown\" FROM v_jobs WHERE state = 'complete' GROUP BY run_id"),
     "D9_prevailing_outcomes": (
         prevailing,

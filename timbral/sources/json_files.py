@@ -28,14 +28,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), F.try_validate_utf8(F.col("content").cast("string")).alias("document"))
 
 
-class _Value:
+class Value:
     """Tests of one value of a parsed document; each is true or false, never null."""
 
     def __init__(self, v: Column) -> None:
         self.v, self.kind = v, F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
-    def at(self, name: str) -> _Value:
-        return _Value(F.try_variant_get(self.v, f"$.{name}", "variant"))
+    def at(self, name: str) -> Value:
+        return Value(F.try_variant_get(self.v, f"$.{name}", "variant"))
 
     def text(self) -> Column:
         return F.when(self.kind == "STRING", F.try_variant_get(self.v, "$", "string"))
@@ -50,6 +50,17 @@ class _Value:
         keys = F.json_object_keys(F.to_json(self.v))
         return F.coalesce(self.kind.startswith("OBJECT") & (F.array_sort(keys) == F.array(*map(F.lit, sorted(names)))), F.lit(False))
 
+    def holds(self, *names: str) -> Column:
+        """An object with these keys, and others maybe."""
+        keys = F.json_object_keys(F.to_json(self.v))
+        return F.coalesce(self.is_object() & (F.size(F.array_except(F.array(*map(F.lit, names)), keys)) == 0), F.lit(False))
+
+    def is_object(self) -> Column:
+        return self.kind.startswith("OBJECT")
+
+    def number(self) -> Column:
+        return F.when(self.kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*|FLOAT|INT|SMALLINT|TINYINT)$"), F.try_variant_get(self.v, "$", "double"))
+
     def is_list(self) -> Column:
         return self.kind.startswith("ARRAY")
 
@@ -59,11 +70,11 @@ class _Value:
 
 def pair_list_problem(document: Column) -> Column:
     """Why a text is no pair list: its code, a colon and where; null if it is one."""
-    d = _Value(F.try_parse_json(document))
+    d = Value(F.try_parse_json(document))
     says = lambda code, where: F.lit(f"{code}:{where}")
 
     def sound(p: Column) -> Column:
-        pair = _Value(p)
+        pair = Value(p)
         return F.coalesce(pair.at("pair_id").text().rlike(PAIR_ID), F.lit(False)) & pair.at("kick_sample_id").is_text() & pair.at("bass_sample_id").is_text()
 
     pairs = d.at("pairs")
@@ -75,17 +86,17 @@ def pair_list_problem(document: Column) -> Column:
         .when(~d.at("sampler_seed").is_text(), says("schema_mismatch", "pair_list.sampler_seed"))
         .when(~d.at("assignment_seed").is_text(), says("schema_mismatch", "pair_list.assignment_seed"))
         .when(~pairs.is_list() | (F.size(pairs.items()) == 0), says("schema_mismatch", "pair_list.pairs"))
-        .when(~F.forall(pairs.items(), lambda p: _Value(p).has_fields(PAIR)), says("schema_mismatch", "pair_list.pairs"))
+        .when(~F.forall(pairs.items(), lambda p: Value(p).has_fields(PAIR)), says("schema_mismatch", "pair_list.pairs"))
         .when(~F.forall(pairs.items(), sound), says("schema_mismatch", "pair_list.pairs.pair"))
     )
 
 
 def export_problem(document: Column) -> Column:
     """malformed_export with what is wrong, or null: fields, version, session, and every rating's fields, types and label."""
-    d = _Value(F.try_parse_json(document))
+    d = Value(F.try_parse_json(document))
 
     def sound(r: Column) -> Column:
-        rating = _Value(r)
+        rating = Value(r)
         label = rating.at("rating")
         known = (label.kind == "VOID") | F.coalesce(label.text().isin(*LABELS), F.lit(False))
         ids = rating.at("pair_id").is_text() & rating.at("kick_sample_id").is_text() & rating.at("bass_sample_id").is_text()
