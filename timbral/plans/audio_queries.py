@@ -73,6 +73,20 @@ def half_resumed(spark: SparkSession, d: str) -> DataFrame:
     return extraction.run_counts(extraction.run(some.drop("vec_id"), before.select("fingerprint", "measurements")), F.count("*"))
 
 
+def tone_library(spark: SparkSession, d: str) -> DataFrame:
+    """A run over one file of 10 ms at 48 kHz for each part, every file of bytes of its own: what a drain of the queue measures."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = np.arange(480) / 48000
+        for batch in batches:
+            whole = [wav.encode((0.3 * np.sin(2 * np.pi * (110 + k / 64) * t))[:, None], 48000) for k in batch["p_partkey"]]
+            yield pd.DataFrame({"path": [f"t/{k}.wav" for k in batch["p_partkey"]], "content": whole})
+
+    files = read(spark, d, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism).mapInPandas(made, "path string, content binary")
+    none = spark.createDataFrame([], "fingerprint string, measurements array<struct<name: string, unit: string, value: double, unavailable_reason: string, confidence: double>>")
+    return extraction.run_counts(extraction.run(files, none), F.count("*"))
+
+
 def tones(spark: SparkSession, d: str) -> DataFrame:
     """A second of one tone for each nation, and twelve seconds of a scale for each region: what is known of them beforehand."""
 
@@ -134,6 +148,7 @@ UNION ALL SELECT 'scale', r_regionkey, NULL, NULL, NULL, NULL, ({list(TONICS)})[
         f"SELECT vec_id, true AS wave, 'fmt ' AS name, CAST(20 AS BIGINT) AS start, CAST(16 AS BIGINT) AS size FROM embeddings UNION ALL SELECT vec_id, true, 'data', CAST(44 AS BIGINT), CAST(512 AS BIGINT) FROM embeddings WHERE NOT {_BAD}",
     ),
     "A15_A16_resumed_run": (resumed, None),
+    "A15_A16_tone_library": (tone_library, "SELECT count(*) AS discovered, count(*) AS total, count(*) AS completed, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS remaining, count(*) AS analyzed, CAST(0 AS BIGINT) AS reused FROM part"),
     "A15_A16_half_resumed_run": (
         half_resumed,
         f"SELECT count(*) AS discovered, count(*) AS total, count(*) FILTER (WHERE NOT {_BAD}) AS completed, count(*) FILTER (WHERE {_BAD}) AS failed, CAST(0 AS BIGINT) AS remaining, count(*) FILTER (WHERE NOT {_BAD} AND vec_id % 2 = 1) AS analyzed, count(*) FILTER (WHERE NOT {_BAD} AND vec_id % 2 = 0) AS reused FROM embeddings",

@@ -10,7 +10,7 @@ from timbral.plans import audio_queries, evaluation_queries, library_queries, ra
 
 REGISTERED = audio_queries.QUERIES | ranking_queries.QUERIES | library_queries.QUERIES | evaluation_queries.QUERIES | state_queries.QUERIES | record_queries.QUERIES
 
-#: The queries that bench.py times, one or two for each kind of plan.
+#: The queries that bench.py times, one or two for each kind of plan. The last is a queue's drain: its files a second compare with published ones.
 HEADLINES = (
     "R14_J9_L2_flagship_recommend",
     "J1_pivot_features",
@@ -22,6 +22,7 @@ HEADLINES = (
     "G13_J13_W12_query_metrics",
     "G12_G19_latency_percentiles",
     "X19_retention",
+    "A15_A16_tone_library",
 )
 
 
