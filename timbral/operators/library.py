@@ -167,3 +167,24 @@ def delete_cascade(parent: DataFrame, children: list[DataFrame], gone: DataFrame
 def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that more than one row has."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def sample_detail(samples: DataFrame, analysed: DataFrame, items: DataFrame, version: str) -> DataFrame:
+    """samples with state, the version's analysis and queue item, and all stored versions.
+
+    analysis_version is told of a current analysis only; analyzed_at is the end of
+    the version's complete item, so an analysis stored without one has none.
+    Contents are met once each, whatever their number of paths.
+    """
+    fields = ["item_id", "state", "attempts", "error_code", "finished_at"]
+    mine = items.where(F.col("version") == version).groupBy("content").agg(F.max_by(F.struct(*fields), "item_id").alias("_item"))
+    stored = analysed.groupBy("content").agg(F.array_sort(F.collect_set("version")).alias("stored_versions"))
+    named = with_states(samples, analysed, items, version).drop("retrieval_state").join(mine, "content", "left").join(stored, "content", "left")
+    told = {
+        "analysis_version": F.when(F.col("state") == "current", F.lit(version)),
+        "analyzed_at": F.when(F.col("_item.state") == "complete", F.col("_item.finished_at")),
+        "attempts": F.col("_item.attempts"),
+        "error_code": F.col("_item.error_code"),
+        "stored_versions": F.coalesce("stored_versions", F.array().cast("array<string>")),
+    }
+    return named.withColumns(told).drop("_item")

@@ -278,6 +278,25 @@ def reference_curve(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ev.recall_curve(placed, found.select("query", F.explode("positive").alias("item"))), ("recall",))
 
 
+def _manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Split manifests and assignments of each customer as JSON texts, under each of the names and forms; some malformed."""
+    o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.array_sort(F.collect_list(F.concat(F.lit("s"), "o_orderkey"))).alias("ids"))
+    k = F.col("name") % 8
+    text = F.to_json("ids")
+    held = F.concat(F.lit('{"kicks":'), text, F.when(k == 1, ',"basses":').when(k == 2, ',"low":').otherwise(',"bass":'), F.when(k == 3, '[""]').otherwise("[]"), F.lit("}"))
+    split = F.concat(F.lit('{"'), F.when(k == 4, "held-out").when(k == 5, "heldout").when(k == 6, "kept").otherwise("held_out"), F.lit('":'), held, F.lit(',"tune":{"kicks":["t1"],"bass":3}}'))
+    pairs = F.array_join(F.transform("ids", lambda i: F.when(k % 2 == 0, F.concat(F.lit('"'), i, F.lit('":["e1","e2"]'))).otherwise(F.concat(F.lit('{"pair_id":"'), i, F.lit('","evaluators":["e1","e2"]}')))), ",")
+    assigned = F.concat(F.lit('{"assignments":'), F.when(k == 7, "null").when(k % 2 == 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise(F.concat(F.lit("["), pairs, F.when(k == 5, ',{"pair_id":"x"}').when(k == 3, ',{"pair_id":"s-last","evaluators":["e3"]},{"pair_id":"s-last","evaluators":["e4"]}').otherwise(""), F.lit("]"))), F.lit("}"))
+    return o.select("name", split.alias("split"), assigned.alias("assigned"))
+
+
+def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = _manifests(spark, d)
+    splits = json_files.split_rows(m.select("name", F.col("split").alias("document"))).select("name", F.concat_ws("/", "partition", "role").alias("part"), "sample_id")
+    assigned = json_files.assignment_rows(m.select("name", F.col("assigned").alias("document"))).select("name", "evaluator", "pair_id")
+    return splits.unionByName(assigned.select("name", F.col("evaluator").alias("part"), F.col("pair_id").alias("sample_id")))
+
+
 def entry_problems(spark: SparkSession, d: str) -> DataFrame:
     """Entries of manifests made of lineitems: repeated samples, unfinished ones, some that can't be read."""
     rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").alias("sample_id"), F.when(F.col("l_linenumber") == 3, "pending").otherwise("complete").alias("status"), F.lit("v1").alias("version"), (F.col("l_quantity") > 10).alias("whole"), F.col("l_extendedprice").alias("price"))
@@ -391,6 +410,12 @@ SELECT arm, metric, CAST(minimum AS DOUBLE) AS minimum, {_verdict(250)} AS verdi
   sampled_pairs, sampled_queries, (SELECT count(DISTINCT kick) FROM o WHERE o.run = su.run AND CAST(kick[2:] AS INTEGER) % 5 > 0) AS eligible_queries, rated_pairs, rated_pairs_sampled, rated_pairs AS multi_rated_pairs, valid_ratings, CASE WHEN run = 15 THEN 0 ELSE 3 END AS counted_evaluators, CASE WHEN run = 15 THEN 0 ELSE 5 END AS sessions,
   CASE WHEN run = 15 THEN 0 ELSE 1 END AS tooling_sessions, CASE WHEN run = 15 THEN 0 ELSE 2 END AS excluded_sessions, CASE WHEN run = 15 THEN 0 ELSE 10 END AS recognised_ratings, CASE WHEN run IN (17, 18) THEN 0 WHEN run = 19 THEN 185 ELSE 186 END AS analysed_samples, used_samples, missing_analysis_entries, dataset_records, synthetic_fixture_records,
   CASE WHEN sampled_pairs > 0 THEN round(CAST(rated_pairs AS DOUBLE) / sampled_pairs, 9) END AS pair_coverage FROM su""",
+    ),
+    "M14_manifest_rows": (
+        manifest_rows,
+        """WITH o AS (SELECT o_custkey AS name, o_custkey % 8 AS k, 's' || o_orderkey AS id FROM orders), n AS (SELECT DISTINCT name, k FROM o)
+SELECT name, 'held_out/kick' AS part, id AS sample_id FROM o WHERE k NOT IN (2, 3, 6) UNION ALL SELECT name, 'tuning/kick', 't1' FROM n WHERE k NOT IN (2, 3, 6)
+UNION ALL SELECT name, e, id FROM (SELECT DISTINCT * FROM o), (VALUES ('e1'), ('e2')) v(e) WHERE k NOT IN (5, 7) UNION ALL SELECT name, 'e4', 's-last' FROM n WHERE k = 3""",
     ),
     "S13_document_problems": (
         list_problems,

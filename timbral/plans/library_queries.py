@@ -29,6 +29,11 @@ def states(spark: SparkSession, d: str) -> DataFrame:
     return library.with_states(_content_samples(spark, d), _analysed(spark, d), views.job_items(spark, d), "v1").select("sample_id", "state", "retrieval_state")
 
 
+def sample_details(spark: SparkSession, d: str) -> DataFrame:
+    found = library.sample_detail(_content_samples(spark, d), _analysed(spark, d), views.job_items(spark, d), "v1")
+    return found.withColumn("stored_versions", F.array_join("stored_versions", ","))
+
+
 def pending(spark: SparkSession, d: str) -> DataFrame:
     return library.pending_analysis(_content_samples(spark, d), _analysed(spark, d).where("content % 3 = 1"), views.job_items(spark, d).where("item_id % 50 = 0"), "v1")
 
@@ -234,7 +239,14 @@ _DRAWN = """sk AS (SELECT 'id-' || sample_id AS query FROM v_library WHERE role
 sb AS (SELECT 'id-' || sample_id AS bass FROM v_library WHERE role <> 'kick' AND sample_id % 3 = 0),
 drawn AS (SELECT query, bass, row_number() OVER (PARTITION BY query ORDER BY sha256('seed-1' || chr(10) || 'v1' || chr(10) || 'pair' || chr(10) || query || chr(10) || bass), bass) - 1 AS slot FROM sk, sb QUALIFY slot < 5)"""
 
+_DETAIL = f"""{_STATES}, it AS (SELECT content, arg_max({{'state': state, 'attempts': attempts, 'error_code': error_code, 'finished_at': finished_at}}, item_id) AS i FROM v_jobs WHERE version = 'v1' GROUP BY content), sv AS (SELECT content, string_agg(version, ',' ORDER BY version) AS stored_versions FROM analysed GROUP BY content)"""
+
 QUERIES = {
+    "M5_sample_details": (
+        sample_details,
+        f"""WITH {_DETAIL} SELECT s.sample_id, s.content, s.path_key, s.file_status, s.state, CASE WHEN s.state = 'current' THEN 'v1' END AS analysis_version, CASE WHEN i.state = 'complete' THEN i.finished_at END AS analyzed_at, i.attempts AS attempts, i.error_code AS error_code, coalesce(stored_versions, '') AS stored_versions
+FROM states s LEFT JOIN it ON it.content = s.content LEFT JOIN sv ON sv.content = s.content""",
+    ),
     "F16_F17_J2_analysis_states": (states, f"WITH {_STATES} SELECT sample_id, state, retrieval_state FROM states"),
     "J4_W8_pending_analysis": (
         pending,

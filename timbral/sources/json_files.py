@@ -128,3 +128,56 @@ def ratings_of(documents: DataFrame) -> DataFrame:
     read_ = good.select(*rest, F.from_json("document", f"session struct<session_id: string, evaluator_id: string>, ratings {_RATINGS}").alias("d"))
     rows = read_.select(*rest, "d.session.session_id", "d.session.evaluator_id", F.posexplode("d.ratings").alias("place", "r"))
     return rows.select(*rest, "session_id", "evaluator_id", "place", "r.pair_id", F.col("r.rating").alias("label"), F.col("r.skip").alias("skipped"))
+
+
+# The names under which split manifests have their parts and roles.
+HELD_OUT, TUNING = ("held_out", "held-out", "heldout"), ("tuning", "tune")
+ROLE_KEYS = {"kick": ("kicks", "kickss"), "bass": ("bass", "basss", "basses", "bassess")}
+
+
+def _ids(part: Value, role: str) -> tuple[Column, Column]:
+    """The ids of a role in a part, and whether they are a list of names; the first name of the role that is there counts."""
+    lists = [part.at(name) for name in ROLE_KEYS[role]]
+    first = F.coalesce(*(F.when(x.kind != "VOID", x.v) for x in lists))
+    own = Value(first)
+    texts = F.transform(own.items(), lambda i: Value(i).text())
+    return texts, own.is_list() & F.forall(texts, lambda t: F.coalesce(F.length(t) > 0, F.lit(False)))
+
+
+def split_rows(documents: DataFrame) -> DataFrame:
+    """partition, role, place, sample_id of each split manifest, with the other columns but document; no rows of a malformed one."""
+    rest = [c for c in documents.columns if c != "document"]
+    d = Value(F.try_parse_json("document"))
+    quoted = lambda name: f"$['{name}']"
+    part = lambda names: Value(F.coalesce(*(F.try_variant_get(d.v, quoted(n), "variant") for n in names)))
+    held, tuned = part(HELD_OUT), part(TUNING)
+    found, fits = [], held.is_object()
+    for partition, where in (("held_out", held), ("tuning", tuned)):
+        for role in ROLE_KEYS:
+            ids, good = _ids(where, role)
+            if partition == "held_out":
+                fits = fits & good
+            found.append(F.struct(F.lit(partition).alias("partition"), F.lit(role).alias("role"), F.when(good, ids).otherwise(F.array().cast("array<string>")).alias("ids")))
+    rows = documents.where(d.is_object() & fits).select(*rest, F.explode(F.array(*found)).alias("r"))
+    return rows.select(*rest, "r.partition", "r.role", F.posexplode("r.ids").alias("place", "sample_id"))
+
+
+def assignment_rows(documents: DataFrame) -> DataFrame:
+    """pair_id, place, evaluator of each assignment, a map of lists or a list of records, with the other columns but document; no rows of a malformed one.
+
+    Of records that repeat a pair the last stands.
+    """
+    rest = [c for c in documents.columns if c != "document"]
+    given = Value(F.try_parse_json("document")).at("assignments")
+    map_ = F.try_variant_get(given.v, "$", "map<string, variant>")
+    entries = F.when(given.is_object(), F.transform(F.map_entries(map_), lambda e: F.struct(e["key"].alias("pair"), e["value"].alias("who")))).when(given.is_list(), F.transform(given.items(), lambda r: F.struct(Value(r).at("pair_id").text().alias("pair"), Value(r).at("evaluators").v.alias("who"))))
+
+    def sound(e: Column) -> Column:
+        who = Value(e["who"])
+        named = F.forall(who.items(), lambda i: F.coalesce(F.length(Value(i).text()) > 0, F.lit(False)))
+        return (given.is_object() | F.coalesce(F.length(e["pair"]) > 0, F.lit(False))) & who.is_list() & named
+
+    rows = documents.where(entries.isNotNull() & F.forall(entries, sound)).select(*rest, F.posexplode(entries).alias("at", "e"))
+    names = rows.select(*rest, "at", F.col("e.pair").alias("pair_id"), F.transform(Value(F.col("e.who")).items(), lambda i: Value(i).text()).alias("who"))
+    last = names.groupBy(*rest, "pair_id").agg(F.max_by("who", "at").alias("who"))
+    return last.select(*rest, "pair_id", F.posexplode("who").alias("place", "evaluator"))
