@@ -315,3 +315,30 @@ def recall_reference(pairs: DataFrame, ratings: DataFrame, positive: tuple[str,
     one = pairs.groupBy("kick", "bass").agg(F.max("pair_id").alias("pair_id")).join(liked, "pair_id", "left")
     found = F.array_sort(F.collect_list(F.when(F.col("liked"), F.col("bass"))))
     return one.groupBy(F.col("kick").alias("query")).agg(F.array_sort(F.collect_list("bass")).alias("declared"), found.alias("positive"))
+
+
+# The arms that need outcomes of a live service, the source of such outcomes, and why an arm isn't evaluated.
+LIVE_ARMS, LIVE = ("jev-only", "hybrid"), "interface"
+NO_QUERY, NO_ANALYSES, NO_LIVE, FELL_BACK, NOT_ELIGIBLE = "no_held_out_query", "no_analysis_manifests", "no_live_jev_outcomes", "hybrid_fell_back_to_dsp", "no_eligible_query"
+
+
+def evidence_sources(outcomes: DataFrame) -> DataFrame:
+    """run, live (outcomes of a live source) and evidence (live or none). outcomes: run, source; the one that prevails for each request."""
+    live = F.count_if(F.coalesce(F.col("source") == LIVE, F.lit(False)))
+    return outcomes.groupBy("run").agg(live.alias("live")).withColumn("evidence", F.when(F.col("live") > 0, "live").otherwise("none"))
+
+
+def arm_status(arms: DataFrame) -> DataFrame:
+    """arms with status (evaluated, insufficient) and the first reason of an insufficient one.
+
+    arms: arm, queries, analyses (whether manifests are there), evidence,
+    scored and hybrid_scored (a mode's count of scored candidates), eligible_queries.
+    """
+    reason = (
+        F.when(F.coalesce("queries", F.lit(0)) == 0, NO_QUERY)
+        .when(~F.coalesce("analyses", F.lit(False)), NO_ANALYSES)
+        .when(F.col("arm").isin(*LIVE_ARMS) & (F.coalesce("evidence", F.lit("none")) != "live"), NO_LIVE)
+        .when((F.col("arm") == "hybrid") & (F.coalesce("scored", F.lit(0)) > 0) & (F.coalesce("hybrid_scored", F.lit(0)) == 0), FELL_BACK)
+        .when(F.coalesce("eligible_queries", F.lit(0)) == 0, NOT_ELIGIBLE)
+    )
+    return arms.withColumns({"status": F.when(reason.isNull(), "evaluated").otherwise("insufficient"), "status_reason": reason})

@@ -103,3 +103,24 @@ def import_problems(batch: DataFrame, samples: DataFrame) -> DataFrame:
         .otherwise("insert")
     )
     return joined.select(*batch.columns, decision.alias("decision"))
+
+
+def representatives(excluded: DataFrame, expected: DataFrame) -> DataFrame:
+    """role, tag, category, place, path of the first record of each expected group of files that couldn't be read; null where there is none.
+
+    excluded: place, role, reason, tag (of the file's format), path; expected:
+    role, tag, category.  A reason that speaks of padding is one of bounds.
+    """
+    failed = excluded.where(F.col("role").isin("kick", "bass") & F.col("reason").startswith("read_validation_failed:"))
+    category = F.when(F.col("reason").contains("padding"), "bounds").otherwise("encoding")
+    first = failed.groupBy("role", "tag", category.alias("category")).agg(F.min_by(F.struct("place", "path"), "place").alias("r"))
+    return expected.join(first, ["role", "tag", "category"], "left").select("role", "tag", "category", "r.place", "r.path")
+
+
+def run_keys(runs: DataFrame, identity: list[str]) -> DataFrame:
+    """runs with run_key, the digest of all that decides a run's result, and others: the keys of other runs of its data set and split, sorted."""
+    keyed = runs.withColumn("run_key", struct_digest(*identity))
+    same = ["dataset_version", "split_manifest_digest"]
+    groups = keyed.groupBy(*same).agg(F.array_sort(F.collect_set("run_key")).alias("_keys")).withColumnsRenamed({c: f"_{c}" for c in same})
+    joined = keyed.join(groups, F.col(same[0]).eqNullSafe(F.col(f"_{same[0]}")) & F.col(same[1]).eqNullSafe(F.col(f"_{same[1]}")))
+    return joined.select(*runs.columns, "run_key", F.array_remove("_keys", F.col("run_key")).alias("others"))

@@ -297,6 +297,15 @@ def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
     return splits.unionByName(assigned.select("name", F.col("evaluator").alias("part"), F.col("pair_id").alias("sample_id")))
 
 
+def arm_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """The four arms of each customer's run, whose outcomes are its orders."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.when(F.col("o_orderkey") % 5 == 0, "interface").when(F.col("o_orderkey") % 5 < 4, "double").alias("source"))
+    k = F.col("run")
+    runs = ev.evidence_sources(o).select("run", "evidence", "live", (k % 7).alias("queries"), (k % 5 > 0).alias("analyses"), (k % 6).alias("scored"), (k % 4).alias("hybrid_scored"), (k % 3).alias("eligible_queries"))
+    arms = runs.withColumn("arm", F.explode(F.array(*(F.lit(a) for a in ("random", "dsp-only", "jev-only", "hybrid")))))
+    return ev.arm_status(arms).select("run", "arm", "live", "status", "status_reason")
+
+
 def entry_problems(spark: SparkSession, d: str) -> DataFrame:
     """Entries of manifests made of lineitems: repeated samples, unfinished ones, some that can't be read."""
     rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").alias("sample_id"), F.when(F.col("l_linenumber") == 3, "pending").otherwise("complete").alias("status"), F.lit("v1").alias("version"), (F.col("l_quantity") > 10).alias("whole"), F.col("l_extendedprice").alias("price"))
@@ -416,6 +425,12 @@ SELECT arm, metric, CAST(minimum AS DOUBLE) AS minimum, {_verdict(250)} AS verdi
         """WITH o AS (SELECT o_custkey AS name, o_custkey % 8 AS k, 's' || o_orderkey AS id FROM orders), n AS (SELECT DISTINCT name, k FROM o)
 SELECT name, 'held_out/kick' AS part, id AS sample_id FROM o WHERE k NOT IN (2, 3, 6) UNION ALL SELECT name, 'tuning/kick', 't1' FROM n WHERE k NOT IN (2, 3, 6)
 UNION ALL SELECT name, e, id FROM (SELECT DISTINCT * FROM o), (VALUES ('e1'), ('e2')) v(e) WHERE k NOT IN (5, 7) UNION ALL SELECT name, 'e4', 's-last' FROM n WHERE k = 3""",
+    ),
+    "M25_arm_status": (
+        arm_statuses,
+        """WITH r AS (SELECT o_custkey AS run, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS live FROM orders GROUP BY 1), a AS (SELECT * FROM r, (VALUES ('random'), ('dsp-only'), ('jev-only'), ('hybrid')) v(arm)),
+w AS (SELECT *, CASE WHEN run % 7 = 0 THEN 'no_held_out_query' WHEN run % 5 = 0 THEN 'no_analysis_manifests' WHEN arm IN ('jev-only', 'hybrid') AND live = 0 THEN 'no_live_jev_outcomes' WHEN arm = 'hybrid' AND run % 6 > 0 AND run % 4 = 0 THEN 'hybrid_fell_back_to_dsp' WHEN run % 3 = 0 THEN 'no_eligible_query' END AS status_reason FROM a)
+SELECT run, arm, live, CASE WHEN status_reason IS NULL THEN 'evaluated' ELSE 'insufficient' END AS status, status_reason FROM w""",
     ),
     "S13_document_problems": (
         list_problems,

@@ -105,6 +105,24 @@ def shortfalls(spark: SparkSession, d: str) -> DataFrame:
     return dataset.verified_shortfall(_recorded(spark, d), 400)
 
 
+def diagnosed(spark: SparkSession, d: str) -> DataFrame:
+    """Lineitems as files that couldn't be read, and the groups of which one is to be looked at; one group has none."""
+    n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    reason = F.when(n % 6 == 0, "duplicate_content").when(n % 6 == 1, "read_validation_failed: padding").otherwise("read_validation_failed: tag")
+    role = F.when(F.col("l_suppkey") % 3 == 0, "kick").when(F.col("l_suppkey") % 3 == 1, "bass").otherwise("sub-bass")
+    excluded = read(spark, d, "lineitem").select((n * 100 + F.col("l_partkey") % 100).alias("place"), role.alias("role"), reason.alias("reason"), (F.col("l_partkey") % 4).alias("tag"), F.concat(F.lit("f/"), F.col("l_partkey")).alias("path"))
+    expected = spark.createDataFrame([("kick", 1, "encoding"), ("kick", 2, "bounds"), ("bass", 1, "encoding"), ("bass", 3, "bounds"), ("kick", 7, "encoding")], "role string, tag long, category string")
+    return records.representatives(excluded, expected).select("role", "tag", "category", "place")
+
+
+def run_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of few data sets and splits: each one's key, and how many others are of its kind."""
+    k = F.col("o_orderkey")
+    runs = read(spark, d, "orders").select(k.alias("run"), F.concat(F.lit("d"), k % 9).alias("dataset_version"), F.when(k % 4 > 0, F.concat(F.lit("s"), k % 4)).alias("split_manifest_digest"), F.concat(F.lit("r"), k % 5).alias("ranking_version"))
+    found = records.run_keys(runs, ["ranking_version", "dataset_version", "split_manifest_digest"])
+    return found.select("run", "run_key", F.size("others").alias("others"))
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """name and an answer of up to twenty candidates for each part's suppliers, with one fault or none."""
     li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("name"), "l_linenumber", "l_partkey")
@@ -140,6 +158,18 @@ _RECORDED = f"""{CONTENT_CTE}, rec AS (SELECT sample_id AS n, source, 'f/' || sa
   CASE WHEN sample_id % 9 = 0 THEN 'not_found' WHEN sample_id % 10 = 7 THEN 'invalid_audio' WHEN sample_id % 8 = 1 AND reverse(sha) <> sha THEN 'stale_fingerprint' WHEN sample_id % 6 = 1 THEN 'stale_metadata' END AS error FROM v_content)"""
 
 QUERIES = {
+    "M22_representatives": (
+        diagnosed,
+        """WITH x AS (SELECT (l_orderkey * 10 + l_linenumber) AS n, l_partkey, CASE l_suppkey % 3 WHEN 0 THEN 'kick' WHEN 1 THEN 'bass' ELSE 'sub-bass' END AS role FROM lineitem),
+f AS (SELECT role, l_partkey % 4 AS tag, CASE WHEN n % 6 = 1 THEN 'bounds' ELSE 'encoding' END AS category, min(n * 100 + l_partkey % 100) AS place FROM x WHERE n % 6 > 0 AND role <> 'sub-bass' GROUP BY ALL)
+SELECT e.role, e.tag, e.category, place FROM (VALUES ('kick', 1, 'encoding'), ('kick', 2, 'bounds'), ('bass', 1, 'encoding'), ('bass', 3, 'bounds'), ('kick', 7, 'encoding')) e(role, tag, category) LEFT JOIN f ON f.role = e.role AND f.tag = e.tag AND f.category = e.category""",
+    ),
+    "M19_run_keys": (
+        run_keys,
+        """WITH r AS (SELECT o_orderkey AS run, 'd' || o_orderkey % 9 AS dv, CASE WHEN o_orderkey % 4 > 0 THEN '"s' || o_orderkey % 4 || '"' ELSE 'null' END AS sd, 'r' || o_orderkey % 5 AS rv FROM orders),
+k AS (SELECT *, sha256('{"dataset_version":"' || dv || '","ranking_version":"' || rv || '","split_manifest_digest":' || sd || '}') AS run_key FROM r)
+SELECT run, run_key, CAST((SELECT count(DISTINCT j.run_key) FROM k j WHERE j.dv = k.dv AND j.sd = k.sd) - 1 AS INTEGER) AS others FROM k""",
+    ),
     "M3_analysis_problems": (
         analysis_problems,
         f"""WITH {CONTENT_CTE}, b AS (SELECT sample_id AS n, CASE WHEN sample_id % 11 = 0 THEN 'v9' WHEN sample_id % 13 = 0 THEN 'v2' ELSE 'v1' END AS version FROM v_content)
