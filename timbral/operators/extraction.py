@@ -110,14 +110,18 @@ def _frame(block: Column) -> Column:
     return F.floor(block * F.col("rate") / ENVELOPE_RATE)
 
 
-def _transient() -> dict[str, tuple[Column, Column]]:
-    reason = (
+def _unmarked() -> Column:
+    """Why a file has no transient."""
+    return (
         F.when(_silent(), "silent_audio")
         .when(F.col("rate") < ENVELOPE_RATE, "unsupported_envelope_sample_rate")
         .when(F.col("envelope").isNull(), "too_short_for_envelope_analysis")
         .when(F.size("envelope") == 0, "insufficient_observed_audio")
         .when(several_onsets(F.col("envelope")), "multiple_onsets")
     )
+
+
+def _transient(reason: Column) -> dict[str, tuple[Column, Column]]:
     ms = lambda a, b: (a - b) * 1000.0 / F.col("rate")
     return {
         "transient_strength": (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_strongest"))), reason),
@@ -173,34 +177,38 @@ def _centred(values: list[float]) -> list[float]:
     return [(v - mean) / size for v in values]
 
 
-def _key() -> Column:
-    """tonic, mode, confidence and unavailable_reason of the key whose ratings correlate best with how long each tone sounds."""
+def _with_key(df: DataFrame) -> DataFrame:
+    """df with what a key is told from, step by step: how long each tone sounds, its deviations, the keys by fit, the reason for none."""
     tone = lambda p: F.pmod(F.floor(F.lit(69.5) + 12 * F.log2(p / 440)), F.lit(12)).cast("int")
-    tones = F.transform("pitches", tone)
-    share = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.size(F.filter(tones, lambda t: t == k)) / F.size("pitches"))
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    centred = F.transform(share, lambda s: s - F.lit(1 / 12))
-    length = F.sqrt(total(F.transform(centred, lambda c: c * c)))
-    entries = []
-    for place, (mode, tonic) in enumerate((m, t) for m in RATINGS for t in range(12)):
-        rating = _centred([RATINGS[mode][(k - tonic) % 12] for k in range(12)])
-        dot = total(F.zip_with(centred, F.array(*map(F.lit, rating)), lambda c, r: c * r))
-        fit = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / length))
-        entries.append(F.struct((-fit).alias("order"), F.lit(place).alias("place"), F.lit(TONICS[tonic]).alias("tonic"), F.lit(mode).alias("mode")))
-    best = F.array_sort(F.array(*entries))
-    fit, lead = -best[0]["order"], best[1]["order"] - best[0]["order"]
+    df = df.withColumn("_tones", F.transform("pitches", tone))
+    df = df.withColumn("_share", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.size(F.filter("_tones", lambda t: t == k)) / F.size("pitches")))
+    df = df.withColumn("_centred", F.transform("_share", lambda s: s - F.lit(1 / 12)))
+    df = df.withColumn("_length", F.sqrt(total(F.transform("_centred", lambda c: c * c))))
+    keys = [(mode, tonic) for mode in RATINGS for tonic in range(12)]
+    ratings = F.array(*(F.struct(F.lit(place).alias("place"), F.lit(TONICS[tonic]).alias("tonic"), F.lit(mode).alias("mode"), F.array(*map(F.lit, _centred([RATINGS[mode][(k - tonic) % 12] for k in range(12)]))).alias("ratings")) for place, (mode, tonic) in enumerate(keys)))
+    dot = lambda r: total(F.zip_with("_centred", r, lambda c, x: c * x))
+    fit = lambda k: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(k["ratings"]) / F.col("_length")))
+    ranked = F.array_sort(F.transform(ratings, lambda k: F.struct((-fit(k)).alias("order"), k["place"].alias("place"), k["tonic"].alias("tonic"), k["mode"].alias("mode"))))
+    df = df.withColumn("_keys", ranked)
+    df = df.withColumn("_best", F.get("_keys", F.lit(0))).withColumn("_fit", -F.col("_best.order")).withColumn("_lead", F.get("_keys", F.lit(1))["order"] - F.col("_best.order"))
     reason = F.coalesce(
         _unpitched(),
         F.when(F.col("frames") < KEY_SECONDS * F.col("rate"), "insufficient_key_context")
         .when((F.col("_coverage") < KEY_SHARE) | (F.size("pitches") == 0), "insufficient_key_pitch_coverage")
-        .when(F.size(F.filter(share, lambda s: s >= CLASS_SHARE)) < KEY_CLASSES, "insufficient_pitch_class_diversity")
-        .when(length <= 1e-15, "ambiguous_key_histogram")
-        .when(fit < KEY_FIT - 1e-12, "low_key_fit")
-        .when(lead < KEY_LEAD - 1e-12, "ambiguous_key"),
+        .when(F.size(F.filter("_share", lambda s: s >= CLASS_SHARE)) < KEY_CLASSES, "insufficient_pitch_class_diversity")
+        .when(F.col("_length") <= 1e-15, "ambiguous_key_histogram")
+        .when(F.col("_fit") < KEY_FIT - 1e-12, "low_key_fit")
+        .when(F.col("_lead") < KEY_LEAD - 1e-12, "ambiguous_key"),
     )
-    sure = fit * F.least(F.lit(1.0), lead / SURE_LEAD) * F.col("_coverage")
-    known = reason.isNull()
-    return F.struct(F.when(known, best[0]["tonic"]).alias("tonic"), F.when(known, best[0]["mode"]).alias("mode"), F.when(known, sure).alias("confidence"), reason.alias("unavailable_reason"))
+    return df.withColumn("_unkeyed", reason)
+
+
+def _key() -> Column:
+    """tonic, mode, confidence and unavailable_reason of the key whose ratings correlate best with how long each tone sounds."""
+    sure = F.col("_fit") * F.least(F.lit(1.0), F.col("_lead") / SURE_LEAD) * F.col("_coverage")
+    known = F.col("_unkeyed").isNull()
+    return F.struct(F.when(known, F.col("_best.tonic")).alias("tonic"), F.when(known, F.col("_best.mode")).alias("mode"), F.when(known, sure).alias("confidence"), F.col("_unkeyed").alias("unavailable_reason"))
 
 
 def measure(files: DataFrame) -> DataFrame:
@@ -209,7 +217,7 @@ def measure(files: DataFrame) -> DataFrame:
     A file that cannot be read has an error and neither measurements nor a key.
     Stereo width and tempo are not made here: not_implemented.
     """
-    df = _with_pitch(_with_marks(summaries(files)))
+    df = _with_key(_with_pitch(_with_marks(summaries(files)))).withColumn("_unmarked", _unmarked())
     rms = F.col("peak") * F.col("scaled_rms")
     none = F.lit(None).cast("string")
     known: dict[str, tuple[Column, Column]] = {
@@ -221,10 +229,12 @@ def measure(files: DataFrame) -> DataFrame:
         "spectral_rolloff": (F.col("rolloff"), _spectral_reason()),
     }
     *pitch, confidence = _fundamental()
-    known |= {band: _band(k) for k, band in enumerate(BANDS)} | _transient() | {"fundamental": tuple(pitch)}
+    known |= {band: _band(k) for k, band in enumerate(BANDS)} | _transient(F.col("_unmarked")) | {"fundamental": tuple(pitch)}
+    df = df.withColumns({f"_why_{name}": reason for name, (_, reason) in known.items()})
     entries = []
     for name, (unit, _, _) in MEASURES.items():
-        value, reason = known.get(name, (F.lit(None).cast("double"), F.lit("not_implemented")))
+        value = known[name][0] if name in known else F.lit(None).cast("double")
+        reason = F.col(f"_why_{name}") if name in known else F.lit("not_implemented")
         entries.append(F.struct(F.lit(name).alias("name"), F.lit(unit).alias("unit"), F.when(reason.isNull(), value).alias("value"), reason.alias("unavailable_reason"), F.when(reason.isNull(), confidence if name == "fundamental" else F.lit(None).cast("double")).alias("confidence")))
     kept = [c for c in files.columns if c != "content"]
     return df.select(*kept, "error", "rate", "channels", "frames", F.when(F.col("error").isNull(), F.array(*entries)).alias("measurements"), F.when(F.col("error").isNull(), _key()).alias("key"))
