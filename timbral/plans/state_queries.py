@@ -516,7 +516,15 @@ SELECT (SELECT max(item_id) FROM i) + row_number() OVER (ORDER BY content) AS it
         f"""WITH RECURSIVE {_LOG}, r AS (SELECT removes_event_id AS event_id, strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') AS gone FROM log WHERE removes_event_id IS NOT NULL)
 SELECT l.event_id, project_id, candidate_id, CASE WHEN gone < strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 14 DAYS THEN false WHEN strptime(happened_at, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 14 DAYS <= TIMESTAMP '2024-01-28 00:00:00' THEN true END AS retained FROM log l LEFT JOIN r USING (event_id) WHERE event_type = 'selected'""",
     ),
-    "T11_T12_palette_fold": (palette_fold, None),
+    "T11_T12_palette_fold": (
+        palette_fold,
+        """WITH RECURSIVE q AS (SELECT user_id AS p, event_id AS id, CASE WHEN event_type = 'click' THEN 3 END AS rev, event_id % 3 AS s, CASE WHEN event_type <> 'error' THEN CAST(event_id % 4 AS DOUBLE) END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (SELECT p, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS revision, CAST(NULL AS DOUBLE) AS kick, CAST(NULL AS DOUBLE) AS bass, CAST(NULL AS DOUBLE) AS tempo, '' AS action, CAST(NULL AS VARCHAR) AS code FROM (SELECT DISTINCT p FROM q)
+  UNION ALL SELECT p, i, id, CASE WHEN NOT stale AND held IS DISTINCT FROM v THEN revision + 1 ELSE revision END, CASE WHEN NOT stale AND s = 0 THEN v ELSE kick END, CASE WHEN NOT stale AND s = 1 THEN v ELSE bass END, CASE WHEN NOT stale AND s = 2 THEN v ELSE tempo END,
+    CASE WHEN stale THEN 'refused' WHEN held IS NOT DISTINCT FROM v THEN 'no_op' WHEN held IS NULL THEN 'set' WHEN v IS NULL THEN 'removed' ELSE 'replaced' END, CASE WHEN stale THEN 'stale_revision' END
+  FROM (SELECT q.p, q.i, q.id, q.s, q.v, w.revision, w.kick, w.bass, w.tempo, coalesce(q.rev <> w.revision, false) AS stale, CASE q.s WHEN 0 THEN w.kick WHEN 1 THEN w.bass ELSE w.tempo END AS held FROM w JOIN q ON q.p = w.p AND q.i = w.i + 1))
+SELECT p AS palette_id, id AS request_id, action, code, revision, CAST(kick AS BIGINT) AS kick_id, CAST(bass AS BIGINT) AS bass_id, tempo FROM w WHERE i > 0""",
+    ),
     "T13_newest_answer": (palette_newest, "SELECT palette_id, revision, request_id FROM (SELECT user_id AS palette_id, event_id % 11 AS revision, event_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 11 DESC, event_id DESC) AS n FROM events) WHERE n = 1"),
     "X22_context_states": (context_states, f"WITH {SAMPLES_CTE} SELECT CASE WHEN tempo IS NOT NULL AND tempo_confidence IS NOT NULL THEN 'known' WHEN sample_id % 2 = 0 THEN 'unknown' ELSE 'unset' END AS state, count(*) AS n FROM v_samples GROUP BY ALL"),
     "T1_J8_W3_reconcile_scan": (

@@ -47,8 +47,20 @@ def _run(rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
 
 
 def fold(requests: DataFrame) -> DataFrame:
-    """The answer to each request, in order, with the palette after it. A group is one palette's requests."""
-    return requests.groupBy("palette_id").applyInPandas(lambda group: _run(group, dict(_EMPTY))[0], RESULT)
+    """The answer to each request, in order, with the palette after it. A task reads palettes one after the other as a stream and keeps one state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        palette, state = None, dict(_EMPTY)
+        for batch in batches:
+            runs = (batch["palette_id"] != batch["palette_id"].shift()).cumsum()
+            for _, rows in batch.groupby(runs, sort=False):
+                if rows["palette_id"].iloc[0] != palette:
+                    palette, state = rows["palette_id"].iloc[0], dict(_EMPTY)
+                out, state = _run(rows, state)
+                yield out
+
+    order = ["palette_id", "request_id"]
+    return requests.repartition("palette_id").sortWithinPartitions(*order).mapInPandas(run, RESULT)
 
 
 def stream(requests: DataFrame) -> DataFrame:
