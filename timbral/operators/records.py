@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timbral.functions.documents import struct_digest
 from timbral.operators.retrieval import SPACE
+from timbral.schemas import CANDIDATE_ROLES
 
 # How an item was completed, how many versions are listed, and why a dimension may be inactive.
 DISPOSITIONS = ("analyzed", "reused")
@@ -124,3 +125,29 @@ def run_keys(runs: DataFrame, identity: list[str]) -> DataFrame:
     groups = keyed.groupBy(*same).agg(F.array_sort(F.collect_set("run_key")).alias("_keys")).withColumnsRenamed({c: f"_{c}" for c in same})
     joined = keyed.join(groups, F.col(same[0]).eqNullSafe(F.col(f"_{same[0]}")) & F.col(same[1]).eqNullSafe(F.col(f"_{same[1]}")))
     return joined.select(*runs.columns, "run_key", F.array_remove("_keys", F.col("run_key")).alias("others"))
+
+
+def normalization_record_problem(stored: DataFrame, entries: DataFrame, version: str, roles: tuple[str, ...] = CANDIDATE_ROLES) -> DataFrame:
+    """record, code and why: the first rule that a stored normalization breaks as a whole, or nulls.
+
+    stored: record, representation_version, candidate_roles (an array); entries:
+    record and the columns of normalization_problem(), a row for each dimension.
+    The version and the roles come first, then a dimension named twice, an
+    unknown one, and a list that is not the declared one in order, and at last
+    the entries themselves, in their order.
+    """
+    names = F.array(*(F.lit(x) for x in SPACE))
+    problem = normalization_problem(*(F.col(c) for c in ("place", "dimension", "transform", "n", "mean", "std", "inactive_reason")))
+    own = F.array_sort(F.collect_list(F.struct("place", "dimension")))
+    lists = entries.withColumn("problem", problem).groupBy("record").agg(F.transform(own, lambda e: e["dimension"]).alias("named"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("place"))).alias("entry"))
+    joined = stored.join(lists, "record", "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+    why = (
+        F.when(~F.col("representation_version").eqNullSafe(F.lit(version)), "other_version")
+        .when(~F.col("candidate_roles").eqNullSafe(F.array(*map(F.lit, roles))), "other_roles")
+        .when(F.size(F.array_distinct("named")) < F.size("named"), "repeated_dimension")
+        .when(F.exists("named", lambda d: ~F.array_contains(names, d)), "unknown_dimension")
+        .when(F.col("named") != names, "not_the_declared_list")
+        .otherwise(F.col("entry"))
+    )
+    code = F.when(F.col("why") == "unknown_dimension", "unknown_dimension").when(F.col("why").isNotNull(), "invalid_normalization")
+    return joined.select("record", why.alias("why")).select("record", code.alias("code"), "why")

@@ -63,6 +63,17 @@ def normalization_problems(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("record", "place", problem.alias("problem")).where("problem is not null")
 
 
+def normalization_records(spark: SparkSession, d: str) -> DataFrame:
+    """Normalizations as wholes: the copies with a spoilt entry, and seven more with a wrong frame or list."""
+    first = _entries(spark, d).where("record = 0").drop("record")
+    name = F.when((F.col("record") == 9) & (F.col("place") == 2), next(iter(retrieval.SPACE))).when((F.col("record") == 10) & (F.col("place") == 2), "colour").otherwise(F.col("dimension"))
+    more = first.select(F.explode(F.sequence(F.lit(7), F.lit(13))).alias("record"), "*").withColumn("dimension", name)
+    swapped = F.when(F.col("record") != 12, F.col("place")).when(F.col("place") == 0, 1).when(F.col("place") == 1, 0).otherwise(F.col("place"))
+    kept = more.where("NOT (record = 11 AND place = 13) AND record <> 13").withColumn("place", swapped.cast("int"))
+    stored = spark.range(14).select(F.col("id").cast("int").alias("record"), F.when(F.col("id") == 7, "space-0").otherwise("space-1").alias("representation_version"), F.when(F.col("id") == 8, F.array(F.lit("bass"))).otherwise(F.array(F.lit("bass"), F.lit("sub-bass"))).alias("candidate_roles"))
+    return records.normalization_record_problem(stored, _entries(spark, d).unionByName(kept), "space-1")
+
+
 def imports(spark: SparkSession, d: str) -> DataFrame:
     """A batch against the stored half of a library: known paths, moved, new and twice brought contents."""
     lib = views.library(spark, d).select("sample_id", F.concat("path_key", F.lit("#"), "sample_id").alias("path_key"), F.concat(F.lit("c"), F.col("sample_id") % 1500).alias("content"))
@@ -158,6 +169,11 @@ _RECORDED = f"""{CONTENT_CTE}, rec AS (SELECT sample_id AS n, source, 'f/' || sa
   CASE WHEN sample_id % 9 = 0 THEN 'not_found' WHEN sample_id % 10 = 7 THEN 'invalid_audio' WHEN sample_id % 8 = 1 AND reverse(sha) <> sha THEN 'stale_fingerprint' WHEN sample_id % 6 = 1 THEN 'stale_metadata' END AS error FROM v_content)"""
 
 QUERIES = {
+    "R13_normalization_records": (
+        normalization_records,
+        """SELECT CAST(record AS INTEGER) AS record, CASE WHEN why IN ('unknown_dimension') THEN 'unknown_dimension' WHEN why IS NOT NULL THEN 'invalid_normalization' END AS code, why FROM (VALUES (0, NULL), (1, 'not_the_declared_list'), (2, 'unknown_dimension'), (3, 'wrong_transform'), (4, 'wrong_count'), (5, 'statistics_missing'), (6, 'wrong_inactive_entry'),
+  (7, 'other_version'), (8, 'other_roles'), (9, 'repeated_dimension'), (10, 'unknown_dimension'), (11, 'not_the_declared_list'), (12, 'not_the_declared_list'), (13, 'not_the_declared_list')) v(record, why)""",
+    ),
     "M22_representatives": (
         diagnosed,
         """WITH x AS (SELECT (l_orderkey * 10 + l_linenumber) AS n, l_partkey, CASE l_suppkey % 3 WHEN 0 THEN 'kick' WHEN 1 THEN 'bass' ELSE 'sub-bass' END AS role FROM lineitem),
