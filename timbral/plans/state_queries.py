@@ -351,7 +351,7 @@ _LIVE = "strptime('{0}', '%Y-%m-%dT%H:%M:%SZ') - strptime(heartbeat_at, '%Y-%m-%
 _JUDGED = f"""{SUBMISSIONS_CTE}, st AS (SELECT s.*, CASE
     WHEN s.client = 'no id' OR s.mode = 'other' THEN 'invalid_outcome'
     WHEN s.kind = 'removed' THEN CASE WHEN t.event_id IS NULL THEN 'unknown_selection' END
-    WHEN s.project = 'proj-none' THEN 'unknown_project' WHEN s.palette = 'pal-none' THEN 'unknown_palette'
+    WHEN s.project NOT IN (SELECT 'proj-' || user_id % 20 FROM events) THEN 'unknown_project' WHEN s.palette = 'pal-none' THEN 'unknown_palette'
     WHEN s.project <> 'proj-' || CAST(s.palette[5:] AS BIGINT) % 20 THEN 'cross_project_reference' WHEN s.revision > 3 THEN 'unknown_palette_revision' END AS at_once,
   coalesce(t.palette, s.palette) AS kp, coalesce(t.candidate, s.candidate) AS kc
   FROM v_submissions s LEFT JOIN (SELECT * FROM v_submissions WHERE kind = 'selected' AND client <> 'no id' AND mode <> 'other') t ON s.kind = 'removed' AND t.event_id = s.names AND t.event_id < s.event_id AND s.client <> 'no id'),
