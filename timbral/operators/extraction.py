@@ -182,13 +182,13 @@ def _with_key(df: DataFrame) -> DataFrame:
     tone = lambda p: F.pmod(F.floor(F.lit(69.5) + 12 * F.log2(p / 440)), F.lit(12)).cast("int")
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     df = df.withColumn("_tones", F.transform("pitches", tone))
-    df = df.withColumn("_share", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.size(F.filter("_tones", lambda t: t == k)) / F.size("pitches")))
+    df = df.withColumn("_share", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.try_divide(F.size(F.filter("_tones", lambda t: t == k)), F.size("pitches"))))
     df = df.withColumn("_centred", F.transform("_share", lambda s: s - F.lit(1 / 12)))
     df = df.withColumn("_length", F.sqrt(total(F.transform("_centred", lambda c: c * c))))
     keys = [(mode, tonic) for mode in RATINGS for tonic in range(12)]
     ratings = F.array(*(F.struct(F.lit(place).alias("place"), F.lit(TONICS[tonic]).alias("tonic"), F.lit(mode).alias("mode"), F.array(*map(F.lit, _centred([RATINGS[mode][(k - tonic) % 12] for k in range(12)]))).alias("ratings")) for place, (mode, tonic) in enumerate(keys)))
     dot = lambda r: total(F.zip_with("_centred", r, lambda c, x: c * x))
-    fit = lambda k: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(k["ratings"]) / F.col("_length")))
+    fit = lambda k: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(k["ratings"]), F.col("_length"))))
     ranked = F.array_sort(F.transform(ratings, lambda k: F.struct((-fit(k)).alias("order"), k["place"].alias("place"), k["tonic"].alias("tonic"), k["mode"].alias("mode"))))
     df = df.withColumn("_keys", ranked)
     df = df.withColumn("_best", F.get("_keys", F.lit(0))).withColumn("_fit", -F.col("_best.order")).withColumn("_lead", F.get("_keys", F.lit(1))["order"] - F.col("_best.order"))
