@@ -6,6 +6,8 @@ number in quotes is no number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ class Value:
         return F.coalesce(self.text() == value, F.lit(False))
 
     def has_fields(self, names: tuple[str, ...]) -> Column:
-        keys = F.json_object_keys(F.to_json(self.v))
-        return F.coalesce(self.kind.startswith("OBJECT") & (F.array_sort(keys) == F.array(*map(F.lit, sorted(names)))), F.lit(False))
+        keys = F.map_keys(F.try_variant_get(self.v, "$", "map<string, variant>"))  # null for what is no object
+        return F.coalesce(F.array_sort(keys) == F.array(*map(F.lit, sorted(names))), F.lit(False))
 
     def holds(self, *names: str) -> Column:
         """An object with these keys, and others maybe."""
@@ -68,48 +70,63 @@ class Value:
         return F.coalesce(F.try_variant_get(self.v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
+def _once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule of a value that is computed once, however often the rule names it."""
+    return F.transform(F.array(value), rule)[0]
+
+
 def pair_list_problem(document: Column) -> Column:
     """Why a text is no pair list: its code, a colon and where; null if it is one."""
-    d = Value(F.try_parse_json(document))
     says = lambda code, where: F.lit(f"{code}:{where}")
 
     def sound(p: Column) -> Column:
         pair = Value(p)
         return F.coalesce(pair.at("pair_id").text().rlike(PAIR_ID), F.lit(False)) & pair.at("kick_sample_id").is_text() & pair.at("bass_sample_id").is_text()
 
-    pairs = d.at("pairs")
-    return (
-        F.when(~d.has_fields(PAIR_LIST), says("schema_mismatch", "pair_list"))
-        .when(~d.at("schema_version").equals(VERSION), says("schema_mismatch", "pair_list.schema_version"))
-        .when(~d.at("dataset_version").is_text(), says("schema_mismatch", "pair_list.dataset_version"))
-        .when(~F.coalesce(d.at("split_manifest_digest").text().rlike(DIGEST), F.lit(False)), says("split_manifest_digest_invalid", "pair_list.split_manifest_digest"))
-        .when(~d.at("sampler_seed").is_text(), says("schema_mismatch", "pair_list.sampler_seed"))
-        .when(~d.at("assignment_seed").is_text(), says("schema_mismatch", "pair_list.assignment_seed"))
-        .when(~pairs.is_list() | (F.size(pairs.items()) == 0), says("schema_mismatch", "pair_list.pairs"))
-        .when(~F.forall(pairs.items(), lambda p: Value(p).has_fields(PAIR)), says("schema_mismatch", "pair_list.pairs"))
-        .when(~F.forall(pairs.items(), sound), says("schema_mismatch", "pair_list.pairs.pair"))
-    )
+    def of_pairs(items: Column) -> Column:
+        return (
+            F.when(F.size(items) == 0, says("schema_mismatch", "pair_list.pairs"))
+            .when(~F.forall(items, lambda p: Value(p).has_fields(PAIR)), says("schema_mismatch", "pair_list.pairs"))
+            .when(~F.forall(items, sound), says("schema_mismatch", "pair_list.pairs.pair"))
+        )
+
+    def problem(v: Column) -> Column:
+        d = Value(v)
+        # what is no list has no items
+        return (
+            F.when(~d.has_fields(PAIR_LIST), says("schema_mismatch", "pair_list"))
+            .when(~d.at("schema_version").equals(VERSION), says("schema_mismatch", "pair_list.schema_version"))
+            .when(~d.at("dataset_version").is_text(), says("schema_mismatch", "pair_list.dataset_version"))
+            .when(~F.coalesce(d.at("split_manifest_digest").text().rlike(DIGEST), F.lit(False)), says("split_manifest_digest_invalid", "pair_list.split_manifest_digest"))
+            .when(~d.at("sampler_seed").is_text(), says("schema_mismatch", "pair_list.sampler_seed"))
+            .when(~d.at("assignment_seed").is_text(), says("schema_mismatch", "pair_list.assignment_seed"))
+            .otherwise(_once(d.at("pairs").items(), of_pairs))
+        )
+
+    return _once(F.try_parse_json(document), problem)
 
 
 def export_problem(document: Column) -> Column:
     """malformed_export with what is wrong, or null: fields, version, session, and every rating's fields, types and label."""
-    d = Value(F.try_parse_json(document))
 
     def sound(r: Column) -> Column:
         rating = Value(r)
-        label = rating.at("rating")
-        known = (label.kind == "VOID") | F.coalesce(label.text().isin(*LABELS), F.lit(False))
+        known = _once(rating.at("rating").v, lambda x: (Value(x).kind == "VOID") | F.coalesce(Value(x).text().isin(*LABELS), F.lit(False)))
         ids = rating.at("pair_id").is_text() & rating.at("kick_sample_id").is_text() & rating.at("bass_sample_id").is_text()
         return rating.has_fields(RATING) & (rating.at("skip").kind == "BOOLEAN") & (rating.at("presentation_index").kind == "BIGINT") & known & ids
 
-    named = d.at("session").at("session_id").is_text() & d.at("session").at("evaluator_id").is_text()
-    return (
-        F.when(~d.has_fields(EXPORT), "malformed_export:fields")
-        .when(~d.at("schema_version").equals(VERSION), "malformed_export:version")
-        .when(~d.at("session").kind.startswith("OBJECT") | ~d.at("ratings").is_list(), "malformed_export:session")
-        .when(~named, "malformed_export:ids")
-        .when(~F.forall(d.at("ratings").items(), sound), "malformed_export:rating")
-    )
+    def problem(v: Column) -> Column:
+        d = Value(v)
+        listed = F.try_variant_get(v, "$.ratings", "array<variant>")  # null for what is no list
+        named = d.at("session").at("session_id").is_text() & d.at("session").at("evaluator_id").is_text()
+        return (
+            F.when(~d.has_fields(EXPORT), "malformed_export:fields")
+            .when(~d.at("schema_version").equals(VERSION), "malformed_export:version")
+            .when(~d.at("session").is_object(), "malformed_export:session")
+            .otherwise(_once(listed, lambda items: F.when(items.isNull(), "malformed_export:session").when(~named, "malformed_export:ids").when(~F.forall(items, sound), "malformed_export:rating")))
+        )
+
+    return _once(F.try_parse_json(document), problem)
 
 
 def pairs_of(documents: DataFrame) -> DataFrame:
