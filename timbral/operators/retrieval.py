@@ -7,9 +7,12 @@ from the admitted rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,9 @@ COVERAGE = 0.50
 LEAST_STD = 1e-9
 MOST_Z = 1e9
 SHORTLIST = (50, 100)
+#: Kicks and candidates of one cell of a search, and kicks whose distances are held at once.
+CELL = (2048, 16384)
+HELD = 128
 
 
 @dataclass(frozen=True)
@@ -139,6 +145,98 @@ def similarities(kicks: DataFrame, candidates: DataFrame, fitted: DataFrame) ->
     return out.select("kick_id", "sample_id", F.when(F.col("unavailable_reason").isNull(), similarity).alias("similarity"), "unavailable_reason", share.alias("coverage"), "n_common")
 
 
+def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which dimensions each row knows, which of these are extreme, and the others' values, 0 elsewhere."""
+    columns = [table[f"z{k}"].combine_chunks() for k in range(len(SPACE))]
+    known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+    z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+    with np.errstate(invalid="ignore"):
+        extreme = known & ~(np.abs(z) <= MOST_Z)
+    return known, extreme, np.where(known & ~extreme, z, 0.0)
+
+
+def _search(size: int, slack: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of one cell's kicks and candidates the pairs that may be among a kick's first size, with their exact similarity.
+
+    Products of matrices give every distance up to a bound on their rounding;
+    what is no further than the size-th, by that bound and slack, is computed
+    anew in the order of SPACE.  A kick with too few comparable candidates also
+    keeps the first others by id.
+    """
+
+    def cell(kicks: pa.Table, candidates: pa.Table) -> pa.Table:
+        candidates = candidates.sort_by("sample_id")
+        (k_known, k_extreme, k), (c_known, c_extreme, c) = _side(kicks), _side(candidates)
+        active = kicks["active"][0].as_py() if len(kicks) else 0
+        n, share = len(candidates), lambda count: count / active if active else np.zeros_like(count, dtype=float)
+        right = np.hstack([c_known, c * c, c]).T.astype(float)
+        k_error, c_error = (4e-14 * (x * x).sum(axis=1) for x in (k, c))
+        rows, places = [], []
+        for at in range(0, len(kicks) if n else 0, HELD):
+            part = slice(at, at + HELD)
+            own, mask = k[part], k_known[part].astype(float)
+            common = mask @ c_known.T
+            good = (common > 0) & (share(common) >= COVERAGE) & (share(mask.sum(axis=1)) >= COVERAGE)[:, None]
+            if k_extreme[part].any() or c_extreme.any():
+                good &= k_extreme[part].astype(float) @ c_known.T + mask @ c_extreme.T.astype(float) == 0
+            far = np.hstack([own * own, mask, -2.0 * own]) @ right
+            far += k_error[part][:, None]
+            far += c_error
+            far /= np.maximum(common, 1.0)
+            far[~good] = np.inf
+            last = np.maximum(np.partition(far, size - 1, axis=1)[:, size - 1], 0.0) if n > size else np.full(len(own), np.inf)
+            least = 1.0 / (1.0 + np.sqrt(last)) - slack
+            with np.errstate(divide="ignore", over="ignore"):
+                reach = np.where(least > 0, (1.0 / least - 1.0) ** 2, np.inf)
+            kept = good & (far <= (reach * (1 + 1e-12) + 2 * (k_error[part] + c_error.max()))[:, None])
+            for row in np.flatnonzero(good.sum(axis=1) < size):
+                kept[row, np.flatnonzero(~good[row])[:size]] = True
+            row, place = np.nonzero(kept)
+            rows.append(row + at)
+            places.append(place)
+        row, place = (np.concatenate(x) if x else np.zeros(0, dtype=int) for x in (rows, places))
+        both = k_known[row] & c_known[place]
+        squares = np.zeros(len(row))
+        for d in range(len(SPACE)):
+            apart = c[place, d] - k[row, d]
+            squares += np.where(both[:, d], apart * apart, 0.0)
+        common = both.sum(axis=1)
+        coverage = share(common)
+        extreme = (both & (k_extreme[row] | c_extreme[place])).any(axis=1)
+        faults = [np.full(len(row), active == 0), share(k_known.sum(axis=1))[row] < COVERAGE, coverage < COVERAGE, extreme]
+        reason = np.select(faults, ["no_active_dimensions", "kick_dimensions_insufficient", "insufficient_common_dimensions", "extreme_dimension_value"], "")
+        similarity = 1.0 / (1.0 + np.sqrt(squares / np.maximum(common, 1)))
+        found = [kicks["kick_id"].take(pa.array(row)), candidates["sample_id"].take(pa.array(place)), pa.array(similarity, mask=reason != ""), pa.array(reason.astype(object), pa.string(), mask=reason == ""), pa.array(coverage), pa.array(common.astype("i4"))]
+        return pa.table(found, names=["kick_id", "sample_id", "similarity", "unavailable_reason", "coverage", "n_common"])
+
+    return cell
+
+
+def nearest(kicks: DataFrame, candidates: DataFrame, fitted: DataFrame, size: int, digits: int | None = None) -> DataFrame:
+    """Of similarities(), the rows among which each kick's first size positions are: some size rows for each kick and block of candidates.
+
+    digits: similarities are rounded to so many before they are ordered.  Kicks
+    and candidates are dealt into blocks that meet in cells of bounded size, so
+    that a cell's pairs are a few products of matrices and most are never rows.
+    Of candidates with equal coordinates the first size by id stand for all.
+    """
+    normal = _normals(fitted)
+    z = [((F.col("coords")[k] - F.col("normals")[k]["mean"]) / F.col("normals")[k]["std"]).alias(f"z{k}") for k in range(len(SPACE))]
+    active = F.size(F.filter("normals", lambda n: n["std"].isNotNull())).alias("active")
+    blocks = [max(1, -(-side.count() // most)) for side, most in zip((kicks, candidates), CELL, strict=True)]
+    copies = Window.partitionBy("coords").orderBy("sample_id")
+    first = coordinates(candidates).select("sample_id", "coords").withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= size)
+    sides = []
+    for key, side, own, other in (("kick_id", coordinates(kicks).withColumnRenamed("sample_id", "kick_id"), *blocks), ("sample_id", first, *blocks[::-1])):
+        dealt = side.crossJoin(F.broadcast(normal)).select(key, *z, active, F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
+        cell = F.col("own") * other + F.col("other") if key == "kick_id" else F.col("other") * own + F.col("own")
+        sides.append(dealt.withColumn("cell", cell).drop("own", "other").repartition(blocks[0] * blocks[1], "cell").groupBy("cell"))
+    kind = kicks.schema["sample_id"].dataType.simpleString(), candidates.schema["sample_id"].dataType.simpleString()
+    schema = f"kick_id {kind[0]}, sample_id {kind[1]}, similarity double, unavailable_reason string, coverage double, n_common int"
+    found = sides[0].cogroup(sides[1]).applyInArrow(_search(size, 0.0 if digits is None else 1.001 * 10.0**-digits), schema)
+    return found if digits is None else found.withColumn("similarity", F.round("similarity", digits))
+
+
 def positions(pairs: DataFrame) -> DataFrame:
     """pairs with position: by similarity, then id; pairs without one come last, by id."""
     order = Window.partitionBy("kick_id").orderBy(F.col("similarity").isNull(), F.col("similarity").desc_nulls_last(), "sample_id")
@@ -152,16 +250,21 @@ def shortlist(pairs: DataFrame, size: int = SHORTLIST[1]) -> DataFrame:
     return positions(pairs).where(F.col("position") <= size)
 
 
-def cutoff_evidence(pairs: DataFrame, size: int = SHORTLIST[1]) -> DataFrame:
+def cutoff_evidence(pairs: DataFrame, size: int = SHORTLIST[1], copies: DataFrame | None = None) -> DataFrame:
     """For each kick: last_similarity, last_id, first_excluded_id, tied (ids with the last similarity), returned and limit_reason.
 
-    Only the first size + 1 rows of a kick are sorted, which each task cuts down
-    to before they are shuffled; the ties are found by their similarity.
+    pairs: all of each kick, or those of nearest() for size + 1 together with
+    copies, the candidates it searched: a candidate ties where one of equal
+    coordinates does.  Only the first size + 1 rows of a kick are sorted, which
+    each task cuts down to before they are shuffled.
     """
     first = positions(pairs).where(F.col("position") <= size + 1)
     ends = first.groupBy("kick_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("position") <= size, F.struct("position", "similarity", "sample_id"))).alias("last"), F.max(F.when(F.col("position") == size + 1, F.col("sample_id"))).alias("first_excluded_id"))
     last = ends.select("kick_id", "n", F.col("last.similarity").alias("last_similarity"), F.col("last.sample_id").alias("last_id"), "first_excluded_id")
     same = pairs.join(last.select("kick_id", "last_similarity"), "kick_id").where(F.col("similarity") == F.col("last_similarity"))
+    if copies is not None:
+        placed = coordinates(copies).select("sample_id", "coords")
+        same = same.join(placed, "sample_id").select("kick_id", "coords").distinct().join(placed, "coords")
     tied = same.groupBy("kick_id").agg(F.array_sort(F.collect_list("sample_id")).alias("tied"))
     joined = last.join(tied, "kick_id", "left")
     return joined.select("kick_id", "last_similarity", "last_id", "first_excluded_id", F.coalesce("tied", F.array("last_id")).alias("tied"), F.least("n", F.lit(size).cast("long")).alias("returned"), F.when(F.col("n") > size, "shortlist_size").otherwise("eligible_exhausted").alias("limit_reason"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timbral.functions.durable import durable
 from timbral.operators import admission, ranking, retrieval
 from timbral.operators.library import pivot_features
 from timbral.schemas import BANDS, DIMENSIONS, LABEL_SCORES, MEASURES, TONICS
@@ -70,8 +71,12 @@ def shortlist(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.shortlist(_pairs(spark, d)).select("kick_id", "sample_id", "position", "similarity", "unavailable_reason", F.round("coverage", DIGITS).alias("coverage"))
 
 
+def _nearest(spark: SparkSession, d: str, size: int) -> DataFrame:
+    return retrieval.nearest(_kicks(spark, d), _eligible(spark, d), _fitted(spark, d), size, DIGITS)
+
+
 def cutoff(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.cutoff_evidence(_pairs(spark, d), 50).withColumn("tied", F.array_join("tied", ","))
+    return retrieval.cutoff_evidence(durable(_nearest(spark, d, 51)), 50, _eligible(spark, d)).withColumn("tied", F.array_join("tied", ","))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
