@@ -63,16 +63,12 @@ def fit(spark: SparkSession, d: str) -> DataFrame:
     return _fitted(spark, d).select("dimension", "n", F.round("mean", DIGITS).alias("mean"), F.round("std", DIGITS).alias("std"), "inactive_reason")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.similarities(_kicks(spark, d), _eligible(spark, d), _fitted(spark, d)).withColumn("similarity", F.round("similarity", DIGITS))
+def _nearest(spark: SparkSession, d: str, size: int) -> DataFrame:
+    return retrieval.nearest(_kicks(spark, d), _eligible(spark, d), _fitted(spark, d), size, DIGITS)
 
 
 def shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.shortlist(_pairs(spark, d)).select("kick_id", "sample_id", "position", "similarity", "unavailable_reason", F.round("coverage", DIGITS).alias("coverage"))
-
-
-def _nearest(spark: SparkSession, d: str, size: int) -> DataFrame:
-    return retrieval.nearest(_kicks(spark, d), _eligible(spark, d), _fitted(spark, d), size, DIGITS)
+    return retrieval.shortlist(_nearest(spark, d, retrieval.SHORTLIST[1])).select("kick_id", "sample_id", "position", "similarity", "unavailable_reason", F.round("coverage", DIGITS).alias("coverage"))
 
 
 def cutoff(spark: SparkSession, d: str) -> DataFrame:
