@@ -113,7 +113,7 @@ def top(spark: SparkSession, d: str, limit: int = 10) -> DataFrame:
     """The flagship: admission, fit, shortlist, baseline and hybrid ranking, the best of each kick."""
     from timbral.plans.recommend import recommend
 
-    found = recommend(_kicks(spark, d), _wide(spark, d).where("role <> 'kick'"), views.judgments(spark, d), views.VERSION, POLICY, SONG, limit)
+    found = recommend(_kicks(spark, d), _wide(spark, d).where("role <> 'kick'"), views.judgments(spark, d), views.VERSION, POLICY, SONG, limit, digits=DIGITS)
     return found.select("kick_id", "sample_id", F.round("compatibility", DIGITS).alias("compatibility"), "mode", "rank")
 
 

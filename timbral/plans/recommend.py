@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timbral.operators import admission, ranking, retrieval
 
 
-def recommend(kicks: DataFrame, candidates: DataFrame, judgments: DataFrame, version: str, policy: admission.Policy, song: admission.Song | None = None, limit: int = 10, size: int = 100) -> DataFrame:
+def recommend(kicks: DataFrame, candidates: DataFrame, judgments: DataFrame, version: str, policy: admission.Policy, song: admission.Song | None = None, limit: int = 10, size: int = 100, digits: int | None = None) -> DataFrame:
     """Best candidates of each kick: admitted, cut to a shortlist by similarity, ranked with judgments.
 
     kicks is the stated query set of one palette or a few.  Statistics are of
@@ -25,7 +25,7 @@ def recommend(kicks: DataFrame, candidates: DataFrame, judgments: DataFrame, ver
     fitted = retrieval.fit(retrieval.population(candidates, version))
     admitted = admission.admit(candidates, None, policy, song)
     eligible = admitted.where("eligible").where(admitted["analysis_version"] == version)
-    near = retrieval.shortlist(retrieval.similarities(kicks, eligible, fitted), size).select("kick_id", "sample_id")
+    near = retrieval.shortlist(retrieval.nearest(kicks, eligible, fitted, size, digits), size).select("kick_id", "sample_id")
     scored = ranking.score_baseline(ranking.pair_up(near, kicks, eligible))
     ranked = ranking.rank(ranking.score_hybrid(scored, judgments, shortlisted=True))
     return ranked.where(ranked["rank"] <= limit)
