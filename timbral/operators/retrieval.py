@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbral.operators.ranking import in_blocks
+from timbral.operators.ranking import blocks_of, in_blocks, in_cells
 from timbral.schemas import BANDS, CANDIDATE_ROLES, RELIABLE
 
 # The dimensions in order, with their transforms.
@@ -223,17 +223,13 @@ def nearest(kicks: DataFrame, candidates: DataFrame, fitted: DataFrame, size: in
     normal = _normals(fitted)
     z = [((F.col("coords")[k] - F.col("normals")[k]["mean"]) / F.col("normals")[k]["std"]).alias(f"z{k}") for k in range(len(SPACE))]
     active = F.size(F.filter("normals", lambda n: n["std"].isNotNull())).alias("active")
-    blocks = [max(1, -(-side.count() // most)) for side, most in zip((kicks, candidates), CELL, strict=True)]
+    blocks = blocks_of(kicks, candidates, CELL)
     copies = Window.partitionBy("coords").orderBy("sample_id")
     first = coordinates(candidates).select("sample_id", "coords").withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= size)
-    sides = []
-    for key, side, own, other in (("kick_id", coordinates(kicks).withColumnRenamed("sample_id", "kick_id"), *blocks), ("sample_id", first, *blocks[::-1])):
-        dealt = side.crossJoin(F.broadcast(normal)).select(key, *z, active, F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
-        cell = F.col("own") * other + F.col("other") if key == "kick_id" else F.col("other") * own + F.col("own")
-        sides.append(dealt.withColumn("cell", cell).drop("own", "other").repartition(blocks[0] * blocks[1], "cell").groupBy("cell"))
+    own, others = (side.crossJoin(F.broadcast(normal)).select(key, *z, active) for key, side in (("kick_id", coordinates(kicks).withColumnRenamed("sample_id", "kick_id")), ("sample_id", first)))
     kind = kicks.schema["sample_id"].dataType.simpleString(), candidates.schema["sample_id"].dataType.simpleString()
     schema = f"kick_id {kind[0]}, sample_id {kind[1]}, similarity double, unavailable_reason string, coverage double, n_common int"
-    found = sides[0].cogroup(sides[1]).applyInArrow(_search(size, 0.0 if digits is None else 1.001 * 10.0**-digits), schema)
+    found = in_cells(own, others, blocks, _search(size, 0.0 if digits is None else 1.001 * 10.0**-digits), schema)
     return found if digits is None else found.withColumn("similarity", F.round("similarity", digits))
 
 
