@@ -95,8 +95,7 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_without_judgments(spark: SparkSession, d: str) -> DataFrame:
-    scored = ranking.score_hybrid(_scored(spark, d), views.judgments(spark, d).where("label is null"))
-    return ranking.rank(scored).select("kick_id", "sample_id", "compatibility", "mode", "jev_status", "rank")
+    return _hybrid(spark, d, views.judgments(spark, d).where("label is null")).select("kick_id", "sample_id", "compatibility", "mode", "jev_status", "rank")
 
 
 def alternatives(spark: SparkSession, d: str) -> DataFrame:
