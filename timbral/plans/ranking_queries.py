@@ -81,8 +81,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, d: str) -> DataFrame:
-    ranked = ranking.rank(_scored(spark, d))
-    return ranked.select("kick_id", "sample_id", *(F.round(n, DIGITS).alias(n) for n in ranking.FITS), *(f"{n}_reason" for n in ranking.FITS), "compatibility", F.round("confidence", DIGITS).alias("confidence"), "unscored_code", "rank")
+    ranked = ranking.rank_baseline(_kicks(spark, d), _eligible(spark, d), DIGITS)
+    return ranked.select("kick_id", "sample_id", *ranking.FITS, *(f"{n}_reason" for n in ranking.FITS), "compatibility", "confidence", "unscored_code", "rank")
 
 
 def _hybrid(spark: SparkSession, d: str, judgments: DataFrame) -> DataFrame:
